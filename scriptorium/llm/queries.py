@@ -12,6 +12,20 @@ from scriptorium.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of the secrets of every document."""
+    from scriptorium.llm.secrets import digest_frame
+
+    return digest_frame(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    from scriptorium.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     from scriptorium.llm.bpe import digest_frame
@@ -20,7 +34,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_bpe": op10_bpe}
+    return {f.__name__: f for f in (op3_secrets, op5_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
