@@ -26,6 +26,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score and verdict of every document."""
+    from scriptorium.llm.toxicity import learn, score_frame
+
+    documents = table(spark, sf_dir, "documents")
+    return score_frame(documents, learn(documents, table(spark, sf_dir, "labels")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     from scriptorium.llm.bpe import digest_frame
@@ -34,7 +42,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_secrets, op5_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op3_secrets, op5_simhash, op8_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
