@@ -34,6 +34,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_frame(documents, learn(documents, table(spark, sf_dir, "labels")))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, log perplexity and verdict of every document."""
+    from scriptorium.llm.perplexity import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     from scriptorium.llm.bpe import digest_frame
@@ -42,7 +49,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_secrets, op5_simhash, op8_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op3_secrets, op5_simhash, op8_toxicity, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
