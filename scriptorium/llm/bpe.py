@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from scriptorium.llm.pretokens import Split, gather
+from scriptorium.llm.pretokens import WordEncoder, gather
 
 _NONE = np.int64(2**62)
-#: Most distinct words kept by a worker (about 150 MB), and characters taken together.
-STORE_WORDS, BATCH_CHARS = 600_000, 4_000_000
+#: Characters taken together.
+BATCH_CHARS = 4_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -34,7 +34,7 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-class ByteBpe:
+class ByteBpe(WordEncoder):
     """A byte-level BPE vocabulary, read from a tokenizers file (vocabulary, merges, added tokens)."""
 
     def __init__(self, path: str):
@@ -44,7 +44,7 @@ class ByteBpe:
         vocabulary = model["vocab"]
         symbols = byte_symbols()
         back = {c: b for b, c in enumerate(symbols)}
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        super().__init__({t["content"]: t["id"] for t in spec["added_tokens"]})
         self.size = max([*vocabulary.values(), *self.added.values()]) + 1
         self.byte_ids = np.array([vocabulary[c] for c in symbols], np.int64)
         self.bytes_of = [b""] * self.size
@@ -62,7 +62,6 @@ class ByteBpe:
         self.width = np.fromiter(map(len, self.bytes_of), np.int64, self.size)
         self.flat_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.byte_at = np.cumsum(self.width) - self.width
-        self._store: dict[str, np.ndarray] = {}
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, or _NONE: by binary search over the sorted pair keys."""
@@ -70,8 +69,8 @@ class ByteBpe:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], _NONE)
 
-    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words one after another, number of ids of each word)."""
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = [w.encode() for w in words]
         size = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), size)
@@ -114,60 +113,6 @@ class ByteBpe:
         order = np.argsort(word, kind="stable")
         return sym[order], np.bincount(word, minlength=len(words))
 
-    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(offset, number of ids, flat ids) of each word; unknown ones are merged together and kept."""
-        missing = [w for w in words if w not in self._store]
-        if missing:
-            if len(self._store) + len(missing) > STORE_WORDS:
-                self._store.clear()
-                missing = words
-            flat, size = self.merge([w.encode() for w in missing])
-            flat = flat.astype(np.int32)
-            ends = np.cumsum(size)
-            self._store.update(zip(missing, (flat[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)), strict=True))
-            if len(missing) == len(words):
-                return ends - size, size, flat
-        found = [self._store[w] for w in words]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        return np.cumsum(size) - size, size, np.concatenate(found) if found else np.zeros(0, np.int32)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids (int32) of each text, as the tokenizers library gives them without special tokens added."""
-        texts = [t or "" for t in texts]
-        pieces, owner, special = [], [], []
-        for i, text in enumerate(texts):
-            for piece, token in self._apart(text):
-                pieces.append(piece)
-                owner.append(i)
-                special.append(token)
-        flat, size = self._encode_plain(pieces)
-        ends = np.cumsum(size)
-        parts: list[list[np.ndarray]] = [[] for _ in texts]
-        for i, a, b, token in zip(owner, (ends - size).tolist(), ends.tolist(), special, strict=True):
-            parts[i].append(flat[a:b])
-            if token is not None:
-                parts[i].append(np.array([token], np.int32))
-        return [p[0] if len(p) == 1 else np.concatenate(p) for p in parts]
-
-    def _apart(self, text: str) -> Iterator[tuple[str, int | None]]:
-        """The text between added tokens, each piece with the added token that follows it (the last has none)."""
-        while True:
-            found = min(((at, -len(t), t) for t in self.added if (at := text.find(t)) >= 0), default=None)
-            if found is None:
-                yield text, None
-                return
-            at, _, token = found
-            yield text[:at], self.added[token]
-            text = text[at + len(token) :]
-
-    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        split = Split(texts)
-        which, name = split.named()
-        offset, size, flat = self.word_ids(split.strings(which))
-        per = size[name]
-        sizes = np.bincount(split.text, weights=per, minlength=len(texts)).astype(np.int64)
-        return gather(offset[name], per, flat), sizes
-
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids, malformed UTF-8 replaced as the library does."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))

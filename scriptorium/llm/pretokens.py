@@ -8,11 +8,14 @@ array of code points; character classes are looked up, and starts of pre-tokens
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 
 LETTER, DIGIT, OTHER, SPACE, END = 0, 1, 2, 3, 4
+#: Most distinct words kept by a worker: about 150 MB.
+STORE_WORDS = 600_000
 #: Odd multiplier of the rolling hash, and the seed of the two character tables.
 _BASE, _SEED = np.uint64(0x9E3779B97F4A7C15), 20_240_601
 
@@ -139,3 +142,72 @@ def gather(offset: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray
     """The slices flat[offset:offset + size], one after another."""
     ends = np.cumsum(size)
     return flat[np.repeat(offset - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+class WordEncoder:
+    """Ids of texts from ids of their distinct pre-tokens; how those are made is up to merge().
+
+    added: tokens that stand for themselves wherever they occur in a text, and their ids.
+    """
+
+    def __init__(self, added: dict[str, int]):
+        self.added = added
+        self._store: dict[str, np.ndarray] = {}
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, number of ids of each word)."""
+        raise NotImplementedError
+
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(offset, number of ids, flat ids) of each word; unknown ones are merged together and kept."""
+        missing = [w for w in words if w not in self._store]
+        if missing:
+            if len(self._store) + len(missing) > STORE_WORDS:
+                self._store.clear()
+                missing = words
+            flat, size = self.merge(missing)
+            flat = flat.astype(np.int32)
+            ends = np.cumsum(size)
+            self._store.update(zip(missing, (flat[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)), strict=True))
+            if len(missing) == len(words):
+                return ends - size, size, flat
+        found = [self._store[w] for w in words]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.cumsum(size) - size, size, np.concatenate(found) if found else np.zeros(0, np.int32)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids (int32) of each text, as the tokenizers library gives them without special tokens added."""
+        texts = [t or "" for t in texts]
+        pieces, owner, special = [], [], []
+        for i, text in enumerate(texts):
+            for piece, token in self._apart(text):
+                pieces.append(piece)
+                owner.append(i)
+                special.append(token)
+        flat, size = self._encode_plain(pieces)
+        ends = np.cumsum(size)
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        for i, a, b, token in zip(owner, (ends - size).tolist(), ends.tolist(), special, strict=True):
+            parts[i].append(flat[a:b])
+            if token is not None:
+                parts[i].append(np.array([token], np.int32))
+        return [p[0] if len(p) == 1 else np.concatenate(p) for p in parts]
+
+    def _apart(self, text: str) -> Iterator[tuple[str, int | None]]:
+        """The text between added tokens, each piece with the added token that follows it (the last has none)."""
+        while True:
+            found = min(((at, -len(t), t) for t in self.added if (at := text.find(t)) >= 0), default=None)
+            if found is None:
+                yield text, None
+                return
+            at, _, token = found
+            yield text[:at], self.added[token]
+            text = text[at + len(token) :]
+
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = Split(texts)
+        which, name = split.named()
+        offset, size, flat = self.word_ids(split.strings(which))
+        per = size[name]
+        sizes = np.bincount(split.text, weights=per, minlength=len(texts)).astype(np.int64)
+        return gather(offset[name], per, flat), sizes
