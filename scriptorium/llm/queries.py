@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm.tokenizer_files import BYTE_BPE, tokenizer_path
-from scriptorium.session import table
+from scriptorium.session import scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of every document's ids, read back from the files they were written to."""
+    from scriptorium.llm.rans import read_digests, write_ids
+
+    out = scratch_path(spark, "token-files")
+    write_ids(table(spark, sf_dir, "documents"), out, tokenizer_path(BYTE_BPE))
+    return read_digests(spark, out)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score and verdict of every document."""
     from scriptorium.llm.toxicity import learn, score_frame
@@ -49,7 +58,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_secrets, op5_simhash, op8_toxicity, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op3_secrets, op5_simhash, op7_token_files, op8_toxicity, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
