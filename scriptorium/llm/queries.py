@@ -37,6 +37,13 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_frame(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn to the default targets, with the probability and weight of each."""
+    from scriptorium.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "words", "probability", "weight")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     from scriptorium.llm.simhash import near_duplicates
@@ -44,6 +51,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document."""
+    from scriptorium.llm.pseudo_likelihood import fit, score_frame
+
+    documents = table(spark, sf_dir, "documents")
+    return score_frame(documents, fit(documents))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places and checksums of every document's ids, read back from the files they were written to."""
     from scriptorium.llm.rans import read_digests, write_ids
@@ -76,8 +91,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat, op2_embeddings, op3_secrets, op5_simhash, op7_token_files, op8_toxicity, op9_quality, op10_bpe)}
+    return {f.__name__: f for f in (op1_chat, op2_embeddings, op3_secrets, op4_mixing, op5_simhash, op6_pseudo_likelihood, op7_token_files, op8_toxicity, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from scriptorium.llm.mixing import oracle
+
+    return {"op4_mixing": oracle()}
