@@ -143,13 +143,15 @@ def chunks(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-def encode_frame(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """df with a column of ids (array<int>) for `text`; other columns stay, one named `out` is replaced.
+def encode_frame(df: DataFrame, path: str, text: str = "text", out: str = "ids", returns: str | None = None) -> DataFrame:
+    """df with a column of ids (array<int>) for `text`; other columns stay, those named as the new ones are replaced.
 
-    No shuffle: each batch of rows is encoded where it is read. An empty table gives an empty one.
+    returns: a further column, whether the ids decode to the text. No shuffle: each batch of rows is encoded where it is
+    read. An empty table gives an empty one.
     """
-    kept = df.drop(out) if out != text else df
-    schema = T.StructType([*[f for f in kept.schema.fields if f.name != out], T.StructField(out, T.ArrayType(T.IntegerType()))])
+    new = [T.StructField(out, T.ArrayType(T.IntegerType())), *([T.StructField(returns, T.BooleanType())] if returns else [])]
+    kept = [f for f in df.schema.fields if f.name not in {f.name for f in new}]
+    schema = T.StructType([*kept, *new])
 
     def run(batches):
         bpe = vocabulary(path)
@@ -160,11 +162,13 @@ def encode_frame(df: DataFrame, path: str, text: str = "text", out: str = "ids")
                 ids = bpe.encode(texts[part])
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 values = pa.array(np.concatenate(ids).astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
-                names = [n for n in rows.schema.names if n != out]
-                yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], lists], names=[*names, out])
+                columns = [rows.column(f.name) for f in kept]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values))
+                if returns:
+                    columns.append(pa.array([a == (b or "").encode() for a, b in zip(bpe.decode(ids), texts[part], strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def decode_frame(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -10,14 +10,14 @@ or more where a cell can't give as much as its target asks for.
 Targets of categories that hold no words are spread over the others in proportion. A category without a target (and no "*")
 is drawn with probability 0. Null texts have no words; cells without words have density 0 before raking and their
 documents, which carry no weight in any marginal, are drawn with probability `rate`. Null sources and languages are "*".
-Rows that share a doc_id (or have none) are drawn together. All columns of the input stay; topic, words,
-probability and weight are added, replacing columns of these names.
+Rows that share a doc_id (or have none) are drawn together. All columns of the input stay; mix_topic, mix_words,
+mix_probability and mix_weight are added.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import product
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +35,8 @@ class Targets:
     """Shares of words by category of each marginal."""
 
     source: dict[str, float] = field(default_factory=lambda: {"src0": 0.30, OTHER: 0.70})
-    lang: dict[str, float] = field(default_factory=lambda: {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.13})
-    topic: dict[str, float] = field(default_factory=lambda: {"legal": 0.05, "table": 0.05, "symbols": 0.05, "contact": 0.10, PROSE: 0.75})
+    lang: dict[str, float] = field(default_factory=lambda: {"en": 0.58, "de": 0.15, "fr": 0.15, "es": 0.12})
+    topic: dict[str, float] = field(default_factory=lambda: {"legal": 0.04, "table": 0.03, "symbols": 0.03, "contact": 0.03, PROSE: 0.87})
 
 
 RATE = 0.6
@@ -86,25 +86,25 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], r
 
 
 def mix(df: DataFrame, targets: Targets | None = None, rate: float = RATE, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
-    """The drawn rows of df, with topic, words, probability and weight."""
+    """The drawn rows of df, with mix_topic, mix_words, mix_probability and mix_weight."""
     targets = targets or Targets()
     tables = [getattr(targets, m) for m in MARGINALS]
-    cells = ["mix_source", "mix_lang", "mix_topic"]
+    cells = [f"mix_cell_{m}" for m in MARGINALS]
     topic = topic_of(F.coalesce(F.col(text), F.lit("")))
-    placed = df.withColumns({"topic": topic, "words": words_of(F.col(text))})
-    placed = placed.withColumns({c: _category(F.col(m), t) for c, m, t in zip(cells, MARGINALS, tables, strict=True)})
-    summed = placed.groupBy(*cells).agg(F.sum("words").alias("w")).collect()
+    placed = df.withColumns({"mix_topic": topic, "mix_words": words_of(F.col(text))})
+    own = [F.col("source"), F.col("lang"), F.col("mix_topic")]
+    placed = placed.withColumns({c: _category(o, t) for c, o, t in zip(cells, own, tables, strict=True)})
+    summed = placed.groupBy(*cells).agg(F.sum("mix_words").alias("w")).collect()
     before = {tuple(r[c] for c in cells): float(r["w"]) for r in summed}
     raked = rake(before, tables, rounds)
     rows = [(*k, raked[k] / w * rate if w else rate) for k, w in sorted(before.items())]
-    assert len(rows) <= len(list(product(*[[*t, OTHER] for t in tables])))  # what is broadcast is bounded by the targets
-    spark = df.sparkSession
-    schema = ", ".join(f"{c} string" for c in cells) + ", density double"
-    found = placed.join(F.broadcast(spark.createDataFrame(rows, schema)), cells)
+    assert len(rows) <= prod(len({*t, OTHER}) for t in tables)  # what is broadcast is bounded by the targets
+    schema = ", ".join(f"{c} string" for c in cells) + ", mix_density double"
+    found = placed.join(F.broadcast(df.sparkSession.createDataFrame(rows, schema)), cells)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    probability = F.round(F.least(F.lit(1.0), F.col("density")), 9)
-    drawn = found.withColumn("probability", probability).where(draw < F.col("probability"))
-    return drawn.withColumn("weight", F.round(F.greatest(F.lit(1.0), F.col("density")), 9)).drop(*cells, "density")
+    probability = F.round(F.least(F.lit(1.0), F.col("mix_density")), 9)
+    drawn = found.withColumn("mix_probability", probability).where(draw < F.col("mix_probability"))
+    return drawn.withColumn("mix_weight", F.round(F.greatest(F.lit(1.0), F.col("mix_density")), 9)).select(*df.columns, "mix_topic", "mix_words", "mix_probability", "mix_weight")
 
 
 def oracle(targets: Targets | None = None, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED) -> str:

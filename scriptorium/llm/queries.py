@@ -41,7 +41,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents drawn to the default targets, with the probability and weight of each."""
     from scriptorium.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "words", "probability", "weight")
+    found = mix(table(spark, sf_dir, "documents"))
+    return found.selectExpr("doc_id", "source", "lang", *[f"mix_{c} AS {c}" for c in ("topic", "words", "probability", "weight")])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,3 +292,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     found = connected_components(near_links(points, most, block))
     named = points.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, "fp", "left").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
+    """df with one row of each component, that of the smallest key; rows without a key stay.
+
+    The texts move once, to meet the keys that stay. Where keys are repeated, one row of each stays.
+    """
+    found, _ = settle(near_duplicates(df, key, text, size, most), "components-of-rows")
+    own = found.where(F.col(key) == F.col("component_id"))
+    heads = own.groupBy(key).agg(F.count("*").alias("rows_of_key"))
+    named, nameless = df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
+    kept = named.join(heads.select(key), key, "left_semi")
+    if not heads.where("rows_of_key > 1").isEmpty():
+        kept = kept.dropDuplicates([key])
+    return kept.unionByName(nameless)
