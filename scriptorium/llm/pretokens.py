@@ -10,12 +10,13 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 
 LETTER, DIGIT, OTHER, SPACE, END = 0, 1, 2, 3, 4
-#: Most distinct words kept by a worker: about 150 MB.
-STORE_WORDS = 600_000
+#: Most distinct words kept by a worker: about 170 MB.
+STORE_WORDS = 900_000
 #: Odd multiplier of the rolling hash, and the seed of the two character tables.
 _BASE, _SEED = np.uint64(0x9E3779B97F4A7C15), 20_240_601
 
@@ -152,7 +153,13 @@ class WordEncoder:
 
     def __init__(self, added: dict[str, int]):
         self.added = added
-        self._store: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """The store: places of words, and at each place where its ids are in one flat array."""
+        self._place: dict[str, int] = {}
+        self._offset, self._size, self._flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
+        self._words = self._ids = 0
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after another, number of ids of each word)."""
@@ -160,20 +167,29 @@ class WordEncoder:
 
     def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(offset, number of ids, flat ids) of each word; unknown ones are merged together and kept."""
-        missing = [w for w in words if w not in self._store]
-        if missing:
-            if len(self._store) + len(missing) > STORE_WORDS:
-                self._store.clear()
-                missing = words
-            flat, size = self.merge(missing)
-            flat = flat.astype(np.int32)
-            ends = np.cumsum(size)
-            self._store.update(zip(missing, (flat[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)), strict=True))
-            if len(missing) == len(words):
-                return ends - size, size, flat
-        found = [self._store[w] for w in words]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        return np.cumsum(size) - size, size, np.concatenate(found) if found else np.zeros(0, np.int32)
+        place = np.fromiter(map(self._place.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown) and self._words + len(unknown) > STORE_WORDS:
+            self._forget()
+            unknown = np.arange(len(words))
+        if len(unknown):
+            place[unknown] = self._keep([words[i] for i in unknown.tolist()])
+        return self._offset[place], self._size[place], self._flat
+
+    def _keep(self, words: list[str]) -> np.ndarray:
+        """Places of new words, which are merged and stored."""
+        flat, size = self.merge(words)
+        first, begin = self._words, self._ids
+        self._words, self._ids = first + len(words), begin + len(flat)
+        for name, need in (("_offset", self._words), ("_size", self._words), ("_flat", self._ids)):
+            held = getattr(self, name)
+            if need > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(need, 2 * len(held)) - len(held), held.dtype)]))
+        self._flat[begin : self._ids] = flat
+        self._size[first : self._words] = size
+        self._offset[first : self._words] = begin + np.cumsum(size) - size
+        self._place.update(zip(words, range(first, self._words), strict=True))
+        return np.arange(first, self._words)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (int32) of each text, as the tokenizers library gives them without special tokens added."""

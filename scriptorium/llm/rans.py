@@ -19,18 +19,19 @@ from __future__ import annotations
 import struct
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.pretokens import WordEncoder, gather
+from scriptorium.llm.bpe import byte_symbols, chunks
+from scriptorium.llm.pretokens import WordEncoder
 from scriptorium.session import drop_path, settle, shuffle_files_dropped
 
 TABLE_BITS, LANES, CHECKPOINT_STEPS, BLOCK_IDS, TOGETHER = 20, 128, 256, 1 << 16, 16
-#: Characters taken together, and words that the library encodes in one text.
-BATCH_CHARS, LINES = 4_000_000, 50_000
+BATCH_CHARS = 4_000_000
 _LOW, _MAGIC = np.uint64(1 << 31), b"rANS"
 _U32, _BITS = np.uint64(32), np.uint64(TABLE_BITS)
 
@@ -40,39 +41,24 @@ class Damaged(ValueError):
 
 
 class LibraryEncoder(WordEncoder):
-    """Ids of the tokenizers library. It encodes each distinct pre-token once: many together, a line each."""
+    """Ids of the tokenizers library: its BPE model tokenizes each distinct pre-token, in the symbols of its bytes, once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        super().__init__({t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()})
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        tokenizer = Tokenizer.from_file(path)
+        super().__init__({t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()})
+        self.model = tokenizer.model
+        self.largest = max(tokenizer.get_vocab(with_added_tokens=True).values())
+        #: Byte 255, which UTF-8 never holds, parts the words.
+        self.symbols = dict(enumerate(byte_symbols())) | {255: "\n"}
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lined = np.array([not w.isspace() for w in words], bool)
-        size = np.zeros(len(words), np.int64)
-        flat = []
-        places = np.flatnonzero(lined)
-        for begin in range(0, len(places), LINES):
-            part = places[begin : begin + LINES]
-            text = "\n".join(["", *(words[i] for i in part.tolist()), ""])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.flatnonzero(ids == self.line)
-            if len(ends) != len(part) + 1:
-                raise ValueError("words on lines of their own didn't stay apart")
-            size[part] = np.diff(ends) - 1
-            flat.append(ids[ids != self.line])
-        alone = np.flatnonzero(~lined)
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in alone.tolist()], add_special_tokens=False)] if len(alone) else []
-        size[alone] = [len(e) for e in encoded]
-        flat += [np.array(e, np.int32) for e in encoded]
-        order = np.concatenate([places, alone])
-        offset = np.empty(len(words), np.int64)
-        offset[order] = np.cumsum(size[order]) - size[order]
-        return gather(offset, size, np.concatenate(flat) if flat else np.zeros(0, np.int32)), size
+        shown = b"\xff".join([w.encode() for w in words]).decode("latin-1").translate(self.symbols).split("\n")
+        tokenize = self.model.tokenize
+        ids = [[token.id for token in tokenize(w)] for w in shown]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), size
 
 
 @cache
@@ -234,15 +220,13 @@ _TOKENS = "key long, ids binary"
 
 def _encode_rows(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches):
-        from scriptorium.llm.bpe import chunks
-
         coder = encoder(tokenizer)
+        wide = "<u2" if max(end_id, coder.largest) <= 0xFFFF else "<u4"
+        mark, last = wide[-1].encode(), np.array([end_id], wide).tobytes()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for part in chunks(texts, BATCH_CHARS):
-                ids = [np.append(x, end_id).astype("<u4") for x in coder.encode(texts[part])]
-                wide = "<u4" if any(x.max() > 0xFFFF for x in ids) else "<u2"
-                data = [wide[-1].encode() + x.astype(wide).tobytes() for x in ids]
+                data = [mark + x.astype(wide).tobytes() + last for x in coder.encode(texts[part])]
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(part.start, part.stop - part.start), pa.array(data, pa.binary())], names=["key", "ids"])
 
     return df.mapInArrow(run, _TOKENS)
