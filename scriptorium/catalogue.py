@@ -1,17 +1,14 @@
-"""The library's own queries by name; each module of plans brings its queries and their DuckDB SQL."""
+"""The library's own queries by name, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from scriptorium.plans import entities, events, search  # noqa: F401  they register their queries
+from scriptorium.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -67,36 +67,38 @@ def fuzzy_links(df: DataFrame, key: str, threshold: float = 0.96) -> DataFrame:
     share = (1 - threshold) * 2 / threshold
     heads = df.where(~blank(F.col("title_key"))).groupBy("title_key").agg(F.min(key).alias("node"), F.min_by("ids", key).alias("ids"))
     heads = heads.withColumns({"tokens": distinguishing_tokens(F.col("title_key")), "size": F.length("title_key")})
-    # pieces of the shorter title, cut for the edits that the longest possible partner allows, and all places in the other
-    reach = F.floor(F.col("size") * (2 / threshold - 1))
-    edits = F.floor(reach * share).cast("int")
-    width = F.greatest(F.floor(F.col("size") / (edits + 1)).cast("int"), F.lit(1))
-    cut = heads.withColumns({"edits": edits, "width": width})
-    pieces = cut.select("*", F.posexplode(F.sequence(F.lit(0), F.col("edits"))).alias("no", "_i")).select(
-        F.col("node").alias("a"), F.col("title_key").alias("ta"), F.col("ids").alias("ia"), F.col("size").alias("sa"), "tokens", "width", "edits", (F.col("no") * F.col("width")).alias("at"),
-    ).withColumn("gram", F.expr("substring(ta, at + 1, width)")).where(F.col("at") + F.col("width") <= F.col("sa"))
-    shapes = [(r["size"], r["edits"], r["width"]) for r in cut.select("size", "edits", "width").distinct().collect()] if df.sparkSession else []
-    partners = {}
-    for size, e, w in shapes:  # sizes of title are few: a row for each of them at most
-        for other in range(size, math.floor(size * (2 / threshold - 1)) + 1):
-            partners.setdefault(other, set()).add((size, e, w))
-    rows = [(o, s, e, w) for o, found in partners.items() for s, e, w in sorted(found)]
-    sizes = df.sparkSession.createDataFrame(rows or [(0, 0, 0, 1)], "size int, sa int, edits int, width int")
+    shapes = df.sparkSession.createDataFrame(_shapes(heads.agg(F.max("size")).first()[0] or 0, threshold), "size int, sa int, width int, edits int")
+    own = shapes.where("size = sa").drop("sa")
+    pieces = (
+        heads.join(F.broadcast(own), "size")
+        .select("node", "tokens", F.col("size").alias("sa"), "width", F.posexplode(F.expr("transform(sequence(0, edits), i -> substring(title_key, i * width + 1, width))")).alias("no", "gram"))
+        .select(F.col("node").alias("a"), "tokens", "sa", "no", "gram")
+    )
+    places = F.expr("sequence(greatest(0, no * width - edits), greatest(0, least(size - width, no * width + edits)))")
     grams = (
-        heads.join(F.broadcast(sizes), "size")
-        .select(F.col("node").alias("b"), F.col("title_key").alias("tb"), F.col("ids").alias("ib"), "tokens", "sa", "width", "edits", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("no"), "size")
-        .withColumn("place", F.col("no") * F.col("width"))
-        .withColumn("at_b", F.explode(F.sequence(F.greatest(F.lit(0), F.col("place") - F.col("edits")), F.greatest(F.lit(0), F.least(F.col("size") - F.col("width"), F.col("place") + F.col("edits"))))))
-        .withColumn("gram", F.expr("substring(tb, at_b + 1, width)"))
-        .select("b", "tb", "ib", "tokens", "sa", F.col("place").alias("at"), "gram")
-        .distinct()
+        heads.join(F.broadcast(shapes), "size")
+        .select("node", "title_key", "tokens", "size", "sa", "width", "edits", F.explode(F.expr("sequence(0, edits)")).alias("no"))
+        .select(F.col("node").alias("b"), "tokens", "sa", "no", F.explode(F.array_distinct(F.transform(places, lambda at: F.substring(F.col("title_key"), at + 1, F.col("width"))))).alias("gram"))
     )
-    met = pieces.join(grams, ["tokens", "sa", "at", "gram"]).where((F.col("ta") != F.col("tb")) & ~conflict(F.col("ia"), F.col("ib")))
-    ordered = met.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst"), F.when(F.col("a") > F.col("b"), F.col("ta")).otherwise(F.col("tb")).alias("new"), F.when(F.col("a") > F.col("b"), F.col("tb")).otherwise(F.col("ta")).alias("old"))
-    scored = ordered.distinct().withColumn("similarity", title_similarity("new", "old"))
+    met = pieces.join(grams, ["tokens", "sa", "no", "gram"]).where("a <> b").select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct()
+    one = heads.select(F.col("node").alias("src"), F.col("title_key").alias("new"), F.col("ids").alias("new_ids"))
+    two = heads.select(F.col("node").alias("dst"), F.col("title_key").alias("old"), F.col("ids").alias("old_ids"))
+    scored = met.join(one, "src").join(two, "dst").where(~conflict(F.col("new_ids"), F.col("old_ids"))).withColumn("similarity", title_similarity("new", "old"))
     return scored.where(F.col("similarity") >= threshold).select("src", "dst", "similarity")
 
 
+def _shapes(longest: int, threshold: float) -> list[tuple[int, int, int, int]]:
+    """(size, size of the shorter title, width of its pieces, edits) of all titles that can be similar: at most a few for
+    each size up to the longest, so their number is bounded by the longest title and the threshold."""
+    share, out = (1 - threshold) * 2 / threshold, []
+    for short in range(1, longest + 1):
+        reach = math.floor(short * (2 / threshold - 1) + 1e-9)
+        edits = min(short - 1, math.floor(reach * share + 1e-9))
+        width = max(1, short // (edits + 1))
+        out += [(size, short, width, edits) for size in range(short, max(short, min(longest, reach)) + 1)]
+    return out or [(0, 0, 1, 0)]
+
+
 def clusters(papers: DataFrame, key: str = "paper_id", threshold: float = 0.96) -> DataFrame:
     """papers with cluster, the smallest key reachable by identifier, title and similar-title links."""
     df = with_title_key(with_ids(papers))

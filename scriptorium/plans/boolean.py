@@ -52,10 +52,10 @@ def stem(word: str) -> str:
 def term_pattern(term: str, lookbehind: bool = True) -> str:
     """A pattern for a term's stems, from a word's start, joined by blanks or hyphens.
 
-    lookbehind=False writes a plain word boundary, which engines without look-arounds read too.
+    lookbehind=False writes the start of a word out in ASCII, for engines without look-arounds.
     """
     stems = [re.sub(r"([^a-z0-9_])", r"\\\1", stem(w)) + r"\w*" for w in re.split(r"[\s\-]+", term.strip()) if w]
-    return (r"(?<!\w)" if lookbehind else r"\b") + r"[\s\-]*".join(stems)
+    return (r"(?<!\w)" if lookbehind else r"(^|[^A-Za-z0-9_])") + r"[\s\-]*".join(stems)
 
 
 @dataclass(frozen=True)
@@ -73,15 +73,15 @@ class Query:
         """A Column for each group: TITLE_HIT, BODY_HIT or 0."""
         out = []
         for group in self.groups:
-            pattern = "(?iU)" + "|".join(term_pattern(t, lookbehind) for t in group if t.strip())
+            pattern = ("(?iU)" if lookbehind else "(?i)") + "|".join(term_pattern(t, lookbehind) for t in group if t.strip())
             out.append(F.when(F.coalesce(title, F.lit("")).rlike(pattern), TITLE_HIT).when(F.coalesce(body, F.lit("")).rlike(pattern), BODY_HIT).otherwise(0.0))
         return out
 
-    def matches(self, text: Column) -> Column:
-        """Whether every group occurs: a filter to push into a scan (P: Q03)."""
+    def matches(self, text: Column, lookbehind: bool = True) -> Column:
+        """Whether every group occurs, as a filter (Q03)."""
         out = F.lit(True)
         for group in self.groups:
-            out = out & text.rlike("(?iU)" + "|".join(term_pattern(t) for t in group))
+            out = out & text.rlike(("(?iU)" if lookbehind else "(?i)") + "|".join(term_pattern(t, lookbehind) for t in group))
         return out
 
     def sql(self, text: str) -> str:
