@@ -28,7 +28,7 @@ def parse_date(c: Column) -> Column:
 def age_years(published: Column, year: Column, today: date, missing: float = 3.0) -> Column:
     """Years since publication: by date, else since 1 July of the year, else `missing`."""
     at = F.coalesce(published, F.make_date(year, F.lit(7), F.lit(1)))
-    return F.coalesce(F.greatest(F.lit(0.0), F.date_diff(F.lit(today), at) / F.lit(DAYS_OF_YEAR)), F.lit(missing))
+    return F.when(at.isNull(), missing).otherwise(F.greatest(F.lit(0.0), F.date_diff(F.lit(today), at) / F.lit(DAYS_OF_YEAR)))
 
 
 def interval_days(text: str | int) -> int:

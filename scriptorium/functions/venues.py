@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import filled, strip_markup
+from scriptorium.functions.text import filled, let, strip_markup
 
 #: Key, type and pattern over lower-case venue text; the first that matches decides.
 VENUE_PATTERNS = (
@@ -60,25 +60,30 @@ def first_pattern(text: Column, patterns, bare: Column | None = None) -> Column:
 
 def canonical_venue(venue: Column, hint: Column | None = None, entities: bool = True) -> Column:
     """struct<key, type> of a venue string and its source's own word for its type."""
-    text = F.lower(strip_markup(venue, entities))
     said = F.lower(F.coalesce(hint if hint is not None else F.lit(""), F.lit("")))
-    workshop = text.rlike(r"\bworkshops?\b")
-    key = first_pattern(text, VENUE_PATTERNS, F.regexp_replace(text, _NOISE, ""))
     types = F.create_map(*[F.lit(x) for k, t, _ in VENUE_PATTERNS for x in (k, t)])
-    own = F.try_element_at(types, key)
-    pair = lambda k, t: F.struct(F.lit(k).alias("key"), (t if isinstance(t, Column) else F.lit(t)).alias("type"))
-    return (
-        F.when(key.isNotNull(), F.struct(key.alias("key"), F.when(workshop & (own == "conference"), "workshop").otherwise(own).alias("type")))
-        .when(text.contains("lecture notes in") | said.isin("book series", "book-series"), pair("other_conference", "conference"))
-        .when(workshop, pair("workshop", "workshop"))
-        .when(said.isin("repository", "preprint", "posted-content", "posted_content"), pair("preprint", "preprint"))
-        .when(said.isin("journal", "journal-article", "journalarticle"), pair("other_journal", "journal"))
-        .when(said.isin("conference", "proceedings-article", "proceedings", "conference_paper"), pair("other_conference", "conference"))
-        .when(text == "", pair("unknown", "preprint"))
-        .when(text.rlike("journal|transactions|letters|review|annals"), pair("other_journal", "journal"))
-        .when(text.rlike("conference|symposium|proceedings|workshop"), pair("other_conference", "conference"))
-        .otherwise(pair("unknown", "preprint"))
-    )
+    pair = lambda k, t: F.struct(F.lit(k).alias("key"), F.lit(t).alias("type"))
+
+    def fallback(text: Column, workshop: Column) -> Column:
+        return (
+            F.when(text.contains("lecture notes in") | said.isin("book series", "book-series"), pair("other_conference", "conference"))
+            .when(workshop, pair("workshop", "workshop"))
+            .when(said.isin("repository", "preprint", "posted-content", "posted_content"), pair("preprint", "preprint"))
+            .when(said.isin("journal", "journal-article", "journalarticle"), pair("other_journal", "journal"))
+            .when(said.isin("conference", "proceedings-article", "proceedings", "conference_paper"), pair("other_conference", "conference"))
+            .when(text == "", pair("unknown", "preprint"))
+            .when(text.rlike("journal|transactions|letters|review|annals"), pair("other_journal", "journal"))
+            .when(text.rlike("conference|symposium|proceedings|workshop"), pair("other_conference", "conference"))
+            .otherwise(pair("unknown", "preprint"))
+        )
+
+    def of(text: Column) -> Column:
+        workshop = text.rlike(r"\bworkshops?\b")
+        own = lambda key: F.when(workshop & (types[key] == "conference"), "workshop").otherwise(types[key])
+        known = lambda key: F.when(key.isNotNull(), F.struct(key.alias("key"), own(key).alias("type"))).otherwise(fallback(text, workshop))
+        return let(let(F.regexp_replace(text, _NOISE, ""), lambda bare: first_pattern(text, VENUE_PATTERNS, bare)), known)
+
+    return let(F.lower(strip_markup(venue, entities)), of)
 
 
 def venue_tag(key: Column) -> Column:

@@ -21,42 +21,45 @@ GROUPED = ("uncertainty", "calibration", "conformal-prediction", "selective-pred
 LISTED = ("foundation-model", "vlm", "uncertainty", "calibration", "conformal-prediction", "selective-prediction", "ood", "distribution-shift", "robustness", "report-generation", "image-text-pretraining")
 TITLED = ("foundation-model", "vlm", "uncertainty", "calibration", "conformal-prediction", "selective-prediction", "ood", "distribution-shift", "robustness", "hallucination")
 
-_MEASURE = T.StructType(
-    [T.StructField("title", T.DoubleType()), T.StructField("title_strong", T.BooleanType()), T.StructField("abstract", T.DoubleType())]
-    + [T.StructField("abstract_strong", T.BooleanType()), T.StructField("occurrences", T.IntegerType()), T.StructField("patterns", T.ArrayType(T.StringType()))]
+_MAP = T.MapType(T.StringType(), T.DoubleType())
+_MEASURED = T.StructType(
+    [T.StructField("score", _MAP), T.StructField("title", _MAP), T.StructField("patterns", T.MapType(T.StringType(), T.ArrayType(T.StringType())))]
+    + [T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("ct_context", T.BooleanType())]
 )
-_MEASURED = T.StructType([T.StructField("dimensions", T.MapType(T.StringType(), _MEASURE)), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("ct_context", T.BooleanType())])
 
 
-def _measure(ontology: O.Ontology, title: str, abstract: str) -> dict:
+def _dimension(title: O.Hits, abstract: O.Hits) -> float:
+    """Titles over abstracts, weak terms capped."""
+    cap = lambda h, w: min(1.0 if h.strong else O.WEAK_CAP, w)
+    t, a = cap(title, title.weight), cap(abstract, abstract.weight / 2)
+    return round(min(1.0, max(t * 0.85 + a * 0.15, a * 0.7 + min(1.0, abstract.occurrences / 5) * 0.1)), 4)
+
+
+def _measure(ontology: O.Ontology, title: str, abstract: str) -> tuple:
     text = f"{title} {abstract}"
-    dimensions = {}
+    scores, titles, patterns = {}, {}, {}
     for name, found in ontology.dimensions:
         if name.startswith("topic:"):
             found = O.in_context(found, text)
         t, a = O.hits(found, title), O.hits(found, abstract)
-        dimensions[name] = {"title": t.weight, "title_strong": t.strong, "abstract": a.weight, "abstract_strong": a.strong, "occurrences": a.occurrences, "patterns": sorted({*t.patterns, *a.patterns})}
-    tags = []
-    for name, found in ontology.tags:
-        h = O.hits(found, text)
-        if h.strong or h.weight >= 1.0:
-            tags.append(name)
-    return {"dimensions": dimensions, "tags": tags, "ct_context": bool(re.search(O.CT_CONTEXT, text, re.IGNORECASE))}
+        scores[name], titles[name], patterns[name] = _dimension(t, a), t.weight, sorted({*t.patterns, *a.patterns})
+    tags = [name for name, found in ontology.tags if (h := O.hits(found, text)).strong or h.weight >= 1.0]
+    return scores, titles, patterns, tags, bool(re.search(O.CT_CONTEXT, text, re.IGNORECASE))
 
 
 def measured(title: Column, abstract: Column, ontology: O.Ontology | None = None) -> Column:
-    """struct<dimensions, tags, ct_context> of a record's title and abstract."""
+    """struct<score, title, patterns, tags, ct_context> of a record: scores, title weights and matched terms by dimension."""
     known = ontology or O.radiology()
 
     @F.pandas_udf(_MEASURED)
     def run(t: pd.Series, a: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_measure(known, x or "", y or "") for x, y in zip(t, a, strict=True)], columns=["dimensions", "tags", "ct_context"])
+        return pd.DataFrame([_measure(known, x or "", y or "") for x, y in zip(t, a, strict=True)], columns=[f.name for f in _MEASURED.fields])
 
     return run(title, abstract)
 
 
 def dimension(m: Column) -> Column:
-    """Score of a measured dimension: titles over abstracts, weak terms capped."""
+    """_dimension() as a Column over struct<title, title_strong, abstract, abstract_strong, occurrences>."""
     title = F.least(F.when(m["title_strong"], 1.0).otherwise(O.WEAK_CAP), m["title"])
     abstract = F.least(F.when(m["abstract_strong"], 1.0).otherwise(O.WEAK_CAP), m["abstract"] / 2)
     often = F.least(F.lit(1.0), m["occurrences"] / F.lit(5.0))
@@ -90,13 +93,10 @@ def classify(papers: DataFrame, ontology: O.Ontology | None = None) -> DataFrame
     """papers with topics, modalities, subtopics and scores, a struct of all dimensions."""
     df = papers.withColumns({"title": F.coalesce("title", F.lit("")), "abstract": F.coalesce("abstract", F.lit(""))})
     df = df.withColumn("m", measured(F.col("title"), F.col("abstract"), ontology))
-    of = lambda name: dimension(F.col("m.dimensions")[name])
-    names = ["radiology-general", "secondary-radiology", "other-modality", "cxr", "ct", "ct-phrases", "mammo", "mammo-specific", *[f"topic:{t}" for t in O.TOPICS]]
-    df = df.withColumn("d", F.struct(*[of(n).alias(n.replace("topic:", "t_").replace("-", "_")) for n in names]))
-    d = lambda name: F.col(f"d.{name.replace('-', '_')}")
-    topic = lambda name: d(f"t_{name}")
+    d = lambda name: F.col("m.score")[name]
+    topic = lambda name: d(f"topic:{name}")
     context = (d("radiology-general") > 0) | (d("secondary-radiology") > 0) | F.col("m.ct_context")
-    elsewhere = (F.col("m.dimensions")["secondary-radiology"]["title"] > 0) | (d("secondary-radiology") >= O.ENOUGH)
+    elsewhere = (F.col("m.title")["secondary-radiology"] > 0) | (d("secondary-radiology") >= O.ENOUGH)
     mammo = F.when((d("mammo") > 0) & (d("mammo-specific") < O.ENOUGH) & elsewhere, F.round(d("mammo") * 0.4, 4)).otherwise(d("mammo"))
     df = df.withColumns({"s_cxr": d("cxr"), "s_ct": F.when(context, d("ct")).otherwise(d("ct-phrases")), "s_mammo": mammo})
     grouped = F.greatest(*[topic(t) for t in GROUPED])
@@ -118,8 +118,8 @@ def classify(papers: DataFrame, ontology: O.Ontology | None = None) -> DataFrame
     add = (F.col("unsure") >= O.ENOUGH) & ~F.array_contains("listed", "uncertainty") & reliable
     tagged = lambda prefix, on: F.when(on, F.filter("m.tags", lambda t: t.startswith(prefix))).otherwise(none)
     models = (topic("foundation-model") >= O.ENOUGH) | (topic("vlm") >= O.ENOUGH)
-    matched = F.map_filter(F.transform_values("m.dimensions", lambda _, m: m["patterns"]), lambda k, v: ~k.isin("secondary-radiology", "mammo-specific", "ct-phrases"))
-    in_title = [F.when(F.col("m.dimensions")[m]["title"] > 0, F.lit(m)) for m in PRIMARY] + [F.when(F.col("m.dimensions")[f"topic:{t}"]["title"] >= 0.7, F.lit(t)) for t in TITLED]
+    matched = F.map_filter("m.patterns", lambda k, v: ~k.isin("secondary-radiology", "mammo-specific", "ct-phrases"))
+    in_title = [F.when(F.col("m.title")[m] > 0, F.lit(m)) for m in PRIMARY] + [F.when(F.col("m.title")[f"topic:{t}"] >= 0.7, F.lit(t)) for t in TITLED]
     scores = F.struct(
         F.round("relevant", 4).alias("radiology_relevance"),
         *[F.col(f"s_{m}").alias(f"{m}_relevance") for m in PRIMARY],
@@ -143,7 +143,7 @@ def classify(papers: DataFrame, ontology: O.Ontology | None = None) -> DataFrame
             "subtopics": F.concat(tagged("uncertainty:", F.col("unsure") >= O.ENOUGH), tagged("fm:", models), type_tags(F.col("title"), F.col("publication_type"))),
             "scores": scores,
         }
-    ).drop("m", "d", "relevant", "unsure", "listed", *[f"s_{m}" for m in PRIMARY])
+    ).drop("m", "relevant", "unsure", "listed", *[f"s_{m}" for m in PRIMARY])
 
 
 def main_topic(s: Column) -> Column:

@@ -338,7 +338,10 @@ class PagedReader(DataSourceReader):
 
 
 class PagedSource(DataSource):
-    """spark.read.format("paged"): pages of JSON answers ({"results": [...]}) by option `pages`."""
+    """spark.read.format("paged"): pages of JSON answers ({"results": [...]}) by option `pages`.
+
+    Its filters reach the pages where spark.sql.python.filterPushdown.enabled is true.
+    """
 
     @classmethod
     def name(cls) -> str:
