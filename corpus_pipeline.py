@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.llm.batches import small_batches
 from scriptorium.llm.bpe import encode_frame
 from scriptorium.llm.mixing import Targets, mix
 from scriptorium.llm.secrets import redact_frame
@@ -55,6 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over documents."""
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs, _ = settle(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -20,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from scriptorium.llm.batches import pieces
 from scriptorium.llm.pretokens import WordEncoder, gather
 
 _NONE = np.int64(2**62)
-#: Characters taken together.
-BATCH_CHARS = 4_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -130,19 +128,6 @@ def vocabulary(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def chunks(texts: list[str | None], most: int = BATCH_CHARS) -> Iterator[slice]:
-    """Slices of about `most` characters; a longer text is alone, and whole."""
-    begin = total = 0
-    for i, text in enumerate(texts):
-        n = len(text or "")
-        if i > begin and total + n > most:
-            yield slice(begin, i)
-            begin, total = i, 0
-        total += n
-    if begin < len(texts):
-        yield slice(begin, len(texts))
-
-
 def encode_frame(df: DataFrame, path: str, text: str = "text", out: str = "ids", returns: str | None = None) -> DataFrame:
     """df with a column of ids (array<int>) for `text`; other columns stay, those named as the new ones are replaced.
 
@@ -155,18 +140,16 @@ def encode_frame(df: DataFrame, path: str, text: str = "text", out: str = "ids",
 
     def run(batches):
         bpe = vocabulary(path)
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for part in chunks(texts):
-                rows = batch.slice(part.start, part.stop - part.start)
-                ids = bpe.encode(texts[part])
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                values = pa.array(np.concatenate(ids).astype(np.int32))
-                columns = [rows.column(f.name) for f in kept]
-                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values))
-                if returns:
-                    columns.append(pa.array([a == (b or "").encode() for a, b in zip(bpe.decode(ids), texts[part], strict=True)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for rows in pieces(batches, text):
+            texts = rows.column(text).to_pylist()
+            ids = bpe.encode(texts)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            values = pa.array(np.concatenate(ids).astype(np.int32))
+            columns = [rows.column(f.name) for f in kept]
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values))
+            if returns:
+                columns.append(pa.array([a == (b or "").encode() for a, b in zip(bpe.decode(ids), texts, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -192,18 +175,14 @@ def digest_frame(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     def run(batches):
         bpe = vocabulary(path)
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for part in chunks(texts):
-                ids = bpe.encode(texts[part])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(key).slice(part.start, part.stop - part.start),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in bpe.decode(ids)], pa.string()),
-                    ],
-                    names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for rows in pieces(batches, text):
+            ids = bpe.encode(rows.column(text).to_pylist())
+            columns = [
+                rows.column(key),
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in bpe.decode(ids)], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.select(key, text).mapInArrow(run, schema)

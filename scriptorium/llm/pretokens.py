@@ -15,8 +15,6 @@ from itertools import repeat
 import numpy as np
 
 LETTER, DIGIT, OTHER, SPACE, END = 0, 1, 2, 3, 4
-#: Most distinct words kept by a worker: about 170 MB.
-STORE_WORDS = 900_000
 #: Odd multiplier of the rolling hash, and the seed of the two character tables.
 _BASE, _SEED = np.uint64(0x9E3779B97F4A7C15), 20_240_601
 
@@ -43,15 +41,19 @@ def _char_codes() -> np.ndarray:
     return np.random.default_rng(_SEED).integers(1, 2**63, (2, 0x110001), dtype=np.uint64)
 
 
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base modulo 2**64, and of its inverse."""
-    with np.errstate(over="ignore"):
-        inverse = _BASE
-        for _ in range(6):
-            inverse *= np.uint64(2) - _BASE * inverse
-        n = 1 << bits
-        return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (_BASE, inverse))
+_held: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base modulo 2**64, and of its inverse; the most that were needed are kept."""
+    if not _held or len(_held[0]) < n:
+        with np.errstate(over="ignore"):
+            inverse = _BASE
+            for _ in range(6):
+                inverse *= np.uint64(2) - _BASE * inverse
+            size = 1 << max(10, int(n - 1).bit_length())
+            _held[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_BASE, inverse)]
+    return [x[:n] for x in _held]
 
 
 class Split:
@@ -111,7 +113,8 @@ class Split:
     def named(self) -> tuple[np.ndarray, np.ndarray]:
         """(the first pre-token of each distinct one, the distinct one that each pre-token is), by 128 bits of hash."""
         n = len(self.points)
-        up, down = (x[:n] for x in _powers(max(1, int(n).bit_length())))
+        up, down = _powers(max(1, n))
+        up, down = up[:n], down[:n]
         length = (self.stop - self.start).astype(np.uint64)
         sums = []
         with np.errstate(over="ignore"):
@@ -148,9 +151,12 @@ def gather(offset: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray
 class WordEncoder:
     """Ids of texts from ids of their distinct pre-tokens; how those are made is up to merge().
 
-    added: tokens that stand for themselves wherever they occur in a text, and their ids.
+    added: tokens that stand for themselves wherever they occur in a text, and their ids. store_words: most distinct
+    words whose ids are kept, 200 bytes each or so.
     """
 
+    store_words = 300_000
+
     def __init__(self, added: dict[str, int]):
         self.added = added
         self._forget()
@@ -169,7 +175,7 @@ class WordEncoder:
         """(offset, number of ids, flat ids) of each word; unknown ones are merged together and kept."""
         place = np.fromiter(map(self._place.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(place < 0)
-        if len(unknown) and self._words + len(unknown) > STORE_WORDS:
+        if len(unknown) and self._words + len(unknown) > self.store_words:
             self._forget()
             unknown = np.arange(len(words))
         if len(unknown):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptorium.llm.batches import small_batches
 from scriptorium.llm.tokenizer_files import BYTE_BPE, tokenizer_path
 from scriptorium.session import scratch_path, table
 
@@ -91,8 +93,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_frame(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
+def _bounded(query: Query) -> Query:
+    """The query, with texts sent to workers in small batches."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat, op2_embeddings, op3_secrets, op4_mixing, op5_simhash, op6_pseudo_likelihood, op7_token_files, op8_toxicity, op9_quality, op10_bpe)}
+    return {f.__name__: _bounded(f) for f in (op1_chat, op2_embeddings, op3_secrets, op4_mixing, op5_simhash, op6_pseudo_likelihood, op7_token_files, op8_toxicity, op9_quality, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.bpe import byte_symbols, chunks
+from scriptorium.llm.batches import pieces
+from scriptorium.llm.bpe import byte_symbols
 from scriptorium.llm.pretokens import WordEncoder
 from scriptorium.session import drop_path, settle, shuffle_files_dropped
 
 TABLE_BITS, LANES, CHECKPOINT_STEPS, BLOCK_IDS, TOGETHER = 20, 128, 256, 1 << 16, 16
-BATCH_CHARS = 4_000_000
 _LOW, _MAGIC = np.uint64(1 << 31), b"rANS"
 _U32, _BITS = np.uint64(32), np.uint64(TABLE_BITS)
 
@@ -43,6 +43,8 @@ class Damaged(ValueError):
 class LibraryEncoder(WordEncoder):
     """Ids of the tokenizers library: its BPE model tokenizes each distinct pre-token, in the symbols of its bytes, once."""
 
+    store_words = 900_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -223,11 +225,9 @@ def _encode_rows(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         coder = encoder(tokenizer)
         wide = "<u2" if max(end_id, coder.largest) <= 0xFFFF else "<u4"
         mark, last = wide[-1].encode(), np.array([end_id], wide).tobytes()
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for part in chunks(texts, BATCH_CHARS):
-                data = [mark + x.astype(wide).tobytes() + last for x in coder.encode(texts[part])]
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(part.start, part.stop - part.start), pa.array(data, pa.binary())], names=["key", "ids"])
+        for rows in pieces(batches, "text"):
+            data = [mark + x.astype(wide).tobytes() + last for x in coder.encode(rows.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(data, pa.binary())], names=["key", "ids"])
 
     return df.mapInArrow(run, _TOKENS)
 

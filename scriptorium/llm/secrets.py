@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from scriptorium.llm.batches import pieces
+
 #: Parts two texts in a buffer: no byte of UTF-8.
 PART = 0xFF
-LANES, SHORTEST = 8192, 64
-BATCH_BYTES = 4 << 20
+LANES, SHORTEST = 4096, 64
+BATCH_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -377,7 +379,7 @@ def scan_frame(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tu
     kinds = [r.kind for r in rules]
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, text):
             spans = find_spans(batch.column(text).to_pylist(), rules)
             out = [[{"kind": kinds[r], "start": a, "end": b} for r, a, b in s] for s in spans]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], names=[key, "spans"])
@@ -399,7 +401,7 @@ def redact_frame(df: DataFrame, text: str = "text", n_chars: str = "n_chars", ru
     """df with secrets replaced in `text` and its length, if there is such a column, brought up to date; nulls stay."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, text):
             texts = batch.column(text).to_pylist()
             clean = [t and redact(t, s, rules) if s else t for t, s in zip(texts, find_spans(texts, rules), strict=True)]
             columns = {n: batch.column(n) for n in batch.schema.names}
@@ -418,7 +420,7 @@ def digest_frame(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     schema = T.StructType([df.schema[key], *[T.StructField(f"n_{r.kind}", T.LongType()) for r in BASE], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, text):
             found = find_spans(batch.column(text).to_pylist())
             base = [[s for s in spans if s[0] < len(BASE)] for spans in found]
             said = lambda spans: ",".join(f"{kinds[r]}:{a}:{b}" for r, a, b in spans)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptorium.llm.batches import pieces, small_batches
 from scriptorium.operators.components import connected_components
 from scriptorium.session import settle
 
@@ -80,17 +81,9 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
     schema = T.StructType([df.schema[key], T.StructField("fp", T.LongType())])
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            out, held, n = [], [], 0
-            for t in texts:
-                held.append(shingle_hashes((t or "").encode(), size))
-                n += len(held[-1])
-                if n > 1 << 20:
-                    out.append(majority(held))
-                    held, n = [], 0
-            out.append(majority(held))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.concatenate(out).view(np.int64))], names=[key, "fp"])
+        for batch in pieces(batches, text):
+            found = majority([shingle_hashes((t or "").encode(), size) for t in batch.column(text).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found.view(np.int64))], names=[key, "fp"])
 
     return df.select(key, text).mapInArrow(run, schema)
 
@@ -287,6 +280,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
 
     A null key is never a component's name unless all of its fingerprint's rows have null keys; these have none.
     """
+    small_batches(df.sparkSession)
     marked, _ = settle(fingerprints(df, key, text, size), "fingerprints")
     points, _ = settle(marked.where(F.col(key).isNotNull()).groupBy("fp").agg(F.min(key).alias("node")), "points")
     found = connected_components(near_links(points, most, block))
@@ -303,7 +297,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     own = found.where(F.col(key) == F.col("component_id"))
     heads = own.groupBy(key).agg(F.count("*").alias("rows_of_key"))
     named, nameless = df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull())
-    kept = named.join(heads.select(key), key, "left_semi")
+    kept = named.join(heads.select(key).hint("shuffle_hash"), key, "left_semi")  # no sort of the texts
     if not heads.where("rows_of_key > 1").isEmpty():
         kept = kept.dropDuplicates([key])
     return kept.unionByName(nameless)

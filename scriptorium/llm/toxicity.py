@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptorium.llm.batches import pieces, small_batches
+
 LEARN_ROWS, SUPPORT, PRECISION, SHORTEST, LONGEST, LEXICON_SIZE, PHRASES = 20_000, 8, 0.9, 4, 10, 2_000, 2_000
 REJECT_AT = 0.3
 
@@ -150,12 +152,12 @@ def _beginnings(sample: DataFrame) -> DataFrame:
             counts.clear()
             return pa.RecordBatch.from_arrays(columns, names=["word", "toxic", "n"])
 
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = set(fold(text or "").split())
                 found = {w[:n] for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
                 counts.update((w, int(toxic > 0)) for w in found)
-            if len(counts) > 500_000:
+            if len(counts) > 200_000:
                 yield out()
         yield out()
 
@@ -181,7 +183,7 @@ def _exceptions(sample: DataFrame, lexicon: tuple[tuple[str, float], ...]) -> tu
 
     def run(batches):
         found: Counter = Counter()
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 folded = fold(text or "")
                 phrases = set()
@@ -220,13 +222,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.01)
 def learn(df: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit lexicon, exceptions and score on a bounded sample of labelled rows; at most `rows` pairs of numbers are
     brought to the driver, besides the lexicon's candidates."""
+    small_batches(df.sparkSession)
     sample = _sample(df, labels, rows, key, text, label).persist()
     try:
         lexicon = _lexicon(sample)
         model = Model(lexicon, _exceptions(sample, lexicon) if lexicon else ())
 
         def run(batches):
-            for batch in batches:
+            for batch in pieces(batches, "text"):
                 found = [matcher(model).features(t) for t in batch.column("text").to_pylist()]
                 columns = [pa.array(np.round([f[k] for f in found], 3), pa.float64()) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*columns, batch.column("toxic")], names=["a", "b", "c", "toxic"])
@@ -248,7 +251,7 @@ def score_frame(df: DataFrame, model: Model, key: str = "doc_id", text: str = "t
     schema = T.StructType([df.schema[key], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, text):
             scores = matcher(model).scores(batch.column(text).to_pylist())
             out = [held_out(k) for k in batch.column(key).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.bool_()), pa.array(scores), pa.array((scores >= REJECT_AT).astype(np.int32))], names=schema.names)
@@ -260,7 +263,7 @@ def drop_toxic(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of df that score below REJECT_AT."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, text):
             yield batch.filter(pa.array(matcher(model).scores(batch.column(text).to_pylist()) < REJECT_AT))
 
     return df.mapInArrow(run, df.schema)
