@@ -16,7 +16,7 @@ from scriptorium.llm.secrets import redact_frame
 from scriptorium.llm.simhash import keep_one
 from scriptorium.llm.tokenizer_files import BYTE_BPE, tokenizer_path
 from scriptorium.llm.toxicity import drop_toxic, learn
-from scriptorium.session import settle, table
+from scriptorium.session import drop_path, settle, table
 
 #: Shares of words that the corpus is mixed to, and the share of its words to draw (1: all that the targets allow).
 MIX, MIX_RATE = Targets(), 1.0
@@ -57,7 +57,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over documents."""
     small_batches(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.sampling import bounded_sample
 from scriptorium.operators.components import connected_components
 from scriptorium.session import settle
 
@@ -67,7 +68,8 @@ def _substring(code: np.ndarray, low: int, high: int) -> np.ndarray:
 
 
 def _usable(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    v = F.col(vector).cast("array<double>")
+    single = df.schema[vector].dataType.simpleString() == "array<float>"
+    v = F.col(vector) if single else F.col(vector).cast("array<double>")
     whole = F.col(vector).isNotNull() & F.col(label).isNotNull() & (F.size(v) > 0)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(v, lambda x: x != 0)
@@ -77,7 +79,7 @@ def _usable(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
 def _unit(batch: pa.RecordBatch, name: str) -> np.ndarray:
     """Unit vectors of one length, in double precision; scaled first, so that no square overflows."""
     rows = batch.column(name)
-    flat = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
     flat = flat / np.abs(flat).max(axis=1, keepdims=True)
     return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
 
@@ -91,7 +93,7 @@ def _by_length(batch: pa.RecordBatch, name: str):
 def _coded(points: DataFrame) -> DataFrame:
     """(node, label, dim, code) of points; each length of vector has a rotation of its own."""
     spark = points.sparkSession
-    sample = points.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").collect()
+    sample = bounded_sample(points, "node", SAMPLE).select("v").collect()
     by: dict[int, list[list[float]]] = {}
     for row in sample:
         by.setdefault(len(row["v"]), []).append(row["v"])

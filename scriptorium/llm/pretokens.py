@@ -19,6 +19,15 @@ LETTER, DIGIT, OTHER, SPACE, END = 0, 1, 2, 3, 4
 _BASE, _SEED = np.uint64(0x9E3779B97F4A7C15), 20_240_601
 
 
+#: Letters and digits of Unicode 16, which the tokenizers library knows and Python 3.13 doesn't yet.
+_NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+_NEW_DIGITS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+
+
 @cache
 def classes() -> np.ndarray:
     """The class of each code point; the one after the last marks the end of a text."""
@@ -32,6 +41,9 @@ def classes() -> np.ndarray:
         elif kind[0] == "Z":
             out[point] = SPACE
     out[[9, 10, 11, 12, 13, 0x85]] = SPACE
+    for kind, ranges in ((LETTER, _NEW_LETTERS), (DIGIT, _NEW_DIGITS)):
+        for low, high in ranges:
+            out[low : high + 1] = kind
     out[0x110000] = END
     return out
 

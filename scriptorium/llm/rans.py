@@ -106,7 +106,7 @@ class Coder:
         symbols = np.full((len(blocks), most * LANES), self.filler, np.int64)
         for row, b in enumerate(order.tolist()):
             symbols[row, : len(flat[b])] = flat[b]
-        if not self.f[symbols].all():
+        if symbols.max() >= len(self.f) or not self.f[symbols].all():
             raise ValueError("an id isn't in the table")
         symbols = np.ascontiguousarray(symbols.reshape(len(blocks), most, LANES).transpose(1, 0, 2)).reshape(most, -1)
         live = np.searchsorted(-steps[order], -np.arange(most), side="left")  # blocks with over `step` steps

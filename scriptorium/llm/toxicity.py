@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.batches import pieces, small_batches
+from scriptorium.llm.sampling import bounded_sample
 
 LEARN_ROWS, SUPPORT, PRECISION, SHORTEST, LONGEST, LEXICON_SIZE, PHRASES = 20_000, 8, 0.9, 4, 10, 2_000, 2_000
 REJECT_AT = 0.3
@@ -136,7 +137,7 @@ def _sample(df: DataFrame, labels: DataFrame, rows: int, key: str, text: str, la
     """Up to `rows` labelled texts that aren't held out, with toxic 0/1."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     known = known.where(F.crc32(F.col(key).cast("string").cast("binary")) % 4 != 2)
-    bounded = known.orderBy(F.xxhash64(key), key).limit(rows)
+    bounded = bounded_sample(known, key, rows)
     return df.select(key, F.col(text).alias("text")).join(F.broadcast(bounded), key).select("text", "toxic")
 
 
