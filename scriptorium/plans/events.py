@@ -168,8 +168,10 @@ def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", quote.alias("q"))
     # inner words of a quote stand whole in any text that holds it: texts meet quotes by the longest of these
     inner = F.slice(F.split("q", " "), F.lit(2), F.greatest(F.lit(1), F.size(F.split("q", " ")) - 2))
-    keyed = b.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    met = d.select("doc_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("word")).join(keyed, "word").where(F.col("t").contains(F.col("q")))
+    keyed = b.select("item_id", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
+    words = d.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
+    pairs = words.join(keyed, "word").select("doc_id", "item_id").distinct()  # words meet without their texts
+    met = pairs.join(d, "doc_id").join(b, "item_id").where(F.col("t").contains(F.col("q")))
     return met.groupBy("doc_id").agg(F.count_distinct("item_id").alias("n"), F.min("item_id").alias("first_item"))
 
 
