@@ -64,7 +64,6 @@ def fuzzy_links(df: DataFrame, key: str, threshold: float = 0.96) -> DataFrame:
     matching blocks, so one title has at most e = floor((1 - t) * 2 / t * |longer|) edits; of e + 1 equal pieces of
     it at least one stands whole in the other, near its own place. Equal titles are one row before any comparison.
     """
-    share = (1 - threshold) * 2 / threshold
     heads = df.where(~blank(F.col("title_key"))).groupBy("title_key").agg(F.min(key).alias("node"), F.min_by("ids", key).alias("ids"))
     heads = heads.withColumns({"tokens": distinguishing_tokens(F.col("title_key")), "size": F.length("title_key")})
     shapes = df.sparkSession.createDataFrame(_shapes(heads.agg(F.max("size")).first()[0] or 0, threshold), "size int, sa int, width int, edits int")

@@ -11,7 +11,6 @@ from scriptorium.functions import scores as S
 from scriptorium.functions.dates import age_years, outside_window
 from scriptorium.functions.text import normalize_title, strip_markup
 from scriptorium.operators import report, topk
-from scriptorium.operators.classify import dictionary_score
 from scriptorium.operators.decide import ladder
 from scriptorium.plans.boolean import Query, cross_queries, term_pattern
 from scriptorium.plans.registry import query

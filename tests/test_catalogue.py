@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB SQL on the smallest table."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from scriptorium import catalogue
@@ -19,7 +20,7 @@ def duck():
 
 def plain(frame):
     names = sorted(frame.columns)
-    said = lambda v: "-" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    said = lambda v: "-" if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return names, sorted(tuple(said(v) for v in row) for row in frame[names].itertuples(index=False))
 
 
