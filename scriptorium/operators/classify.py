@@ -90,7 +90,7 @@ def type_tags(title: Column, publication_type: Column) -> Column:
 
 
 def classify(papers: DataFrame, ontology: O.Ontology | None = None) -> DataFrame:
-    """papers with topics, modalities, subtopics and scores, a struct of all dimensions."""
+    """papers with topics, modalities, subtopics and scores, a struct of all dimensions."""
     df = papers.withColumns({"title": F.coalesce("title", F.lit("")), "abstract": F.coalesce("abstract", F.lit(""))})
     df = df.withColumn("m", measured(F.col("title"), F.col("abstract"), ontology))
     d = lambda name: F.col("m.score")[name]

@@ -45,6 +45,11 @@ def relationship(base: Column, year: Column, citations: Column, topics: Column,
     )
 
 
+def without_seed(df: DataFrame, seed_key: str, title_key: str = "title_key") -> DataFrame:
+    """Rows but those of the seed itself, under whatever identifier."""
+    return df.where(F.col(title_key) != seed_key)
+
+
 def short_name_match(title_head: Column, title_key: Column, query_key: str) -> Column:
     """Whether a title goes by a short name: its part before a colon, or its first three words or more."""
     long = F.lit(len(query_key.split()) >= 3) & title_key.startswith(query_key)

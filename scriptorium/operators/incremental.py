@@ -39,6 +39,36 @@ def scan_window(last: date | None, now: date, overlap: int = 10, lookback: int =
     return now - timedelta(days=365 * first_years) if last is None else min(last - timedelta(days=overlap), now - timedelta(days=lookback))
 
 
+def latest_stamp(*stamps: Column) -> Column:
+    """The latest of several stamps, missing ones aside."""
+    return F.greatest(*stamps)
+
+
+def scan_due(last: Column, now: Column, interval: int = 10) -> Column:
+    """Whether a scan is due: none yet, or the interval has passed since the last."""
+    return F.coalesce(F.date_diff(now, last) >= interval, F.lit(True))
+
+
+def shares_any(a: Column, b: Column) -> Column:
+    """Whether two lists of keys, ids or topics have a value in common."""
+    return F.arrays_overlap(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))
+
+
+def with_written(library: DataFrame, written: DataFrame) -> DataFrame:
+    """The library with what this run wrote, so that its later rows match it too."""
+    return library.unionByName(written.select(*library.columns))
+
+
+def live_items(items: DataFrame) -> DataFrame:
+    """Items that stand for works: not trashed, no notes, attachments or children."""
+    return items.where(~F.coalesce("deleted", F.lit(False)) & ~F.col("itemType").isin("note", "attachment", "annotation") & F.col("parentItem").isNull())
+
+
+def items_of(items: DataFrame, collection: str) -> DataFrame:
+    """Live items of a collection."""
+    return live_items(items).where(F.array_contains("collections", collection))
+
+
 def advances(writing: bool, succeeded: bool, start: date, last: date | None) -> bool:
     """Whether a run moves the watermark: it wrote, it went well, and it left no gap."""
     return writing and succeeded and (last is None or start <= last)

@@ -28,6 +28,11 @@ def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count("*").alias("n"))
 
 
+def usage(calls: DataFrame) -> DataFrame:
+    """Calls and tokens of a run's model calls, by task (A13). calls: (task, input_tokens, output_tokens)."""
+    return calls.groupBy("task").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+
+
 def metrics(df: DataFrame, label: str = "label", decision: str = "decision", wrong: str | None = None, checked: str | None = None) -> DataFrame:
     """Precision of accepted rows, recall of accepted and reviewed ones, false positives, metadata errors; null without a
     denominator (A06)."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import rebuild_abstract
+from scriptorium.operators import incremental
 from scriptorium.plans.registry import query
 from scriptorium.session import table
 from scriptorium.sources import lookups
@@ -85,8 +86,9 @@ date_diff('day', greatest(max(ts) FILTER (WHERE event_type = 'view'), max(ts) FI
 def scan_if_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest of several stamps, and whether a scan is due after it."""
     last = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts")))
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.greatest(last("view"), last("click")).alias("at"))
-    return e.select("user_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("stamp"), (F.date_diff(F.lit("2024-02-05").cast("date"), F.col("at").cast("date")) >= 10).alias("due"))
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(incremental.latest_stamp(last("view"), last("click")).alias("at"))
+    due = incremental.scan_due(F.col("at").cast("date"), F.lit("2024-02-05").cast("date"))
+    return e.select("user_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("stamp"), due.alias("due"))
 
 
 @query("""SELECT doc_id FROM documents WHERE sha256(lower(text)) <> (SELECT sha256(lower(text)) FROM documents WHERE doc_id = 8) OR doc_id IS NULL""")

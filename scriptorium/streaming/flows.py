@@ -39,10 +39,12 @@ def once(events: DataFrame, key: str, late: str = "10 days") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def read_stream(spark: SparkSession, path: str, ts: str = "ts") -> DataFrame:
-    """A stream over parquet files, a folder's or a single one, with event time as a timestamp."""
+def read_stream(spark: SparkSession, path: str, ts: str = "ts", files_per_batch: int | None = None) -> DataFrame:
+    """A stream over parquet files, a folder's or a single one, with event time as a timestamp; files_per_batch bounds the
+    rate at which landed files are taken (T08)."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn(ts, F.col(ts).cast("timestamp"))
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else spark.readStream
+    return reader.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn(ts, F.col(ts).cast("timestamp"))
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -9,7 +9,7 @@ from scriptorium.functions.text import edit_distance
 from scriptorium.operators import authors, enrich, graph, incremental, report
 from scriptorium.plans.config import dotted, load_config, secret, settings_of
 from scriptorium.plans.prompt import typo_candidates
-from scriptorium.sources import lookups
+from scriptorium.sources import landing, lookups
 from scriptorium.streaming import flows
 
 
@@ -105,3 +105,25 @@ def test_more_streams(spark, tmp_path):
     q = flows.running_state(flows.read_stream(spark, src)).writeStream.format("memory").queryName("state_out").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.user_id: r.n for r in spark.table("state_out").collect()} == {0: 4, 1: 4, 2: 4}
+
+
+def test_landing_zone(spark):
+    now = datetime(2025, 1, 10)
+    key = landing.request_key(F.lit("get"), F.col("url"), F.col("p"))
+    a, b = (r[0] for r in spark.createDataFrame([("http://x", {"q": "1", "api_key": "A"}), ("http://x", {"api_key": "B", "q": "1"})], "url string, p map<string,string>").select(key).collect())
+    assert a == b
+    rows = [("k1", "default", now - timedelta(hours=30), 200, "old"), ("k2", "lookup", now - timedelta(hours=30), 200, "fine"), ("k3", "default", now, 503, ""), ("k4", "default", now, 404, "")]
+    zone = spark.createDataFrame(rows, "request_key string, kind string, fetched_at timestamp_ntz, status int, body string")
+    asked = spark.createDataFrame([(f"k{i}",) for i in range(1, 6)], "request_key string")
+    assert sorted(r.request_key for r in landing.needed(asked, zone, now).collect()) == ["k1", "k3", "k4", "k5"]
+    assert {r.request_key: r.again for r in landing.failures(zone).collect()} == {"k3": True, "k4": False}
+
+
+def test_library_reads(spark):
+    rows = [("a", "book", False, None, ["C"]), ("b", "note", False, None, ["C"]), ("c", "book", True, None, ["C"]), ("d", "book", False, "a", ["C"]), ("e", "book", None, None, [])]
+    items = spark.createDataFrame(rows, "key string, itemType string, deleted boolean, parentItem string, collections array<string>")
+    assert sorted(r.key for r in incremental.live_items(items).collect()) == ["a", "e"]
+    assert [r.key for r in incremental.items_of(items, "C").collect()] == ["a"]
+    calls = spark.createDataFrame([("roles", 10, 2), ("roles", 5, 1)], "task string, input_tokens long, output_tokens long")
+    assert report.usage(calls).first().asDict() == {"task": "roles", "calls": 2, "input_tokens": 15, "output_tokens": 3}
+    assert graph.without_seed(spark.createDataFrame([("a",), ("b",)], "title_key string"), "a").count() == 1
