@@ -158,6 +158,50 @@ class Engine:
         start = incremental.scan_window(last_success, self.today, s.overlap_days, s.lookback_days, s.first_run_years)
         return self.run(Request(intent="scan", source_tag="auto-discovery", strict_request_match=False), start.isoformat())
 
+    def search(self, text: str, **fields) -> Result:
+        """Records on a subject, in words or boolean syntax."""
+        return self.run(Request(free_text=text, **fields))
+
+    def venue(self, *venues: str, **fields) -> Result:
+        """Records of venues."""
+        return self.run(Request(intent="venue_search", venues=venues, **fields))
+
+    def author(self, name: str, **fields) -> Result:
+        """An author's records."""
+        return self.run(Request(intent="author_search", author=name, source_tag="author-watch", strict_request_match=bool(fields.get("topics") or fields.get("modalities")), **fields))
+
+    def watch(self) -> list[Result]:
+        """Records of every watched author, with the topics and modalities they are watched for."""
+        return [self.author(a["name"], author_openalex_id=a.get("openalex_id"), author_s2_id=a.get("semantic_scholar_id"), topics=tuple(a.get("topics", ())), modalities=tuple(a.get("modalities", ()))) for a in self.settings.authors]
+
+    def similar(self, seed: str) -> Result:
+        return self.expand(Request(intent="similar", seed=seed), ("similar",))
+
+    def citations(self, seed: str) -> Result:
+        return self.expand(Request(intent="citations", seed=seed), ("reference",))
+
+    def related(self, seed: str) -> Result:
+        return self.expand(Request(intent="related", seed=seed))
+
+    def save(self, result: Result, path: str) -> None:
+        """The snapshot of what a run proposes."""
+        sinks.save_proposals(result.rows.where("route = 'candidate'"), path)
+
+    def proposals(self, path: str) -> DataFrame:
+        """The last snapshot's rows."""
+        return sinks.load_proposals(self.spark, path, "paper_id string, title string, decision string, reject_reason string, final_score double, doi string, arxiv_id string, venue string, year int")
+
+    def check(self) -> dict:
+        """What the engine can see: rows of each source (or why not), library rows, watched authors, due searches."""
+        seen = {}
+        for name, source in self.sources.items():
+            try:
+                seen[name] = source().count()
+            except Exception as e:  # noqa: BLE001  told
+                seen[name] = str(e).splitlines()[0]
+        due = len(self.alerts.due(datetime.combine(self.today, datetime.min.time()))) if self.alerts else 0
+        return {"sources": seen, "library": self.library.count() if self.library is not None else 0, "authors": len(self.settings.authors), "due": due, "profile": self.settings.profile}
+
     def add(self, **ids: str) -> Result:
         """Records with an identifier, which a user wants whatever their score."""
         raw, _ = union_sources(self.spark, self.sources)

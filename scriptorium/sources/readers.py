@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
-from scriptorium.functions.text import blank, filled, normalize_arxiv_id, rebuild_abstract, strip_markup
+from scriptorium.functions.text import blank, filled, normalize_arxiv_id, strip_markup
 from scriptorium.functions.venues import canonical_venue
 from scriptorium.operators.classify import looks_radiological
 from scriptorium.operators.records import finalize
@@ -67,6 +67,32 @@ def _first(array: Column, fits: Callable[[Column], Column]) -> Column:
     return F.get(F.filter(array, fits), F.lit(0))
 
 
+# Arrow UDFs, not higher-order functions, where the text is cleaned by another UDF later: Spark can't tell that two copies of
+# a UDF are the same one if lambda variables stand in their arguments.
+@F.pandas_udf(T.StringType())
+def _rebuilt(inverted: pd.Series) -> pd.Series:
+    def one(words) -> str:
+        pairs = words.items() if isinstance(words, dict) else words if words is not None else ()
+        return " ".join(w for _, w in sorted((at, w) for w, places in pairs for at in (places if places is not None else ())))
+
+    return inverted.map(one)
+
+
+@F.pandas_udf(T.StringType())
+def _container(titles: pd.Series) -> pd.Series:
+    def one(found) -> str | None:
+        named = [t for t in (found if found is not None else ()) if t]
+        own = [t for t in named if not t.lower().startswith(("lecture notes", "communications in computer", "proceedings of spie"))]
+        return (own or named or [None])[0]
+
+    return titles.map(one)
+
+
+@F.pandas_udf(T.StringType())
+def _conference(assertions: pd.Series) -> pd.Series:
+    return assertions.map(lambda found: next((a["value"] for a in (found if found is not None else ()) if a["name"] == "conference_name"), None))
+
+
 def openalex(raw: DataFrame, label: str = "") -> DataFrame:
     """Records of OpenAlex works."""
     source = F.col("primary_location.source")
@@ -86,7 +112,7 @@ def openalex(raw: DataFrame, label: str = "") -> DataFrame:
         F.when(preprint, "preprint").otherwise(venue["type"]).alias("venue_type"), "doi",
         normalize_arxiv_id(linked(_first(F.col("locations"), lambda l: linked(l).contains("arxiv.org")))).alias("arxiv_id"),
         F.col("ids.pmid").alias("pmid"), _last(F.col("id")).alias("openalex_id"), F.col("primary_location.landing_page_url").alias("url"),
-        rebuild_abstract(F.col("abstract_inverted_index")).alias("abstract"), F.col("cited_by_count").alias("citation_count"), F.lit("openalex").alias("source"),
+        _rebuilt(F.col("abstract_inverted_index")).alias("abstract"), F.col("cited_by_count").alias("citation_count"), F.lit("openalex").alias("source"),
         F.lower("type").alias("publication_type"), "biblio.volume", "biblio.issue", filled(pages).alias("pages"), source["issn_l"].alias("issn"),
         _pdfs(pmc=_first(free, central)["pdf_url"], arxiv=_first(free, lambda l: where(l).contains("arxiv"))["pdf_url"], official_oa=official).alias("pdf_candidates"),
         official.alias("pdf_url"), F.transform("referenced_works", _last).alias("references"), F.transform(ids, lambda i: F.concat(F.lit("openalex:"), _last(i))).alias("author_ids"),
@@ -131,10 +157,8 @@ def crossref_date(*fields: Column) -> Column:
 
 def crossref(raw: DataFrame) -> DataFrame:
     """Records of Crossref works (S16): a volume's title goes before its series', a conference's name helps."""
-    containers = F.filter("container-title", lambda c: ~blank(c))
-    series = lambda c: F.lower(c).rlike(r"^(lecture notes|communications in computer|proceedings of spie)")
-    container = F.coalesce(_first(containers, lambda c: ~series(c)), F.get(containers, F.lit(0)))
-    event = F.coalesce(F.col("event.name"), _first(F.col("assertion"), lambda a: a["name"] == "conference_name")["value"])
+    container = _container(F.col("container-title"))
+    event = F.coalesce(F.col("event.name"), _conference(F.col("assertion")))
     hints = F.create_map(*[F.lit(x) for pair in CROSSREF_HINTS.items() for x in pair])
     name = F.coalesce(container, event, F.lit(""))
     venue = canonical_venue(F.concat_ws(" ", name, event), F.try_element_at(hints, F.col("type")))

@@ -148,7 +148,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "s2.json").write_text(json.dumps(s2))
     r = readers.semantic_scholar(readers.landing(spark, str(tmp_path / "s2.json"), readers.SEMANTIC_SCHOLAR)).first()
     assert (r.venue_key, r.venue_type, r.volume, r.publication_type, r.author_ids) == ("arxiv", "preprint", None, "review", ["s2:7"])
-    cr = {"DOI": "10.1000/C", "type": "book-chapter", "title": ["<i>C</i>"], "container-title": ["Lecture Notes in Computer Science", "Medical Image Computing and Computer Assisted Intervention"], "issued": {"date-parts": [[2023, 10]]}, "author": [{"given": "A", "family": "B"}]}
+    cr = {"DOI": "10.1000/C", "type": "book-chapter", "title": ["<i>C</i>"], "container-title": ["Lecture Notes in Computer Science", "Medical Image Computing and Computer Assisted Intervention"], "issued": {"date-parts": [[2023, 10]]}, "author": [{"given": "A", "family": "B"}], "assertion": [{"name": "x", "value": "y"}, {"name": "x", "value": "z"}, {"name": "conference_name", "value": "MICCAI"}]}
     (tmp_path / "cr.json").write_text(json.dumps(cr))
     r = readers.crossref(readers.landing(spark, str(tmp_path / "cr.json"), readers.CROSSREF)).first()
     assert (r.title, r.venue_key, r.publication_date, r.year, r.authors) == ("C", "miccai", "2023-10", 2023, ["A B"])
@@ -236,3 +236,42 @@ def test_engine_end_to_end(spark, tmp_path):
     engine.command({"op": "create", "query": "graph neural networks every week"})
     (alert, ran), *_ = engine.run_due(datetime(2025, 1, 1))
     assert alert.last_status == "ok" and ran is not None and alert.last_result["accepted"] == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from scriptorium.__main__ import main
+
+    work = {"id": "https://openalex.org/W1", "title": "Graph neural networks", "doi": "https://doi.org/10.1000/A", "type": "article", "publication_year": 2024, "publication_date": "2024-11-03", "cited_by_count": 400,
+            "abstract_inverted_index": {"Graph": [0], "neural": [1], "networks": [2]}, "primary_location": {"source": {"display_name": "NeurIPS", "type": "conference"}}, "authorships": [{"author": {"id": "https://openalex.org/A5", "display_name": "Jane Doe"}}]}
+    (tmp_path / "oa.json").write_text(json.dumps(work))
+    main(["papers on graph neural networks", "--source", f"openalex={tmp_path}/oa.json", "--today", "2025-01-01", "--out", f"{tmp_path}/out", "--write"])
+    said = capsys.readouterr().out
+    assert "accepted: 1" in said and "1 items written" in said
+    engine = Engine(spark, TODAY, sources={"bad": lambda: (_ for _ in ()).throw(OSError("down"))})
+    assert engine.check()["sources"] == {"bad": "down"}
+    assert [r.title for r in engine.proposals(f"{tmp_path}/out/proposals").collect()] == ["Graph neural networks"]
+    main(["list my alerts", "--alerts", f"{tmp_path}/alerts.json"])
+    assert "'op': 'list'" in capsys.readouterr().out
+
+
+def test_expansion_and_gaps(spark):
+    lists = {f.name: [] for f in PAPER.fields if f.dataType.typeName() == "array"}
+    given = [{"title": "The seed paper here", "semantic_scholar_id": "s0", "year": 2024}, {"title": "An older reference", "semantic_scholar_id": "s1", "year": 2015}, {"title": "A later follower", "semantic_scholar_id": "s2", "year": 2025}]
+    papers = lambda: spark.createDataFrame([tuple((lists | {"pdf_candidates": {}, "abstract": "", "source": "semantic_scholar"} | g).get(f.name) for f in PAPER.fields) for g in given], PAPER)
+    edge = lambda *rows: spark.createDataFrame(list(rows), "src string, dst string")
+    engine = Engine(spark, TODAY, sources={"s2": papers}, edges={"reference": edge(("s0", "s1"), ("m1", "s1"), ("m2", "s1"), ("m2", "s2")), "citing": edge(("s0", "s2"))})
+    got = {r.title: r.relationship for r in engine.related("The seed paper here").rows.collect()}
+    assert got == {"An older reference": "foundational predecessor", "A later follower": "methodological follow-up"}
+    members = spark.createDataFrame([("s0",), ("m1",), ("m2",)], "member string")
+    found = engine.gaps(Request(intent="missing_lit"), members).rows.collect()
+    assert [(r.title, r.relationship) for r in found] == [("An older reference", "cited by 3 papers")]
+
+
+def test_baselines_of_a_seed(spark):
+    lists = {f.name: [] for f in PAPER.fields if f.dataType.typeName() == "array"}
+    given = [{"title": "MedCLIP contrastive learning", "year": 2023}, {"title": "An old study of x-rays", "year": 2001}]
+    refs = spark.createDataFrame([tuple((lists | {"pdf_candidates": {}, "abstract": "", "source": "s"} | g).get(f.name) for f in PAPER.fields) for g in given], PAPER)
+    refs = refs.withColumns({"contexts": F.array().cast("array<string>"), "intents": F.array().cast("array<string>"), "influential": F.lit(False)})
+    pages = spark.createDataFrame([("d", PAGE)], "doc_id string, page string")
+    got = Engine(spark, TODAY).baselines({"year": 2024}, refs, pages).rows.collect()
+    assert [(r.title, r.graph_evidence.label, r.decision) for r in got] == [("MedCLIP contrastive learning", "likely baseline", "accept")]
