@@ -2,11 +2,13 @@
 
 Folding lowers case, drops accents, maps look-alike letters of other scripts and digits or signs used as letters to plain
 ones, and turns what remains of ASCII punctuation into blanks. The lexicon holds word beginnings, learned from labelled
-rows: of a bounded sample of them (LEARN_ROWS, those with the smallest hash of their doc_id), every word beginning of
-SHORTEST to LONGEST letters is counted once a text in toxic and in other texts, and those with SUPPORT toxic texts and a
-share of PRECISION or more enter with their log odds as weight, the shortest of nested ones first. Exception phrases are
-two folded words around a match that occur in other texts at least as often as in toxic ones; matches inside one don't
-count. A text's score is a logistic function of its summed weight and of that weight per word, fitted on the sample.
+rows: of a bounded sample of them (LEARN_ROWS, chosen by a hash of their doc_id), every word beginning of SHORTEST to
+LONGEST letters is counted once a distinct text in toxic and in other texts. Those found in SUPPORT toxic texts, more often than
+chance by SIGMAS standard deviations, enter with the log ratio of both frequencies as weight, if it is LEAST_WEIGHT or
+more, and MARGIN more than that of a shorter beginning they start with. A word counts with its largest weight. Exception
+phrases are two folded words around a match that occur in other texts at least as often as in toxic ones; matches inside
+one don't count. A text's score is a logistic function of its summed weight, of that weight per word and of its
+largest weight, fitted on the sample.
 
 Null texts are empty; texts without a match score by the fitted base rate of such texts. Labels repeated for a doc_id
 count as toxic if one of them does. Without any toxic label the lexicon is empty and all scores are equal. Only the text
@@ -31,7 +33,8 @@ from pyspark.sql import types as T
 from scriptorium.llm.batches import pieces, small_batches
 from scriptorium.llm.sampling import bounded_sample
 
-LEARN_ROWS, SUPPORT, PRECISION, SHORTEST, LONGEST, LEXICON_SIZE, PHRASES = 20_000, 8, 0.9, 4, 10, 2_000, 2_000
+LEARN_ROWS, SUPPORT, SIGMAS, LEAST_WEIGHT, MARGIN, SHORTEST, LONGEST = 20_000, 8, 6.0, 1.0, 0.7, 4, 10
+LEXICON_SIZE, PHRASES = 4_000, 2_000
 REJECT_AT = 0.3
 
 #: Letters of other scripts that look like a plain one, and digits and signs written for letters.
@@ -115,11 +118,11 @@ class Matcher:
         return [(a, w) for a, w in sorted(best.items()) if not any(x <= a < y for x, y in spared)]
 
     def features(self, text: str | None) -> tuple[float, float, float]:
-        """(whether anything matched, log of the summed weight, log of the weight per thousand words)."""
+        """(log of the summed weight, log of the weight per thousand words, largest weight)."""
         folded = fold(text or "")
-        total = sum(w for _, w in self.hits(folded))
-        words = max(1, folded.count(" ") - 1)
-        return float(total > 0), float(np.log1p(total)), float(np.log1p(1000 * total / words))
+        weights = [w for _, w in self.hits(folded)]
+        total, words = sum(weights), max(1, folded.count(" ") - 1)
+        return float(np.log1p(total)), float(np.log1p(1000 * total / words)), max(weights, default=0.0)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         rows = np.array([self.features(t) for t in texts], np.float64).reshape(-1, 3)
@@ -134,11 +137,12 @@ def matcher(model: Model) -> Matcher:
 
 
 def _sample(df: DataFrame, labels: DataFrame, rows: int, key: str, text: str, label: str) -> DataFrame:
-    """Up to `rows` labelled texts that aren't held out, with toxic 0/1."""
+    """Up to `rows` labelled texts that aren't held out, equal ones as one, with toxic 0/1."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     known = known.where(F.crc32(F.col(key).cast("string").cast("binary")) % 4 != 2)
     bounded = bounded_sample(known, key, rows)
-    return df.select(key, F.col(text).alias("text")).join(F.broadcast(bounded), key).select("text", "toxic")
+    met = df.select(key, F.col(text).alias("text")).join(F.broadcast(bounded), key)
+    return met.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("_same")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("_same")
 
 
 def _beginnings(sample: DataFrame) -> DataFrame:
@@ -168,13 +172,22 @@ def _beginnings(sample: DataFrame) -> DataFrame:
 
 
 def _lexicon(sample: DataFrame) -> tuple[tuple[str, float], ...]:
-    strong = _beginnings(sample).where((F.col("bad") >= SUPPORT) & (F.col("bad") >= PRECISION * (F.col("bad") + F.col("good"))))
-    rows = strong.orderBy(F.desc("bad"), "good", "word").limit(4 * LEXICON_SIZE).collect()
-    weight = {r["word"]: float(np.log((r["bad"] + 0.5) / (r["good"] + 0.5))) for r in rows}
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    bad, good = sizes.get(1, 0), sizes.get(0, 0)
+    if not bad:
+        return ()
+    share = bad / (bad + good)
+    n = F.col("bad") + F.col("good")
+    sigmas = (F.col("bad") - n * share) / F.sqrt(n * (share * (1 - share) + 1e-9))
+    weight = F.log((F.col("bad") + 0.5) / F.lit(bad + 0.5)) - F.log((F.col("good") + 0.5) / F.lit(good + 0.5))
+    strong = _beginnings(sample).where(F.col("bad") >= SUPPORT).withColumns({"sigmas": sigmas, "weight": F.round(weight, 6)})
+    rows = strong.where((F.col("sigmas") >= SIGMAS) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc("sigmas"), "word").limit(8 * LEXICON_SIZE).collect()
+    found = {r["word"]: r["weight"] for r in rows}
     kept: dict[str, float] = {}
-    for word in sorted(weight, key=lambda w: (len(w), w)):
-        if not any(word[:n] in kept for n in range(SHORTEST, len(word))):
-            kept[word] = round(weight[word], 6)
+    for word in sorted(found, key=lambda w: (len(w), w)):
+        shorter = [kept[word[:k]] for k in range(SHORTEST, len(word)) if word[:k] in kept]
+        if not shorter or found[word] >= max(shorter) + MARGIN:
+            kept[word] = found[word]
     return tuple(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_SIZE])
 
 
