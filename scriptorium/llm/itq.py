@@ -7,8 +7,10 @@ other agree on some substring up to PROBE bits, so a vector stands in the bucket
 in those that differ in up to PROBE bits; of two vectors only the one with the larger substring asks. What a bucket
 yields is filtered by whole codes, each pair is kept by its first table only, and the original vectors decide in double precision.
 
-Buckets hold codes, not vectors. One with over BLOCK entries is dealt into blocks by hash, every pair of them compared
-on its own; the entries of a bucket are compared in slices, so neither needs memory beyond a block.
+First only codes are dealt to buckets, and the entries that have a candidate there are kept; their vectors are fetched,
+once for each bucket, and the bucket verifies its pairs again with them. It passes on, for each node, how many vectors its
+links reach and the root of its forest: never pairs, so a group of n near copies costs n rows a bucket. A bucket with over
+BLOCK entries is dealt into blocks by hash, every pair of them compared on its own; comparisons go in slices.
 
 Vectors that are null, empty, zero or hold a null or a non-finite number, and those with a null label, link with nothing.
 Vectors of different length or label aren't compared. Equal vectors with one label are one point, and count each other
@@ -25,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.sampling import bounded_sample
+from scriptorium.llm.simhash import Forest
 from scriptorium.operators.components import connected_components
 from scriptorium.session import settle
 
 SAMPLE, MAX_BITS, ROUNDS, TABLES, PROBE, RADIUS, BLOCK, LEAST_COSINE = 20_000, 64, 50, 7, 1, 13, 20_000, 0.93
 SEED = 7
-#: Pairs of codes held at once while a bucket is read.
-SLICE = 1 << 22
+#: Pairs of codes held at once while a bucket is read, and pairs of vectors compared at once.
+SLICE, PAIRS = 1 << 22, 1 << 16
 
 
 def fit_rotation(sample: np.ndarray, bits: int = MAX_BITS, rounds: int = ROUNDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +149,60 @@ def _close(code_a: np.ndarray, code_b: np.ndarray, t: int, cuts, radius: int) ->
     return keep
 
 
-def candidates(coded: DataFrame, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
-    """(src, dst), src > dst: pairs of nodes with one label and length whose codes differ in `radius` bits or fewer."""
+def _groups(batches, keys: list[str]):
+    """The rows of each group of equal keys, of batches sorted by them, as a table; a group may span batches."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.array(batch.column(k).to_pylist(), object) for k in keys]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        bounds = [0, *change.tolist(), batch.num_rows]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _candidates(part: dict, radius: int):
+    """Yield (asking, standing) positions of pairs of one bucket's two blocks whose codes are within the radius, each
+    pair of nodes in its first table only."""
+    t, dim = int(part["t"][0]), int(part["dim"][0])
+    cuts = _cuts(min(MAX_BITS, dim))
+    same = part["one"][0] == part["two"][0]
+    stands = np.flatnonzero(~part["asks"])
+    for asks in (np.flatnonzero(part["asks"]), stands):
+        step = max(1, SLICE // max(1, len(stands)))
+        for k in range(0, len(asks), step):
+            a = asks[k : k + step]
+            keep = _close(part["code"][a][:, None], part["code"][stands][None, :], t, cuts, radius)
+            if not same:
+                keep &= part["block"][a][:, None] != part["block"][stands][None, :]
+            if asks is stands:
+                keep &= part["node"][a][:, None] > part["node"][stands][None, :]
+            i, j = np.nonzero(keep)
+            if len(i):
+                yield a[i], stands[j]
+
+
+_KEYS = ["label", "dim", "t", "bucket", "one", "two"]
+_PLAIN = ["t", "dim", "one", "two", "asks", "block", "node", "code"]
+_MEMBER = "label string, dim int, t int, bucket long, one int, two int, asks boolean, block int, node long, code long"
+
+
+def _arrays(table: pa.Table) -> dict:
+    out = {n: table.column(n).to_numpy() for n in _PLAIN}
+    out["code"] = out["code"].view(np.uint64)
+    return out
+
+
+def members(coded: DataFrame, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
+    """The entries of buckets that have a candidate there: a row for each, never one for each pair."""
     keys = ["label", "dim", "t", "bucket"]
     dealt, _ = settle(_dealt(coded), "buckets")
     large, _ = settle(dealt.groupBy(*keys).count().where(F.col("count") > block), "large-buckets")
@@ -163,81 +218,58 @@ def candidates(coded: DataFrame, block: int = BLOCK, radius: int = RADIUS) -> Da
             .withColumn("pair", F.explode(pairs))
             .select(*keys, "asks", "node", "code", "pair.one", "pair.two", "block")
         )
-    whole = [*keys, "one", "two"]
-    grouped = paired.select(*whole, "asks", "block", "node", "code").repartition(*whole).sortWithinPartitions(*whole)
-
-    def compare(part):
-        """Links within one bucket's pair of blocks."""
-        t, dim = int(part["t"][0]), int(part["dim"][0])
-        cuts = _cuts(min(MAX_BITS, dim))
-        same = part["one"][0] == part["two"][0]
-        stands = np.flatnonzero(~part["asks"])
-        for asks in (np.flatnonzero(part["asks"]), stands):
-            step = max(1, SLICE // max(1, len(stands)))
-            for k in range(0, len(asks), step):
-                a = asks[k : k + step]
-                keep = _close(part["code"][a][:, None], part["code"][stands][None, :], t, cuts, radius)
-                if not same:
-                    keep &= part["block"][a][:, None] != part["block"][stands][None, :]
-                if asks is stands:
-                    keep &= part["node"][a][:, None] > part["node"][stands][None, :]
-                i, j = np.nonzero(keep)
-                x, y = part["node"][a[i]], part["node"][stands[j]]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["src", "dst"])
+    names = [*_KEYS, "asks", "block", "node", "code"]
+    grouped = paired.select(*names).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
 
     def run(batches):
-        names = [*whole, "asks", "block", "node", "code"]
-        held: list[dict] = []
+        for table in _groups(batches, _KEYS):
+            part = _arrays(table)
+            has = np.zeros(table.num_rows, bool)
+            for a, b in _candidates(part, radius):
+                has[a] = has[b] = True
+            if has.any():
+                yield from table.filter(pa.array(has)).select(names).to_batches()
 
-        def parts(columns, end):
-            change = np.flatnonzero(np.any([columns[n][1:end] != columns[n][: end - 1] for n in whole], axis=0)) + 1
-            for a, b in zip([0, *change.tolist()], [*change.tolist(), end], strict=True):
-                yield from compare({n: c[a:b] for n, c in columns.items()})
+    return grouped.mapInArrow(run, _MEMBER)
 
-        for batch in batches:
-            columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
-            columns["code"] = columns["code"].view(np.uint64)
-            held.append(columns)
-            joined = {n: np.concatenate([h[n] for h in held]) for n in names}
-            change = np.flatnonzero(np.any([joined[n][1:] != joined[n][:-1] for n in whole], axis=0))
-            if len(change):
-                end = int(change[-1]) + 1
-                yield from parts(joined, end)
-                joined = {n: c[end:] for n, c in joined.items()}
-            held = [joined]
-        if held and len(held[0]["t"]):
-            yield from parts(held[0], len(held[0]["t"]))
-
-    return grouped.mapInArrow(run, "src long, dst long")
-
-
-def near_links(points: DataFrame, least: float = LEAST_COSINE, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
-    """(src, dst) of points (node, label, v) with a cosine of `least` or more, of those that the tables retrieve."""
-    pairs = candidates(_coded(points), block, radius)
-    one = points.select(F.col("node").alias("src"), F.col("v").alias("a"))
-    two = points.select(F.col("node").alias("dst"), F.col("v").alias("b"))
-    met = pairs.join(one, "src").join(two, "dst").select("src", "dst", "a", "b")
-
-    def rerank(batches):
-        for batch in batches:
-            for _, rows in _by_length(batch, "a"):
-                cosine = (_unit(rows, "a") * _unit(rows, "b")).sum(axis=1)
-                yield rows.select(["src", "dst"]).filter(pa.array(cosine >= least))
 
-    return met.mapInArrow(rerank, "src long, dst long")
+def links(points: DataFrame, least: float = LEAST_COSINE, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
+    """(node, others, root) of points (node, label, v, n): in each bucket, how many vectors a node's own links reach, and
+    the root of its forest of links. Pairs are counted where they are verified, and not passed on."""
+    entries = members(_coded(points), block, radius).join(points.select("node", "v", "n"), "node")
+    names = [*_KEYS, "asks", "block", "node", "code", "n", "v"]
+    grouped = entries.select(*names).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+
+    def run(batches):
+        for table in _groups(batches, _KEYS):
+            part, size = _arrays(table), table.column("n").to_numpy()
+            unit = _unit(table.select(["v"]).to_batches()[0], "v")
+            nodes, place = np.unique(part["node"], return_inverse=True)
+            others, forest = np.zeros(len(nodes), np.int64), Forest(len(nodes))
+            for a, b in _candidates(part, radius):
+                for k in range(0, len(a), PAIRS):
+                    x, y = a[k : k + PAIRS], b[k : k + PAIRS]
+                    near = np.einsum("ij,ij->i", unit[x], unit[y]) >= least
+                    x, y = x[near], y[near]
+                    np.add.at(others, place[x], size[y])
+                    np.add.at(others, place[y], size[x])
+                    forest.add(place[x], place[y])
+            some = np.flatnonzero(others)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(others[some]), pa.array(nodes[forest.label[some]])], names=["node", "others", "root"])
+
+    return grouped.mapInArrow(run, "node long, others long, root long")
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = LEAST_COSINE, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
     """(key, n_links, component_id, kept) of every vector; kept ones are the smallest of their component."""
     usable = _usable(df, key, vector, label)
     points, _ = settle(usable.groupBy("label", "v").agg(F.min("id").alias("node"), F.count("*").alias("n")), "points")
-    links, _ = settle(near_links(points, least, block, radius), "links")
-    sizes = points.select("node", "n")
-    both = links.unionAll(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    linked = both.join(sizes.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.sum("n").alias("others")).withColumnRenamed("src", "node")
-    found = points.join(linked, "node", "left").join(connected_components(links), "node", "left")
-    rows = found.select("label", "v", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    found, _ = settle(links(points, least, block, radius), "links")
+    linked = found.groupBy("node").agg(F.sum("others").alias("others"))
+    components = connected_components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    named = points.join(linked, "node", "left").join(components, "node", "left")
+    rows = named.select("label", "v", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     marked = usable.join(rows, ["label", "v"]).select(F.col("id").alias(key), "n_links", "component_id")
     per_row = marked.groupBy(key).agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = df.select(F.col(key).cast("long").alias(key)).join(per_row, key, "left")
