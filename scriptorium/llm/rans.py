@@ -32,6 +32,8 @@ from scriptorium.llm.pretokens import WordEncoder
 from scriptorium.session import drop_path, settle, shuffle_files_dropped
 
 TABLE_BITS, LANES, CHECKPOINT_STEPS, BLOCK_IDS, TOGETHER = 20, 128, 256, 1 << 16, 16
+#: Bytes of text whose words are looked up together.
+PIECE_BYTES = 4_000_000
 _LOW, _MAGIC = np.uint64(1 << 31), b"rANS"
 _U32, _BITS = np.uint64(32), np.uint64(TABLE_BITS)
 
@@ -225,7 +227,7 @@ def _encode_rows(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         coder = encoder(tokenizer)
         wide = "<u2" if max(end_id, coder.largest) <= 0xFFFF else "<u4"
         mark, last = wide[-1].encode(), np.array([end_id], wide).tobytes()
-        for rows in pieces(batches, "text"):
+        for rows in pieces(batches, "text", PIECE_BYTES):
             data = [mark + x.astype(wide).tobytes() + last for x in coder.encode(rows.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(data, pa.binary())], names=["key", "ids"])
 
@@ -299,7 +301,7 @@ def write_ids(df: DataFrame, out: str, tokenizer: str, key: str = "doc_id", text
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
-    tokens, path = settle(_encode_rows(ordered, tokenizer, end_id).withColumn("part", F.spark_partition_id()), "ids")
+    tokens, path = settle(_encode_rows(ordered, tokenizer, end_id).withColumn("part", F.spark_partition_id()), "ids", "snappy")
     counted = _counts(tokens).toPandas()
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 0, np.int64)
     counts[counted["id"].to_numpy(np.int64)] = counted["n"]
