@@ -70,12 +70,12 @@ def shuffle_files_dropped(spark: SparkSession):
         spark.conf.set(_CLEAN, before)
 
 
-def settle(df: DataFrame, label: str = "step") -> tuple[DataFrame, str]:
+def settle(df: DataFrame, label: str = "step", compression: str = "zstd") -> tuple[DataFrame, str]:
     """Write a frame to the shared folder and read it back: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     with shuffle_files_dropped(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
