@@ -33,7 +33,7 @@ from scriptorium.session import drop_path, settle, shuffle_files_dropped
 
 TABLE_BITS, LANES, CHECKPOINT_STEPS, BLOCK_IDS, TOGETHER = 20, 128, 256, 1 << 16, 16
 #: Bytes of text whose words are looked up together.
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 2_000_000
 _LOW, _MAGIC = np.uint64(1 << 31), b"rANS"
 _U32, _BITS = np.uint64(32), np.uint64(TABLE_BITS)
 
@@ -45,7 +45,7 @@ class Damaged(ValueError):
 class LibraryEncoder(WordEncoder):
     """Ids of the tokenizers library: its BPE model tokenizes each distinct pre-token, in the symbols of its bytes, once."""
 
-    store_words = 900_000
+    store_words = 650_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
