@@ -187,14 +187,13 @@ def chunk_plan(n: int, most: int = MAX_BITS) -> tuple[int, list[tuple[int, ...]]
 def _permuted(fp: np.ndarray, chosen: tuple[int, ...], chunks: int) -> tuple[np.ndarray, np.ndarray]:
     """(bits of the chosen chunks, the code with these first)."""
     edges = [64 * i // chunks for i in range(chunks + 1)]
-    key, code, wide = np.zeros_like(fp), np.zeros_like(fp), 0
+    key, code = np.zeros_like(fp), np.zeros_like(fp)
     for c in [*chosen, *(c for c in range(chunks) if c not in chosen)]:
         width = edges[c + 1] - edges[c]
         bits = (fp >> np.uint64(64 - edges[c + 1])) & np.uint64((1 << width) - 1)
         code = (code << np.uint64(width)) | bits
         if c in chosen:
             key = (key << np.uint64(width)) | bits
-            wide += width
     return key, code
 
 
@@ -220,7 +219,6 @@ def _forest_links(table_no: np.ndarray, key: np.ndarray, one: np.ndarray, two: n
 
 def near_links(points: DataFrame, most: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """(src, dst): forest links among points (fp, node), distinct in fp, that differ in `most` bits or fewer."""
-    spark = points.sparkSession
     chunks, choices = chunk_plan(points.count(), most)
     dealt_schema = "t int, key long, fp long, node long"
 
