@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from scriptorium.llm.batches import small_batches
 from scriptorium.llm.bpe import encode_frame
 from scriptorium.llm.mixing import Targets, mix
+from scriptorium.llm.near_copies import keep_one
 from scriptorium.llm.secrets import redact_frame
-from scriptorium.llm.simhash import keep_one
 from scriptorium.llm.tokenizer_files import BYTE_BPE, tokenizer_path
 from scriptorium.llm.toxicity import drop_toxic, learn
 from scriptorium.session import drop_path, settle, table
@@ -28,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
+    """One document of each group of near copies (Jaccard 0.8 of five-word shingles) stays: the one with the smallest doc_id."""
     return keep_one(docs)
 
 
