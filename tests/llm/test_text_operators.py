@@ -278,6 +278,23 @@ def test_quality(spark):
     assert perplexity.quality(docs(spark, ["x"], lang=["en"]).limit(0)).count() == 0
 
 
+def test_quality_rejects_debris_above_the_band(spark):
+    """Debris between clean text and noise: lines of table cells, in a corpus whose clean texts vary as prose does."""
+    rnd = Random(9)
+    words = ["".join(rnd.choice("aeioudfglmnrst") for _ in range(rnd.randint(2, 8))) for _ in range(300)]
+    rare = ["".join(rnd.choice("aeioubcdfghklmnprst") for _ in range(rnd.randint(4, 9))) for _ in range(4000)]
+
+    def prose():
+        share = rnd.uniform(0.02, 0.2)
+        return " ".join(rnd.choice(rare if rnd.random() < share else words) for _ in range(rnd.randint(150, 250)))
+
+    clean = [prose() for _ in range(300)]
+    debris = [" | ".join(rnd.choice(rare) for _ in range(120)) for _ in range(6)]
+    out = {r.doc_id: r for r in perplexity.quality(docs(spark, [*clean, *debris], lang=["en"])).collect()}
+    assert sum(out[i].kept for i in range(300)) >= 297
+    assert not any(out[i].base_failed or out[i].kept for i in range(300, 306))
+
+
 def test_pseudo_likelihood(spark):
     rnd = Random(6)
     grammar = [["the", "a"], ["red", "old", "big"], ["fox", "dog", "cat"], ["sees", "eats"], ["the", "a"], ["fish", "bird"]]
