@@ -1,15 +1,20 @@
-"""Near copies by exact Jaccard similarity of word shingles: lossless prefix filtering, then verification.
-
-A text is the set of XXH64 values of its SHINGLE-word shingles. Sets are sorted by one global order, and two of similarity
-LEAST or more share a value among the first n - ceil(LEAST * n) + 1 of each (n: its size), so these alone are dealt to
-buckets. The order puts values that are frequent in a sample last: any order gives the same links, this one small buckets.
-
-Buckets propose pairs twice. First each links its values' texts to the smallest one, which joins groups of near copies in
-rows as many as entries; then every pair whose two texts aren't joined yet is proposed. A pair is verified if its sizes and
-the number of buckets it shares allow the similarity (the second time that number is complete, so no pair is lost): the sets
-are made again from the texts and intersected. Components of verified links are the groups.
-
-Null texts are empty; texts without a word are one set. Texts with equal sets are one point.
+"""Near copies by SimHash: wide fingerprints in Gray-ordered trees, then exact Jaccard similarity of word shingles.
+
+A text is the set of XXH64 values of its SHINGLE-word shingles, and two texts are near copies at a Jaccard similarity of
+LEAST or more. Their fingerprints then differ in about a seventh of the bits, too many for top nodes made of shared chunks
+to prune anything. So the top nodes of this index are shared shingles: sets are sorted by one global order, and two that are
+similar enough share a value among the first n - ceil(LEAST * n) + 1 of each (n: its size), so a fingerprint stands under
+each of these values. The order puts values that are frequent in a sample last: any order gives the same links, this one small
+nodes. Under a top node fingerprints are sorted by Gray rank and searched down the levels as in simhash, within RADIUS bits;
+a pair that a search reaches is a candidate if its second 64 bits and its sizes allow the similarity. At a similarity of 0.8
+a pair's gap of 128 bits has its mean at 19 and a deviation of 4; with WIDE at 40 fewer than one link in 10,000 can be lost.
+
+Candidates are passed on as forests, a row for each node at most; their components are clusters of texts that may be near
+copies. The sets of a cluster's texts, made again, meet in one task and decide exactly. A cluster beyond BLOCK texts or
+VALUES shingles is dealt into blocks, each of which holds the same PIVOTS as well, so that a group of near copies becomes one
+part at once; then the texts outside a cluster's largest part meet every block of it.
+
+Null texts are empty; texts without a word are one set, as are texts with equal sets. Rows without a key aren't compared.
 """
 
 from __future__ import annotations
@@ -22,18 +27,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.batches import pieces, small_batches
+from scriptorium.llm.itq import _groups
 from scriptorium.llm.sampling import bounded_sample
-from scriptorium.llm.simhash import shingle_hashes
+from scriptorium.llm.simhash import BLOCK as NODE_BLOCK
+from scriptorium.llm.simhash import forest_links, grouped_links, majority, shingle_hashes
 from scriptorium.operators.components import connected_components
 from scriptorium.session import settle
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
 UP, DOWN = 4, 5
+#: Bits that may differ: of the 64 that trees hold, and of all 128.
+RADIUS, WIDE = 24, 40
 #: Texts sampled for frequent shingles, in how many of these one is frequent, and how many are kept: they set costs, not results.
 SAMPLE, FREQUENT, MOST_FREQUENT = 4_000, 3, 100_000
-#: Entries held at once while buckets are read, and pairs put out at once.
-HELD, PAIRS = 200_000, 1 << 20
+#: Texts and shingles of a block, and texts that all blocks of a cluster hold.
+BLOCK, VALUES, PIVOTS = 1_024, 1 << 21, 4
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -51,6 +60,22 @@ def similar(common, one, two):
     return (UP + DOWN) * common >= UP * (one + two)
 
 
+def could(one, two):
+    """Whether sets of these sizes can have the least similarity."""
+    return DOWN * np.minimum(one, two).astype(np.int64) >= UP * np.maximum(one, two).astype(np.int64)
+
+
+def wide_fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of each set: of its values, and of another hash of them."""
+    with np.errstate(over="ignore"):
+        others = []
+        for s in sets:
+            x = (s ^ (s >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            others.append(x ^ (x >> np.uint64(31)))
+    return majority(sets), majority(others)
+
+
 def frequent_shingles(df: DataFrame, key: str, text: str, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hash, rank) of shingles that are frequent in a sample, sorted by hash; the most frequent rank highest."""
 
@@ -78,50 +103,34 @@ def prefix(values: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.nd
     return values[np.lexsort((values, rank))][: prefix_size(len(values))]
 
 
-def prefixes(df: DataFrame, frequent: tuple[np.ndarray, np.ndarray], key: str, text: str, size: int = SHINGLE) -> DataFrame:
-    """(key, point, size, prefix) of each text; point: a hash of its set."""
+def _points(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def described(df: DataFrame, frequent: tuple[np.ndarray, np.ndarray], key: str, text: str, size: int = SHINGLE) -> DataFrame:
+    """(key, point, size, fp, more, prefix) of each text; point: a hash of its set; fp, more: its fingerprints."""
     shared = df.sparkSession.sparkContext.broadcast(frequent)
-    schema = T.StructType([df.schema[key], T.StructField("point", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    longs = [T.StructField(n, T.LongType()) for n in ("point", "size", "fp", "more")]
+    schema = T.StructType([df.schema[key], *longs, T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in pieces(batches, text):
             sets = [shingle_set(t, size) for t in batch.column(text).to_pylist()]
-            points = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            firsts = [prefix(s, shared.value).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts)))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(points), pa.array([len(s) for s in sets], pa.int32()), lists], names=schema.names)
+            fp, more = wide_fingerprints(sets)
+            firsts = [prefix(s, shared.value) if len(s) else s for s in sets]
+            columns = [pa.array(_points(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp.view(np.int64)), pa.array(more.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *columns, _lists(firsts)], names=schema.names)
 
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def _by_bucket(batches, names: list[str]):
-    """Columns of whole buckets, at least HELD rows at a time, from rows sorted by bucket (the first column)."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        held.append([batch.column(n).to_numpy() for n in names])
-        if sum(len(h[0]) for h in held) < HELD:
-            continue
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        change = np.flatnonzero(columns[0][1:] != columns[0][:-1])
-        if not len(change):
-            held = [columns]
-            continue
-        cut = int(change[-1]) + 1
-        yield [c[:cut] for c in columns]
-        held = [[c[cut:] for c in columns]]
-    if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
-
-
-def _runs(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(begin, size) of each bucket."""
-    begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    return begin, np.diff(np.append(begin, len(bucket)))
-
-
 def deal(rows: DataFrame) -> DataFrame:
-    """(bucket, point, size) for each first value of a set; a task deals a point once, however many copies it reads."""
+    """(node, point) for each top node that a point stands under; a task deals a point once, however many copies it reads."""
 
     def run(batches):
         seen: set[int] = set()
@@ -135,126 +144,154 @@ def deal(rows: DataFrame) -> DataFrame:
             part = batch.filter(pa.array(new))
             firsts = part.column("prefix")
             count = np.diff(firsts.offsets.to_numpy())
-            columns = [firsts.flatten(), *(pa.array(np.repeat(part.column(n).to_numpy(), count)) for n in ("point", "size"))]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "point", "size"])
+            yield pa.RecordBatch.from_arrays([firsts.flatten(), pa.array(np.repeat(part.column("point").to_numpy(), count))], names=["key", "point"])
 
-    return rows.select("point", "size", "prefix").mapInArrow(run, "bucket long, point long, size int")
+    return rows.select("point", "prefix").mapInArrow(run, "key long, point long")
 
 
 def met(entries: DataFrame) -> DataFrame:
-    """Entries (bucket, point, size) of buckets that hold two points or more, each once."""
+    """Entries (key, point) of top nodes that hold two points or more, each once; rows stream through."""
 
     def run(batches):
-        for columns in _by_bucket(batches, ["bucket", "point", "size"]):
-            bucket, point, _ = columns
-            new = np.ones(len(bucket), bool)
-            new[1:] = (bucket[1:] != bucket[:-1]) | (point[1:] != point[:-1])
-            columns = [c[new] for c in columns]
-            _, size = _runs(columns[0])
-            some = np.repeat(size > 1, size)
-            yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in columns], names=["bucket", "point", "size"])
-
-    dealt = entries.repartition("bucket").sortWithinPartitions("bucket", "point")
-    return dealt.mapInArrow(run, "bucket long, point long, size int")
-
-
-def _could(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes can have the least similarity."""
-    return DOWN * np.minimum(one, two).astype(np.int64) >= UP * np.maximum(one, two).astype(np.int64)
-
-
-def star_pairs(entries: DataFrame) -> DataFrame:
-    """(a, b, m, n) for each entry but the smallest of its bucket: that one's point and its own, and their sizes."""
-
-    def run(batches):
-        for bucket, point, size in _by_bucket(batches, ["bucket", "point", "size"]):
-            begin, count = _runs(bucket)
-            head = np.repeat(begin, count)
-            some = (head != np.arange(len(bucket))) & _could(size[head], size)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (point[head][some], point[some], size[head][some], size[some])], names=["a", "b", "m", "n"])
-
-    dealt = entries.repartition("bucket").sortWithinPartitions("bucket", "point")
-    return dealt.mapInArrow(run, "a long, b long, m int, n int")
-
-
-def apart_pairs(entries: DataFrame) -> DataFrame:
-    """(a, b, m, n) for each two entries (bucket, point, size, part) of a bucket that are of different parts."""
-
-    def run(batches):
-        names = ["a", "b", "m", "n"]
-        for bucket, point, size, part in _by_bucket(batches, ["bucket", "point", "size", "part"]):
-            begin, count = _runs(bucket)
-            stop = np.repeat(begin + count, count)
-            # parts are sorted within a bucket, so a part's rows meet only what stands after the part
-            last = np.flatnonzero(np.concatenate([(part[1:] != part[:-1]) | (bucket[1:] != bucket[:-1]), [True]]))
-            first = last[np.searchsorted(last, np.arange(len(bucket)))] + 1
-            width = stop - first
-            ends = np.cumsum(width)
-            at = 0
-            while at < len(bucket):
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] - width[at] + PAIRS, side="right")))
-                wide = width[at:to]
-                left = np.repeat(np.arange(at, to), wide)
-                right = np.repeat(first[at:to] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
-                some = _could(size[left], size[right])
-                left, right = left[some], right[some]
-                swap = point[left] > point[right]
-                left, right = np.where(swap, right, left), np.where(swap, left, right)
-                if len(left):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (point[left], point[right], size[left], size[right])], names=names)
-                at = to
-
-    dealt = entries.repartition("bucket").sortWithinPartitions("bucket", "part", "point")
-    return dealt.mapInArrow(run, "a long, b long, m int, n int")
-
-
-def possible(pairs: DataFrame) -> DataFrame:
-    """(a, b) of pairs that share enough buckets: what two sets share beyond their prefixes is at most what stands there."""
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("m").alias("m"), F.first("n").alias("n"))
-    m, n = F.col("m"), F.col("n")
-    # a set of n has ceil(UP * n / DOWN) - 1 values after its prefix
-    beyond = F.floor((UP * F.greatest(m, n) + DOWN - 1) / F.lit(DOWN)) - 1
-    return counted.where(similar(F.col("c") + beyond, m, n)).select("a", "b")
-
-
-def verified(pairs: DataFrame, rows: DataFrame, df: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
-    """(a, b) of pairs whose sets have the least similarity; rows (key, point) tell whose texts make the sets."""
-    needed = pairs.select(F.col("a").alias("point")).unionAll(pairs.select(F.col("b").alias("point"))).distinct()
-    wanted = rows.select(key, "point").join(needed, "point", "left_semi")
+        last = np.zeros((0, 2), np.int64)  # the row before, which may yet be met
+        told = False  # whether it has been put out
+        for batch in batches:
+            rows = np.concatenate([last, np.stack([batch.column(n).to_numpy() for n in ("key", "point")], axis=1)])
+            if not len(rows):
+                continue
+            new = np.ones(len(rows), bool)
+            new[1:] = np.any(rows[1:] != rows[:-1], axis=1)
+            rows = rows[new]
+            same = rows[1:, 0] == rows[:-1, 0]
+            some = np.zeros(len(rows), bool)
+            some[1:] |= same
+            some[:-1] |= same
+            put = some.copy()
+            if len(last) and told:
+                put[0] = False
+            told = bool(some[-1]) or (len(rows) == 1 and told)
+            last = rows[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[put, k].copy()) for k in (0, 1)], names=["key", "point"])
+
+    return entries.repartition("key").sortWithinPartitions("key", "point").mapInArrow(run, "key long, point long")
+
+
+def candidates(rows: DataFrame, block: int = NODE_BLOCK) -> DataFrame:
+    """(src, dst): forest links among points whose fingerprints and sizes allow the least similarity."""
+    entries, _ = settle(met(deal(rows)), "top-nodes", "lz4")
+    points = rows.groupBy("point").agg(*[F.first(c).alias(c) for c in ("size", "fp", "more")])
+    dealt = entries.join(points, "point").select(F.lit(0).alias("t"), "key", F.col("point").alias("node"), "fp", "more", "size")
+    dealt, _ = settle(dealt, "fingerprints-of-nodes", "lz4")
+
+    def accept(columns, a, b):
+        fp, more, sizes = columns[6:]
+        gap = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64) + np.bitwise_count(more[a] ^ more[b])
+        return (gap <= WIDE) & could(sizes[a], sizes[b])
+
+    def link(columns):
+        columns[6:8] = [c.view(np.uint64) for c in columns[6:8]]
+        return forest_links(columns, columns[6], RADIUS, accept)
+
+    return grouped_links(dealt, ["fp", "more", "size"], block, link)
+
+
+def made_sets(clustered: DataFrame, rows: DataFrame, df: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
+    """(point, cluster, hashes) of clustered points, made from the text of one row of each."""
 
     def run(batches):
         for batch in pieces(batches, text):
             sets = [shingle_set(t, size) for t in batch.column(text).to_pylist()]
-            points = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(points), lists], names=["point", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(_points(sets)), _lists(sets)], names=["point", "hashes"])
 
-    # one row of each point: the smallest key's; a repeated key brings other texts, whose points aren't wanted
-    one = wanted.groupBy("point").agg(F.min(key).alias(key)).select(key).distinct()
+    # the smallest key's row; a repeated key brings other texts, whose points aren't in the cluster or are there already
+    one = rows.join(clustered, "point", "left_semi").groupBy("point").agg(F.min(key).alias(key)).select(key).distinct()
     made = df.select(key, text).join(one, key, "left_semi").mapInArrow(run, "point long, hashes array<long>")
-    sets, _ = settle(made.join(needed, "point", "left_semi").dropDuplicates(["point"]), "shingle-sets")
-    left = sets.select(F.col("point").alias("a"), F.col("hashes").alias("one"))
-    right = sets.select(F.col("point").alias("b"), F.col("hashes").alias("two"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("one", "two"))
-    return both.where(similar(common, F.size("one"), F.size("two"))).select("a", "b")
-
+    return made.dropDuplicates(["point"]).join(clustered, "point")
+
+
+def links_of_sets(values: np.ndarray, offsets: np.ndarray, part: np.ndarray, asks: np.ndarray) -> list[tuple[int, int]]:
+    """Links between rows of different parts, asking rows against all; a row linked to a part isn't compared with it again."""
+    sizes, out = np.diff(offsets), []
+    _, place = np.unique(values, return_inverse=True)
+    mark = np.zeros(int(place.max()) + 1 if len(place) else 0, np.int64)
+    label = np.unique(part, return_inverse=True)[1]
+    for i in np.flatnonzero(asks).tolist():
+        others = np.flatnonzero((label != label[i]) & could(sizes, sizes[i]))
+        if not len(others):
+            continue
+        own = place[offsets[i] : offsets[i + 1]]
+        mark[own] = 1
+        if 4 * len(others) < len(sizes):
+            common = np.array([mark[place[offsets[k] : offsets[k + 1]]].sum() for k in others.tolist()])
+        else:
+            common = np.add.reduceat(mark[place], offsets[:-1])[others]
+        mark[own] = 0
+        near = others[similar(common, sizes[i], sizes[others])]
+        if len(near):
+            _, first = np.unique(label[near], return_index=True)
+            out += [(i, int(near[k])) for k in first]
+            label[np.isin(label, label[near])] = label[i]
+    return out
+
+
+def _decided(members: DataFrame, keys: list[str]) -> DataFrame:
+    """(src, dst) of links among the members (keys, point, part, asks, hashes) of each group."""
+    names = [*keys, "point", "part", "asks", "hashes"]
+    grouped = members.select(*names).repartition(*keys).sortWithinPartitions(*keys, "point")
 
-def groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    def run(batches):
+        for table in _groups(batches, keys):
+            rows = table.select(["point", "part", "asks", "hashes"]).to_batches()[0]
+            point, part, asks = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("point", "part", "asks"))
+            sets = rows.column("hashes")
+            offsets = sets.offsets.to_numpy().astype(np.int64)
+            found = links_of_sets(sets.flatten().to_numpy(), offsets - offsets[0], part, asks)
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(point[a]), pa.array(point[b])], names=["src", "dst"])
+
+    return grouped.mapInArrow(run, "src long, dst long")
+
+
+def decided_links(sets: DataFrame, block: int = BLOCK, values: int = VALUES) -> DataFrame:
+    """(src, dst): links of the least similarity that join what all such links join, among sets (point, cluster, hashes)."""
+    sized = sets.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.size("hashes")).alias("v"), *[F.min(F.struct(F.xxhash64("point", F.lit(k)), "point")).getField("point").alias(f"pivot{k}") for k in range(PIVOTS)])
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("v") / values)).cast("int")
+    sized, _ = settle(sized.where("n > 1").withColumn("blocks", blocks), "clusters")
+    alone = sets.join(sized.where("blocks <= 1").select("cluster"), "cluster")
+    small = _decided(alone.withColumns({"part": F.col("point"), "asks": F.lit(True)}), ["cluster"])
+    large = sized.where("blocks > 1")
+    if large.isEmpty():
+        return small
+    found, _ = settle(small, "links-of-clusters")
+    pivots = F.array(*[F.col(f"pivot{k}") for k in range(PIVOTS)])
+    own, _ = settle(sets.join(large, "cluster").select("cluster", "point", "hashes", "blocks", F.array_contains(pivots, F.col("point")).alias("pivot"), F.pmod(F.xxhash64("point"), "blocks").cast("int").alias("own")), "large-clusters")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    first = own.withColumn("j", F.explode(F.when(F.col("pivot"), every).otherwise(F.array("own"))))
+    once, _ = settle(_decided(first.withColumns({"part": F.col("point"), "asks": F.lit(True)}), ["cluster", "j"]), "links-of-blocks")
+    joined = connected_components(once).select(F.col("node").alias("point"), F.col("component").alias("part"))
+    marked, _ = settle(own.join(joined, "point", "left").withColumn("part", F.coalesce("part", "point")), "parts")
+    parts = marked.groupBy("cluster", "part").count()
+    main = parts.groupBy("cluster").agg(F.max(F.struct("count", "part")).getField("part").alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
+    main = main.where(F.col("all") > F.col("most"))
+    rest = marked.join(main.select("cluster", "main"), "cluster").withColumn("asks", F.col("part") != F.col("main"))
+    counts = rest.where("asks").groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("rows"))
+    asking = rest.where("asks").join(counts, "cluster").withColumns({"i": F.pmod(F.xxhash64("point", F.lit("i")), "rows").cast("int"), "j": F.explode(every)})
+    asked = rest.join(counts, "cluster").withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("rows") - 1)), "j": F.col("own"), "asks": F.lit(False)})
+    columns = ["cluster", "i", "j", "point", "part", "asks", "hashes"]
+    met_again = _decided(asking.select(*columns).unionAll(asked.select(*columns)), ["cluster", "i", "j"])
+    return found.unionAll(once).unionAll(met_again)
+
+
+def groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """(key, point, part) of each row with a key: rows of one part are joined by links of the least similarity."""
     small_batches(df.sparkSession)
     df = df.where(F.col(key).isNotNull())
-    rows, _ = settle(prefixes(df, frequent_shingles(df, key, text, size), key, text, size), "prefixes", "lz4")
-    entries, _ = settle(met(deal(rows)), "buckets", "lz4")
-    stars, _ = settle(possible(star_pairs(entries)), "star-pairs")
-    first, _ = settle(verified(stars, rows, df, key, text, size), "star-links")
-    joined = connected_components(first, "a", "b").select(F.col("node").alias("point"), F.col("component").alias("part"))
-    marked = entries.join(joined, "point", "left").withColumn("part", F.coalesce("part", "point"))
-    rest = possible(apart_pairs(marked)).join(stars, ["a", "b"], "left_anti")
-    others, _ = settle(rest, "apart-pairs")
-    second, _ = settle(verified(others, rows, df, key, text, size), "apart-links")
-    found = connected_components(first.unionAll(second), "a", "b").select(F.col("node").alias("point"), F.col("component").alias("part"))
+    rows, _ = settle(described(df, frequent_shingles(df, key, text, size), key, text, size), "described", "lz4")
+    clustered = connected_components(candidates(rows.select("point", "size", "fp", "more", "prefix"))).select(F.col("node").alias("point"), F.col("component").alias("cluster"))
+    sets, _ = settle(made_sets(clustered, rows.select(key, "point"), df, key, text, size), "shingle-sets")
+    links, _ = settle(decided_links(sets, block), "links")
+    found = connected_components(links).select(F.col("node").alias("point"), F.col("component").alias("part"))
     return rows.select(key, "point").join(found, "point", "left").select(key, "point", F.coalesce("part", "point").alias("part"))
 
 

@@ -52,7 +52,7 @@ def shingle_hashes(data: bytes, size: int = SHINGLE, seed: int = SEED) -> list[i
     return [digest(joined[a:b], seed) for a, b in zip(starts[: 1 - size].tolist(), stops[size - 1 :].tolist(), strict=True)]
 
 
-def majority(hashes: list[list[int]]) -> np.ndarray:
+def majority(hashes: list) -> np.ndarray:
     """Of each list of 64-bit hashes, the bits set in over half of them (uint64); zero for none.
 
     Eight byte-wide counters lie in one word: each byte of a hash is spread over one, and sums of 255 hashes are widened.
@@ -61,7 +61,7 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
     if not sizes.sum():
         return out
-    flat = np.concatenate([np.array(h, np.uint64) for h in hashes if h])
+    flat = np.concatenate([np.array(h, np.uint64) for h in hashes if len(h)])
     some = np.flatnonzero(sizes)
     ends = np.cumsum(sizes[some])
     pieces = -(-sizes[some] // 255)
@@ -197,39 +197,41 @@ def _permuted(fp: np.ndarray, chosen: tuple[int, ...], chunks: int) -> tuple[np.
     return key, code
 
 
-def _forest_links(table_no: np.ndarray, key: np.ndarray, one: np.ndarray, two: np.ndarray, block: np.ndarray, fp: np.ndarray, node: np.ndarray, chunks: int, choices, most: int):
-    """Links of the forest of each group (choice, key, pair of blocks), as two arrays of nodes."""
-    code = np.empty(len(fp), np.uint64)
-    for t in np.unique(table_no).tolist():
-        at = table_no == t
-        code[at] = _permuted(fp[at], choices[t], chunks)[1]
-    rank = gray_rank(code)
-    order = np.lexsort((rank, two, one, key, table_no))
-    table_no, key, one, two, block, code, node = (x[order] for x in (table_no, key, one, two, block, code, node))
+GROUP = ["t", "key", "one", "two"]
+
+
+def by_group(columns: list[np.ndarray], code: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(columns, codes, group numbers) sorted by GROUP, the first columns, and within a group by Gray rank."""
+    order = np.lexsort((gray_rank(code), *columns[3::-1]))
+    columns = [c[order] for c in columns]
     new = np.ones(len(order), bool)
-    new[1:] = (table_no[1:] != table_no[:-1]) | (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-    group = np.cumsum(new) - 1
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0)
+    return columns, code[order], np.cumsum(new) - 1
+
+
+def forest_links(columns: list[np.ndarray], code: np.ndarray, most: int, accept=None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the forest of each group, as two arrays of nodes; columns are GROUP, block, node and what `accept` takes.
+
+    accept(columns, a, b) tells which pairs of rows that are within `most` bits are links; all of them if it is None.
+    """
+    columns, code, group = by_group(columns, code)
+    one, two, block, node = columns[2:6]
     index, forest = GrayIndex(code, group), Forest(len(code))
     for query, leaf in index.search(code, group, most, above=np.arange(len(code))):
-        cross = (one[query] == two[query]) | (block[query] != block[leaf])
-        forest.add(query[cross], leaf[cross])
+        keep = (one[query] == two[query]) | (block[query] != block[leaf])
+        if accept:
+            keep &= accept(columns, query, leaf)
+        forest.add(query[keep], leaf[keep])
     linked = np.flatnonzero(forest.label != np.arange(len(code)))
     return node[linked], node[forest.label[linked]]
 
 
-def near_links(points: DataFrame, most: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """(src, dst): forest links among points (fp, node), distinct in fp, that differ in `most` bits or fewer."""
-    chunks, choices = chunk_plan(points.count(), most)
-    dealt_schema = "t int, key long, fp long, node long"
-
-    def deal(batches):
-        for batch in batches:
-            fp = batch.column("fp").to_numpy().view(np.uint64)
-            for t, chosen in enumerate(choices):
-                key, _ = _permuted(fp, chosen, chunks)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, np.int32)), pa.array(key.view(np.int64)), batch.column("fp"), batch.column("node")], names=["t", "key", "fp", "node"])
+def grouped_links(dealt: DataFrame, extra: list[str], block: int, link) -> DataFrame:
+    """(src, dst): links that `link` finds in each group (t, key) of dealt (t, key, node, and the extra columns).
 
-    dealt = points.select("fp", "node").mapInArrow(deal, dealt_schema)
+    A group of over `block` rows is dealt into blocks by a hash of the node, and each pair of blocks is a group. `link`
+    takes the columns GROUP, block, node and the extra ones of whole groups, and returns two arrays of nodes.
+    """
     large, _ = settle(dealt.groupBy("t", "key").count().where(F.col("count") > block), "large-nodes")
     if large.isEmpty():
         paired = dealt.withColumns({"one": F.lit(0), "two": F.lit(0), "block": F.lit(0)})
@@ -240,19 +242,18 @@ def near_links(points: DataFrame, most: int = MAX_BITS, block: int = BLOCK) -> D
         paired = (
             dealt.join(large, ["t", "key"], "left")
             .withColumn("blocks", blocks)
-            .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             .withColumn("pair", F.explode(pairs))
-            .select("t", "key", "fp", "node", "pair.one", "pair.two", "block")
+            .select(*dealt.columns, "pair.one", "pair.two", "block")
         )
-    grouped = paired.select("t", "key", "one", "two", "block", "fp", "node").repartition("t", "key", "one", "two").sortWithinPartitions("t", "key", "one", "two")
+    names = [*GROUP, "block", "node", *extra]
+    grouped = paired.select(*names).repartition(*GROUP).sortWithinPartitions(*GROUP)
 
-    def link(batches):
-        held: list[np.ndarray] = []
-        names = ["t", "key", "one", "two", "block", "fp", "node"]
+    def run(batches):
+        held: list[list[np.ndarray]] = []
 
         def flush(columns):
-            t, key, one, two, blk, fp, node = columns
-            a, b = _forest_links(t, key, one, two, blk, fp.view(np.uint64), node, chunks, choices, most)
+            a, b = link(columns)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
 
         for batch in batches:
@@ -270,7 +271,34 @@ def near_links(points: DataFrame, most: int = MAX_BITS, block: int = BLOCK) -> D
         if held:
             yield flush([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return grouped.mapInArrow(link, "src long, dst long").distinct()
+    return grouped.mapInArrow(run, "src long, dst long").distinct()
+
+
+def permuted_codes(table_no: np.ndarray, fp: np.ndarray, chunks: int, choices) -> np.ndarray:
+    """The code of each fingerprint in its index."""
+    code = np.empty(len(fp), np.uint64)
+    for t in np.unique(table_no).tolist():
+        at = table_no == t
+        code[at] = _permuted(fp[at], choices[t], chunks)[1]
+    return code
+
+
+def near_links(points: DataFrame, most: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """(src, dst): forest links among points (fp, node), distinct in fp, that differ in `most` bits or fewer."""
+    chunks, choices = chunk_plan(points.count(), most)
+
+    def deal(batches):
+        for batch in batches:
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            for t, chosen in enumerate(choices):
+                key, _ = _permuted(fp, chosen, chunks)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, np.int32)), pa.array(key.view(np.int64)), batch.column("fp"), batch.column("node")], names=["t", "key", "fp", "node"])
+
+    def link(columns):
+        return forest_links(columns, permuted_codes(columns[0], columns[6].view(np.uint64), chunks, choices), most)
+
+    dealt = points.select("fp", "node").mapInArrow(deal, "t int, key long, fp long, node long")
+    return grouped_links(dealt, ["fp"], block, link)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, most: int = MAX_BITS, block: int = BLOCK) -> DataFrame:

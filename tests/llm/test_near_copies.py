@@ -44,9 +44,10 @@ def corpus():
     return [*texts, " ".join(base), "", None, " \t ", "one two", "one two three"]
 
 
-@pytest.mark.parametrize("frequent", [near_copies.FREQUENT, 10**6])
-def test_keep_one_is_brute_force(spark, monkeypatch, frequent):
+@pytest.mark.parametrize(("frequent", "block"), [(near_copies.FREQUENT, near_copies.BLOCK), (10**6, near_copies.BLOCK), (3, 8)])
+def test_keep_one_is_brute_force(spark, monkeypatch, frequent, block):
     monkeypatch.setattr(near_copies, "FREQUENT", frequent)
+    monkeypatch.setattr(near_copies.groups, "__defaults__", (*near_copies.groups.__defaults__[:-1], block))
     texts = corpus()
     want = brute_groups(texts)
     assert len(set(want)) < len(texts)

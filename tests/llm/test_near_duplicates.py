@@ -78,7 +78,8 @@ def test_every_chunk_plan_finds_all_links(points):
     table = np.repeat(np.arange(len(choices), dtype=np.int32), len(codes))
     key = np.concatenate([simhash._permuted(codes, c, chunks)[0] for c in choices]).view(np.int64)
     zero = np.zeros(len(table), np.int32)
-    a, b = simhash._forest_links(table, key, zero, zero, zero, np.tile(codes, len(choices)), np.tile(np.arange(len(codes)), len(choices)), chunks, choices, 4)
+    columns = [table, key, zero, zero, zero, np.tile(np.arange(len(codes)), len(choices))]
+    a, b = simhash.forest_links(columns, simhash.permuted_codes(table, np.tile(codes, len(choices)), chunks, choices), 4)
     assert closure(range(len(codes)), zip(a.tolist(), b.tolist(), strict=True)) == closure(range(len(codes)), links)
     assert len(a) <= len(table)  # a forest a group, not all pairs
 
