@@ -55,10 +55,12 @@ TOPIC_TERMS = {
     "hallucination": ["hallucination", "factual consistency"],
 }
 #: Words without weight in a query.
-STOPWORDS = frozenset(
-    "a an the and or of for in on to with without using use based via from about into toward towards by at as is are its their that which "
-    "paper papers article articles study studies work research method methods approach approaches new novel recent latest relevant important me my".split()
-)
+STOPWORDS = frozenset((
+    "a", "an", "the", "and", "or", "of", "for", "in", "on", "to", "with", "without", "using", "use", "based", "via", "from",
+    "about", "into", "toward", "towards", "by", "at", "as", "is", "are", "its", "their", "that", "which", "paper", "papers",
+    "article", "articles", "study", "studies", "work", "research", "method", "methods", "approach", "approaches", "new",
+    "novel", "recent", "latest", "relevant", "important", "me", "my",
+))
 
 
 def concepts(text: str, synonyms=TOPIC_SYNONYMS) -> list[str]:
