@@ -1,14 +1,18 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton on folded text.
 
 Folding lowers case, drops accents, maps look-alike letters of other scripts and digits or signs used as letters to plain
-ones, and turns what remains of ASCII punctuation into blanks. The lexicon holds word beginnings, learned from labelled
-rows: of a bounded sample of them (LEARN_ROWS, chosen by a hash of their doc_id), every word beginning of SHORTEST to
-LONGEST letters is counted once a distinct text in toxic and in other texts. Those found in SUPPORT toxic texts, more often than
-chance by SIGMAS standard deviations, enter with the log ratio of both frequencies as weight, if it is LEAST_WEIGHT or
-more, and MARGIN more than that of a shorter beginning they start with. A word counts with its largest weight. Exception
-phrases are two folded words around a match that occur in other texts at least as often as in toxic ones; matches inside
-one don't count. A text's score is a logistic function of its summed weight, of that weight per word and of its
-largest weight, fitted on the sample.
+ones, and turns what remains of ASCII punctuation into blanks. The lexicon is learned from labelled rows: of a bounded
+sample of them (LEARN_ROWS, chosen by a hash of their doc_id), every whole folded word is counted once a distinct text in
+toxic and in other texts. A word found in SUPPORT toxic texts or more enters if so many would be a chance of less than
+CERTAINTY for any word counted, with the log ratio of both frequencies as weight, if that is LEAST_WEIGHT or more. An
+entry matches as a whole word, bare or with one of INFLECTIONS. Stems of STEM to LONGEST letters enter by the same test,
+but only where toxic texts hold ENDINGS or more different words of that stem and none of them is in over DOMINANT of the
+stem's toxic texts, so that a word never stands for its beginning; a longer stem takes the place of a shorter one if it is
+in SAME of its toxic texts, and enters beside it if it weighs MARGIN more. A word counts with its largest weight.
+
+Exception phrases are EXCEPTIONS, and two folded words around a match that occur in other texts at least as often as in
+toxic ones; matches inside one don't count. A text's score is a logistic function of its summed weight, of that weight
+per word and of its largest weight, fitted on the sample.
 
 Null texts are empty; texts without a match score by the fitted base rate of such texts. Labels repeated for a doc_id
 count as toxic if one of them does. Without any toxic label the lexicon is empty and all scores are equal. Only the text
@@ -19,9 +23,11 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -33,9 +39,13 @@ from pyspark.sql import types as T
 from scriptorium.llm.batches import pieces, small_batches
 from scriptorium.llm.sampling import bounded_sample
 
-LEARN_ROWS, SUPPORT, SIGMAS, LEAST_WEIGHT, MARGIN, SHORTEST, LONGEST = 20_000, 8, 6.0, 1.0, 0.7, 4, 10
-LEXICON_SIZE, PHRASES = 4_000, 2_000
+LEARN_ROWS, SUPPORT, CERTAINTY, LEAST_WEIGHT, MARGIN, STEM, LONGEST, ENDINGS, DOMINANT, SAME = 20_000, 4, 0.01, 1.0, 0.7, 4, 10, 5, 0.4, 0.9
 REJECT_AT = 0.3
+INFLECTIONS = ("", "s", "es", "e", "en")
+#: Harmless phrases that hold words used as insults.
+EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bins", "trash collection", "take out the trash", "soap scum", "pond scum", "circus clown", "clown fish", "idiot proof", "sore loser", "stupid mistake")
+#: Words counted before a task passes its counts on.
+COUNTED = 200_000
 
 #: Letters of other scripts that look like a plain one, and digits and signs written for letters.
 _LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "ո": "n", "ԛ": "q", "ԝ": "w", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ł": "l", "ø": "o", "ß": "s"}
@@ -83,28 +93,33 @@ def held_out(doc_id: object) -> bool:
 
 @dataclass(frozen=True)
 class Model:
-    """Word beginnings and their weights, exception phrases, and the logistic function of (weight, weight per word)."""
+    """Whole words and stems with their weights, exception phrases, and the logistic function of a text's features."""
 
     lexicon: tuple[tuple[str, float], ...]
     exceptions: tuple[str, ...] = ()
     logit: tuple[float, ...] = field(default=(-3.0, 0.0, 0.0, 0.0))
+    stems: tuple[tuple[str, float], ...] = ()
 
 
 class Matcher:
-    """The automaton of a model: beginnings count where no exception phrase covers them."""
+    """The automaton of a model: words and stems count where no exception phrase covers them."""
 
     def __init__(self, model: Model):
         self.model = model
+        forms: dict[str, tuple[int, float | None]] = {}
+        entries = [(f" {word}{end} ", len(word) + len(end) + 1, weight) for word, weight in model.lexicon for end in INFLECTIONS]
+        entries += [(f" {stem}", len(stem), weight) for stem, weight in model.stems]
+        for form, size, weight in entries:
+            forms[form] = max(forms.get(form, (size, weight)), (size, weight))
+        forms |= {f" {phrase} ": (len(phrase) + 1, None) for phrase in model.exceptions}
         self.automaton = ahocorasick.Automaton()
-        for word, weight in model.lexicon:
-            self.automaton.add_word(" " + word, (len(word), weight))
-        for phrase in model.exceptions:
-            self.automaton.add_word(f" {phrase} ", (len(phrase) + 1, None))
-        if len(self.automaton):
+        for form, value in forms.items():
+            self.automaton.add_word(form, value)
+        if forms:
             self.automaton.make_automaton()
 
     def hits(self, folded: str) -> list[tuple[int, float]]:
-        """(start, weight) of each word that counts, with the largest weight of its beginnings."""
+        """(start, weight) of each word that counts, with its largest weight."""
         if not len(self.automaton):
             return []
         best: dict[int, float] = {}
@@ -115,7 +130,10 @@ class Matcher:
                 spared.append((start, end))
             else:
                 best[start] = max(weight, best.get(start, weight))
-        return [(a, w) for a, w in sorted(best.items()) if not any(x <= a < y for x, y in spared)]
+        spared.sort()
+        begins, reached = [x for x, _ in spared], list(accumulate((y for _, y in spared), max))
+        covered = lambda a: (k := bisect_right(begins, a)) and a < reached[k - 1]
+        return [(a, w) for a, w in sorted(best.items()) if not covered(a)]
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """(log of the summed weight, log of the weight per thousand words, largest weight)."""
@@ -130,12 +148,6 @@ class Matcher:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-@cache
-def matcher(model: Model) -> Matcher:
-    """One automaton per worker."""
-    return Matcher(model)
-
-
 def _sample(df: DataFrame, labels: DataFrame, rows: int, key: str, text: str, label: str) -> DataFrame:
     """Up to `rows` labelled texts that aren't held out, equal ones as one, with toxic 0/1."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("toxic"))
@@ -145,78 +157,101 @@ def _sample(df: DataFrame, labels: DataFrame, rows: int, key: str, text: str, la
     return met.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("_same")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("_same")
 
 
-def _beginnings(sample: DataFrame) -> DataFrame:
-    """(beginning, toxic texts, other texts) with it, summed in each task before the shuffle."""
+def _counted(sample: DataFrame, found_in) -> DataFrame:
+    """(word, bad, good): in how many toxic and other texts each of the strings that found_in(text) gives is found."""
 
     def run(batches):
         counts: Counter = Counter()
 
         def out():
-            words = [w for w, _ in counts]
-            columns = [pa.array(words, pa.string()), pa.array([t for _, t in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())]
+            columns = [pa.array([w for w, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())]
             counts.clear()
             return pa.RecordBatch.from_arrays(columns, names=["word", "toxic", "n"])
 
         for batch in pieces(batches, "text"):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = set(fold(text or "").split())
-                found = {w[:n] for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
-                counts.update((w, int(toxic > 0)) for w in found)
-            if len(counts) > 200_000:
-                yield out()
+                counts.update((w, int(toxic > 0)) for w in found_in(text or ""))
+                if len(counts) > COUNTED:
+                    yield out()
         yield out()
 
-    return sample.mapInArrow(run, "word string, toxic int, n long").groupBy("word").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good")
-    )
+    of = lambda toxic: F.sum(F.when(F.col("toxic") == toxic, F.col("n")).otherwise(0))
+    return sample.mapInArrow(run, "word string, toxic int, n long").groupBy("word").agg(of(1).alias("bad"), of(0).alias("good"))
 
 
-def _lexicon(sample: DataFrame) -> tuple[tuple[str, float], ...]:
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
-    if not bad:
-        return ()
-    share = bad / (bad + good)
-    n = F.col("bad") + F.col("good")
-    sigmas = (F.col("bad") - n * share) / F.sqrt(n * (share * (1 - share) + 1e-9))
+def _strong(counted: DataFrame, bad: int, good: int) -> DataFrame:
+    """(word, bad, weight) of what is in more toxic texts than chance, by a bound on the binomial tail, over all that is counted."""
+    often = counted.where(F.col("bad") + F.col("good") >= SUPPORT)
+    share, n = bad / (bad + good), F.col("bad") + F.col("good")
+    part = F.col("bad") / n
+    gain = F.col("bad") * F.log(part / share) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - part) / (1 - share + 1e-9))).otherwise(0.0)
     weight = F.log((F.col("bad") + 0.5) / F.lit(bad + 0.5)) - F.log((F.col("good") + 0.5) / F.lit(good + 0.5))
-    strong = _beginnings(sample).where(F.col("bad") >= SUPPORT).withColumns({"sigmas": sigmas, "weight": F.round(weight, 6)})
-    rows = strong.where((F.col("sigmas") >= SIGMAS) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc("sigmas"), "word").limit(8 * LEXICON_SIZE).collect()
-    found = {r["word"]: r["weight"] for r in rows}
-    kept: dict[str, float] = {}
-    for word in sorted(found, key=lambda w: (len(w), w)):
-        shorter = [kept[word[:k]] for k in range(SHORTEST, len(word)) if word[:k] in kept]
-        if not shorter or found[word] >= max(shorter) + MARGIN:
-            kept[word] = found[word]
-    return tuple(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_SIZE])
+    least = float(np.log(max(1, often.count()) / CERTAINTY))
+    strong = (F.col("bad") >= SUPPORT) & (part > share) & (gain >= least)
+    return often.where(strong).select("word", "bad", F.round(weight, 6).alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)
 
 
-def _exceptions(sample: DataFrame, lexicon: tuple[tuple[str, float], ...]) -> tuple[str, ...]:
+def _sizes(sample: DataFrame) -> tuple[int, int]:
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    return sizes.get(1, 0), sizes.get(0, 0)
+
+
+def _lexicon(sample: DataFrame) -> tuple[tuple[tuple[str, float], ...], tuple[tuple[str, float], ...]]:
+    """(whole words, stems) with their weights. What is collected stands in SUPPORT texts of a bounded sample each."""
+    bad, good = _sizes(sample)
+    if not bad or not good:
+        return (), ()
+    words = _counted(sample, lambda text: set(fold(text).split())).persist()
+    try:
+        whole = {r["word"]: r["weight"] for r in _strong(words, bad, good).collect()}
+        counted = _counted(sample, lambda text: {w[:n] for w in set(fold(text).split()) for n in range(STEM, min(LONGEST, len(w)) + 1)})
+        starts = F.transform(F.sequence(F.lit(STEM), F.least(F.lit(LONGEST), F.length("word"))), lambda n: F.left("word", n))
+        of_stem = words.where((F.col("bad") > 0) & (F.length("word") >= STEM)).select("bad", F.explode(starts).alias("word"))
+        of_stem = of_stem.groupBy("word").agg(F.count("*").alias("endings"), F.max("bad").alias("most"))
+        spread = counted.join(of_stem, "word").where((F.col("endings") >= ENDINGS) & (F.col("most") <= DOMINANT * F.col("bad"))).select("word")
+        found = {r["word"]: (r["weight"], r["bad"]) for r in _strong(counted.join(spread, "word"), bad, good).collect()}
+    finally:
+        words.unpersist()
+    kept: dict[str, float] = {}
+    for stem in sorted(found, key=lambda w: (len(w), w)):
+        weight, n = found[stem]
+        shorter = [stem[:k] for k in range(STEM, len(stem)) if stem[:k] in kept]
+        if any(n >= SAME * found[k][1] for k in shorter):
+            for k in shorter:
+                kept.pop(k)
+        if not shorter or weight >= max(found[k][0] for k in shorter) + MARGIN or not any(k in kept for k in shorter):
+            kept[stem] = weight
+    return tuple(sorted(whole.items())), tuple(sorted(kept.items()))
+
+
+def _exceptions(sample: DataFrame, model: Model) -> tuple[str, ...]:
     """Two words around a match, found in SUPPORT / 2 other texts or more, and in no more toxic ones."""
-    model = Model(lexicon)
 
-    def run(batches):
-        found: Counter = Counter()
-        for batch in pieces(batches, "text"):
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                folded = fold(text or "")
-                phrases = set()
-                for start, _ in matcher(model).hits(folded):
-                    before = folded.rfind(" ", 0, start - 1)
-                    stop = folded.find(" ", start)
-                    after = folded.find(" ", stop + 1)
-                    if before >= 0:
-                        phrases.add(folded[before + 1 : stop])
-                    if after > 0:
-                        phrases.add(folded[start:after])
-                found.update((p, int(toxic > 0)) for p in phrases)
-        columns = [pa.array([p for p, _ in found], pa.string()), pa.array([t for _, t in found], pa.int32()), pa.array(list(found.values()), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["phrase", "toxic", "n"])
-
-    counts = sample.mapInArrow(run, "phrase string, toxic int, n long").groupBy("phrase")
-    counts = counts.agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
-    rows = counts.where((F.col("good") >= SUPPORT // 2) & (F.col("good") >= F.col("bad"))).orderBy(F.desc("good"), "phrase").limit(PHRASES).collect()
-    return tuple(sorted(r["phrase"] for r in rows))
+    def phrases_in(text):
+        folded, phrases = fold(text), set()
+        for start, _ in matcher(model).hits(folded):
+            before = folded.rfind(" ", 0, start - 1)
+            stop = folded.find(" ", start)
+            after = folded.find(" ", stop + 1)
+            if before >= 0:
+                phrases.add(folded[before + 1 : stop])
+            if after > 0:
+                phrases.add(folded[start:after])
+        return phrases
+
+    counts = _counted(sample, phrases_in)
+    return tuple(sorted(r["word"] for r in counts.where((F.col("good") >= SUPPORT // 2) & (F.col("good") >= F.col("bad"))).collect()))
+
+
+_last: list[Matcher] = []
+
+
+def matcher(model: Model) -> Matcher:
+    """The automaton of a model; a worker keeps its last one."""
+    if not _last or (_last[0].model is not model and _last[0].model != model):
+        _last[:] = [Matcher(model)]
+    _last[0].model = model
+    return _last[0]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.01) -> tuple[float, ...]:
@@ -239,12 +274,14 @@ def learn(df: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, key: str = "
     small_batches(df.sparkSession)
     sample = _sample(df, labels, rows, key, text, label).persist()
     try:
-        lexicon = _lexicon(sample)
-        model = Model(lexicon, _exceptions(sample, lexicon) if lexicon else ())
+        lexicon, stems = _lexicon(sample)
+        model = Model(lexicon, (), stems=stems)
+        model = Model(lexicon, tuple(sorted({*EXCEPTIONS, *_exceptions(sample, model)})) if lexicon or stems else (), stems=stems)
 
         def run(batches):
+            match = matcher(model)
             for batch in pieces(batches, "text"):
-                found = [matcher(model).features(t) for t in batch.column("text").to_pylist()]
+                found = [match.features(t) for t in batch.column("text").to_pylist()]
                 columns = [pa.array(np.round([f[k] for f in found], 3), pa.float64()) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([*columns, batch.column("toxic")], names=["a", "b", "c", "toxic"])
 
@@ -257,7 +294,7 @@ def learn(df: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS, key: str = "
     y = np.array([float(r["toxic"] > 0) for r in told])
     n = np.array([float(r["count"]) for r in told])
     order = np.lexsort((y, *x.T))
-    return Model(model.lexicon, model.exceptions, _logistic(x[order], y[order], n[order]))
+    return Model(model.lexicon, model.exceptions, _logistic(x[order], y[order], n[order]), model.stems)
 
 
 def score_frame(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,8 +302,9 @@ def score_frame(df: DataFrame, model: Model, key: str = "doc_id", text: str = "t
     schema = T.StructType([df.schema[key], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
+        match = matcher(model)
         for batch in pieces(batches, text):
-            scores = matcher(model).scores(batch.column(text).to_pylist())
+            scores = match.scores(batch.column(text).to_pylist())
             out = [held_out(k) for k in batch.column(key).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.bool_()), pa.array(scores), pa.array((scores >= REJECT_AT).astype(np.int32))], names=schema.names)
 
@@ -277,7 +315,8 @@ def drop_toxic(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of df that score below REJECT_AT."""
 
     def run(batches):
+        match = matcher(model)
         for batch in pieces(batches, text):
-            yield batch.filter(pa.array(matcher(model).scores(batch.column(text).to_pylist()) < REJECT_AT))
+            yield batch.filter(pa.array(match.scores(batch.column(text).to_pylist()) < REJECT_AT))
 
     return df.mapInArrow(run, df.schema)

@@ -200,7 +200,7 @@ def toxic_corpus(spark, n=1200):
 def test_toxicity_learns(spark):
     df, labels, toxic = toxic_corpus(spark)
     model = toxicity.learn(df, labels)
-    assert any(w.startswith("verm") for w, _ in model.lexicon)
+    assert any(w.startswith("verm") for w, _ in (*model.lexicon, *model.stems))
     got = toxicity.score_frame(df, model).collect()
     held = [r for r in got if r.held_out]
     assert {r.doc_id for r in held} == {i for i in range(1200) if zlib.crc32(str(i).encode()) % 4 == 2}
@@ -216,12 +216,59 @@ def test_toxicity_edges(spark):
     assert plain.lexicon == () and len({r.score for r in toxicity.score_frame(docs(spark, ["", None, "x"]), plain).collect()}) == 1
     assert toxicity.learn(df, labels.limit(0)).lexicon == ()
     assert toxicity.score_frame(df.limit(0), plain).count() == 0
-    model = toxicity.Model((("idio", 2.0),), ("idio proof",), (-3.0, 1.0, 2.0, 0.0))
-    scores = toxicity.matcher(model).scores(["an Idi0t", "idio proof", "an idiом", "video", None])
-    assert scores[0] > 0.3 and scores[1] < 0.1 and scores[2] > 0.3 and scores[3] < 0.1 and scores[4] < 0.1
+    model = toxicity.Model((("idiot", 2.0),), ("idiot proof",), (-3.0, 1.0, 2.0, 0.0), (("abcd", 2.0),))
+    scores = toxicity.matcher(model).scores(["an Idi0ts", "idiot-proof", "an ABCDом", "idiotype xabcd", None, "word " * 200_000 + "іdiot"])
+    assert scores[0] > 0.3 and scores[1] < 0.1 and scores[2] > 0.3 and scores[3] < 0.1 and scores[4] < 0.1 and scores[5] > 0.1
     assert toxicity.fold("Ïdí0t-ＡＢ​@x") == " idiot abax "
 
 
+HARMLESS = "pathway worth Morocco idiom disguise lose pathology loses closer glossary worthy clowns' trashy idiosyncrasy scumbled stupendous moraine disgust boat bone achieve reed read scull clove pathfinder lost loser's idle trace stupor Wort achten Achse Bohne mort morose réseau bocal boîte bomba bocado boda".split()
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_harmless_sentences_and_held_out_rows(spark, sf):
+    """Words that only begin like an insult aren't one; 200 sentences, at most 1 % of them flagged."""
+    df, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(df, labels)
+    frames = ("The {} was described in the local paper by several people.", "We saw {} on the way home.", "Nobody talks about {} here.", "Every {} needs some care, they said.", "{} and {} again.")
+    harmless = [w for w in HARMLESS if not w.startswith(("loser", "clowns"))]
+    texts = [f.format(w, w) for w in harmless for f in frames][:200]
+    scores = toxicity.matcher(model).scores(texts)
+    assert (scores >= toxicity.REJECT_AT).sum() <= len(texts) // 100
+    assert all(len(w) >= 4 for w, _ in model.lexicon) and {"idiot", "trash"} <= {w for w, _ in model.lexicon}
+    told = toxicity.score_frame(df, model).join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").where("held_out").collect()
+    right = sum(r.predicted == 1 for r in told if r.toxic) / sum(r.toxic for r in told)
+    assert right >= (0.9 if sf == "sf0.1" else 0.6) and sum(r.predicted == 1 for r in told if not r.toxic) <= 0.02 * len(told)
+
+
+def test_exceptions_are_learned_and_scores_are_brute_force(spark):
+    rnd = Random(5)
+    words = ["".join(rnd.choice("cdefgh") for _ in range(5)) for _ in range(300)]
+    texts, toxic = [], []
+    for i in range(400):
+        own = [rnd.choice(words) for _ in range(30)]
+        bad = i % 4 == 0
+        if bad:
+            own[rnd.randrange(1, 29)] = "brute"
+        elif i % 5 == 1:
+            own[10:12] = ["brute", "force"]
+        texts.append(" ".join(own))
+        toxic.append(int(bad))
+    df = docs(spark, texts)
+    model = toxicity.learn(df, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+    assert "brute force" in model.exceptions and "brute" in {w for w, _ in model.lexicon}
+    got = {r.doc_id: r.score for r in toxicity.score_frame(df, model).collect()}
+    forms = {w + e: v for w, v in model.lexicon for e in toxicity.INFLECTIONS}
+    for i, text in enumerate(texts):
+        own = text.split()
+        spared = {k + j for p in model.exceptions for k in range(len(own)) for j in range(len(p.split())) if own[k : k + len(p.split())] == p.split()}
+        weights = [max([forms.get(w, 0.0), *(v for s, v in model.stems if w.startswith(s))]) for k, w in enumerate(own) if k not in spared]
+        weights = [w for w in weights if w]
+        x = (1.0, np.log1p(sum(weights)), np.log1p(1000 * sum(weights) / len(own)), max(weights, default=0.0))
+        assert abs(got[i] - 1 / (1 + np.exp(-np.dot(x, model.logit)))) < 1e-9
+        assert (got[i] >= 0.3) == bool(toxic[i])
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     seen, lines = set(), 0
