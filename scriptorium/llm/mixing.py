@@ -1,17 +1,20 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Every document belongs to a cell (source, lang, topic); what a target table doesn't name is "*". One aggregation sums the
-words of each cell. The driver rakes the cells' word weights, of which there are at most as many as the target tables'
-sizes multiply to, to the source, language and topic marginals in turn, ROUNDS times. A cell's density is its raked weight over its
-words; with `rate` as the share of words to draw, a document is drawn with probability least(1, rate * density), by a hash of
-its doc_id, so the draw is the same on any cluster and no row is moved. weight is rate * density over the probability: 1,
-or more where a cell can't give as much as its target asks for.
+Every document belongs to a cell (source, lang, topic); what a target table doesn't name is "*". Its topic is the one whose
+patterns weigh most in its text, if they weigh LEAST in a thousand words, or prose. One aggregation sums the words of each
+cell. The driver rakes the cells' word weights, of which there are at most as many as the target tables' sizes multiply
+to, to the source, language and topic marginals in turn, ROUNDS times. A cell's density is its raked weight over its words;
+with `rate` as the share of words to draw, a document is drawn with probability least(1, rate * density), by a hash of its
+doc_id, so the draw is the same on any cluster and no row is moved. weight is rate * density over the probability: 1, or
+more where a cell can't give as much as its target asks for. Words stand for tokens: they need no tokenizer and are the same
+in Spark and SQL.
 
 Targets of categories that hold no words are spread over the others in proportion. A category without a target (and no "*")
-is drawn with probability 0. Null texts have no words; cells without words have density 0 before raking and their
-documents, which carry no weight in any marginal, are drawn with probability `rate`. Null sources and languages are "*".
-Rows that share a doc_id (or have none) are drawn together. All columns of the input stay; mix_topic, mix_words,
-mix_probability and mix_weight are added.
+is drawn with probability 0; where no category that holds words has one, the marginal stays as it is. Null texts have no
+words; cells without words have density 0 before raking and their documents, which carry no weight in any marginal, are
+drawn with probability `rate`. Null sources and languages are "*". Rows that share a doc_id (or have none) are drawn
+together. All columns of the input stay; mix_topic, mix_words, mix_probability and mix_weight are added, with "_" before
+them as often as it takes for no column of the input to begin like them.
 """
 
 from __future__ import annotations
@@ -25,9 +28,14 @@ from pyspark.sql import functions as F
 OTHER, ROUNDS, SEED = "*", 25, "mix"
 MARGINALS = ("source", "lang", "topic")
 
-#: Topics in order of priority, and strings that tell them; what has none of them is prose.
-TOPICS = {"legal": ("license", "copyright", "warranty"), "table": (" | ",), "symbols": ("###", "%%%", "&&&", "$$$"), "contact": ("@", "http")}
-PROSE = "prose"
+#: Topics, what tells them in lower-cased texts, and the weight of each time it does; ties go to the first.
+TOPICS = {
+    "legal": ("licen[cs]e|copyright|warrant|permission|liabilit", 10),
+    "contact": ("@[a-z0-9-]+[.][a-z]|https?://|[0-9]{3}[-. ][0-9]{3,4}[-. ][0-9]{4}", 10),
+    "symbols": ("[#%&$*<>]{3,}", 4),
+    "table": (" [|] ", 1),
+}
+PROSE, LEAST = "prose", 10
 
 
 @dataclass(frozen=True)
@@ -35,22 +43,21 @@ class Targets:
     """Shares of words by category of each marginal."""
 
     source: dict[str, float] = field(default_factory=lambda: {"src0": 0.30, OTHER: 0.70})
-    lang: dict[str, float] = field(default_factory=lambda: {"en": 0.58, "de": 0.15, "fr": 0.15, "es": 0.12})
-    topic: dict[str, float] = field(default_factory=lambda: {"legal": 0.04, "table": 0.03, "symbols": 0.03, "contact": 0.03, PROSE: 0.87})
+    lang: dict[str, float] = field(default_factory=lambda: {"en": 0.57, "de": 0.15, "fr": 0.14, "es": 0.11, OTHER: 0.03})
+    topic: dict[str, float] = field(default_factory=lambda: {"legal": 0.06, "table": 0.02, "symbols": 0.03, "contact": 0.06, PROSE: 0.83})
 
 
 RATE = 0.6
 
 
-def topic_of(text: Column) -> Column:
-    """The first topic that one of its strings tells of."""
+def topic_of(text: Column, words: Column) -> Column:
+    """The topic whose patterns weigh most, if they weigh enough for so many words."""
     low = F.lower(text)
-    out = F.when(F.lit(False), F.lit(PROSE))
-    for topic, strings in TOPICS.items():
-        told = F.lit(False)
-        for s in strings:
-            told = told | low.contains(s)
-        out = out.when(told, topic)
+    told = [(F.coalesce(F.regexp_count(low, F.lit(pattern)), F.lit(0)).cast("long") * weight, topic) for topic, (pattern, weight) in TOPICS.items()]
+    best = F.greatest(*[n for n, _ in told])
+    out = F.when((best == 0) | (best * 1000 < words * LEAST), PROSE)
+    for n, topic in told:
+        out = out.when(n == best, topic)
     return out.otherwise(PROSE)
 
 
@@ -73,11 +80,10 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], r
         present = {k[i] for k, w in cells.items() if w > 0}
         known = {c: target.get(c, 0.0) for c in present}
         whole = sum(known.values())
-        if whole <= 0:
-            raise ValueError(f"no category of marginal {i} that holds words has a target")
-        goals.append({c: total * share / whole for c, share in known.items()})
+        if whole > 0:
+            goals.append((i, {c: total * share / whole for c, share in known.items()}))
     for _ in range(rounds):
-        for i, goal in enumerate(goals):
+        for i, goal in goals:
             sums: dict[str, float] = {}
             for k in sorted(weights):
                 sums[k[i]] = sums.get(k[i], 0.0) + weights[k]
@@ -87,24 +93,29 @@ def rake(cells: dict[tuple[str, ...], float], targets: list[dict[str, float]], r
 
 def mix(df: DataFrame, targets: Targets | None = None, rate: float = RATE, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
     """The drawn rows of df, with mix_topic, mix_words, mix_probability and mix_weight."""
-    targets = targets or Targets()
+    targets, prefix = targets or Targets(), "mix_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = f"_{prefix}"
+    name = lambda n: f"{prefix}{n}"
     tables = [getattr(targets, m) for m in MARGINALS]
-    cells = [f"mix_cell_{m}" for m in MARGINALS]
-    topic = topic_of(F.coalesce(F.col(text), F.lit("")))
-    placed = df.withColumns({"mix_topic": topic, "mix_words": words_of(F.col(text))})
-    own = [F.col("source"), F.col("lang"), F.col("mix_topic")]
+    cells = [name(f"cell_{m}") for m in MARGINALS]
+    whole = F.coalesce(F.col(text), F.lit(""))
+    placed = df.withColumn(name("words"), words_of(F.col(text)))
+    placed = placed.withColumn(name("topic"), topic_of(whole, F.col(name("words"))))
+    own = [F.col("source"), F.col("lang"), F.col(name("topic"))]
     placed = placed.withColumns({c: _category(o, t) for c, o, t in zip(cells, own, tables, strict=True)})
-    summed = placed.groupBy(*cells).agg(F.sum("mix_words").alias("w")).collect()
+    summed = placed.groupBy(*cells).agg(F.sum(name("words")).alias("w")).collect()
     before = {tuple(r[c] for c in cells): float(r["w"]) for r in summed}
     raked = rake(before, tables, rounds)
     rows = [(*k, raked[k] / w * rate if w else rate) for k, w in sorted(before.items())]
     assert len(rows) <= prod(len({*t, OTHER}) for t in tables)  # what is broadcast is bounded by the targets
-    schema = ", ".join(f"{c} string" for c in cells) + ", mix_density double"
+    schema = ", ".join(f"{c} string" for c in cells) + f", {name('density')} double"
     found = placed.join(F.broadcast(df.sparkSession.createDataFrame(rows, schema)), cells)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    probability = F.round(F.least(F.lit(1.0), F.col("mix_density")), 9)
-    drawn = found.withColumn("mix_probability", probability).where(draw < F.col("mix_probability"))
-    return drawn.withColumn("mix_weight", F.round(F.greatest(F.lit(1.0), F.col("mix_density")), 9)).select(*df.columns, "mix_topic", "mix_words", "mix_probability", "mix_weight")
+    probability = F.round(F.least(F.lit(1.0), F.col(name("density"))), 9)
+    drawn = found.withColumn(name("probability"), probability).where(draw < F.col(name("probability")))
+    drawn = drawn.withColumn(name("weight"), F.round(F.greatest(F.lit(1.0), F.col(name("density"))), 9))
+    return drawn.select(*df.columns, *map(name, ("topic", "words", "probability", "weight")))
 
 
 def oracle(targets: Targets | None = None, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED) -> str:
@@ -115,10 +126,14 @@ def oracle(targets: Targets | None = None, rate: float = RATE, rounds: int = ROU
     def listed(names):
         return ", ".join(f"'{n}'" for n in names)
 
-    topic = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{s}')" for s in strings) + f" THEN '{t}'" for t, strings in TOPICS.items()) + f" ELSE '{PROSE}' END"
+    hits = ", ".join(f"{weight} * len(regexp_extract_all(low, '{pattern}'))::BIGINT AS h{i}" for i, (pattern, weight) in enumerate(TOPICS.values()))
+    best = f"greatest({', '.join(f'h{i}' for i in range(len(TOPICS)))})"
+    told = " ".join(f"WHEN h{i} = {best} THEN '{t}'" for i, t in enumerate(TOPICS))
+    topic = f"CASE WHEN {best} = 0 OR {best} * 1000 < words * {LEAST} THEN '{PROSE}' {told} END"
     cells = ", ".join(f"CASE WHEN {m} IN ({listed(c for c in t if c != OTHER)}) THEN {m} ELSE '{OTHER}' END AS c{i}" for i, (m, t) in enumerate(zip(MARGINALS, tables, strict=True)))
     parts = [
-        f"placed AS MATERIALIZED (SELECT *, {cells} FROM (SELECT doc_id, source, lang, {topic} AS topic, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS words FROM documents))",
+        f"told AS (SELECT *, {hits} FROM (SELECT doc_id, source, lang, lower(coalesce(text, '')) AS low, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS words FROM documents))",
+        f"placed AS MATERIALIZED (SELECT *, {cells} FROM (SELECT doc_id, source, lang, words, {topic} AS topic FROM told))",
         "before AS MATERIALIZED (SELECT c0, c1, c2, sum(words)::DOUBLE AS n FROM placed GROUP BY ALL)",
         "r0 AS MATERIALIZED (SELECT *, n AS w FROM before)",
     ]
@@ -130,7 +145,7 @@ def oracle(targets: Targets | None = None, rate: float = RATE, rounds: int = ROU
     last = 0
     for _ in range(rounds):
         for i in range(len(tables)):
-            parts.append(f"r{last + 1} AS MATERIALIZED (SELECT c0, c1, c2, n, coalesce(w * goal / nullif(sum(w) OVER (PARTITION BY c{i}), 0), 0) AS w FROM r{last} LEFT JOIN t{i} ON c = c{i})")
+            parts.append(f"r{last + 1} AS MATERIALIZED (SELECT c0, c1, c2, n, CASE WHEN (SELECT count(*) FROM t{i}) = 0 THEN w ELSE coalesce(w * goal / nullif(sum(w) OVER (PARTITION BY c{i}), 0), 0) END AS w FROM r{last} LEFT JOIN t{i} ON c = c{i})")
             last += 1
     parts.append(f"density AS (SELECT c0, c1, c2, CASE WHEN n > 0 THEN w / n * {rate!r} ELSE {rate!r} END AS d FROM r{last})")
     return (

@@ -401,6 +401,20 @@ def test_mixing(spark):
     assert abs(drawn["src0"] / total - 0.2) < 0.02 and abs(drawn["src9"] / total - 0.3) < 0.03
     assert sorted(r.doc_id or -1 for r in out.collect()) == sorted(r.doc_id or -1 for r in mixing.mix(df.repartition(7), targets, 0.5).collect())
     assert mixing.mix(df.limit(0), targets).count() == 0
+    clash = df.withColumns({"mix_topic": F.lit("own"), "mix_cell_source": F.lit(1)})
+    again = mixing.mix(clash, targets, 0.5)
+    assert again.columns == [*clash.columns, "_mix_topic", "_mix_words", "_mix_probability", "_mix_weight"]
+    assert {r.mix_topic for r in again.collect()} == {"own"} and again.count() == out.count()
+
+
+def test_mixing_of_other_languages_and_topics(spark):
+    rows = [(i, t, s, x) for i, (t, s, x) in enumerate([("plain words only", None, "xx"), ("mail me@there.org now", "src0", None), ("", "src0", "xx"), (None, None, None), ("a | b | c | d", "s", "xx"), ("x " * 300_000 + "###", "s", "yy")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = {r.doc_id: r for r in mixing.mix(df, rate=50.0).collect()}
+    assert sorted(out) == list(range(6)) and [out[i].mix_topic for i in range(6)] == ["prose", "contact", "prose", "prose", "table", "prose"]
+    only = mixing.Targets(lang={"en": 1.0})  # no text is English: languages stay as they are
+    assert mixing.mix(df, only, rate=50.0).count() == 6
+    assert mixing.rake({("a",): 3.0, ("b",): 1.0}, [{"c": 1.0}]) == {("a",): 3.0, ("b",): 1.0}
 
 
 def test_pieces_keep_all_rows():
