@@ -289,14 +289,67 @@ def test_quality_counts():
         assert perplexity.base_counts(text) == brute_quality(text)
 
 
-def test_kneser_ney():
-    grams, counts = np.unique(np.random.default_rng(0).integers(0, perplexity.SYMBOLS**4, 4000), return_counts=True)
-    model = perplexity.KneserNey(grams, counts)
-    p = model.probability(np.arange(perplexity.SYMBOLS**4)).reshape(-1, perplexity.SYMBOLS)
-    assert np.allclose(p.sum(axis=1), 1) and (p > 0).all()
+def brute_kneser_ney(grams):
+    """p(last | before) by the textbook: dictionaries of counts, continuation counts below the highest order."""
+    tables = {4: Counter(grams)}
+    for order in (3, 2, 1):
+        tables[order] = Counter(g[1:] for g in tables[order + 1])
+    discounts = {}
+    for order, table in tables.items():
+        n = [sum(1 for c in table.values() if c == k) for k in (1, 2, 3, 4)]
+        y = n[0] / max(1, n[0] + 2 * n[1])
+        discounts[order] = [min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0.0 for k in (1, 2, 3)]
+
+    def p(gram):
+        if not gram:
+            return 1 / perplexity.SYMBOLS
+        table, d = tables[len(gram)], discounts[len(gram)]
+        after = [(g, c) for g, c in table.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return p(gram[1:])
+        total = sum(c for _, c in after)
+        lost = sum(d[min(c, 3) - 1] for _, c in after)
+        own = table.get(gram, 0)
+        return (own - (d[min(own, 3) - 1] if own else 0)) / total + lost / total * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_is_brute_force():
+    rnd = Random(7)
+    text = "".join(rnd.choice("aab cd") for _ in range(900))
+    found, _ = perplexity.symbols([text])
+    gram, n = np.unique(perplexity.windows(found), return_counts=True)
+    model = perplexity.KneserNey(gram, n)
+    p = brute_kneser_ney([tuple(found[k : k + 4].tolist()) for k in range(len(found) - 3)])
+    asked = [tuple(rnd.choice([0, 1, 2, 3, 4, 40]) for _ in range(4)) for _ in range(60)]
+    number = lambda g: sum(x << (perplexity.SYMBOL_BITS * (3 - k)) for k, x in enumerate(g))
+    got = model.probability(np.array([number(g) for g in asked]))
+    assert np.allclose(got, [p(g) for g in asked])
     assert (np.diff(model.key.astype(np.float64)) >= 0).all() and len(np.unique(model.key)) == len(model.key)
-    common = grams[counts.argmax()]
-    assert model.probability(np.array([common]))[0] > 1 / perplexity.SYMBOLS
+    every = np.arange(perplexity.SYMBOLS) + number((1, 2, 1, 0))
+    assert np.isclose(model.probability(every).sum(), 1)
+    assert np.allclose(model.costs(np.repeat(gram, 2)), np.repeat(-np.log(model.probability(gram)), 2))
+
+
+def test_rarest_ngrams_go_first(spark):
+    counts = spark.createDataFrame([("x", i, 1 + i % 9) for i in range(90)], "lang string, gram long, n long")
+    assert perplexity._least_count(counts, 90) == 1 and perplexity._least_count(counts, 80) == 2 and perplexity._least_count(counts, 25) == 8
+
+
+def test_quality_rejects_foreign_text_and_word_salad(spark):
+    """Texts in other scripts, and words of letters at random, rise above the band of their language; order of rows is nothing."""
+    rnd = Random(10)
+    words = ["".join(rnd.choice("aeioudfglmnrst") for _ in range(rnd.randint(2, 8))) for _ in range(300)]
+    clean = [" ".join(rnd.choice(words) for _ in range(rnd.randint(60, 300))) for _ in range(200)]
+    foreign = [" ".join("".join(rnd.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(80)) for _ in range(2)]
+    salad = [" ".join("".join(rnd.choice("bcdfghjklmnpqrstvwxyz") for _ in range(6)) for _ in range(80)) for _ in range(2)]
+    df = docs(spark, [*clean, *foreign, *salad, "x" * 400_000 + " y" * 60], lang=["en"])
+    out = {r.doc_id: r for r in perplexity.quality(df).collect()}
+    assert sum(out[i].kept for i in range(200)) >= 197
+    assert not any(out[i].kept or out[i].base_failed for i in range(200, 204)) and all(out[i].log_perplexity > out[5].log_perplexity for i in range(200, 204))
+    again = {r.doc_id: (r.kept, r.log_perplexity) for r in perplexity.quality(df.repartition(9)).collect()}
+    assert again == {i: (r.kept, r.log_perplexity) for i, r in out.items()}
 
 
 def test_ngram_counts_cover_all_texts(spark):
@@ -307,7 +360,7 @@ def test_ngram_counts_cover_all_texts(spark):
         if t:
             found, _ = perplexity.symbols([t])
             for k in range(3, len(found)):
-                want[(["u", ""][i % 2], int(sum(int(found[k - 3 + j]) << (5 * (3 - j)) for j in range(4))))] += 1
+                want[(["u", ""][i % 2], int(sum(int(found[k - 3 + j]) << (6 * (3 - j)) for j in range(4))))] += 1
     assert got == dict(want)
 
 
