@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 
 from scriptorium.llm.batches import pieces, small_batches
 from scriptorium.llm.sampling import bounded_sample
+from scriptorium.session import settle
 
 LEARN_ROWS, SUPPORT, CERTAINTY, LEAST_WEIGHT, MARGIN, STEM, LONGEST, ENDINGS, DOMINANT, SAME = 20_000, 4, 0.01, 1.0, 0.7, 4, 10, 5, 0.4, 0.9
 REJECT_AT = 0.3
@@ -201,17 +202,15 @@ def _lexicon(sample: DataFrame) -> tuple[tuple[tuple[str, float], ...], tuple[tu
     bad, good = _sizes(sample)
     if not bad or not good:
         return (), ()
-    words = _counted(sample, lambda text: set(fold(text).split())).persist()
-    try:
-        whole = {r["word"]: r["weight"] for r in _strong(words, bad, good).collect()}
-        counted = _counted(sample, lambda text: {w[:n] for w in set(fold(text).split()) for n in range(STEM, min(LONGEST, len(w)) + 1)})
-        starts = F.transform(F.sequence(F.lit(STEM), F.least(F.lit(LONGEST), F.length("word"))), lambda n: F.left("word", n))
-        of_stem = words.where((F.col("bad") > 0) & (F.length("word") >= STEM)).select("bad", F.explode(starts).alias("word"))
-        of_stem = of_stem.groupBy("word").agg(F.count("*").alias("endings"), F.max("bad").alias("most"))
-        spread = counted.join(of_stem, "word").where((F.col("endings") >= ENDINGS) & (F.col("most") <= DOMINANT * F.col("bad"))).select("word")
-        found = {r["word"]: (r["weight"], r["bad"]) for r in _strong(counted.join(spread, "word"), bad, good).collect()}
-    finally:
-        words.unpersist()
+    words, _ = settle(_counted(sample, lambda text: set(fold(text).split())), "words")
+    whole = {r["word"]: r["weight"] for r in _strong(words, bad, good).collect()}
+    counted = _counted(sample, lambda text: {w[:n] for w in set(fold(text).split()) for n in range(STEM, min(LONGEST, len(w)) + 1)})
+    starts = F.transform(F.sequence(F.lit(STEM), F.least(F.lit(LONGEST), F.length("word"))), lambda n: F.left("word", n))
+    of_stem = words.where((F.col("bad") > 0) & (F.length("word") >= STEM)).select("bad", F.explode(starts).alias("word"))
+    of_stem = of_stem.groupBy("word").agg(F.count("*").alias("endings"), F.max("bad").alias("most"))
+    spread = counted.join(of_stem, "word").where((F.col("endings") >= ENDINGS) & (F.col("most") <= DOMINANT * F.col("bad"))).select("word")
+    stems, _ = settle(counted.join(spread, "word"), "stems")
+    found = {r["word"]: (r["weight"], r["bad"]) for r in _strong(stems, bad, good).collect()}
     kept: dict[str, float] = {}
     for stem in sorted(found, key=lambda w: (len(w), w)):
         weight, n = found[stem]
