@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import entities, events, library, search  # noqa: F401  they register their queries
+from scriptorium.plans import entities, events, library, mapped, search  # noqa: F401  they register their queries
 from scriptorium.plans.registry import QUERIES, SQL, Query
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import redact
@@ -17,6 +17,12 @@ from scriptorium.operators.topk import best_per_group
 #: Hours that answers of a kind stay fresh.
 TTL_HOURS = {"default": 24, "lookup": 24 * 7, "proceedings": 24 * 7, "fulltext": 24 * 30}
 
+#: Seconds between requests to a host, and to any other.
+HOST_SECONDS = {"arxiv": 3.1, "semantic_scholar": 1.1, "pubmed": 0.35, "pmlr": 0.3, "openreview": 0.3, "openalex": 0.12, "crossref": 0.1}
+OTHER_SECONDS = 0.2
+#: Longest wait before another try.
+LONGEST_WAIT = 60
+
 
 def request_key(method: Column, url: Column, parameters: Column) -> Column:
     """A key of a request that doesn't depend on the order of its parameters (a map) or on credentials."""
@@ -47,3 +53,16 @@ def failures(zone: DataFrame, retried: tuple[int, ...] = (429, 500, 502, 503, 50
     last = best_per_group(zone, "request_key", F.desc("fetched_at")).where("status <> 200")
     tries = zone.groupBy("request_key").agg(F.count_if(F.col("status") != 200).alias("tries"))
     return last.join(tries, "request_key").select("request_key", "status", "tries", F.col("status").isin(*retried).alias("again"))
+
+
+def backoff_seconds(tries: Column) -> Column:
+    """How long to wait before another try: twice as long after each failure, up to LONGEST_WAIT."""
+    return F.greatest(F.lit(1.0), F.least(F.lit(float(LONGEST_WAIT)), F.pow(F.lit(2.0), tries - 1)))
+
+
+def schedule(requests: DataFrame, start: datetime, order: str, host: str = "host") -> DataFrame:
+    """requests with at, the earliest time each may go out (T08): a host's requests follow each other by its interval."""
+    seconds = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in HOST_SECONDS.items() for x in pair]), F.col(host)), F.lit(OTHER_SECONDS))
+    place = F.row_number().over(Window.partitionBy(host).orderBy(order)) - 1
+    at = F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (seconds * place).cast("decimal(18,6)"))
+    return requests.withColumn("at", at)
