@@ -94,6 +94,23 @@ def fold_accents(c: Column) -> Column:
     return _fold(c)
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with marks, and the plain letters that they fold to."""
+    marked, plain = [], []
+    for point in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = [ch for ch in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(ch)]
+        if len(base) == 1 and base[0].isascii() and base[0].isalpha():
+            marked.append(chr(point))
+            plain.append(base[0])
+    return "".join(marked), "".join(plain)
+
+
+def fold_letters(c: Column) -> Column:
+    """Latin letters without their marks, inside the JVM, so that it can stand in a lambda."""
+    marked, plain = _plain_letters()
+    return F.translate(F.regexp_replace(c, "[\u0300-\u036f]", ""), marked, plain)
+
+
 def normalize_title(c: Column, unicode: bool = True) -> Column:
     """A title's key: lower case, no accents, markup, punctuation or version words.
 
@@ -108,7 +125,7 @@ def normalize_title(c: Column, unicode: bool = True) -> Column:
 def normalize_author_name(c: Column, unicode: bool = True) -> Column:
     """A name in plain lower-case letters, blanks and hyphens."""
     text = F.coalesce(c, F.lit(""))
-    return squeeze(F.regexp_replace(F.lower(fold_accents(text) if unicode else text), r"[^a-z\s\-]", " "))
+    return squeeze(F.regexp_replace(F.lower(fold_letters(text) if unicode else text), r"[^a-z\s\-]", " "))
 
 
 def distinguishing_tokens(title_key: Column) -> Column:

@@ -21,7 +21,7 @@ def name_keys_match(a: Column, b: Column, strict: bool = False) -> Column:
     return F.coalesce((a != "") & (b != "") & (F.element_at(x, -1) == F.element_at(y, -1)) & given, F.lit(False))
 
 
-def name_matches(a: Column, b: Column, strict: bool = False, unicode: bool = False) -> Column:
+def name_matches(a: Column, b: Column, strict: bool = False, unicode: bool = True) -> Column:
     """name_keys_match() of raw names."""
     return name_keys_match(normalize_author_name(a, unicode), normalize_author_name(b, unicode), strict)
 

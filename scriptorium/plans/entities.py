@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import normalize_doi, redact, seen_key, title_similarity
-from scriptorium.functions.venues import first_pattern
 from scriptorium.operators import enrich, graph, incremental, topk
-from scriptorium.operators.authors import aliases_by_institution, name_keys_match
+from scriptorium.operators.authors import aliases_by_institution
 from scriptorium.operators.components import connected_components
 from scriptorium.operators.dedup import fuzzy_links
 from scriptorium.plans.prompt import TRIGGERS, typo_candidates
@@ -34,37 +33,6 @@ def guarded_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.lookup(s, n, "key", {"filled": "n_name"}, guard).select("s_suppkey", "filled")
 
 
-@query("""WITH c AS (SELECT doc_id, 0 AS priority, 'id' AS method, item_id FROM documents JOIN benchmark ON item_id = doc_id
-UNION ALL SELECT doc_id, 1, 'hash', min(item_id) FROM documents JOIN benchmark ON md5(documents.text) = md5(benchmark.text) GROUP BY doc_id
-UNION ALL SELECT doc_id, 2, 'start', min(item_id) FROM documents JOIN benchmark ON left(documents.text, 12) = left(benchmark.text, 12) GROUP BY doc_id)
-SELECT doc_id, arg_min(method, priority) AS method, arg_min(item_id, priority) AS item_id FROM c GROUP BY doc_id""")
-def id_cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of several identifiers, in order of priority, that matches."""
-    kinds = lambda key, text: F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(m).alias("method"), v.alias("value")) for p, m, v in ((0, "id", key.cast("string")), (1, "hash", F.md5(text)), (2, "start", F.substring(text, 1, 12)))])
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(kinds(F.col("doc_id"), F.col("text"))).alias("k")).select("doc_id", "k.*")
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(kinds(F.col("item_id"), F.col("text"))).alias("k")).select("item_id", "k.method", "k.value")
-    b = b.groupBy("method", "value").agg(F.min("item_id").alias("item_id"))
-    met = d.join(b, ["method", "value"]).groupBy("doc_id").agg(F.min(F.struct("priority", "method", "item_id")).alias("m"))
-    return met.select("doc_id", "m.method", "m.item_id")
-
-
-_KEY_SQL = "sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))))"
-
-
-def _text_key() -> F.Column:
-    return F.sha2(F.lower(F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " "))), 256)
-
-
-@query(f"""WITH k AS (SELECT doc_id, source, {_KEY_SQL} AS text_key FROM documents),
-h AS (SELECT text_key, source, min(doc_id) AS head FROM k GROUP BY 1, 2)
-SELECT doc_id, head AS matched FROM k JOIN h USING (text_key, source) WHERE doc_id <> head""")
-def title_exact_match_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal text keys match, unless their sources, playing publisher DOIs, tell them apart."""
-    k = table(spark, sf_dir, "documents").select("doc_id", "source", _text_key().alias("text_key"))
-    heads = k.groupBy("text_key", "source").agg(F.min("doc_id").alias("matched"))
-    return k.join(heads, ["text_key", "source"]).where("doc_id <> matched").select("doc_id", "matched")
-
-
 @query()
 def fuzzy_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of similar part names, one name a row; equal ones are linked by their key elsewhere."""
@@ -84,13 +52,6 @@ def levenshtein_block_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.col("distance").cast("long").alias("distance")).distinct()
 
 
-@query(f"SELECT min(doc_id) AS cluster, count(*) AS n, count(DISTINCT source) AS n_sources FROM (SELECT doc_id, source, {_KEY_SQL} AS text_key FROM documents) GROUP BY text_key")
-def dedup_exact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of equal texts: smallest id, size, sources."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", _text_key().alias("text_key"))
-    return d.groupBy("text_key").agg(F.min("doc_id").alias("cluster"), F.count("*").alias("n"), F.count_distinct("source").alias("n_sources")).drop("text_key")
-
-
 @query("""WITH RECURSIVE b AS (SELECT c_custkey AS id, 'n' || c_nationkey || ':' || (floor(c_acctbal / 50))::BIGINT AS k FROM customer
   UNION ALL SELECT c_custkey, 's' || c_mktsegment || ':' || (floor(c_acctbal / 5))::BIGINT FROM customer),
 e AS (SELECT b.id AS src, h.dst FROM b JOIN (SELECT k, min(id) AS dst FROM b GROUP BY k) h USING (k) WHERE id <> dst),
@@ -105,61 +66,6 @@ def dedup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(b.join(heads, "k").where("id <> dst").select(F.col("id").alias("src"), "dst"))
 
 
-@query("""SELECT l_orderkey, arg_max(l_partkey, ((CASE l_linestatus WHEN 'F' THEN 3 ELSE 1 END) * 100 - l_linenumber)::BIGINT * 1000000000 + l_partkey)::BIGINT AS l_partkey, max(l_quantity) AS max_quantity,
-string_agg(DISTINCT l_returnflag, ';' ORDER BY l_returnflag) AS flags, count(*) AS n FROM lineitem GROUP BY l_orderkey""")
-def merge_best_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each order: the best line by status and place, the largest value, all flags."""
-    rank = F.when(F.col("l_linestatus") == "F", 3).otherwise(1) * 100 - F.col("l_linenumber")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.max_by("l_partkey", F.struct(rank, F.col("l_partkey"))).alias("l_partkey"), F.max("l_quantity").alias("max_quantity"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ";").alias("flags"), F.count("*").alias("n")
-    )
-
-
-def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lib = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(lib, "doc_id", "left")
-    better = (F.col("quality") == 0) & (F.col("n_chars") > 1000)
-    return d.withColumn("route", F.when(F.col("quality").isNull(), "candidate").when(better, "upgrade").otherwise("existing"))
-
-
-@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def library_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that the library doesn't hold."""
-    return _routed(spark, sf_dir).where("route = 'candidate'").select("doc_id", "source")
-
-
-@query("SELECT doc_id, source FROM documents JOIN labels USING (doc_id) WHERE NOT (quality = 0 AND n_chars > 1000)")
-def library_existing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that the library holds."""
-    return _routed(spark, sf_dir).where("route = 'existing'").select("doc_id", "source")
-
-
-@query("SELECT doc_id, source FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND n_chars > 1000")
-def preprint_upgrades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that better what the library holds."""
-    return _routed(spark, sf_dir).where("route = 'upgrade'").select("doc_id", "source")
-
-
-@query("""SELECT c_custkey, min(s_suppkey) AS watched FROM customer JOIN supplier ON s_nationkey = c_nationkey AND right(s_name, 2) = right(c_name, 2) GROUP BY c_custkey""")
-def author_watch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first watched name that matches: equal surnames (the number's end) and given names (the nation)."""
-    name = lambda n, text: F.concat(F.lit("n"), F.translate(F.col(n).cast("string"), "0123456789", "abcdefghij"), F.lit(" s"), F.translate(F.right(F.col(text), F.lit(2)), "0123456789", "abcdefghij"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", name("c_nationkey", "c_name").alias("a"))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", name("s_nationkey", "s_name").alias("b"))
-    surname = lambda n: F.element_at(F.split(n, " "), -1)
-    met = c.withColumn("k", surname("a")).join(s.withColumn("k", surname("b")), "k").where(name_keys_match(F.col("a"), F.col("b"), strict=True))
-    return met.groupBy("c_custkey").agg(F.min("s_suppkey").alias("watched"))
-
-
-_TYPES = (("steel_promo", "promo.*steel"), ("promo", "^promo"), ("standard", "standard"), ("brass", "brass$"), ("copper", "copper$"))
-
-
-@query("SELECT p_partkey, CASE " + " ".join(f"WHEN regexp_matches(lower(p_type), '{p}') THEN '{k}'" for k, p in _TYPES) + " ELSE 'unknown' END AS venue_key FROM part")
-def venue_canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical keys by an ordered table of patterns."""
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(first_pattern(F.lower("p_type"), _TYPES), F.lit("unknown")).alias("venue_key"))
-
-
 @query("""SELECT page_id, lower(regexp_replace(regexp_extract(u, '(?i)10\\.\\d{4,9}/[^\\s"<>]+', 0), '[.,;)\\]}]+$', '')) AS doi, left(sha1(url), 16) AS seen_key,
 regexp_replace(u, '(?i)\\b(api_key|apikey|key|token|access_token|email|mailto|password)=([^&\\s]+)', '\\1=***', 'g') AS safe_url
 FROM (SELECT page_id, url, url || '?token=abc' || page_id || '&doi=https://doi.org/10.1234/ABC.' || page_id || ').' AS u FROM pages)""")

@@ -102,8 +102,3 @@ def scan_if_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("stamp"), due.alias("due"))
 
 
-@query("""SELECT doc_id FROM documents WHERE sha256(lower(text)) <> (SELECT sha256(lower(text)) FROM documents WHERE doc_id = 8) OR doc_id IS NULL""")
-def seed_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows but those that are the seed itself under another id."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.lower("text"), 256).alias("k"))
-    return d.join(d.where("doc_id = 8").select("k"), "k", "left_anti").select("doc_id")
