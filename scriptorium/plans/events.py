@@ -115,33 +115,9 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(ps).alias("pos", "p")).select("page_id", F.col("pos").cast("long").alias("pos"), strip_markup(F.col("p"), entities=False).alias("text"))
 
 
-@query("""SELECT page_id, link, count(*) AS n, count(*) FILTER (WHERE contains(link, 'http')) AS absolute FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages) GROUP BY 1, 2""")
-def marker_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations (links) of each page, counted by target and kind."""
-    links = F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))
-    return table(spark, sf_dir, "pages").select("page_id", links.alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"), F.count_if(F.col("link").contains("http")).alias("absolute"))
-
-
 _ROLE_SQL = "CASE WHEN s >= 0.55 THEN 'likely baseline' WHEN s >= 0.30 THEN 'possible baseline' ELSE 'background reference' END"
 
 
-@query(f"""WITH c AS (SELECT conv_id, count(*) FILTER (WHERE role = 'assistant' AND contains(text, 'with')) > 0 AS strong, count(*) FILTER (WHERE contains(text, 'from')) > 0 AS medium,
-count(*) FILTER (WHERE role = 'system') > 0 AS influential, count(*) >= 6 AS result FROM conversations GROUP BY conv_id),
-s AS (SELECT conv_id, round(0.45 * strong::INT + 0.20 * medium::INT + 0.25 * influential::INT + 0.20 * result::INT, 3)::DOUBLE AS s0 FROM c), f AS (SELECT conv_id, least(1.0, s0)::DOUBLE AS s FROM s)
-SELECT {_ROLE_SQL} AS label, count(*) AS n, round(sum(s), 3)::DOUBLE AS total FROM f GROUP BY 1""")
-def role_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as references: weighted evidence, a label each, counted by label."""
-    w = baselines.WEIGHTS
-    text, role = F.col("text"), F.col("role")
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.bool_or((role == "assistant") & text.contains("with")).alias("strong"), F.bool_or(text.contains("from")).alias("medium"), F.bool_or(role == "system").alias("influential"), (F.count("*") >= 6).alias("result")
-    )
-    s = F.least(F.lit(1.0), F.round(sum((F.when(F.col(k), w[k]).otherwise(0.0) for k in ("strong", "medium", "influential", "result")), F.lit(0.0)), 3))
-    label = F.when(F.col("s") >= baselines.LIKELY, "likely baseline").when(F.col("s") >= baselines.POSSIBLE, "possible baseline").otherwise("background reference")
-    scored = c.select(s.alias("s")).withColumn("label", label)
-    return report.label_counts(scored).join(scored.groupBy("label").agg(F.round(F.sum("s"), 3).alias("total")), "label")
-
-
 _MATRIX = [(label, score, role, read) for label in ("benchmark/dataset", "likely baseline", "background reference") for score in (0.6, 0.8) for role in ("baseline", "dataset", "backbone", "background", None) for read in (True, False)]
 
 

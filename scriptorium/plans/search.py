@@ -158,23 +158,6 @@ def dictionary_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", classify.dictionary_score(_title(F.col("text")), F.col("text"), _TERMS).alias("score"))
 
 
-@query("""SELECT doc_id, regexp_matches(text, '(?i)[^a-z]th[a-z]*ing[^a-z]') AS has_term,
-  regexp_matches(text, '(?i)[^a-z]th[a-z]*ing[^a-z]') AND regexp_matches(text, '(?i)[^a-z](that|this)[^a-z]') AS counted FROM documents""")
-def context_gated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A term that counts only where its context occurs."""
-    term = F.col("text").rlike("(?i)[^a-z]th[a-z]*ing[^a-z]")
-    context = F.col("text").rlike("(?i)[^a-z](that|this)[^a-z]")
-    return table(spark, sf_dir, "documents").select("doc_id", term.alias("has_term"), (term & context).alias("counted"))
-
-
-@query("""SELECT page_id, regexp_matches(title, '(?i)^(the|of|and)\\b') AS excluded, regexp_matches(title, '(?i)\\b(that|with)\\b') AS survey
-FROM (SELECT page_id, trim(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) AS title FROM pages)""")
-def type_exclusion_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of pages, told by their headings."""
-    title = F.trim(F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1))
-    return table(spark, sf_dir, "pages").select("page_id", title.rlike("(?i)^(the|of|and)\\b").alias("excluded"), title.rlike("(?i)\\b(that|with)\\b").alias("survey"))
-
-
 _LADDER_SQL = """CASE WHEN o_orderstatus = 'P' THEN 'reject' WHEN o_totalprice >= 300000 AND o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'accept'
   WHEN o_totalprice >= 300000 THEN 'review' WHEN o_totalprice >= 100000 THEN 'review' ELSE 'reject' END AS decision,
   CASE WHEN o_orderstatus = 'P' THEN 'status is pending' WHEN o_totalprice >= 300000 AND o_orderpriority IN ('1-URGENT', '2-HIGH') THEN ''
@@ -194,22 +177,6 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumns({"decision": decision, "reject_reason": reason, "hard_rejected": F.col("o_orderstatus") == "P"})
 
 
-@query(f"SELECT o_orderkey, {_LADDER_SQL} FROM orders")
-def decision_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ordered ladder of conditions with reasons."""
-    return _orders(spark, sf_dir).select("o_orderkey", "decision", "reject_reason")
-
-
-@query("""SELECT o_orderkey, CASE WHEN o_totalprice IS NULL THEN 'missing price' WHEN o_orderstatus = 'P' THEN 'excluded status (P)'
-  WHEN o_totalprice < 20000 THEN 'too small' END AS reason FROM orders
-  WHERE CASE WHEN o_totalprice IS NULL THEN 'missing price' WHEN o_orderstatus = 'P' THEN 'excluded status (P)' WHEN o_totalprice < 20000 THEN 'too small' END IS NOT NULL""")
-def hard_filter_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first reason that rules a row out."""
-    price, status = F.col("o_totalprice"), F.col("o_orderstatus")
-    why = F.coalesce(F.when(price.isNull(), "missing price"), F.when(status == "P", F.concat(F.lit("excluded status ("), status, F.lit(")"))), F.when(price < 20000, "too small"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", why.alias("reason")).where("reason is not null")
-
-
 @query(f"""WITH x AS (SELECT o_orderkey, o_totalprice, {_LADDER_SQL} FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY decision ORDER BY o_totalprice DESC, o_orderkey) AS place FROM x)
 SELECT o_orderkey, CASE WHEN decision = 'accept' AND place > 25 THEN 'review' ELSE decision END AS decision,
