@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 OTHER, ROUNDS, SEED = "*", 25, "mix"
 MARGINALS = ("source", "lang", "topic")
 
-#: Topics, what tells them in lower-cased texts, and the weight of each time it does; ties go to the first.
+#: Topics: what tells them in lower-cased texts, each pattern with a string that all it matches hold, and the weight of each
+#: time it does; ties go to the first.
 TOPICS = {
-    "legal": ("licen[cs]e|copyright|warrant|permission|liabilit", 10),
-    "contact": ("@[a-z0-9-]+[.][a-z]|https?://|[0-9]{3}[-. ][0-9]{3,4}[-. ][0-9]{4}", 10),
-    "symbols": ("[#%&$*<>]{3,}", 4),
-    "table": (" [|] ", 1),
+    "legal": ((("licen", "licen[cs]e"), ("copyright", "copyright"), ("warrant", "warrant"), ("permission", "permission"), ("liabilit", "liabilit")), 10),
+    "contact": ((("@", "@[a-z0-9-]+[.][a-z]"), ("http", "https?://"), ("-", "[0-9]{3}-[0-9]{3,4}-[0-9]{4}")), 10),
+    "symbols": ((("", "[#%&$*<>]{3,}"),), 4),
+    "table": (((" | ", " [|] "),), 1),
 }
 PROSE, LEAST = "prose", 10
 
@@ -50,13 +51,19 @@ class Targets:
 RATE = 0.6
 
 
-def topic_of(text: Column, words: Column) -> Column:
+def hits_of(low: Column, topic: str) -> Column:
+    """What a topic's patterns weigh in a lower-cased text."""
+    patterns, weight = TOPICS[topic]
+    count = lambda p: F.coalesce(F.regexp_count(low, F.lit(p)), F.lit(0)).cast("long")
+    each = [F.when(low.contains(held), count(p)).otherwise(F.lit(0).cast("long")) if held else count(p) for held, p in patterns]
+    return sum(each[1:], each[0]) * weight
+
+
+def topic_of(hits: dict[str, Column], words: Column) -> Column:
     """The topic whose patterns weigh most, if they weigh enough for so many words."""
-    low = F.lower(text)
-    told = [(F.coalesce(F.regexp_count(low, F.lit(pattern)), F.lit(0)).cast("long") * weight, topic) for topic, (pattern, weight) in TOPICS.items()]
-    best = F.greatest(*[n for n, _ in told])
+    best = F.greatest(*hits.values())
     out = F.when((best == 0) | (best * 1000 < words * LEAST), PROSE)
-    for n, topic in told:
+    for topic, n in hits.items():
         out = out.when(n == best, topic)
     return out.otherwise(PROSE)
 
@@ -99,9 +106,10 @@ def mix(df: DataFrame, targets: Targets | None = None, rate: float = RATE, key:
     name = lambda n: f"{prefix}{n}"
     tables = [getattr(targets, m) for m in MARGINALS]
     cells = [name(f"cell_{m}") for m in MARGINALS]
-    whole = F.coalesce(F.col(text), F.lit(""))
-    placed = df.withColumn(name("words"), words_of(F.col(text)))
-    placed = placed.withColumn(name("topic"), topic_of(whole, F.col(name("words"))))
+    # columns of their own, so that each text is lowered once and each pattern counted once
+    placed = df.withColumns({name("words"): words_of(F.col(text)), name("low"): F.lower(F.coalesce(F.col(text), F.lit("")))})
+    placed = placed.withColumns({name(f"hits_{t}"): hits_of(F.col(name("low")), t) for t in TOPICS}).drop(name("low"))
+    placed = placed.withColumn(name("topic"), topic_of({t: F.col(name(f"hits_{t}")) for t in TOPICS}, F.col(name("words"))))
     own = [F.col("source"), F.col("lang"), F.col(name("topic"))]
     placed = placed.withColumns({c: _category(o, t) for c, o, t in zip(cells, own, tables, strict=True)})
     summed = placed.groupBy(*cells).agg(F.sum(name("words")).alias("w")).collect()
@@ -126,7 +134,8 @@ def oracle(targets: Targets | None = None, rate: float = RATE, rounds: int = ROU
     def listed(names):
         return ", ".join(f"'{n}'" for n in names)
 
-    hits = ", ".join(f"{weight} * len(regexp_extract_all(low, '{pattern}'))::BIGINT AS h{i}" for i, (pattern, weight) in enumerate(TOPICS.values()))
+    summed = lambda patterns: " + ".join(f"len(regexp_extract_all(low, '{p}'))::BIGINT" for _, p in patterns)
+    hits = ", ".join(f"{weight} * ({summed(patterns)}) AS h{i}" for i, (patterns, weight) in enumerate(TOPICS.values()))
     best = f"greatest({', '.join(f'h{i}' for i in range(len(TOPICS)))})"
     told = " ".join(f"WHEN h{i} = {best} THEN '{t}'" for i, t in enumerate(TOPICS))
     topic = f"CASE WHEN {best} = 0 OR {best} * 1000 < words * {LEAST} THEN '{PROSE}' {told} END"
