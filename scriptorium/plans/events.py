@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.dates import next_run, normalize_date, parse_date, parse_interval, window_start
 from scriptorium.functions.text import clip, seen_key, slug
-from scriptorium.operators import baselines, fulltext, incremental, report
+from scriptorium.operators import fulltext, incremental
 from scriptorium.operators.baselines import combine_roles
 from scriptorium.plans.registry import query
 from scriptorium.session import table
@@ -115,9 +115,6 @@ def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(ps).alias("pos", "p")).select("page_id", F.col("pos").cast("long").alias("pos"), strip_markup(F.col("p"), entities=False).alias("text"))
 
 
-_ROLE_SQL = "CASE WHEN s >= 0.55 THEN 'likely baseline' WHEN s >= 0.30 THEN 'possible baseline' ELSE 'background reference' END"
-
-
 _MATRIX = [(label, score, role, read) for label in ("benchmark/dataset", "likely baseline", "background reference") for score in (0.6, 0.8) for role in ("baseline", "dataset", "backbone", "background", None) for read in (True, False)]
 
 
