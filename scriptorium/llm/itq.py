@@ -2,10 +2,12 @@
 
 A rotation is learned on a bounded sample (SAMPLE vectors, those with the smallest hash of their id): principal
 directions, then alternating sign codes and orthogonal Procrustes solutions, so that the signs make balanced binary codes of
-up to 64 bits that keep angles. Every vector's code is cut into TABLES substrings. Codes within RADIUS bits of each
-other agree on some substring up to PROBE bits, so a vector stands in the bucket of each of its substrings and asks
-in those that differ in up to PROBE bits; of two vectors only the one with the larger substring asks. What a bucket
-yields is filtered by whole codes, each pair is kept by its first table only, and the original vectors decide in double precision.
+up to 64 bits that keep angles. The radius is learned too: vectors of the sample are moved to the least cosine, along random
+directions and along the sample's own differences, and RECALL of the codes must stay within it; a strong common mean or few
+bits so widen or narrow it. Every vector's code is cut into as many substrings as make codes within the radius agree on some
+substring up to PROBE bits, so a vector stands in the bucket of each of its substrings and asks in those that differ in up
+to PROBE bits; of two vectors only the one with the larger substring asks. What a bucket yields is filtered by whole codes,
+each pair is kept by its first table only, and the original vectors decide in double precision.
 
 First only codes are dealt to buckets, and the entries that have a candidate there are kept; their vectors are fetched,
 once for each bucket, and the bucket verifies its pairs again with them. It passes on, for each node, how many vectors its
@@ -31,7 +33,9 @@ from scriptorium.llm.simhash import Forest
 from scriptorium.operators.components import connected_components
 from scriptorium.session import settle
 
-SAMPLE, MAX_BITS, ROUNDS, TABLES, PROBE, RADIUS, BLOCK, LEAST_COSINE = 20_000, 64, 50, 7, 1, 13, 20_000, 0.93
+SAMPLE, MAX_BITS, ROUNDS, PROBE, BLOCK, LEAST_COSINE = 20_000, 64, 50, 1, 2_048, 0.93
+#: Share of pairs at the least cosine that codes must keep, by the sample, and how many of it are moved to tell.
+RECALL, MOVED = 0.998, 4_000
 SEED = 7
 #: Pairs of codes held at once while a bucket is read, and pairs of vectors compared at once.
 SLICE, PAIRS = 1 << 22, 1 << 16
@@ -60,8 +64,29 @@ def codes(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndar
     return (signs.astype(np.uint64) << np.arange(signs.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def _cuts(bits: int) -> list[tuple[int, int]]:
-    tables = min(TABLES, bits)
+def moved(unit: np.ndarray, side: np.ndarray, least: float) -> np.ndarray:
+    """Unit vectors at the least cosine to the given ones, towards the part of `side` that is orthogonal to them."""
+    side = side - (side * unit).sum(axis=1, keepdims=True) * unit
+    size = np.sqrt((side * side).sum(axis=1, keepdims=True))
+    return least * unit + np.sqrt(1 - least * least) * np.divide(side, size, out=np.zeros_like(side), where=size > 1e-9)
+
+
+def fit_radius(sample: np.ndarray, mean: np.ndarray, projection: np.ndarray, least: float = LEAST_COSINE, seed: int = SEED) -> int:
+    """The bits within which RECALL of pairs at the least cosine differ, whichever way they lie apart."""
+    bits = projection.shape[1]
+    if len(sample) < 2:
+        return bits
+    rnd = np.random.default_rng(seed)
+    unit = sample[rnd.permutation(len(sample))[:MOVED]]
+    sides = (rnd.standard_normal(unit.shape), sample[rnd.integers(0, len(sample), len(unit))] - sample[rnd.integers(0, len(sample), len(unit))])
+    own = codes(unit, mean, projection)
+    gaps = [np.bitwise_count(own ^ codes(moved(unit, side, least), mean, projection)) for side in sides]
+    return min(bits, int(max(np.quantile(g, RECALL, method="higher") for g in gaps)) + 1)
+
+
+def _cuts(bits: int, radius: int) -> list[tuple[int, int]]:
+    """Substrings so many that codes within the radius agree on one of them up to PROBE bits."""
+    tables = min(bits, radius // (PROBE + 1) + 1)
     edges = [bits * i // tables for i in range(tables + 1)]
     return list(zip(edges[:-1], edges[1:], strict=True))
 
@@ -93,17 +118,22 @@ def _by_length(batch: pa.RecordBatch, name: str):
         yield int(size), batch.take(pa.array(np.flatnonzero(sizes == size)))
 
 
-def _coded(points: DataFrame) -> DataFrame:
-    """(node, label, dim, code) of points; each length of vector has a rotation of its own."""
+#: Bits and radius of the codes of vectors of a length.
+Plan = dict[int, tuple[int, int]]
+
+
+def _coded(points: DataFrame, least: float = LEAST_COSINE, radius: int | None = None) -> tuple[DataFrame, Plan]:
+    """(node, label, dim, code) of points, and the plan of the codes; each length of vector has a rotation of its own."""
     spark = points.sparkSession
     sample = bounded_sample(points, "node", SAMPLE).select("v").collect()
     by: dict[int, list[list[float]]] = {}
     for row in sample:
         by.setdefault(len(row["v"]), []).append(row["v"])
-    fitted = {}
+    fitted, plan = {}, {}
     for dim, rows in by.items():
-        batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["v"])
-        fitted[dim] = fit_rotation(_unit(batch, "v"))
+        unit = _unit(pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["v"]), "v")
+        fitted[dim] = fit_rotation(unit)
+        plan[dim] = (min(MAX_BITS, dim), fit_radius(unit, *fitted[dim], least) if radius is None else radius)
     shared = spark.sparkContext.broadcast(fitted)
 
     def run(batches):
@@ -114,10 +144,16 @@ def _coded(points: DataFrame) -> DataFrame:
                 found = codes(_unit(rows, "v"), mean, projection)
                 yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("label"), pa.array(np.full(len(found), dim, np.int32)), pa.array(found.view(np.int64))], names=["node", "label", "dim", "code"])
 
-    return points.select("node", "label", "v").mapInArrow(run, "node long, label string, dim int, code long")
+    return points.select("node", "label", "v").mapInArrow(run, "node long, label string, dim int, code long"), plan
+
+
+def _planned(plan: Plan, dim: int) -> tuple[int, int]:
+    """A length that the sample lacks has so few vectors that all its codes may be compared."""
+    bits = min(MAX_BITS, dim)
+    return plan.get(dim, (bits, bits))
 
 
-def _dealt(coded: DataFrame) -> DataFrame:
+def _dealt(coded: DataFrame, plan: Plan) -> DataFrame:
     """A row for each bucket that a code stands in (asks false) or asks in (asks true)."""
 
     def run(batches):
@@ -127,7 +163,7 @@ def _dealt(coded: DataFrame) -> DataFrame:
             for dim in np.unique(dims):
                 rows = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 code = rows.column("code").to_numpy().view(np.uint64)
-                for t, (low, high) in enumerate(_cuts(min(MAX_BITS, int(dim)))):
+                for t, (low, high) in enumerate(_cuts(*_planned(plan, int(dim)))):
                     own = _substring(code, low, high)
                     for flips in (c for k in range(min(PROBE, high - low) + 1) for c in combinations(range(high - low), k)):
                         mask = np.uint64(sum(1 << b for b in flips))
@@ -169,11 +205,12 @@ def _groups(batches, keys: list[str]):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _candidates(part: dict, radius: int):
+def _candidates(part: dict, plan: Plan):
     """Yield (asking, standing) positions of pairs of one bucket's two blocks whose codes are within the radius, each
     pair of nodes in its first table only."""
     t, dim = int(part["t"][0]), int(part["dim"][0])
-    cuts = _cuts(min(MAX_BITS, dim))
+    bits, radius = _planned(plan, dim)
+    cuts = _cuts(bits, radius)
     same = part["one"][0] == part["two"][0]
     stands = np.flatnonzero(~part["asks"])
     for asks in (np.flatnonzero(part["asks"]), stands):
@@ -201,10 +238,10 @@ def _arrays(table: pa.Table) -> dict:
     return out
 
 
-def members(coded: DataFrame, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
+def members(coded: DataFrame, plan: Plan, block: int = BLOCK) -> DataFrame:
     """The entries of buckets that have a candidate there: a row for each, never one for each pair."""
     keys = ["label", "dim", "t", "bucket"]
-    dealt, _ = settle(_dealt(coded), "buckets")
+    dealt, _ = settle(_dealt(coded, plan), "buckets")
     large, _ = settle(dealt.groupBy(*keys).count().where(F.col("count") > block), "large-buckets")
     if large.isEmpty():
         paired = dealt.withColumns({"one": F.lit(0), "two": F.lit(0), "block": F.lit(0)})
@@ -225,7 +262,7 @@ def members(coded: DataFrame, block: int = BLOCK, radius: int = RADIUS) -> DataF
         for table in _groups(batches, _KEYS):
             part = _arrays(table)
             has = np.zeros(table.num_rows, bool)
-            for a, b in _candidates(part, radius):
+            for a, b in _candidates(part, plan):
                 has[a] = has[b] = True
             if has.any():
                 yield from table.filter(pa.array(has)).select(names).to_batches()
@@ -233,10 +270,12 @@ def members(coded: DataFrame, block: int = BLOCK, radius: int = RADIUS) -> DataF
     return grouped.mapInArrow(run, _MEMBER)
 
 
-def links(points: DataFrame, least: float = LEAST_COSINE, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
+def links(points: DataFrame, least: float = LEAST_COSINE, block: int = BLOCK, radius: int | None = None) -> DataFrame:
     """(node, others, root) of points (node, label, v, n): in each bucket, how many vectors a node's own links reach, and
     the root of its forest of links. Pairs are counted where they are verified, and not passed on."""
-    entries = members(_coded(points), block, radius).join(points.select("node", "v", "n"), "node")
+    coded, plan = _coded(points, least, radius)
+    met, _ = settle(members(coded, plan, block), "members")
+    entries = met.join(points.select("node", "v", "n"), "node")
     names = [*_KEYS, "asks", "block", "node", "code", "n", "v"]
     grouped = entries.select(*names).repartition(*_KEYS).sortWithinPartitions(*_KEYS)
 
@@ -246,7 +285,7 @@ def links(points: DataFrame, least: float = LEAST_COSINE, block: int = BLOCK, ra
             unit = _unit(table.select(["v"]).to_batches()[0], "v")
             nodes, place = np.unique(part["node"], return_inverse=True)
             others, forest = np.zeros(len(nodes), np.int64), Forest(len(nodes))
-            for a, b in _candidates(part, radius):
+            for a, b in _candidates(part, plan):
                 for k in range(0, len(a), PAIRS):
                     x, y = a[k : k + PAIRS], b[k : k + PAIRS]
                     near = np.einsum("ij,ij->i", unit[x], unit[y]) >= least
@@ -261,7 +300,7 @@ def links(points: DataFrame, least: float = LEAST_COSINE, block: int = BLOCK, ra
     return grouped.mapInArrow(run, "node long, others long, root long")
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = LEAST_COSINE, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = LEAST_COSINE, block: int = BLOCK, radius: int | None = None) -> DataFrame:
     """(key, n_links, component_id, kept) of every vector; kept ones are the smallest of their component."""
     usable = _usable(df, key, vector, label)
     points, _ = settle(usable.groupBy("label", "v").agg(F.min("id").alias("node"), F.count("*").alias("n")), "points")
