@@ -38,6 +38,10 @@ _LOW, _MAGIC = np.uint64(1 << 31), b"rANS"
 _U32, _BITS = np.uint64(32), np.uint64(TABLE_BITS)
 
 
+#: A block of more ids is encoded alone; pieces decoded together.
+LONG_IDS, PIECES = 4 * BLOCK_IDS, 256
+
+
 class Damaged(ValueError):
     """A block whose bytes or ids don't fit its marks."""
 
@@ -100,12 +104,22 @@ class Coder:
         self.filler = int(np.argmax(frequencies)) if len(frequencies) else 0
 
     def encode(self, blocks: list[tuple[list[int | None], list[np.ndarray]]]) -> list[bytes]:
-        """The bytes of each block of (keys, ids of each key's text); all blocks step together."""
-        flat = [np.concatenate(ids).astype(np.int64) for _, ids in blocks]
+        """The bytes of each block of (keys, ids of each key's text); blocks step together, but a long one alone, so that no
+        other is padded to its length."""
+        sizes = [sum(map(len, ids)) for _, ids in blocks]
+        short = [b for b, n in enumerate(sizes) if n <= LONG_IDS]
+        out: list[bytes] = [b""] * len(blocks)
+        for group in ([short] if short else []) + [[b] for b, n in enumerate(sizes) if n > LONG_IDS]:
+            for b, data in zip(group, self._together([blocks[b] for b in group]), strict=True):
+                out[b] = data
+        return out
+
+    def _together(self, blocks: list[tuple[list[int | None], list[np.ndarray]]]) -> list[bytes]:
+        flat = [np.concatenate(ids).astype(np.int32) for _, ids in blocks]
         steps = np.array([-(-len(x) // LANES) for x in flat])
         order = np.argsort(-steps, kind="stable")
         most = int(steps.max())
-        symbols = np.full((len(blocks), most * LANES), self.filler, np.int64)
+        symbols = np.full((len(blocks), most * LANES), self.filler, np.int32)
         for row, b in enumerate(order.tolist()):
             symbols[row, : len(flat[b])] = flat[b]
         if symbols.max() >= len(self.f) or not self.f[symbols].all():
@@ -113,7 +127,7 @@ class Coder:
         symbols = np.ascontiguousarray(symbols.reshape(len(blocks), most, LANES).transpose(1, 0, 2)).reshape(most, -1)
         live = np.searchsorted(-steps[order], -np.arange(most), side="left")  # blocks with over `step` steps
         state = np.full(len(blocks) * LANES, _LOW, np.uint64)
-        words, owners, counts, marks = [], [], np.zeros((most, len(blocks)), np.int64), {}
+        words, owners, counts, marks = [], [], np.zeros((most, len(blocks)), np.int32), {}
         for step in range(most - 1, -1, -1):
             n = int(live[step]) * LANES
             x, s = state[:n], symbols[step, :n]
@@ -133,7 +147,7 @@ class Coder:
         out: list[bytes] = [b""] * len(blocks)
         for row, b in enumerate(order.tolist()):
             keys, ids = blocks[b]
-            places = np.concatenate([[0], np.cumsum(counts[:, row])])
+            places = np.concatenate([[0], np.cumsum(counts[:, row], dtype=np.int64)])
             points = range(0, int(steps[b]), CHECKPOINT_STEPS)
             own = stream[(ends[row - 1] if row else 0) : ends[row]]
             out[b] = self._packed(keys, ids, flat[b], own, [(int(places[p]), marks[p][row * LANES : (row + 1) * LANES]) for p in points])
@@ -175,10 +189,15 @@ class Coder:
             read.append(([None if z else k for k, z in zip(keys.tolist(), null.tolist(), strict=True)], sizes, n, lanes, every, words, np.empty(n_points * every * lanes, np.int64)))
             pieces += found
         for lanes in {r[3] for r in read}:
-            self._run([p for p in pieces if read[p[0]][3] == lanes], read, lanes)
+            alike = [p for p in pieces if read[p[0]][3] == lanes]
+            for k in range(0, len(alike), PIECES):
+                self._run(alike[k : k + PIECES], read, lanes)
         out = []
+        checks: dict[int, list] = {}
+        for piece in pieces:
+            checks.setdefault(piece[0], []).append(piece)
         for b, (keys, sizes, n, lanes, every, _, flat) in enumerate(read):
-            for _, i, _, check, _, _ in (p for p in pieces if p[0] == b):
+            for _, i, _, check, _, _ in checks.get(b, ()):
                 if zlib.crc32(flat[i * every * lanes : min(n, (i + 1) * every * lanes)].astype("<u4").tobytes()) != check:
                     raise Damaged("a piece's checksum doesn't fit")
             ends = np.cumsum(sizes)
@@ -190,8 +209,9 @@ class Coder:
         if not pieces:
             return
         pieces = sorted(pieces, key=lambda p: -p[5])
-        bases = np.cumsum([0, *(len(r[5]) for r in read)])
-        stream = np.concatenate([*(r[5] for r in read), np.zeros(1, np.uint32)]).astype(np.uint64)
+        some = sorted({p[0] for p in pieces})
+        bases = dict(zip(some, np.cumsum([0, *(len(read[b][5]) for b in some)]).tolist(), strict=False))
+        stream = np.concatenate([*(read[b][5] for b in some), np.zeros(1, np.uint32)])
         pointer = np.array([bases[p[0]] + p[2] for p in pieces])
         state = np.concatenate([p[4] for p in pieces]).astype(np.uint64)
         steps = np.array([p[5] for p in pieces])
@@ -210,7 +230,7 @@ class Coder:
             rank = need.cumsum(axis=1)
             place = (pointer[:k, None] + rank - 1)[need]
             need = need.ravel()
-            x[need] = (x[need] << _U32) | stream[np.minimum(place, len(stream) - 1)]
+            x[need] = (x[need] << _U32) | stream[np.minimum(place, len(stream) - 1)].astype(np.uint64)
             pointer[:k] += rank[:, -1]
             state[: k * lanes] = x
         got = got.reshape(most, len(pieces), lanes)

@@ -161,6 +161,16 @@ def test_rans_blocks():
             coder.decode([bytes(bad)])
     with pytest.raises(ValueError):
         coder.encode([([1], [np.array([6000])])])
+    long = np.tile(ids, 15)  # 3 million ids among short blocks
+    import tracemalloc
+
+    tracemalloc.start()
+    some = [([k], [x]) for k, x in enumerate([ids[:10], long, *[ids[:500]] * 14])]
+    back = coder.decode(coder.encode(some))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(k1 == k2 and np.array_equal(a[0], b[0]) for (k1, a), (k2, b) in zip(some, back, strict=True))
+    assert peak < 60 * len(long)  # bytes an id, whatever stands beside it
 
 
 def test_token_files(spark, library, tmp_path, monkeypatch):
