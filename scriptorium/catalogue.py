@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import decided, entities, events, library, mapped, matched, search  # noqa: F401  they register their queries
+from scriptorium.plans import decided, entities, events, library, mapped, matched, search, written  # noqa: F401  they register their queries
 from scriptorium.plans.registry import QUERIES, SQL, Query
 
 

@@ -40,10 +40,12 @@ def id_links(df: DataFrame, key: str) -> DataFrame:
 
 
 def title_links(df: DataFrame, key: str) -> DataFrame:
-    """(src, dst) of equal title keys without a conflict.
+    """(src, dst) links that join what equal title keys without a conflict join.
 
-    Records of a title are first reduced to one for each (publisher DOI, arXiv id): these are linked to their smallest
-    member, and only the distinct combinations, few for any title, are compared with each other.
+    Records of a title are first reduced to one head for each (publisher DOI, arXiv id). A head without either fits any
+    other of its title; else a head without an arXiv id fits those of its DOI, one without a DOI those of its arXiv id, and
+    each of the former each of the latter. All of these are stars around a smallest head, so a title that thousands of DOIs
+    share gives as many rows as heads, never their pairs.
     """
     doi = F.lower(F.coalesce(F.try_element_at("ids", F.lit("doi")), F.lit("")))
     keyed = df.where(~blank(F.col("title_key"))).select(
@@ -51,10 +53,20 @@ def title_links(df: DataFrame, key: str) -> DataFrame:
     )
     heads = keyed.groupBy("title_key", "own_doi", "own_arxiv").agg(F.min(key).alias("head"))
     inside = keyed.join(heads, ["title_key", "own_doi", "own_arxiv"]).where(F.col(key) != F.col("head")).select(F.col(key).alias("src"), F.col("head").alias("dst"))
-    a, b = heads.alias("a"), heads.alias("b")
-    apart = lambda n: (F.col(f"a.{n}") == "") | (F.col(f"b.{n}") == "") | (F.col(f"a.{n}") == F.col(f"b.{n}"))
-    across = a.join(b, F.col("a.title_key") == F.col("b.title_key")).where((F.col("a.head") > F.col("b.head")) & apart("own_doi") & apart("own_arxiv"))
-    return inside.unionAll(across.select(F.col("a.head").alias("src"), F.col("b.head").alias("dst")))
+    no_doi, no_arxiv = F.col("own_doi") == "", F.col("own_arxiv") == ""
+    least = lambda fits: F.min(F.when(fits, F.col("head")))
+    by_title = heads.groupBy("title_key").agg(least(no_doi & no_arxiv).alias("free"), least(no_arxiv & ~no_doi).alias("of_doi"), least(no_doi & ~no_arxiv).alias("of_arxiv"))
+    by_doi = heads.where(no_arxiv & ~no_doi).select("title_key", "own_doi", F.col("head").alias("same_doi"))
+    by_arxiv = heads.where(no_doi & ~no_arxiv).select("title_key", "own_arxiv", F.col("head").alias("same_arxiv"))
+    met = heads.join(by_title, "title_key").join(by_doi, ["title_key", "own_doi"], "left").join(by_arxiv, ["title_key", "own_arxiv"], "left")
+    other = F.when(no_doi, F.col("of_doi")).when(no_arxiv, F.col("of_arxiv"))
+    to = F.when(F.col("free").isNotNull(), F.array("free")).otherwise(F.array("same_doi", "same_arxiv", other))
+    across = met.select("head", F.explode(F.array_compact(to)).alias("to")).where("head <> to")
+    return inside.unionAll(across.select(F.greatest("head", "to").alias("src"), F.least("head", "to").alias("dst")).distinct())
+
+
+#: Longest title whose pieces are joined; longer ones, mostly texts in the wrong field, meet those of about their length.
+LONG_TITLE = 400
 
 
 def fuzzy_links(df: DataFrame, key: str, threshold: float = 0.96) -> DataFrame:
@@ -62,40 +74,59 @@ def fuzzy_links(df: DataFrame, key: str, threshold: float = 0.96) -> DataFrame:
 
     Blocking is lossless: a ratio of t or more lets at most (1 - t)(|a| + |b|) letters of both titles lie outside the
     matching blocks, so one title has at most e = floor((1 - t) * 2 / t * |longer|) edits; of e + 1 equal pieces of
-    it at least one stands whole in the other, near its own place. Equal titles are one row before any comparison.
+    it at least one stands whole in the other, near its own place. Equal titles are one row before any comparison, and
+    the edit distance, computed in the JVM, goes before the ratio. Titles beyond LONG_TITLE meet by length instead.
     """
     heads = df.where(~blank(F.col("title_key"))).groupBy("title_key").agg(F.min(key).alias("node"), F.min_by("ids", key).alias("ids"))
     heads = heads.withColumns({"tokens": distinguishing_tokens(F.col("title_key")), "size": F.length("title_key")})
-    shapes = df.sparkSession.createDataFrame(_shapes(heads.agg(F.max("size")).first()[0] or 0, threshold), "size int, sa int, width int, edits int")
+    pairs = _piece_pairs(heads.where(F.col("size") <= LONG_TITLE), threshold).unionAll(_length_pairs(heads, threshold))
+    met = pairs.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct()
+    one = heads.select(F.col("node").alias("src"), F.col("title_key").alias("new"), F.col("ids").alias("new_ids"))
+    two = heads.select(F.col("node").alias("dst"), F.col("title_key").alias("old"), F.col("ids").alias("old_ids"))
+    apart = F.floor((F.length("new") + F.length("old")) * (1 - threshold) + 1e-9)
+    long = F.greatest(F.length("new"), F.length("old")) > LONG_TITLE
+    near = met.join(one, "src").join(two, "dst").where(~conflict(F.col("new_ids"), F.col("old_ids"))).where(long | (F.levenshtein("new", "old") <= apart))
+    scored = near.withColumn("similarity", title_similarity("new", "old"))
+    return scored.where(F.col("similarity") >= threshold).select("src", "dst", "similarity")
+
+
+def _shapes(sizes: DataFrame, threshold: float) -> DataFrame:
+    """(size, sa, width, edits): for each two lengths that occur and can be similar, the pieces of the shorter one."""
+    share, reach = (1 - threshold) * 2 / threshold, 2 / threshold - 1
+    longer = F.floor(F.col("sa") * reach + 1e-9)
+    short = sizes.select(F.col("size").alias("sa")).withColumn("edits", F.least(F.col("sa") - 1, F.floor(longer * share + 1e-9)).cast("int"))
+    short = short.withColumn("width", F.greatest(F.lit(1), F.floor(F.col("sa") / (F.col("edits") + 1))).cast("int"))
+    every = short.select("sa", "edits", "width", F.explode(F.sequence(F.col("sa"), F.greatest(F.col("sa"), longer.cast("int")))).alias("size"))
+    return every.join(sizes, "size")
+
+
+def _piece_pairs(heads: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of titles of which one holds a piece of the other near its place."""
+    shapes = _shapes(heads.select("size").distinct(), threshold)
     own = shapes.where("size = sa").drop("sa")
     pieces = (
-        heads.join(F.broadcast(own), "size")
+        heads.join(own, "size")
         .select("node", "tokens", F.col("size").alias("sa"), "width", F.posexplode(F.expr("transform(sequence(0, edits), i -> substring(title_key, i * width + 1, width))")).alias("no", "gram"))
         .select(F.col("node").alias("a"), "tokens", "sa", "no", "gram")
     )
     places = F.expr("sequence(greatest(0, no * width - edits), greatest(0, least(size - width, no * width + edits)))")
     grams = (
-        heads.join(F.broadcast(shapes), "size")
+        heads.join(shapes, "size")
         .select("node", "title_key", "tokens", "size", "sa", "width", "edits", F.explode(F.expr("sequence(0, edits)")).alias("no"))
         .select(F.col("node").alias("b"), "tokens", "sa", "no", F.explode(F.array_distinct(F.transform(places, lambda at: F.substring(F.col("title_key"), at + 1, F.col("width"))))).alias("gram"))
     )
-    met = pieces.join(grams, ["tokens", "sa", "no", "gram"]).where("a <> b").select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct()
-    one = heads.select(F.col("node").alias("src"), F.col("title_key").alias("new"), F.col("ids").alias("new_ids"))
-    two = heads.select(F.col("node").alias("dst"), F.col("title_key").alias("old"), F.col("ids").alias("old_ids"))
-    scored = met.join(one, "src").join(two, "dst").where(~conflict(F.col("new_ids"), F.col("old_ids"))).withColumn("similarity", title_similarity("new", "old"))
-    return scored.where(F.col("similarity") >= threshold).select("src", "dst", "similarity")
-
-
-def _shapes(longest: int, threshold: float) -> list[tuple[int, int, int, int]]:
-    """(size, size of the shorter title, width of its pieces, edits) of all titles that can be similar: at most a few for
-    each size up to the longest, so their number is bounded by the longest title and the threshold."""
-    share, out = (1 - threshold) * 2 / threshold, []
-    for short in range(1, longest + 1):
-        reach = math.floor(short * (2 / threshold - 1) + 1e-9)
-        edits = min(short - 1, math.floor(reach * share + 1e-9))
-        width = max(1, short // (edits + 1))
-        out += [(size, short, width, edits) for size in range(short, max(short, min(longest, reach)) + 1)]
-    return out or [(0, 0, 1, 0)]
+    return pieces.join(grams, ["tokens", "sa", "no", "gram"]).where("a <> b").select("a", "b")
+
+
+def _length_pairs(heads: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of titles of which one is beyond LONG_TITLE, and whose lengths can be similar."""
+    ratio = threshold / (2 - threshold)  # of lengths: all letters of the shorter one match
+    step = F.floor(F.log(F.col("size")) / -math.log(ratio)).cast("int")
+    some = heads.where(F.col("size") >= int(LONG_TITLE * ratio)).select("node", "tokens", "size", step.alias("step"))
+    a = some.select(F.col("node").alias("a"), "tokens", F.col("size").alias("size_a"), "step")
+    b = some.select(F.col("node").alias("b"), "tokens", F.col("size").alias("size_b"), F.explode(F.array("step", F.col("step") - 1)).alias("step"))
+    met = a.join(b, ["tokens", "step"]).where((F.col("a") != F.col("b")) & (F.greatest("size_a", "size_b") > LONG_TITLE))
+    return met.where(F.least("size_a", "size_b") >= ratio * F.greatest("size_a", "size_b")).select("a", "b")
 
 
 def clusters(papers: DataFrame, key: str = "paper_id", threshold: float = 0.96) -> DataFrame:

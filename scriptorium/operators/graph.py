@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.session import settle
+
 
 def expand(seeds: DataFrame, edges: dict[str, DataFrame], seed_key: str = "seed_id") -> DataFrame:
     """(seed, paper_id, relations): papers one edge away, with the kinds of edges that lead to them.
@@ -56,21 +58,20 @@ def short_name_match(title_head: Column, title_key: Column, query_key: str) -> C
     return F.lit(len(query_key) >= 3) & ((title_head == query_key) | long)
 
 
-def with_paths(nodes: DataFrame, key: str = "key", name: str = "name", parent: str = "parentCollection", deleted: str = "deleted", depth: int = 50) -> DataFrame:
+def with_paths(nodes: DataFrame, key: str = "key", name: str = "name", parent: str = "parentCollection", deleted: str = "deleted") -> DataFrame:
     """(key, path, level, gone): paths of a tree from parent pointers; what hangs below a deleted node is gone too.
 
-    A level is one join; the loop ends with the tree, after `depth` levels at most.
+    A level is one join, written before the next; the loop ends with the tree, however deep. Nodes on a cycle, or below a
+    parent that doesn't exist, have no path.
     """
     n = nodes.select(F.col(key).alias("k"), F.col(name).alias("name"), F.col(parent).alias("parent"), F.coalesce(F.col(deleted), F.lit(False)).alias("own_gone"))
-    level = n.where(F.col("parent").isNull() | (F.col("parent") == "")).select("k", F.col("name").alias("path"), F.lit(0).alias("level"), F.col("own_gone").alias("gone"))
-    out, below = level, level
-    for d in range(1, depth):
+    below, _ = settle(n.where(F.col("parent").isNull() | (F.col("parent") == "")).select("k", F.col("name").alias("path"), F.lit(0).alias("level"), F.col("own_gone").alias("gone")), "level")
+    levels = [below]
+    while not below.isEmpty():
         up = below.select(F.col("k").alias("parent"), F.col("path").alias("up"), F.col("gone").alias("up_gone"))
-        below = n.join(up, "parent").select("k", F.concat_ws("/", "up", "name").alias("path"), F.lit(d).alias("level"), (F.col("own_gone") | F.col("up_gone")).alias("gone"))
-        if below.isEmpty():
-            break
-        out = out.unionAll(below)
-    return out.withColumnRenamed("k", key)
+        below, _ = settle(n.join(up, "parent").select("k", F.concat_ws("/", "up", "name").alias("path"), F.lit(len(levels)).alias("level"), (F.col("own_gone") | F.col("up_gone")).alias("gone")), "level")
+        levels.append(below)
+    return reduce(DataFrame.unionAll, levels).withColumnRenamed("k", key)
 
 
 def missing_levels(paths: DataFrame, existing: DataFrame, column: str = "path") -> DataFrame:

@@ -82,27 +82,6 @@ def seen_key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", seen_key(F.col("event_id").cast("string")).alias("seen_key"))
 
 
-@query("""SELECT c_custkey, c_name AS title, CASE WHEN c_nationkey % 2 = 0 THEN 'journalArticle' ELSE 'preprint' END AS kind,
-regexp_extract(c_name, '^(.*)#', 1) AS first_name, regexp_extract(c_name, '#(.*)$', 1) AS last_name FROM customer""")
-def item_json_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows as JSON documents of a kind, read back; names are split."""
-    from scriptorium.sources.sinks import split_name
-
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(F.col("c_nationkey") % 2 == 0, "journalArticle").otherwise("preprint").alias("kind"))
-    item = F.to_json(F.struct(F.col("kind").alias("itemType"), F.col("c_name").alias("title"), split_name(F.replace(F.col("c_name"), F.lit("#"), F.lit(" "))).alias("creator")))
-    back = F.from_json(item, "itemType string, title string, creator struct<firstName:string,lastName:string,name:string>")
-    return c.select("c_custkey", back.alias("b")).select("c_custkey", "b.title", F.col("b.itemType").alias("kind"), F.col("b.creator.firstName").alias("first_name"), F.col("b.creator.lastName").alias("last_name"))
-
-
-@query("""SELECT o_orderkey, unnest(list_distinct(list_filter([CASE WHEN o_orderstatus = 'F' THEN 'Finished/' || o_orderpriority END, CASE WHEN o_totalprice > 200000 THEN 'Large' END,
-CASE WHEN o_orderstatus <> 'F' AND o_totalprice <= 200000 THEN 'Other' END], lambda x: x IS NOT NULL))) AS target FROM orders""")
-def fanout_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row to one or more destinations."""
-    done, large = F.col("o_orderstatus") == "F", F.col("o_totalprice") > 200000
-    targets = F.array_distinct(F.array_compact(F.array(F.when(done, F.concat(F.lit("Finished/"), "o_orderpriority")), F.when(large, "Large"), F.when(~done & ~large, "Other"))))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(targets).alias("target"))
-
-
 @query("""WITH m AS (SELECT DISTINCT o_orderkey AS member FROM orders WHERE o_orderpriority = '1-URGENT'),
 c AS (SELECT l_partkey AS ref, count(DISTINCT l_orderkey) AS citing FROM lineitem JOIN m ON l_orderkey = member GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 2)
 SELECT ref, citing, round(least(1.0, 0.5 + 0.02 * (citing - 1)), 4)::DOUBLE AS final_score FROM c WHERE ref NOT IN (SELECT p_partkey FROM part WHERE p_size > 40)""")

@@ -34,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; where it is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir, which all executors share; on a local master that sets none, one of our own."""
     context = spark.sparkContext
     found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="scriptorium-")
     if not context.getCheckpointDir():

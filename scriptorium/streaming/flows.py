@@ -98,3 +98,15 @@ def running_state(events: DataFrame, key: str = "user_id") -> DataFrame:
         yield pd.DataFrame({key: [keys[0]], "n": [n], "last_ts": [last]})
 
     return events.groupBy(key).applyInPandasWithState(update, f"{key} long, n long, last_ts timestamp", "n long, last timestamp", "update", GroupStateTimeout.NoTimeout)
+
+
+def latest_state(updates: DataFrame, path: str, checkpoint: str) -> None:
+    """Write the updates of a stateful stream, a folder for each micro-batch, over what has landed."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
