@@ -239,17 +239,25 @@ class Coder:
             read[b][6][begin : begin + n * lanes] = got[:n, j].ravel()
 
 
-_TOKENS = "key long, ids binary"
+_TOKENS = "key long, ids binary, counts binary"
 
 
 def _encode_rows(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """(key, ids, null) of each text, and after a task's last one (null, null, how often each id occurs in its texts)."""
+
     def run(batches):
         coder = encoder(tokenizer)
         wide = "<u2" if max(end_id, coder.largest) <= 0xFFFF else "<u4"
         mark, last = wide[-1].encode(), np.array([end_id], wide).tobytes()
+        total = np.zeros(max(end_id, coder.largest) + 1, np.int64)
+        names = ["key", "ids", "counts"]
         for rows in pieces(batches, "text", PIECE_BYTES):
-            data = [mark + x.astype(wide).tobytes() + last for x in coder.encode(rows.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(data, pa.binary())], names=["key", "ids"])
+            found = coder.encode(rows.column("text").to_pylist())
+            total += np.bincount(np.concatenate(found), minlength=len(total))
+            total[end_id] += len(found)
+            data = [mark + x.astype(wide).tobytes() + last for x in found]
+            yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(data, pa.binary()), pa.nulls(len(data), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
     return df.mapInArrow(run, _TOKENS)
 
@@ -259,18 +267,16 @@ def _ids(data: bytes) -> np.ndarray:
 
 
 def _counts(tokens: DataFrame) -> DataFrame:
-    """(id, n) over all texts, summed in each task first."""
+    """(id, n) over all texts, from each task's own sums."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            found = np.bincount(np.concatenate([_ids(x).astype(np.int64) for x in batch.column("ids").to_pylist()] or [np.zeros(0, np.int64)]))
-            total = np.pad(total, (0, max(0, len(found) - len(total))))
-            total[: len(found)] += found
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
+            for data in batch.column("counts").to_pylist():
+                total = np.frombuffer(data, "<i8")
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("counts").where("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 _BLOCK = "part int, split long, number long, n_ids long, block binary"
@@ -328,7 +334,7 @@ def write_ids(df: DataFrame, out: str, tokenizer: str, key: str = "doc_id", text
     frequencies = scaled(counts)
     symbols = np.flatnonzero(frequencies)
     spark.createDataFrame([(TABLE_BITS, symbols.tolist(), frequencies[symbols].tolist())], "bits int, symbols array<long>, frequencies array<long>").coalesce(1).write.parquet(f"{out}/table")
-    placed = tokens.select("part", F.col("_metadata.file_block_start").alias("split"), "key", "ids")
+    placed = tokens.where("counts is null").select("part", F.col("_metadata.file_block_start").alias("split"), "key", "ids")
     with shuffle_files_dropped(spark):
         _blocks(placed, frequencies).write.option("compression", "none").parquet(f"{out}/blocks")
     drop_path(spark, path)
