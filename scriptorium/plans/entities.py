@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import normalize_doi, redact, seen_key, title_similarity
+from scriptorium.functions.text import normalize_doi, redact, seen_key
 from scriptorium.operators import enrich, graph, incremental, topk
 from scriptorium.operators.authors import aliases_by_institution
 from scriptorium.operators.components import connected_components
-from scriptorium.operators.dedup import fuzzy_links
-from scriptorium.plans.prompt import TRIGGERS, typo_candidates
 from scriptorium.plans.registry import query
 from scriptorium.session import table
 
@@ -33,13 +31,6 @@ def guarded_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.lookup(s, n, "key", {"filled": "n_name"}, guard).select("s_suppkey", "filled")
 
 
-@query()
-def fuzzy_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of similar part names, one name a row; equal ones are linked by their key elsewhere."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("paper_id"), F.lower("p_name").alias("title_key"), F.create_map().cast("map<string,string>").alias("ids"))
-    return fuzzy_links(p, "paper_id", 0.9).select("src", "dst", F.round("similarity", 4).alias("similarity"))
-
-
 @query("""WITH n AS (SELECT lower(p_name) AS k, min(p_partkey) AS id FROM part GROUP BY 1),
 w AS (SELECT id, k, list_distinct(string_split(k, ' ')) AS words FROM n), e AS (SELECT id, k, unnest(words) AS word FROM w)
 SELECT DISTINCT a.id AS src, b.id AS dst, levenshtein(a.k, b.k)::BIGINT AS distance FROM e a JOIN e b ON a.word = b.word AND a.id > b.id WHERE levenshtein(a.k, b.k) <= 3""")
@@ -136,14 +127,6 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.best_per_group(li, "l_orderkey", F.desc("l_extendedprice"), F.col("l_linenumber"), k=2).drop("place")
 
 
-@query()
-def typo_correction_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of documents that are misspellings of a trigger word, by a blocked join."""
-    d = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]{5,14})"), F.lit(1)))).alias("token"))
-    vocabulary = spark.createDataFrame([(w,) for w in TRIGGERS], "word string")
-    return typo_candidates(d, vocabulary)
-
-
 @query("""SELECT page_id, path, count(*) AS n FROM (SELECT page_id, unnest(string_split(split_part(regexp_replace(url, '^https?://[^/]*/?', ''), '?', 1), '/')) AS path FROM pages) WHERE path <> '' GROUP BY 1, 2""")
 def split_path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of URL paths."""
@@ -162,13 +145,6 @@ def missing_path_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.missing_levels(paths, r.where("r_regionkey < 2").select(F.col("r_name").alias("path")))
 
 
-@query()
-def title_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of each supplier's name to the customer of its number."""
-    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    return s.join(c, F.col("c_custkey") == F.col("s_suppkey")).select("s_suppkey", F.round(title_similarity(F.lower("s_name"), F.lower("c_name")), 4).alias("similarity"))
-
-
 @query("""WITH b AS (SELECT user_id AS key, event_id AS version, event_type FROM events)
 SELECT key, version, event_type FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS r FROM b)
 WHERE r = 1 AND key NOT IN (SELECT user_id FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) % 2 = 0)""")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.dates import next_run, normalize_date, parse_date, parse_interval, window_start
 from scriptorium.functions.text import clip, seen_key, slug
-from scriptorium.operators import fulltext, incremental
+from scriptorium.operators import incremental
 from scriptorium.operators.baselines import combine_roles
 from scriptorium.plans.registry import query
 from scriptorium.session import table
@@ -66,25 +66,6 @@ def window_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(start, "yyyy-MM-dd").alias("window_start"))
 
 
-_INTERVALS = {"30": 30, "2w": 14, "1m": 30, "every 2 weeks": 14, "monthly": 30, "Weekly": 7, "quarterly": 91, "a week": 7, "six months": 180, "400": None, "soon": None, "0d": None}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if v is None else v}::INT)" for k, v in _INTERVALS.items()) + ") v(said, days)")
-def interval_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of written intervals."""
-    return spark.createDataFrame([(k,) for k in _INTERVALS], "said string").select("said", parse_interval(F.col("said")).alias("days"))
-
-
-_DATES = {"2024": ("2024-01-01", "2024-01-01"), "2024-02": ("2024-02-01", "2024-02-01"), "2023-02-31": ("2023-02-28", None), "2024-13-05": ("2024-12-05", None), "x": (None, None), "2024-06-30": ("2024-06-30", "2024-06-30")}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if a is None else repr(a)}, {'NULL' if b is None else repr(b)})" for k, (a, b) in _DATES.items()) + ") v(said, held, exact)")
-def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partial dates, held within bounds or refused."""
-    d = spark.createDataFrame([(k,) for k in _DATES], "said string")
-    return d.select("said", F.date_format(parse_date(F.col("said")), "yyyy-MM-dd").alias("held"), normalize_date(F.col("said")).alias("exact"))
-
-
 @query("""SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4)::DOUBLE AS total FROM events GROUP BY 1, 2""")
 def stream_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by day and type; the same plan runs on a stream."""
@@ -105,31 +86,6 @@ def stream_dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.replay_once(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id")
 
 
-@query("""SELECT page_id, (pos - 1)::BIGINT AS pos, trim(regexp_replace(regexp_replace(p, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS text
-FROM (SELECT page_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1) AS ps FROM pages))""")
-def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs of pages, in order, as text."""
-    from scriptorium.functions.text import strip_markup
-
-    ps = F.regexp_extract_all("html", F.lit("(?s)<p[^>]*>(.*?)</p>"), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(ps).alias("pos", "p")).select("page_id", F.col("pos").cast("long").alias("pos"), strip_markup(F.col("p"), entities=False).alias("text"))
-
-
-_MATRIX = [(label, score, role, read) for label in ("benchmark/dataset", "likely baseline", "background reference") for score in (0.6, 0.8) for role in ("baseline", "dataset", "backbone", "background", None) for read in (True, False)]
-
-
-@query("SELECT label, score, role, was_read, CASE WHEN role = 'baseline' AND label = 'benchmark/dataset' THEN 'possible baseline' WHEN role = 'baseline' THEN 'likely baseline' WHEN role = 'dataset' THEN 'benchmark/dataset' "
-       "WHEN role = 'backbone' AND label = 'likely baseline' AND score >= 0.75 THEN 'possible baseline' WHEN role = 'backbone' THEN 'backbone/tool' WHEN role = 'background' AND label = 'likely baseline' THEN 'possible baseline' "
-       "WHEN role = 'background' THEN 'background reference' WHEN was_read AND label = 'likely baseline' THEN 'possible baseline' ELSE label END AS result, "
-       "CASE WHEN role = 'baseline' AND label <> 'benchmark/dataset' THEN greatest(score, 0.8) ELSE score END AS new_score FROM (VALUES "
-       + ", ".join(f"('{a}', {b}::DOUBLE, {'NULL' if c is None else repr(c)}, {d})" for a, b, c, d in _MATRIX) + ") v(label, score, role, was_read)")
-def role_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every label with every verified role."""
-    m = spark.createDataFrame(_MATRIX, "label string, score double, role string, was_read boolean")
-    label, score = combine_roles(F.col("label"), F.col("score"), F.coalesce("role", F.lit("")), F.col("was_read"))
-    return m.select("label", "score", "role", "was_read", label.alias("result"), score.alias("new_score"))
-
-
 @query("""SELECT doc_id, count(*) AS n, min(item_id) AS first_item FROM documents, benchmark WHERE contains(trim(regexp_replace(lower(documents.text), '[^a-z0-9]+', ' ', 'g')),
 left(trim(regexp_replace(lower(benchmark.text), '[^a-z0-9]+', ' ', 'g')), 120)) GROUP BY doc_id""")
 def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,12 +104,6 @@ def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("doc_id").agg(F.count_distinct("item_id").alias("n"), F.min("item_id").alias("first_item"))
 
 
-@query("SELECT p_partkey, left(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug, CASE WHEN length(p_type) <= 12 THEN p_type ELSE regexp_replace(left(p_type, 11), ' [^ ]*$', '') || '…' END AS clipped FROM part WHERE length(p_name) <= 40")
-def slug_and_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short ids of names, and text cut at a word."""
-    return table(spark, sf_dir, "part").where(F.length("p_name") <= 40).select("p_partkey", slug(F.col("p_name")).alias("slug"), clip(F.col("p_type"), 12).alias("clipped"))
-
-
 @query("""SELECT c_custkey AS id, CASE WHEN failed THEN 'error' WHEN retrieved = 0 AND errors > 0 THEN 'error' WHEN action = 'report_only' THEN 'report-only' WHEN dry THEN 'dry-run' ELSE 'ok' END AS last_status,
 strftime(CASE WHEN failed THEN TIMESTAMP '2024-06-02 07:30:00' ELSE TIMESTAMP '2024-06-01 07:30:00' + to_days(7 + (c_custkey % 20)::INT) END, '%Y-%m-%d %H:%M:%S') AS next_run_at,
 NOT failed AND NOT (retrieved = 0 AND errors > 0) AND action <> 'report_only' AND NOT dry AS covered FROM (SELECT c_custkey, c_custkey % 11 = 0 AS failed, c_custkey % 4 AS retrieved, c_custkey % 2 AS errors,
@@ -168,14 +118,48 @@ def alert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("id", "last_status", F.date_format("next_run_at", "yyyy-MM-dd HH:mm:ss").alias("next_run_at"), F.col("last_success_at").isNotNull().alias("covered"))
 
 
-@query()
-def fulltext_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as sections with their links as citation markers: signals of each reference."""
-    p = table(spark, sf_dir, "pages")
-    h1 = F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1)
-    marked = F.regexp_replace(F.regexp_replace("html", '<a href="[^"]*?([a-z0-9]+)[^"a-z0-9]*"[^>]*>', "[bib$1] "), "<[^>]+>", " ")
-    kind = F.when(F.col("page_id") % 2 == 0, "Experiments / Baselines").otherwise("Related Work")
-    rows = p.select("page_id", F.lit(0).alias("pos"), F.concat_ws(" / ", kind, h1).alias("title"), marked.alias("text"))
-    signals = fulltext.citation_signals(fulltext.flag_sections(rows, "page_id"), "page_id")
-    return signals.select("page_id", "bid", "experiments", "related", "other", "tables", F.size("snippets").alias("n_snippets"))
+_INTERVALS = (("30", 30), ("2w", 14), ("1m", 30), ("every 2 weeks", 14), ("monthly", 30), ("Weekly", 7), ("quarterly", 91), ("a week", 7), ("six months", 180), ("400", None), ("soon", None), ("0d", None))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 20 < 12 THEN days ELSE (1 + o_orderkey % 17) * 7 END::INT AS days FROM orders LEFT JOIN (VALUES {", ".join(f"({i}, {'NULL' if d is None else d})" for i, (_, d) in enumerate(_INTERVALS))}) v(i, days) ON i = o_orderkey % 20""")
+def interval_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of written intervals, one for each order."""
+    k = F.col("o_orderkey")
+    said = F.concat(F.lit("every "), (1 + k % 17).cast("string"), F.lit(" weeks"))
+    for i, (text, _) in enumerate(_INTERVALS):
+        said = F.when(k % 20 == i, text).otherwise(said)
+    return table(spark, sf_dir, "orders").select("o_orderkey", parse_interval(said).alias("days"))
+
 
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-01-01') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 3 THEN strftime(o_orderdate, '%Y-12-01') END AS held,
+CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-01-01') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS exact FROM orders""")
+def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial dates, held within bounds or refused."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    said = F.when(k % 5 == 0, F.date_format(day, "yyyy")).when(k % 5 == 1, F.date_format(day, "yyyy-MM")).when(k % 5 == 2, F.date_format(day, "yyyy-MM-dd")).when(k % 5 == 3, F.concat(F.date_format(day, "yyyy"), F.lit("-13-00"))).otherwise("soon")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(parse_date(said), "yyyy-MM-dd").alias("held"), normalize_date(said).alias("exact"))
+
+
+_COMBINED_SQL = """SELECT key, CASE WHEN role = 'baseline' AND label = 'benchmark/dataset' THEN 'possible baseline' WHEN role = 'baseline' THEN 'likely baseline' WHEN role = 'dataset' THEN 'benchmark/dataset'
+WHEN role = 'backbone' AND label = 'likely baseline' AND score >= 0.75 THEN 'possible baseline' WHEN role = 'backbone' THEN 'backbone/tool' WHEN role = 'background' AND label = 'likely baseline' THEN 'possible baseline'
+WHEN role = 'background' THEN 'background reference' WHEN was_read AND label = 'likely baseline' THEN 'possible baseline' ELSE label END AS result, CASE WHEN role = 'baseline' AND label <> 'benchmark/dataset' THEN greatest(score, 0.8) ELSE score END AS new_score"""
+
+
+@query(f"""{_COMBINED_SQL} FROM (SELECT l_orderkey * 10 + l_linenumber AS key, round(l_discount * 10, 2)::DOUBLE AS score, CASE l_linenumber % 3 WHEN 0 THEN 'benchmark/dataset' WHEN 1 THEN 'likely baseline' ELSE 'background reference' END AS label,
+CASE l_partkey % 5 WHEN 0 THEN 'baseline' WHEN 1 THEN 'dataset' WHEN 2 THEN 'backbone' WHEN 3 THEN 'background' ELSE '' END AS role, l_linestatus = 'F' AS was_read FROM lineitem)""")
+def role_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and scores of references after verified roles, or after a reading that named none."""
+    n, p = F.col("l_linenumber"), F.col("l_partkey")
+    label = F.when(n % 3 == 0, "benchmark/dataset").when(n % 3 == 1, "likely baseline").otherwise("background reference")
+    role = F.when(p % 5 == 0, "baseline").when(p % 5 == 1, "dataset").when(p % 5 == 2, "backbone").when(p % 5 == 3, "background").otherwise("")
+    m = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + n).alias("key"), label.alias("label"), F.round(F.col("l_discount") * 10, 2).alias("score"), role.alias("role"), (F.col("l_linestatus") == "F").alias("was_read"))
+    result, score = combine_roles(F.col("label"), F.col("score"), F.col("role"), F.col("was_read"))
+    return m.select("key", result.alias("result"), score.alias("new_score"))
+
+
+@query("""WITH n AS (SELECT p_partkey, p_type, regexp_replace(regexp_replace(lower(p_type || ' ' || p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS base FROM part)
+SELECT p_partkey, CASE WHEN length(base) <= 20 THEN base WHEN contains(left(base, 21), '-') THEN regexp_replace(left(base, 21), '-[^-]*$', '') ELSE left(base, 20) END AS slug,
+CASE WHEN length(p_type) <= 12 THEN p_type ELSE regexp_replace(left(p_type, 11), ' [^ ]*$', '') || '…' END AS clipped FROM n""")
+def slug_and_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short ids of names, cut at a word, and text cut at a word."""
+    return table(spark, sf_dir, "part").select("p_partkey", slug(F.concat_ws(" ", "p_type", "p_name", "p_brand"), 20).alias("slug"), clip(F.col("p_type"), 12).alias("clipped"))

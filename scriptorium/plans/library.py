@@ -73,25 +73,6 @@ def author_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return affinity(works, ("steel", "promo"))
 
 
-@query("SELECT doc_id, sha256(array_to_string(string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), ' '), ' ')) AS digest FROM documents WHERE n_chars < 4000")
-def rebuild_inverted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts through an inverted index of word positions and back."""
-    d = table(spark, sf_dir, "documents").where("n_chars < 4000").select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", "[ \\t\\n\\r\\f\\x0B]+", " ")), " ")).alias("at", "word"))
-    index = d.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("inverted"))
-    return index.select("doc_id", F.sha2(rebuild_abstract(F.col("inverted")), 256).alias("digest"))
-
-
-@query()
-def rebuild_inverted_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rebuild_inverted_text over every document, whatever its length; each row on its own, null texts have no digest."""
-    d = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    # texts move once, so that a row's words are indexed where they are
-    words = d.where("text IS NOT NULL").repartition("row").select("row", "doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", "[ \\t\\n\\r\\f\\x0B]+", " ")), " ")).alias("at", "word"))
-    index = words.groupBy("row", "doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("row", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("inverted"))
-    rebuilt = index.select("doc_id", F.sha2(rebuild_abstract(F.col("inverted")), 256).alias("digest"))
-    return rebuilt.unionByName(d.where("text IS NULL").select("doc_id", F.lit(None).cast("string").alias("digest")))
-
-
 @query("""SELECT user_id, strftime(greatest(max(ts) FILTER (WHERE event_type = 'view'), max(ts) FILTER (WHERE event_type = 'click')), '%Y-%m-%d %H:%M:%S') AS stamp,
 date_diff('day', greatest(max(ts) FILTER (WHERE event_type = 'view'), max(ts) FILTER (WHERE event_type = 'click'))::DATE, DATE '2024-02-05') >= 10 AS due FROM events GROUP BY user_id""")
 def scan_if_due(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,3 +83,15 @@ def scan_if_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("stamp"), due.alias("due"))
 
 
+_WORDS_SQL = "string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), ' ')"
+
+
+@query(f"SELECT doc_id, sha256(array_to_string({_WORDS_SQL}, ' ')) AS digest FROM documents")
+def rebuild_inverted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts through an inverted index of word positions and back, every document whole; null texts have no digest."""
+    d = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    # texts move once, so that a row's words are indexed where they are
+    words = d.where("text IS NOT NULL").repartition("row").select("row", "doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", "[ \\t\\n\\r\\f\\x0B]+", " ")), " ")).alias("at", "word"))
+    index = words.groupBy("row", "doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("row", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("inverted"))
+    rebuilt = index.select("doc_id", F.sha2(rebuild_abstract(F.col("inverted")), 256).alias("digest"))
+    return rebuilt.unionByName(d.where("text IS NULL").select("doc_id", F.lit(None).cast("string").alias("digest")))

@@ -146,18 +146,6 @@ def _strong_sql(column: str) -> str:
 _COUNT_SQL = "(" + " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p, _ in _TERMS) + ")"
 
 
-@query(f"""WITH m AS (SELECT doc_id, least(CASE WHEN {_strong_sql("title")} THEN 1.0 ELSE 0.6 END, {_total_sql("title")}) AS t,
-  least(CASE WHEN {_strong_sql("text")} THEN 1.0 ELSE 0.6 END, {_total_sql("text")} / 2) AS a, least(1.0, {_COUNT_SQL} / 5.0) AS o
-  FROM (SELECT doc_id, text, split_part(text, chr(10), 1) AS title FROM documents WHERE lang = 'en'))
-SELECT doc_id, round(least(1.0, greatest(t * 0.85 + a * 0.15, a * 0.7 + o * 0.1)), 4)::DOUBLE AS score FROM m""")
-def dictionary_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of a weighted dictionary over English documents."""
-    from scriptorium.operators import classify
-
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
-    return d.select("doc_id", classify.dictionary_score(_title(F.col("text")), F.col("text"), _TERMS).alias("score"))
-
-
 _LADDER_SQL = """CASE WHEN o_orderstatus = 'P' THEN 'reject' WHEN o_totalprice >= 300000 AND o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'accept'
   WHEN o_totalprice >= 300000 THEN 'review' WHEN o_totalprice >= 100000 THEN 'review' ELSE 'reject' END AS decision,
   CASE WHEN o_orderstatus = 'P' THEN 'status is pending' WHEN o_totalprice >= 300000 AND o_orderpriority IN ('1-URGENT', '2-HIGH') THEN ''
@@ -285,12 +273,17 @@ def scan_pushdown_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where((at >= low) & (at < high)).select("o_orderkey", "o_custkey")
 
 
-@query("""SELECT year(o_orderdate)::BIGINT AS year, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2)::DOUBLE AS total FROM orders
+@query("""SELECT year(o_orderdate)::INT AS year, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2)::DOUBLE AS total FROM orders
 WHERE year(o_orderdate) IN (1994, 1996) AND o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1, 2""")
 def partition_prune_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volumes chosen by year and priority before anything else is read."""
-    o = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate").cast("long"))
-    chosen = o.where(F.col("year").isin(1994, 1996) & F.col("o_orderpriority").isin("1-URGENT", "5-LOW"))
+    """Volumes kept by year: those asked for are the only ones listed and read, the priority is tested in the reader."""
+    from scriptorium.session import scratch_path
+
+    path = scratch_path(spark, "volumes")
+    o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), "o_orderpriority", "o_totalprice")
+    o.repartition("year").write.partitionBy("year").parquet(path)
+    volumes = spark.read.schema("o_orderpriority string, o_totalprice double, year int").parquet(path)
+    chosen = volumes.where(F.col("year").isin(1994, 1996) & F.col("o_orderpriority").isin("1-URGENT", "5-LOW"))
     return chosen.groupBy("year", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
@@ -337,3 +330,15 @@ def evaluate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("quality") == 1, "relevant").otherwise("irrelevant")
     decision = F.when(F.col("toxic") == 1, "reject").when(F.col("n_chars") > 2000, "accept").otherwise("review")
     return report.metrics(j.select(label.alias("label"), decision.alias("decision")))
+
+
+@query(f"""WITH m AS (SELECT doc_id, least(CASE WHEN {_strong_sql("title")} THEN 1.0 ELSE 0.6 END, {_total_sql("title")}) AS t,
+  least(CASE WHEN {_strong_sql("text")} THEN 1.0 ELSE 0.6 END, {_total_sql("text")} / 2) AS a, least(1.0, {_COUNT_SQL} / 5.0) AS o
+  FROM (SELECT doc_id, text, split_part(text, chr(10), 1) AS title FROM documents))
+SELECT doc_id, round(least(1.0, greatest(t * 0.85 + a * 0.15, a * 0.7 + o * 0.1)), 4)::DOUBLE AS score FROM m""")
+def dictionary_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of a weighted dictionary over all documents."""
+    from scriptorium.operators import classify
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id", classify.dictionary_score(_title(F.col("text")), F.col("text"), _TERMS).alias("score"))

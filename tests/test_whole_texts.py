@@ -17,5 +17,5 @@ def test_long_texts_are_rebuilt(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.when(F.col("doc_id") != 1, F.length("text").cast("long")))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     digest = lambda t: None if t is None else hashlib.sha256(re.sub(r"[ \t\n\r\f\v]+", " ", t).strip(" ").encode()).hexdigest()
-    got = catalogue.queries()["rebuild_inverted_text_whole"](spark, str(tmp_path)).collect()
+    got = catalogue.queries()["rebuild_inverted_text"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.digest or "") for r in got) == sorted((i, digest(t) or "") for i, t in rows)
