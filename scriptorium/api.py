@@ -247,22 +247,30 @@ class Engine:
     def baselines(self, seed: dict, references: DataFrame, pages: DataFrame | None = None, verdicts: DataFrame | None = None) -> Result:
         """Which references a paper compares itself with (entry B).
 
-        references: records with ref_pos, contexts, intents and influential; pages: (doc_id, page) of the seed's full text.
+        seed: year, topics, and the doc_id of its full text among pages (doc_id, page); without one the first page is it.
+        references: records with ref_pos, contexts, intents and influential; of those with one title the first stands.
         """
-        papers = classify.classify(finalize(references.drop("contexts", "intents", "influential")).withColumn("ref_key", normalize_title(F.col("title"))))
-        extra = references.select(normalize_title(F.col("title")).alias("ref_key"), "contexts", "intents", "influential")
-        rows = papers.join(extra, "ref_key")
+        own = ("ref_pos", "contexts", "intents", "influential")
+        if "ref_pos" not in references.columns:
+            references = references.withColumn("ref_pos", F.monotonically_increasing_id())
+        first = topk.best_per_group(references.withColumn("ref_key", normalize_title(F.col("title"))), "ref_key", F.col("ref_pos")).drop("place")
+        papers = classify.classify(finalize(first.drop(*own, "ref_key")).withColumn("ref_key", normalize_title(F.col("title"))))
+        rows = papers.join(first.select("ref_key", *own), "ref_key")
         none = "struct<experiments:bigint,tables:bigint,baseline_section:bigint,dataset_section:bigint,snippets:array<string>>"
-        if pages is None:
+        page = None
+        if pages is not None:
+            doc = seed.get("doc_id")
+            page = pages.where(F.col("doc_id") == doc) if doc is not None else pages.orderBy("doc_id").limit(1)
+        if page is None:
             rows = rows.withColumn("signals", F.lit(None).cast(none))
         else:
-            docs = fulltext.documents(pages)
-            parts = fulltext.sections(docs)
+            docs = fulltext.documents(page.withColumn("doc_id", F.lit("seed")))
             bib = docs.select("doc_id", F.explode("document.bib").alias("b")).select("doc_id", "b.bid", normalize_title(F.col("b.entry")).alias("entry_key"), normalize_title(F.col("b.title")).alias("title_key"))
-            refs = rows.select(F.explode(F.array(F.lit(0))).alias("ref_pos"), "ref_key").join(docs.select("doc_id")).withColumn("ref_id", F.col("ref_key"))
+            refs = rows.select(F.lit("seed").alias("doc_id"), "ref_pos", F.col("ref_key").alias("ref_id"), "ref_key")
             mapped = fulltext.last_bibliography_id(fulltext.map_bibliography(bib, refs))
-            found = fulltext.citation_signals(parts).join(mapped, ["doc_id", "bid"]).select(F.col("ref_id").alias("ref_key"), F.struct("experiments", "tables", "baseline_section", "dataset_section", "snippets").cast(none).alias("signals"))
-            rows = rows.join(found.dropDuplicates(["ref_key"]), "ref_key", "left")
+            signals = F.struct("experiments", "tables", "baseline_section", "dataset_section", "snippets").cast(none)
+            found = fulltext.citation_signals(fulltext.sections(docs)).join(mapped, ["doc_id", "bid"]).select(F.col("ref_id").alias("ref_key"), signals.alias("signals"))
+            rows = rows.join(found, "ref_key", "left")
         scored = baselines.score_references(rows, seed.get("year"), tuple(seed.get("topics", ())))
         if verdicts is not None:
             roles = verdicts.withColumnRenamed("ref_id", "ref_key")

@@ -17,7 +17,8 @@ DAYS_OF_YEAR = 365.25
 
 
 def parse_date(c: Column) -> Column:
-    """A date from yyyy, yyyy-mm or yyyy-mm-dd, month and day held within their bounds."""
+    """A date from yyyy, yyyy-mm or yyyy-mm-dd, or with slashes, month and day held within their bounds, 28 in February."""
+    c = F.replace(F.substring(c, 1, 10), F.lit("/"), F.lit("-"))
     part = lambda i: F.try_to_number(F.get(F.split(c, "-"), F.lit(i)), F.lit("9999")).cast("int")
     month = F.least(F.greatest(F.coalesce(part(1), F.lit(1)), F.lit(1)), F.lit(12))
     longest = F.when(month == 2, 28).when(month.isin(4, 6, 9, 11), 30).otherwise(31)

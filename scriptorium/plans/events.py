@@ -131,7 +131,7 @@ def interval_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", parse_interval(said).alias("days"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-01-01') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 3 THEN strftime(o_orderdate, '%Y-12-01') END AS held,
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-01-01') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 2 THEN strftime(CASE WHEN strftime(o_orderdate, '%m-%d') = '02-29' THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate END, '%Y-%m-%d') WHEN 3 THEN strftime(o_orderdate, '%Y-12-01') END AS held,
 CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-01-01') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS exact FROM orders""")
 def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial dates, held within bounds or refused."""

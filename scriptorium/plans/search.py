@@ -27,11 +27,15 @@ def _title(text: F.Column) -> F.Column:
 
 
 def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as papers: the first line is the title, equal texts are one."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    """Documents as papers with the hits of SEARCH: the first line is the title, equal texts are one.
+
+    Hits and the key of a text are made where it is read; no text is shuffled, and documents are read once.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     key = F.lower(F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " ")))
-    first = d.groupBy(F.sha2(key, 256).alias("text_key")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    return d.join(first, "doc_id").withColumn("title", _title(F.col("text")))
+    h0, h1 = SEARCH.hits(_title(F.col("text")), F.col("text"), lookbehind=False)
+    told = d.select(F.sha2(key, 256).alias("text_key"), F.struct("doc_id", "n_chars", h0.alias("h0"), h1.alias("h1")).alias("paper"))
+    return told.groupBy("text_key").agg(F.min_by("paper", "paper.doc_id").alias("paper")).select("paper.*")
 
 
 def _hit_sql(a: str, b: str) -> str:
@@ -53,8 +57,6 @@ x AS (SELECT *, CASE WHEN whole = 0 THEN 'reject' WHEN final_score >= {AUTO} THE
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _papers(spark, sf_dir)
-    h = SEARCH.hits(F.col("title"), F.col("text"), lookbehind=False)
-    df = df.withColumns({"h0": h[0], "h1": h[1]})
     whole = F.when((F.col("h0") > 0) & (F.col("h1") > 0), 1.0).otherwise(0.0)
     in_title = ((F.col("h0") == 1.0).cast("int") + (F.col("h1") == 1.0).cast("int")) / F.lit(2.0)
     relevance = S.general_relevance((F.col("h0") + F.col("h1")) / 2, whole, in_title, F.lit(1.0), F.lit(0.5))

@@ -244,14 +244,40 @@ def test_command_line(spark, tmp_path, capsys):
     work = {"id": "https://openalex.org/W1", "title": "Graph neural networks", "doi": "https://doi.org/10.1000/A", "type": "article", "publication_year": 2024, "publication_date": "2024-11-03", "cited_by_count": 400,
             "abstract_inverted_index": {"Graph": [0], "neural": [1], "networks": [2]}, "primary_location": {"source": {"display_name": "NeurIPS", "type": "conference"}}, "authorships": [{"author": {"id": "https://openalex.org/A5", "display_name": "Jane Doe"}}]}
     (tmp_path / "oa.json").write_text(json.dumps(work))
-    main(["papers on graph neural networks", "--source", f"openalex={tmp_path}/oa.json", "--today", "2025-01-01", "--out", f"{tmp_path}/out", "--write"])
+    main(["ask", "papers on graph neural networks", "--source", f"openalex={tmp_path}/oa.json", "--today", "2025-01-01", "--out", f"{tmp_path}/out", "--write"])
     said = capsys.readouterr().out
     assert "accepted: 1" in said and "1 items written" in said
     engine = Engine(spark, TODAY, sources={"bad": lambda: (_ for _ in ()).throw(OSError("down"))})
     assert engine.check()["sources"] == {"bad": "down"}
     assert [r.title for r in engine.proposals(f"{tmp_path}/out/proposals").collect()] == ["Graph neural networks"]
-    main(["list my alerts", "--alerts", f"{tmp_path}/alerts.json"])
+    alerts, source = ["--alerts", f"{tmp_path}/alerts.json", "--today", "2025-01-01"], ["--source", f"openalex={tmp_path}/oa.json", "--today", "2025-01-01"]
+    main(["ask", "list my alerts", *alerts])
     assert "'op': 'list'" in capsys.readouterr().out
+    main(["alerts", "create", "--topic", "calibration", "--modality", "ct", "--every", "2w", *alerts])
+    assert '"id": "ct-calibration"' in (said := capsys.readouterr().out) and '"interval_days": 14' in said
+    with pytest.raises(AlertError, match="exists"):
+        main(["alerts", "create", "--topic", "calibration", "--modality", "ct", *alerts])
+    main(["alerts", "edit", "ct-cal", "--every", "weekly", "--report-only", *alerts])
+    main(["alerts", "pause", "ct-cal", *alerts])
+    capsys.readouterr()
+    main(["alerts", "list", "--status", "paused", *alerts])
+    assert '"interval_days": 7' in (said := capsys.readouterr().out) and "report_only" in said
+    main(["alerts", "delete", "ct-cal", *alerts])
+    capsys.readouterr()
+    main(["search", "--query", "graph neural networks", "--since", "2020", *source])
+    assert "accepted: 1" in capsys.readouterr().out
+    main(["author", "--name", "Jane Doe", "--query", "networks", *source])
+    assert "retrieved: 1" in capsys.readouterr().out
+    main(["add", "--doi", "10.1000/a", *source])
+    assert "accepted: 1" in capsys.readouterr().out
+    main(["scan", "--if-due", "--state", f"{tmp_path}/state.json", "--write", *source])
+    capsys.readouterr()
+    main(["scan", "--if-due", "--state", f"{tmp_path}/state.json", *source])
+    assert "not due" in capsys.readouterr().out
+    main(["init-collections", *source])
+    assert "Literature/Author Watches" in capsys.readouterr().out
+    main(["check", *source])
+    assert "'openalex': 1" in capsys.readouterr().out
 
 
 def test_expansion_and_gaps(spark):
@@ -275,3 +301,8 @@ def test_baselines_of_a_seed(spark):
     pages = spark.createDataFrame([("d", PAGE)], "doc_id string, page string")
     got = Engine(spark, TODAY).baselines({"year": 2024}, refs, pages).rows.collect()
     assert [(r.title, r.graph_evidence.label, r.decision) for r in got] == [("MedCLIP contrastive learning", "likely baseline", "accept")]
+    # references with one title are one, the first by its place; texts of other papers don't matter
+    twice = refs.withColumn("ref_pos", F.lit(2)).unionByName(refs.withColumns({"ref_pos": F.lit(1), "doi": F.lit("10.1234/first")}))
+    more = pages.unionByName(spark.createDataFrame([("e", "<p>other</p>")], "doc_id string, page string"))
+    (one,) = Engine(spark, TODAY).baselines({"year": 2024, "doc_id": "d"}, twice, more).rows.collect()
+    assert (one.title, one.doi) == ("MedCLIP contrastive learning", "10.1234/first")
