@@ -56,10 +56,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked pseudo-likelihood of every document."""
-    from scriptorium.llm.pseudo_likelihood import fit, score_frame
+    from scriptorium.llm.pseudo_likelihood import score_corpus
 
-    documents = table(spark, sf_dir, "documents")
-    return score_frame(documents, fit(documents))
+    return score_corpus(table(spark, sf_dir, "documents"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

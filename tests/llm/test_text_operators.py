@@ -405,52 +405,79 @@ def test_quality_rejects_debris_above_the_band(spark):
     assert not any(out[i].base_failed or out[i].kept for i in range(300, 306))
 
 
-def test_pseudo_likelihood(spark):
+def brute_pseudo_likelihood(texts, model, others=None):
+    """Log probability of each word by plain dictionaries, from the counts of all texts but its own (or of `others` alone)."""
+    split = [(t or "").encode().lower().split() for t in texts]
+    corpus = split if others is None else [(t or "").encode().lower().split() for t in others]
+    out = []
+    for i, own in enumerate(split):
+        rest = [w for j, w in enumerate(corpus) if w and (others is not None or j != i)]
+        words = Counter(w for part in rest for w in part)
+        words[None] = len(rest)
+        pairs = Counter(p for part in rest for p in zip([None, *part], [*part, None], strict=True))
+        # words of the corpus and its letters are known; only occurrences are taken out
+        total = model.n_words - (len(own) if others is None else 0)
+        logs = []
+        row = [None, None, *own, None, None]
+        kind = lambda w: 0 if w is None and words[None] else 1 + int(np.searchsorted(pseudo_likelihood.STEPS_OF_COUNT, words[w], side="right"))  # noqa: B023, E731
+        outer = lambda w: 0 if w is None else 1 + (words[w] >= pseudo_likelihood.RARE)  # noqa: B023, E731
+        for k in range(2, len(row) - 2):
+            l2, l1, w, r1, r2 = row[k - 2 : k + 3]
+            context = ((outer(l2) * pseudo_likelihood.KINDS + kind(l1)) * pseudo_likelihood.KINDS + kind(r1)) * 3 + outer(r2)
+            letters = sum(model.letter_cost[c] for c in w) + model.letter_cost[256]
+            experts = [np.exp(-letters), words[w] / max(1, total), pairs[l1, w] / words[l1] if words[l1] else 0, pairs[w, r1] / words[r1] if words[r1] else 0]
+            logs.append(np.log(np.dot(model.shares[context], experts)))
+        out.append(logs)
+    return out
+
+
+def test_pseudo_likelihood_is_brute_force(spark, monkeypatch):
     rnd = Random(6)
-    grammar = [["the", "a"], ["red", "old", "big"], ["fox", "dog", "cat"], ["sees", "eats"], ["the", "a"], ["fish", "bird"]]
-    texts = [" ".join(rnd.choice(g) for _ in range(rnd.randint(3, 20)) for g in grammar) for _ in range(200)]
-    shuffled = [" ".join(rnd.sample(t.split(), len(t.split()))) for t in texts[:50]]
-    df = docs(spark, [*texts, "", None])
-    model = pseudo_likelihood.fit(df)
-    assert model.losses[-1] < model.losses[0] * 0.8
-    got = {r.doc_id: r for r in pseudo_likelihood.score_frame(docs(spark, [*texts[:50], *shuffled, "", None, "xyzzy 99 plugh"]), model).collect()}
-    assert np.mean([got[i].per_word for i in range(50)]) > np.mean([got[50 + i].per_word for i in range(50)]) + 0.5
-    assert (got[100].n_words, got[100].pseudo_log_likelihood, got[100].per_word) == (0, 0.0, None) == (got[101].n_words, got[101].pseudo_log_likelihood, got[101].per_word)
-    assert got[102].per_word < got[0].per_word
-    # the sum of the looked-up logs is the sum of the network's own, word by word
-    codes = pseudo_likelihood.Codes(model.own, model.shares)
-    code, context, _ = pseudo_likelihood._windows([texts[0]], codes)
-    logs = model.network.forward(context)[3][np.arange(len(code)), code % pseudo_likelihood.CLASSES]
-    assert np.isclose(logs.sum() + model.words[code // pseudo_likelihood.CLASSES].sum(), got[0].pseudo_log_likelihood, atol=1e-2)
-    assert pseudo_likelihood.score_frame(df.limit(0), pseudo_likelihood.fit(df.limit(0))).count() == 0
-
-
-def test_network_gradient():
-    counts = np.zeros((pseudo_likelihood.CELLS // pseudo_likelihood.CLASSES, pseudo_likelihood.CLASSES), np.int64)
-    counts[5, 3] = counts[900, 7] = 10
-    losses = pseudo_likelihood.Network().train(counts, 60)
-    assert losses[-1] < 0.05
-
-
-def test_most_frequent(spark):
-    rows = [(f"w{i}".encode(), 100 // (i + 1)) for i in range(100)]
-    got = pseudo_likelihood.most_frequent(spark.createDataFrame(rows, "word binary, n long"), 10).collect()
-    assert sorted(r["n"] for r in got) == sorted(n for _, n in rows[:10]) or 0 < len(got) <= 10
-    assert pseudo_likelihood.most_frequent(spark.createDataFrame([(b"a", 1), (b"b", 1)], "word binary, n long"), 1).count() == 0
-
-
-def test_rake_meets_marginals():
-    rnd = Random(7)
-    cells = {(s, la, t): float(rnd.randint(1, 100)) for s in "ab*" for la in "xy" for t in "pq"}
-    targets = [{"a": 0.5, "b": 0.2, "*": 0.3}, {"x": 0.7, "y": 0.3}, {"p": 0.4, "q": 0.6}]
-    raked = mixing.rake(cells, targets, 200)
-    total = sum(cells.values())
-    for i, target in enumerate(targets):
-        for c, share in target.items():
-            assert abs(sum(w for k, w in raked.items() if k[i] == c) - share * total) < 1e-6 * total
-    assert mixing.rake({}, targets) == {} and mixing.rake({("a", "x", "p"): 0.0}, targets) == {("a", "x", "p"): 0.0}
-    with pytest.raises(ValueError):
-        mixing.rake({("c", "x", "p"): 1.0}, targets)
+    grammar = [["the", "A"], ["red", "old", "big"], ["fox", "dog", "cat"], ["sees", "eats"], ["the", "a"], ["fish", "bird", "é"]]
+    texts = [" ".join(rnd.choice(g) for _ in range(rnd.randint(0, 6)) for g in grammar) for _ in range(60)] + ["the fox", "the fox", "odd words", "", None, " \t "]
+    monkeypatch.setattr(pseudo_likelihood, "BATCH_BYTES", 700)
+    monkeypatch.setattr(pseudo_likelihood, "SHARD_WORDS", 100)
+    df = docs(spark, texts).withColumn("batch", F.lit("clash"))
+    model, answers = pseudo_likelihood.fit(df)
+    assert model.shard_bits > 2 and model.costs[-1] < model.costs[0]
+    got = {r.doc_id: r for r in pseudo_likelihood._scored(model.packed, answers, model, True, "doc_id").collect()}
+    want = brute_pseudo_likelihood(texts, model)
+    assert len(got) == len(texts)
+    for i, logs in enumerate(want):
+        assert got[i].n_words == len(logs) and np.isclose(got[i].pseudo_log_likelihood, sum(logs)) and (got[i].per_word is None) == (not logs)
+    new = ["the red fox sees the bird", "xyzzy 99", "", None]
+    found = {r.doc_id: r for r in pseudo_likelihood.score_frame(docs(spark, new), model).collect()}
+    for i, logs in enumerate(brute_pseudo_likelihood(new, model, texts)):
+        assert np.isclose(found[i].pseudo_log_likelihood, sum(logs))
+    assert found[0].per_word > found[1].per_word
+    none = df.limit(0)
+    assert pseudo_likelihood.score_corpus(none).count() == 0 and pseudo_likelihood.score_corpus(docs(spark, [None, ""])).count() == 2
+
+
+def test_mixture_sums_to_one():
+    """Shares sum to one for every window, and those of a neighbour that tells nothing are nought."""
+    network = pseudo_likelihood.Network()
+    losses = network.train(np.array([5 * 1296 + 7, 400 * 1296 + 900, 30 * 1296 + 1]), np.array([10.0, 30.0, 5.0]), 80)
+    shares = network.forward()[2]
+    assert losses[-1] < losses[0] and np.allclose(shares.sum(axis=1), 1) and (shares[network.silent] == 0).all()
+    cost = -np.log(np.array([0.5, 0.2, 0.3]))  # letters: strings over three symbols, the last one ends them
+    total = sum(np.exp(-cost[2]) * (np.exp(-cost[0]) + np.exp(-cost[1])) ** n for n in range(200))
+    assert np.isclose(total, 1)
+
+
+def test_clean_documents_score_above_shuffled_and_repeated_ones(spark):
+    """On real documents: their own order is likelier than another; a text that repeats one word isn't likely; a copy is."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and n_chars between 1500 and 6000").orderBy("doc_id").limit(120).collect()
+    rnd = Random(3)
+    texts = [r.text for r in rows]
+    shuffled = [" ".join(rnd.sample(t.split(), len(t.split()))) for t in texts[:40]]
+    repeated = [" ".join([rnd.choice(t.split())] * 200) for t in texts[:40]]
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text")
+    mixed = docs(spark, [*shuffled, *repeated]).unionByName(whole)
+    got = {r.doc_id: r.per_word for r in pseudo_likelihood.score_corpus(mixed).collect()}
+    clean = [got[r.doc_id + 1000] for r in rows[:40]]
+    assert np.mean([c > got[i] for i, c in enumerate(clean)]) >= 0.7 and np.mean(clean) > np.mean([got[i] for i in range(40)])
+    assert np.median(clean) > np.median([got[40 + i] for i in range(40)])
 
 
 def test_mixing(spark):
