@@ -16,6 +16,7 @@ Null and empty texts have no spans. Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
+import re
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -48,6 +49,11 @@ class Rule:
     fold: bool = False
     before_value: str | None = None
 
+    @property
+    def one_class(self) -> bool:
+        """Whether the pattern is one class, once or more, so that its matches are the runs of that class."""
+        return not self.before_value and re.fullmatch(r"\[[^\]^]+\]\+", self.pattern) is not None
+
 
 _ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 #: The base rules, in the order in which kinds are listed.
@@ -289,7 +295,7 @@ class Scanner:
             fresh[1:] = ends[1:] != ends[:-1] + 1
             run = np.flatnonzero(fresh)
             stop = ends[np.append(run[1:], len(ends)) - 1]
-            if rule.kind == "hex":  # every run of digits is a match: long ones are told by their ends
+            if rule.one_class:  # every run of the class is a match: long ones are told by their ends
                 keep = stop - ends[run] + 1 >= rule.least
                 run, stop = run[keep], stop[keep]
             owner = np.searchsorted(begins, ends[run], side="right") - 1
