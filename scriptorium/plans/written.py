@@ -14,7 +14,7 @@ from scriptorium.plans.config import settings_of
 from scriptorium.plans.registry import query
 from scriptorium.schema import PAPER, Settings, conform
 from scriptorium.session import scratch_path, table
-from scriptorium.sources import lookups, readers, sinks
+from scriptorium.sources import judgements, lookups, readers, sinks
 from scriptorium.streaming import flows
 
 _LISTS = "array<string>"
@@ -334,3 +334,21 @@ def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by overlapping windows; the same plan runs on a stream."""
     found = flows.sliding(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "2 days", "1 day")
     return found.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n")
+
+
+@query("""SELECT c_custkey AS paper_id, CASE c_custkey % 3 WHEN 0 THEN 'relevant' ELSE 'reject' END AS verdict, CASE c_custkey % 3 WHEN 0 THEN '' ELSE 'off topic' END AS reason FROM customer WHERE c_custkey % 3 < 2""")
+def judgements_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of a model from its landed answers: the last one of each row, broken ones left out."""
+    k = F.col("c_custkey")
+    first = F.when(k % 3 == 0, '{"decision": "accept"}').when(k % 3 == 1, '{"decision": "accept"}').otherwise("no JSON")
+    later = F.when(k % 3 == 1, '{"decision": "reject", "reason": "off topic"}').otherwise('{"decision": "perhaps"}')
+    c = table(spark, sf_dir, "customer")
+    answers = c.select(k.alias("paper_id"), F.lit(1).alias("landed_at"), first.alias("body")).unionAll(c.select(k, F.lit(2), later))
+    return judgements.verdicts(answers)
+
+
+@query("""SELECT c_custkey AS paper_id, 'Title: ' || c_name || chr(10) || 'Venue: V (journal)' || chr(10) || 'Abstract: (no abstract)' AS prompt FROM customer WHERE c_acctbal >= 5000 ORDER BY c_acctbal DESC, c_custkey LIMIT 40""")
+def judgements_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is asked about the rows nearest to the threshold, as many as a run may ask."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("paper_id"), F.col("c_name").alias("title"), F.lit("").alias("abstract"), F.lit("V").alias("venue"), F.lit("journal").alias("venue_type"), F.col("c_acctbal").alias("final_score"), F.when(F.col("c_acctbal") >= 5000, "review").otherwise("reject").alias("decision"))
+    return judgements.requests(rows, 0.8, 40)
