@@ -24,6 +24,7 @@ their own.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -131,10 +132,10 @@ class Tokens:
         words = [plain[e - s : e].split() for s, e in zip(sizes, ends.tolist(), strict=True)]
         self.n = np.array([len(w) for w in words], np.int64)
         flat = [w for part in words for w in part]
-        place = dict.fromkeys(flat)
+        place: dict[bytes, int] = {}
+        ids = np.fromiter(map(place.setdefault, flat, count()), np.int64, len(flat))  # where each word stands first
         self.words = list(place)
-        place = dict(zip(self.words, range(len(self.words)), strict=True))
-        ids = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+        ids = (np.cumsum(ids == np.arange(len(ids))) - 1)[ids]
         edge = len(self.words)
         some = np.flatnonzero(self.n)
         size = self.n[some] + 2
@@ -175,8 +176,11 @@ def _own(places: np.ndarray, text: np.ndarray, most: int) -> np.ndarray:
     return n[same]
 
 
-def kind_of(count: np.ndarray) -> np.ndarray:
-    return UNKNOWN + np.searchsorted(STEPS_OF_COUNT, count, side="right")
+_KIND = UNKNOWN + np.searchsorted(STEPS_OF_COUNT, np.arange(STEPS_OF_COUNT[-1] + 1), side="right")
+
+
+def kind_of(times: np.ndarray) -> np.ndarray:
+    return _KIND[np.minimum(times, STEPS_OF_COUNT[-1]).astype(np.int64)]
 
 
 class Window:
@@ -187,24 +191,24 @@ class Window:
 
     def __init__(self, tokens: Tokens, totals: np.ndarray, letter_cost: np.ndarray, n_words: int, own: bool):
         t, edge = tokens, len(tokens.words)
-        count = totals[t.of_word][t.at]
+        times = totals[t.of_word][t.at]
         pairs = totals[t.of_pair][t.pair]
         in_text = np.zeros(int(t.n.shape[0]), np.int64)
         if own:
             mine = _own(t.at, t.text, edge + 1)
             mine[t.at == edge] = 1  # both edges of a text are one count
-            count = count - mine
+            times = times - mine
             pairs = pairs - _own(t.pair, t.text[t.begins], len(t.of_pair))
             in_text = t.n
-        count, pairs = np.maximum(count, 0), np.maximum(pairs, 0)
+        times, pairs = np.maximum(times, 0), np.maximum(pairs, 0)
         begun = np.zeros(len(t.at))
         begun[t.begins] = pairs  # by the place where a pair begins
         p = t.inner
         share = lambda of, among: np.divide(of, among, out=np.zeros(len(p)), where=among > 0)
         lower, upper = np.maximum(p - 2, 0), np.minimum(p + 2, max(0, len(t.at) - 1))
         is_edge = t.at == edge
-        kinds = np.where(is_edge & (count > 0), EDGE, kind_of(count))
-        outer = np.where(is_edge, 0, 1 + (count >= RARE))
+        kinds = np.where(is_edge & (times > 0), EDGE, kind_of(times))
+        outer = np.where(is_edge, 0, 1 + (times >= RARE))
         left, right = np.where(is_edge[p - 1], 0, outer[lower]), np.where(is_edge[p + 1], 0, outer[upper]) if len(p) else p
         self.context = ((left * KINDS + kinds[p - 1]) * KINDS + kinds[p + 1]) * COARSE + right
         spelled = np.zeros(edge)
@@ -214,7 +218,7 @@ class Window:
             spelled = np.add.reduceat(each, np.cumsum(size) - size) + letter_cost[256]
         known = np.maximum(1, n_words - in_text[t.text[p]])
         with np.errstate(divide="ignore"):
-            rest = [-np.log(x) for x in (share(count[p], known), share(begun[p - 1], count[p - 1]), share(begun[p], count[p + 1]))]
+            rest = [-np.log(x) for x in (share(times[p], known), share(begun[p - 1], times[p - 1]), share(begun[p], times[p + 1]))]
         self.costs = np.stack([spelled[t.at[p]], *rest], axis=1) if len(p) else np.zeros((0, len(EXPERTS)))
 
     def cells(self) -> np.ndarray:
