@@ -10,7 +10,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
 
 import numpy as np
 
@@ -122,8 +121,9 @@ class Split:
         inside = kind[after] == LETTER
         first[after[inside]] = True
 
-    def named(self) -> tuple[np.ndarray, np.ndarray]:
-        """(the first pre-token of each distinct one, the distinct one that each pre-token is), by 128 bits of hash."""
+    def named(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(the first pre-token of each distinct one, the distinct one that each pre-token is, two 64-bit hashes of each
+        distinct one, in the order of the first). Hashes are of the characters alone, so they are names in any batch."""
         n = len(self.points)
         up, down = _powers(max(1, n))
         up, down = up[:n], down[:n]
@@ -143,7 +143,7 @@ class Split:
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         inverse = np.empty(len(order), np.int64)
         inverse[order] = np.cumsum(new) - 1
-        return order[new], inverse
+        return order[new], inverse, a[new], b[new]
 
     def strings(self, which: np.ndarray) -> list[str]:
         """The texts of some pre-tokens."""
@@ -164,35 +164,52 @@ class WordEncoder:
     """Ids of texts from ids of their distinct pre-tokens; how those are made is up to merge().
 
     added: tokens that stand for themselves wherever they occur in a text, and their ids. store_words: most distinct
-    words whose ids are kept, 200 bytes each or so.
+    words whose ids are kept, 60 bytes each or so.
     """
 
-    store_words = 300_000
+    store_words = 1_000_000
 
     def __init__(self, added: dict[str, int]):
         self.added = added
         self._forget()
 
     def _forget(self) -> None:
-        """The store: places of words, and at each place where its ids are in one flat array."""
-        self._place: dict[str, int] = {}
-        self._offset, self._size, self._flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
+        """The store: hashes of words in order, the place of each, and at each place where its ids are in one flat array."""
+        self._a, self._b, self._at = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self._offset, self._size, self._flat = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.int32)
         self._words = self._ids = 0
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after another, number of ids of each word)."""
         raise NotImplementedError
 
-    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(offset, number of ids, flat ids) of each word; unknown ones are merged together and kept."""
-        place = np.fromiter(map(self._place.get, words, repeat(-1)), np.int64, len(words))
-        unknown = np.flatnonzero(place < 0)
+    def _found(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where each hash stands or belongs in the store, whether it is there, whether both hashes are)."""
+        at = np.searchsorted(self._a, a)
+        if not len(self._a):
+            return at, np.zeros(len(a), bool), np.zeros(len(a), bool)
+        near = np.minimum(at, len(self._a) - 1)
+        same = self._a[near] == a
+        return at, same, same & (self._b[near] == b)
+
+    def word_ids(self, split: Split, which: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(offset, number of ids, flat ids) of each distinct word, by its hashes; unknown ones are merged together and kept."""
+        at, same, known = self._found(a, b)
+        unknown = np.flatnonzero(~known)
         if len(unknown) and self._words + len(unknown) > self.store_words:
             self._forget()
-            unknown = np.arange(len(words))
+            at, same, known = self._found(a, b)
+            unknown = np.flatnonzero(~known)
+        place = np.zeros(len(a), np.int64)
+        if len(self._a):
+            place = self._at[np.minimum(at, len(self._a) - 1)].astype(np.int64)
         if len(unknown):
-            place[unknown] = self._keep([words[i] for i in unknown.tolist()])
-        return self._offset[place], self._size[place], self._flat
+            place[unknown] = self._keep(split.strings(which[unknown]))
+            fresh = unknown[~same[unknown]]
+            fresh = fresh[np.concatenate([[True], a[fresh][1:] != a[fresh][:-1]])] if len(fresh) else fresh
+            for name, values in (("_a", a[fresh]), ("_b", b[fresh]), ("_at", place[fresh])):
+                setattr(self, name, np.insert(getattr(self, name), at[fresh], values))
+        return self._offset[place], self._size[place].astype(np.int64), self._flat
 
     def _keep(self, words: list[str]) -> np.ndarray:
         """Places of new words, which are merged and stored."""
@@ -206,7 +223,6 @@ class WordEncoder:
         self._flat[begin : self._ids] = flat
         self._size[first : self._words] = size
         self._offset[first : self._words] = begin + np.cumsum(size) - size
-        self._place.update(zip(words, range(first, self._words), strict=True))
         return np.arange(first, self._words)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -240,8 +256,8 @@ class WordEncoder:
 
     def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = Split(texts)
-        which, name = split.named()
-        offset, size, flat = self.word_ids(split.strings(which))
+        which, name, a, b = split.named()
+        offset, size, flat = self.word_ids(split, which, a, b)
         per = size[name]
         sizes = np.bincount(split.text, weights=per, minlength=len(texts)).astype(np.int64)
         return gather(offset[name], per, flat), sizes

@@ -49,7 +49,7 @@ class Damaged(ValueError):
 class LibraryEncoder(WordEncoder):
     """Ids of the tokenizers library: its BPE model tokenizes each distinct pre-token, in the symbols of its bytes, once."""
 
-    store_words = 650_000
+    store_words = 1_500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
