@@ -354,15 +354,35 @@ class PagedReader(DataSourceReader):
         fits = {"EqualTo": lambda a, b: a == b, "GreaterThanOrEqual": lambda a, b: a >= b, "LessThanOrEqual": lambda a, b: a <= b}
         names = [f.name for f in self.schema.fields]
         limit = int(self.options.get("limit", 1 << 62))
-        with open(partition.value, encoding="utf-8") as file:
-            rows = json.load(file).get("results", [])
-        for row in rows[:limit]:
-            if all(row.get(n) is not None and fits[op](row[n], v) for op, n, v in self.tests):
-                yield tuple(row.get(n) for n in names)
+        taken = 0
+        for page in _landed_pages(partition.value):
+            for row in page.get("results", []):
+                taken += 1
+                if taken > limit:
+                    return
+                if all(row.get(n) is not None and fits[op](row[n], v) for op, n, v in self.tests):
+                    yield tuple(row.get(n) for n in names)
+
+
+def _landed_pages(path: str):
+    """Pages of a landed file, one JSON document or a line for each; a path may be an address of a file system."""
+    if "://" in path or path.startswith("file:"):
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+        with system.open_input_stream(inner) as file:
+            text = file.read().decode()
+    else:
+        with open(path, encoding="utf-8") as file:
+            text = file.read()
+    try:
+        yield json.loads(text)
+    except json.JSONDecodeError:
+        yield from (json.loads(line) for line in text.splitlines() if line.strip())
 
 
 class PagedSource(DataSource):
-    """spark.read.format("paged"): pages of JSON answers ({"results": [...]}) by option `pages`.
+    """spark.read.format("paged"): pages of JSON answers ({"results": [...]}) by option `pages` (S01, S02, S20), a file each.
 
     Its filters reach the pages where spark.sql.python.filterPushdown.enabled is true.
     """
