@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scriptorium.llm.batches import small_batches
 from scriptorium.llm.tokenizer_files import BYTE_BPE, tokenizer_path
@@ -92,6 +93,35 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_frame(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE))
 
 
+#: Rules of op11 (host, path, verdict), and what the names of listed hosts hold.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+LISTED_HOSTS = "spam|pills|casino"
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL; listed are all URLs of hosts with a name of LISTED_HOSTS."""
+    from scriptorium.llm.url_filter import host_of, judge
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    listed = pages.where(F.regexp_like(host_of(F.col("url")), F.lit(LISTED_HOSTS))).select("url")
+    return judge(pages, rules, listed, ["page_id"])
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of every embedding."""
+    from scriptorium.llm.sort_means import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every embedding."""
+    from scriptorium.llm.exponion import encode
+
+    return encode(table(spark, sf_dir, "embeddings"))
+
+
 def _bounded(query: Query) -> Query:
     """The query, with texts sent to workers in small batches."""
 
@@ -104,10 +134,16 @@ def _bounded(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _bounded(f) for f in (op1_chat, op2_embeddings, op3_secrets, op4_mixing, op5_simhash, op6_pseudo_likelihood, op7_token_files, op8_toxicity, op9_quality, op10_bpe)}
+    of_documents = (op1_chat, op2_embeddings, op3_secrets, op4_mixing, op5_simhash, op6_pseudo_likelihood, op7_token_files, op8_toxicity, op9_quality, op10_bpe)
+    return {f.__name__: _bounded(f) for f in (*of_documents, op11_url_filter, op12_sort_means, op13_exponion)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from scriptorium.llm.mixing import oracle
-
-    return {"op4_mixing": oracle()}
+    from scriptorium.llm import exponion, mixing, sort_means, url_filter
+
+    return {
+        "op4_mixing": mixing.oracle(),
+        "op11_url_filter": url_filter.oracle(URL_RULES, LISTED_HOSTS),
+        "op12_sort_means": sort_means.oracle(),
+        "op13_exponion": exponion.oracle(),
+    }
