@@ -7,11 +7,13 @@ Every CHECKPOINT_STEPS rounds the block keeps the coders' states, the place in t
 follow, so pieces of one block decode in parallel, and damage is told. Many blocks are coded, and many pieces
 decoded, in the same numpy steps.
 
-Files: a folder with `table` (one row: the scaled table) and `blocks` (one row a block: part, split and number give the
-order, and the bytes of the block describe themselves).
+Files: a folder with `table` (one row: the scaled table) and `blocks` (one row a block: part and place give the order, and the
+bytes of the block describe themselves). A place is a text's number in its part, written beside its ids, so the order
+holds however the session cuts its files.
 
 Null texts are empty; every text ends with the end id, so none is without ids. Null keys come first. Rows that share a
-key keep their own ids, in the order of these. An empty table gives files without blocks.
+key keep their own ids, in the order of a hash of their texts, and may be dealt to several parts. An empty table gives files
+without blocks.
 """
 
 from __future__ import annotations
@@ -239,25 +241,28 @@ class Coder:
             read[b][6][begin : begin + n * lanes] = got[:n, j].ravel()
 
 
-_TOKENS = "key long, ids binary, counts binary"
+_TOKENS = "key long, place long, ids binary, counts binary"
 
 
 def _encode_rows(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(key, ids, null) of each text, and after a task's last one (null, null, how often each id occurs in its texts)."""
+    """(key, place in the task, ids, null) of each text, and after a task's last one how often each id occurs in its texts."""
 
     def run(batches):
         coder = encoder(tokenizer)
         wide = "<u2" if max(end_id, coder.largest) <= 0xFFFF else "<u4"
         mark, last = wide[-1].encode(), np.array([end_id], wide).tobytes()
         total = np.zeros(max(end_id, coder.largest) + 1, np.int64)
-        names = ["key", "ids", "counts"]
+        names, place = ["key", "place", "ids", "counts"], 0
         for rows in pieces(batches, "text", PIECE_BYTES):
             found = coder.encode(rows.column("text").to_pylist())
             total += np.bincount(np.concatenate(found), minlength=len(total))
             total[end_id] += len(found)
             data = [mark + x.astype(wide).tobytes() + last for x in found]
-            yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(data, pa.binary()), pa.nulls(len(data), pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
+            places = pa.array(np.arange(place, place + len(data)))
+            place += len(data)
+            yield pa.RecordBatch.from_arrays([rows.column("key"), places, pa.array(data, pa.binary()), pa.nulls(len(data), pa.binary())], names=names)
+        none = pa.array([None], pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array([None], pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=names)
 
     return df.mapInArrow(run, _TOKENS)
 
@@ -279,38 +284,39 @@ def _counts(tokens: DataFrame) -> DataFrame:
     return tokens.select("counts").where("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-_BLOCK = "part int, split long, number long, n_ids long, block binary"
+_BLOCK = "part int, place long, n_ids long, block binary"
 
 
 def _blocks(tokens: DataFrame, frequencies: np.ndarray) -> DataFrame:
-    """Rows of blocks from rows of ids in order; a new piece of a file begins a new block."""
+    """Rows of blocks from rows of ids in order; a text that doesn't follow the one before it begins a new block."""
     shared = tokens.sparkSession.sparkContext.broadcast(frequencies)
 
     def run(batches):
         coder = Coder(shared.value)
-        ready: list[tuple[int, int, int, list, list]] = []
-        place, number, keys, ids, size = None, 0, [], [], 0
+        ready: list[tuple[int, int, list, list]] = []
+        first, following, keys, ids, size = None, None, [], [], 0
 
         def out():
             data = coder.encode([(k, i) for *_, k, i in ready])
-            columns = [[r[c] for r in ready] for c in range(3)] + [[sum(map(len, r[4])) for r in ready], data]
+            columns = [[r[c] for r in ready] for c in range(2)] + [[sum(map(len, r[3])) for r in ready], data]
             ready.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "split", "number", "n_ids", "block"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "place", "n_ids", "block"])
 
         for batch in batches:
-            for part, split, key, data in zip(*(batch.column(c).to_pylist() for c in ("part", "split", "key", "ids")), strict=True):
-                if keys and (size >= BLOCK_IDS or place != (part, split)):
-                    ready.append((*place, number, keys, ids))
-                    number, keys, ids, size = number + 1, [], [], 0
-                    if len(ready) >= TOGETHER or sum(len(x) for r in ready for x in r[4]) > TOGETHER * BLOCK_IDS:
+            for part, place, key, data in zip(*(batch.column(c).to_pylist() for c in ("part", "place", "key", "ids")), strict=True):
+                if keys and (size >= BLOCK_IDS or following != (part, place)):
+                    ready.append((*first, keys, ids))
+                    keys, ids, size = [], [], 0
+                    if len(ready) >= TOGETHER or sum(len(x) for r in ready for x in r[3]) > TOGETHER * BLOCK_IDS:
                         yield out()
-                if place != (part, split):
-                    place, number = (part, split), 0
+                if not keys:
+                    first = (part, place)
+                following = (part, place + 1)
                 keys.append(key)
                 ids.append(_ids(data))
                 size += len(ids[-1])
         if keys:
-            ready.append((*place, number, keys, ids))
+            ready.append((*first, keys, ids))
         if ready:
             yield out()
 
@@ -326,7 +332,8 @@ def write_ids(df: DataFrame, out: str, tokenizer: str, key: str = "doc_id", text
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
+    mixed = F.xxhash64("text")
+    ordered = rows.repartitionByRange(parts, "key", mixed).sortWithinPartitions("key", mixed, "text")
     tokens, path = settle(_encode_rows(ordered, tokenizer, end_id).withColumn("part", F.spark_partition_id()), "ids", "snappy")
     counted = _counts(tokens).toPandas()
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 0, np.int64)
@@ -334,7 +341,7 @@ def write_ids(df: DataFrame, out: str, tokenizer: str, key: str = "doc_id", text
     frequencies = scaled(counts)
     symbols = np.flatnonzero(frequencies)
     spark.createDataFrame([(TABLE_BITS, symbols.tolist(), frequencies[symbols].tolist())], "bits int, symbols array<long>, frequencies array<long>").coalesce(1).write.parquet(f"{out}/table")
-    placed = tokens.where("counts is null").select("part", F.col("_metadata.file_block_start").alias("split"), "key", "ids")
+    placed = tokens.where("counts is null").select("part", "place", "key", "ids")
     with shuffle_files_dropped(spark):
         _blocks(placed, frequencies).write.option("compression", "none").parquet(f"{out}/blocks")
     drop_path(spark, path)
@@ -359,7 +366,7 @@ def _decoded(spark: SparkSession, out: str, schema: str, columns):
                 rows = batch.slice(begin, TOGETHER)
                 found = coder.decode(rows.column("block").to_pylist())
                 for i, (keys, ids) in enumerate(found):
-                    yield columns(keys, ids, {c: rows.column(c)[i].as_py() for c in ("part", "split", "number")})
+                    yield columns(keys, ids, {c: rows.column(c)[i].as_py() for c in ("part", "place")})
 
     return spark.read.schema(_BLOCK).parquet(f"{out}/blocks").mapInArrow(run, schema)
 
@@ -383,15 +390,15 @@ def read_digests(spark: SparkSession, out: str, key: str = "doc_id") -> DataFram
         sizes = np.array([len(x) for x in ids], np.int64)
         crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
         n = len(keys)
-        place = [pa.array([row[c]] * n, t) for c, t in (("part", pa.int32()), ("split", pa.int64()), ("number", pa.int64()))]
+        place = [pa.array([row[c]] * n, t) for c, t in (("part", pa.int32()), ("place", pa.int64()))]
         values = [pa.array(keys, pa.int64()), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes), pa.array(crc, pa.int64())]
-        return pa.RecordBatch.from_arrays([*place, *values], names=["part", "split", "number", key, "inside", "n_tokens", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([*place, *values], names=["part", "place", key, "inside", "n_tokens", "ids_crc32"])
 
-    rows = _decoded(spark, out, f"part int, split long, number long, {key} long, inside long, n_tokens long, ids_crc32 long", columns)
-    heads = spark.read.schema(_BLOCK).parquet(f"{out}/blocks").select("part", "split", "number", "n_ids")
-    earlier = Window.partitionBy("part").orderBy("split", "number").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _decoded(spark, out, f"part int, place long, {key} long, inside long, n_tokens long, ids_crc32 long", columns)
+    heads = spark.read.schema(_BLOCK).parquet(f"{out}/blocks").select("part", "place", "n_ids")
+    earlier = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     parts = heads.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
     starts = heads.withColumn("block_start", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0))).join(before, "part")
-    starts = starts.select("part", "split", "number", (F.col("part_start") + F.col("block_start")).alias("at"))
-    return rows.join(starts, ["part", "split", "number"]).select(key, (F.col("at") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    starts = starts.select("part", "place", (F.col("part_start") + F.col("block_start")).alias("at"))
+    return rows.join(starts, ["part", "place"]).select(key, (F.col("at") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

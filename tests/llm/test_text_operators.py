@@ -200,6 +200,25 @@ def test_token_files(spark, library, tmp_path, monkeypatch):
     assert rans.read_digests(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("most", ["0", "20"])
+def test_token_files_however_files_are_cut(spark, library, tmp_path, monkeypatch, most):
+    """Places and checksums don't depend on how many rows a file may hold, nor on which keys repeat or lack."""
+    monkeypatch.setattr(rans, "BLOCK_IDS", 100)
+    keys = [None] * 60 + [7] * 60 + list(range(100, 180))
+    texts = [f"word{i} and {'more ' * (i % 9)}" for i in range(200)]
+    df = spark.createDataFrame(list(zip(keys, texts, strict=True)), "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", most)
+    try:
+        rans.write_ids(df, str(tmp_path / "files"), PATH)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    got = sorted(rans.read_digests(spark, str(tmp_path / "files")).collect(), key=lambda r: r.start)
+    want = [(k, zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())) for k, t in zip(keys, texts, strict=True)]
+    assert sorted(((r.doc_id, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    assert [r.doc_id for r in got] == sorted(keys, key=lambda k: -1 if k is None else k)
+
+
 def toxic_corpus(spark, n=1200):
     rnd = Random(4)
     words = ["".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randint(3, 9))) for _ in range(400)]
