@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import decided, entities, events, fulltexts, library, mapped, matched, runs, search, written  # noqa: F401  they register their queries
+from scriptorium.plans import decided, entities, events, fulltexts, library, mapped, matched, replays, runs, search, written  # noqa: F401  they register their queries
 from scriptorium.plans.registry import QUERIES, SQL, Query
 
 

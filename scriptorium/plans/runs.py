@@ -11,8 +11,8 @@ from scriptorium.api import Engine
 from scriptorium.operators import report
 from scriptorium.plans.registry import query
 from scriptorium.schema import PAPER, Settings, conform
-from scriptorium.session import scratch_path, table
-from scriptorium.sources.readers import PagedSource
+from scriptorium.session import hadoop, scratch_path, table
+from scriptorium.sources.paged import ERRORS, first_kept, register, split_batches
 
 TODAY = date(2020, 5, 1)
 
@@ -70,16 +70,73 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(line,) for line in told if line.split(":")[0] in names], "line string")
 
 
+def _pages(spark: SparkSession, sf_dir: str, query, page) -> str:
+    """Orders landed as pages of JSON, `query`/`page` in a folder."""
+    o = table(spark, sf_dir, "orders")
+    results = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority", "o_orderstatus")))
+    path = scratch_path(spark, "pages")
+    lines = o.groupBy(query.alias("query"), page.alias("page")).agg(F.to_json(F.struct(results.alias("results"))).alias("value"))
+    lines.withColumn("page", F.lpad("page", 9, "0")).write.partitionBy("query", "page").text(path)
+    return path
+
+
+def _landed(spark: SparkSession, path: str, out: str) -> None:
+    """Move pages that Spark wrote by partition to a folder for each query, a file for each page."""
+    fs, system = hadoop(spark, path)
+    for q in system.listStatus(fs.Path(path)):
+        if not q.isDirectory():
+            continue
+        for p in system.listStatus(q.getPath()):
+            to = fs.Path(f"{out}/{q.getPath().getName().partition('=')[2]}/{p.getPath().getName().partition('=')[2]}.json")
+            system.mkdirs(to.getParent())
+            for f in system.listStatus(p.getPath()):
+                system.rename(f.getPath(), to)
+
+
+ORDERS = "o_orderkey long, o_orderpriority string, o_orderstatus string"
+_PAGED = "_query string, _page string, _place int, _error string"
+
+
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey >= 1000 AND o_orderstatus = 'F'")
 def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed pages of a source by a reader of its own, which tests bounds and equalities while it reads."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    page = F.to_json(F.struct(F.collect_list(F.struct(*o.columns)).alias("results")))
-    path = scratch_path(spark, "pages")
-    o.groupBy(F.pmod(F.xxhash64("o_orderkey"), F.lit(16))).agg(page.alias("value")).select("value").write.text(path)
-    files = [r[0] for r in spark.read.text(path).select(F.input_file_name()).distinct().collect()]
-    spark.dataSource.register(PagedSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    schema = "o_orderkey long, o_orderpriority string, o_orderstatus string"
-    found = spark.read.format("paged").option("schema", schema).option("pages", ",".join(sorted(files))).load()
+    folder = scratch_path(spark, "landed")
+    _landed(spark, _pages(spark, sf_dir, F.lit("q"), F.pmod(F.xxhash64("o_orderkey"), F.lit(16))), folder)
+    register(spark)
+    found = spark.read.format("paged").option("schema", ORDERS).option("folder", folder).load()
     return found.where("o_orderkey >= 1000 and o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority")
+
+
+@query("""WITH p AS (SELECT *, o_custkey % 3 AS q, o_orderkey // 500 AS page FROM orders WHERE o_orderstatus = 'F')
+SELECT 'q' || q AS _query, o_orderkey FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY page, o_orderkey) <= 120""")
+def paged_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 120 rows of each query that pass a filter, in the order of its pages."""
+    folder = scratch_path(spark, "landed")
+    _landed(spark, _pages(spark, sf_dir, F.concat(F.lit("q"), F.col("o_custkey") % 3), F.floor(F.col("o_orderkey") / 500).cast("string")), folder)
+    register(spark)
+    rows = spark.read.format("paged").option("schema", f"{ORDERS}, {_PAGED}").option("folder", folder).load()
+    return first_kept(rows.where("o_orderstatus = 'F'"), 120).select("_query", "o_orderkey")
+
+
+@query("""SELECT 'row' AS kind, o_orderkey AS k FROM orders UNION ALL SELECT 'error', n FROM (SELECT unnest([0, 1, 2]) AS n) WHERE (SELECT count(*) FROM orders) > 0""")
+def paged_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages taken by a stream in three micro-batches as they land, each with a page that can't be read, which an error row tells."""
+    staged = _pages(spark, sf_dir, F.concat(F.lit("q"), F.col("o_custkey") % 2), (F.col("o_orderkey") % 3).cast("string"))
+    folder, out = scratch_path(spark, "landed"), scratch_path(spark, "paged-stream")
+    register(spark)
+    whole = scratch_path(spark, "pages-whole")
+    _landed(spark, staged, whole)
+    fs, system = hadoop(spark, whole)
+    for n in range(3):
+        for q in system.listStatus(fs.Path(whole)):
+            to = fs.Path(f"{folder}/{q.getPath().getName()}/{n:09d}.json")
+            system.mkdirs(to.getParent())
+            system.rename(fs.Path(q.getPath(), f"{n:09d}.json"), to)
+        broken = system.create(fs.Path(f"{folder}/broken/{n:09d}.json"))
+        broken.write(bytearray(b"{no json"))
+        broken.close()
+        stream = spark.readStream.format("paged").option("schema", f"{ORDERS}, {_PAGED}").option("folder", folder).load()
+        split_batches(stream, out, f"{out}/checkpoint")
+    rows = spark.read.schema(f"{ORDERS}, _query string, _page string, _place int").parquet(f"{out}/rows")
+    errors = spark.read.schema(ERRORS).parquet(f"{out}/errors")
+    return rows.select(F.lit("row").alias("kind"), F.col("o_orderkey").alias("k")).unionAll(errors.select(F.lit("error"), F.col("_page").substr(1, 9).cast("long")))

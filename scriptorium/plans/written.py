@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,8 @@ from scriptorium.plans.boolean import Query, parse_groups, scan_queries
 from scriptorium.plans.config import settings_of
 from scriptorium.plans.registry import query
 from scriptorium.schema import PAPER, Settings, conform
-from scriptorium.session import scratch_path, table
-from scriptorium.sources import judgements, lookups, readers, sinks
+from scriptorium.session import hadoop, scratch_path, table
+from scriptorium.sources import judgements, ledger, lookups, readers, sinks
 from scriptorium.streaming import flows
 
 _LISTS = "array<string>"
@@ -72,7 +73,35 @@ def written_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "written")
     sinks.ingest(rows.where("paper_id % 2 = 0"), path, writes_enabled=True)
     sinks.ingest(rows, path, writes_enabled=True)
-    return spark.read.schema("key string, item_id string, action string").json(f"{path}/audit").withColumn("key", F.col("key").cast("long"))
+    return ledger.audit(spark, path).select(F.col("key").cast("long").alias("key"), "item_id", "action")
+
+
+def first_try_dies(chunk: list[dict], marker: str) -> list[bool]:
+    """A gate that ends the first worker to reach it, with what it had staged, and lets all others pass."""
+    system, path = ledger.file_system(marker)
+    if not system.get_file_info(path).is_file:
+        with system.open_output_stream(path):
+            pass
+        os._exit(1)
+    return ledger.documents(chunk, "")
+
+
+@query("SELECT c_custkey AS key, 1 AS items, 1 AS audit_lines FROM customer WHERE c_custkey % 5 <> 1")
+def written_after_a_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each item and its audit line stand, when a task was killed while it wrote and the run was made again."""
+    rows = _records(spark, sf_dir).withColumns({"item": F.to_json(F.struct("paper_id")), "collections": _named("x")})
+    path = scratch_path(spark, "crashed")
+    fs, system = hadoop(spark, path)
+    system.mkdirs(fs.Path(path))
+    for _ in range(2):
+        try:
+            sinks.ingest(rows, path, writes_enabled=True, gate=f"{__name__}:first_try_dies", argument=f"{path}/died")
+        except Exception as e:  # noqa: BLE001  a cluster tries the task again, a local master doesn't
+            if "exited unexpectedly" not in str(e) and "crashed" not in str(e):
+                raise
+    items = ledger.items(spark, path).groupBy("key").agg(F.count("*").cast("int").alias("items"))
+    lines = ledger.audit(spark, path).groupBy("key").agg(F.count("*").cast("int").alias("audit_lines"))
+    return items.join(lines, "key", "full").select(F.col("key").cast("long").alias("key"), "items", "audit_lines")
 
 
 @query("SELECT c_custkey AS key, decision FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'review' WHEN 1 THEN 'reject' ELSE 'accept' END AS decision FROM customer) WHERE decision <> 'reject'")

@@ -53,14 +53,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def hadoop(spark: SparkSession, path: str):
+    """(Hadoop's fs package, the file system of a path), wherever it is."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    return fs, fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Hadoop's file system, wherever it is."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    """Delete a scratch path."""
+    fs, system = hadoop(spark, path)
+    system.delete(fs.Path(path), True)
     _written.pop(path, None)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, system = hadoop(spark, path)
+    return system.exists(fs.Path(path))
+
+
 @contextmanager
 def shuffle_files_dropped(spark: SparkSession):
     """Within: an action's shuffle files go when it ends, so a written step doesn't hold its input twice."""

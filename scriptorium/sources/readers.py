@@ -1,4 +1,4 @@
-"""Sources: JSON, XML and HTML landings of seven catalogues, mapped to records; a paged Python DataSource; other inputs.
+"""Sources: JSON, XML and HTML landings of seven catalogues, mapped to records; other inputs.
 
 Each source lands its responses as files; a mapper is one projection from their schema to records, so scans, filters and
 column pruning are Spark's own. No mapper calls a network.
@@ -6,7 +6,6 @@ column pruning are Spark's own. No mapper calls a network.
 
 from __future__ import annotations
 
-import json
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
@@ -16,7 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
 from scriptorium.functions.text import blank, filled, normalize_arxiv_id, strip_markup
 from scriptorium.functions.venues import canonical_venue
@@ -327,72 +325,3 @@ def union_sources(spark: SparkSession, tasks: dict[str, Callable[[], DataFrame]]
     if not frames:
         raise RuntimeError(f"no source could be read: {failed}")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), spark.createDataFrame(failed, "source string, message string")
-
-
-class _Page(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-
-
-class PagedReader(DataSourceReader):
-    """Landed pages of a source, a partition each; equalities and bounds on a field are tested while a page is read."""
-
-    def __init__(self, schema: T.StructType, options: dict):
-        self.schema, self.options, self.tests = schema, options, []
-
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            if isinstance(f, (EqualTo, GreaterThanOrEqual, LessThanOrEqual)) and len(f.attribute) == 1:
-                self.tests.append((type(f).__name__, f.attribute[0], f.value))
-            else:
-                yield f
-
-    def partitions(self):
-        return [_Page(p) for p in self.options["pages"].split(",") if p]
-
-    def read(self, partition):
-        fits = {"EqualTo": lambda a, b: a == b, "GreaterThanOrEqual": lambda a, b: a >= b, "LessThanOrEqual": lambda a, b: a <= b}
-        names = [f.name for f in self.schema.fields]
-        limit = int(self.options.get("limit", 1 << 62))
-        taken = 0
-        for page in _landed_pages(partition.value):
-            for row in page.get("results", []):
-                taken += 1
-                if taken > limit:
-                    return
-                if all(row.get(n) is not None and fits[op](row[n], v) for op, n, v in self.tests):
-                    yield tuple(row.get(n) for n in names)
-
-
-def _landed_pages(path: str):
-    """Pages of a landed file, one JSON document or a line for each; a path may be an address of a file system."""
-    if "://" in path or path.startswith("file:"):
-        from pyarrow import fs
-
-        system, inner = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
-        with system.open_input_stream(inner) as file:
-            text = file.read().decode()
-    else:
-        with open(path, encoding="utf-8") as file:
-            text = file.read()
-    try:
-        yield json.loads(text)
-    except json.JSONDecodeError:
-        yield from (json.loads(line) for line in text.splitlines() if line.strip())
-
-
-class PagedSource(DataSource):
-    """spark.read.format("paged"): pages of JSON answers ({"results": [...]}) by option `pages` (S01, S02, S20), a file each.
-
-    Its filters reach the pages where spark.sql.python.filterPushdown.enabled is true.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged"
-
-    def schema(self) -> str:
-        return self.options["schema"]
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return PagedReader(schema, dict(self.options))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import blank, is_preprint_doi, safe_filename
 from scriptorium.functions.venues import conference_name, venue_tag
 from scriptorium.schema import Settings
+from scriptorium.sources import ledger
 
 #: Particles that belong to a surname, kinds of PDFs in order of preference and their titles.
 PARTICLES = ("van", "von", "de", "der", "den", "da", "di", "del", "la", "le", "dos", "du")
@@ -154,33 +155,20 @@ def annotate_upgrades(library: DataFrame, upgrades: DataFrame) -> DataFrame:
     return joined.withColumn("extra", F.when(noted, F.col("extra")).otherwise(F.trim(F.concat_ws("\n", F.when(known != "", known), F.col("line"))))).drop("line", "new_doi")
 
 
-def ingest(df: DataFrame, path: str, key: str = "paper_id", writes_enabled: bool = False) -> DataFrame:
-    """Write accepted and reviewed items and an audit line for each; returns the planned writes.
+def ingest(df: DataFrame, path: str, key: str = "paper_id", writes_enabled: bool = False, gate: str | None = None, argument: str = "") -> DataFrame:
+    """Write accepted and reviewed items, each with its audit line; returns what was written.
 
-    An item's id is a hash of its key, so writing again replaces nothing and adds nothing. Without writes_enabled nothing is
-    written: the plan alone is returned.
+    Keys that a run has published before are left out, and a run publishes all it wrote at once (sources/ledger.py), so one
+    that died is simply run again. An item's id is a hash of its key. Without writes_enabled nothing is written: the plan
+    alone is returned. gate: what the items have to pass, `module:name`.
     """
     planned = df.where(F.col("decision").isin("accept", "review")).select(F.col(key).cast("string").alias("key"), F.substring(F.sha1(F.col(key).cast("string")), 1, 16).alias("item_id"), "decision", "item", "collections")
     if not writes_enabled:
         return planned
     spark = df.sparkSession
-    try:
-        done = spark.read.schema("key string").json(f"{path}/audit")
-        planned = planned.join(done.distinct(), "key", "left_anti")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    from scriptorium.session import settle
-
-    fixed, _ = settle(planned, "planned")
-    fixed.write.mode("append").json(f"{path}/items")
-    audit(fixed.select("key", F.lit("create").alias("action"), "item_id"), f"{path}/audit")
-    return fixed
-
-
-def audit(lines: DataFrame, path: str) -> None:
-    """Append a JSON line for each row."""
-    lines.write.mode("append").json(path)
+    new = planned.dropDuplicates(["key"]).join(ledger.audit(spark, path).select("key"), "key", "left_anti")
+    run = ledger.append(new, path, gate, argument)
+    return ledger.published(spark, path, run).where("not refused").select(*planned.columns)
 
 
 def save_proposals(df: DataFrame, path: str, score: str = "final_score", key: str = "paper_id") -> None:

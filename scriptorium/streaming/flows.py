@@ -1,16 +1,20 @@
 """Plans that run alike on batches and streams, and runners for streams over landed files.
 
 Streams read files as they land; late rows are those behind the watermark. The seen-filter of unbounded history isn't
-kept in stream state: seen_batches() holds it in a table, so that rows which weren't settled come again.
+kept in stream state: seen_batches() holds it in a bucketed table (operators/seen.py), so that rows which weren't settled
+come again and the history isn't shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from scriptorium.operators.seen import BUCKETS, SeenTable
 from scriptorium.session import scratch_path
 
 
@@ -63,25 +67,27 @@ def replay_once(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(events.schema).parquet(f"{out}/rows")
 
 
-def seen_batches(stream: DataFrame, path: str, checkpoint: str, settled: Column, key: str = "seen_key") -> None:
-    """New rows of each micro-batch to `path`/rows; keys of settled ones to `path`/seen, so that others are tried again."""
+def seen_batches(stream: DataFrame, path: str, checkpoint: str, settled: Column, key: str = "seen_key", buckets: int = BUCKETS) -> None:
+    """New rows of each micro-batch to `path`/rows; keys of settled ones are remembered, so that others are tried again.
+
+    A batch sees what earlier batches remembered and never its own keys, and replaces what it wrote before, so a batch that
+    runs again leaves the same rows.
+    """
+    table = SeenTable(stream.sparkSession, f"{path}/seen", key, buckets)
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            seen = spark.read.schema(f"{key} string").parquet(f"{path}/seen")
-            new = batch.join(seen, key, "left_anti")
-        except Exception as e:  # noqa: BLE001  nothing was seen before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            new = batch
-        fixed = new.dropDuplicates([key]).withColumn("_settled", settled)
+        fixed = table.unseen(batch.dropDuplicates([key]), number).withColumn("_settled", settled)
         folder = f"{path}/rows/batch={number}"
         fixed.write.mode("overwrite").parquet(folder)
-        written = spark.read.parquet(folder)
-        written.where("_settled").select(key).write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+        written = batch.sparkSession.read.schema(fixed.schema).parquet(folder)
+        table.remember(written.where("_settled"), number)
+
+    run_batches(stream, write, checkpoint)
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def run_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Run a stream over what has landed, each micro-batch by `write`, and wait for its end."""
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
@@ -102,11 +108,4 @@ def running_state(events: DataFrame, key: str = "user_id") -> DataFrame:
 
 def latest_state(updates: DataFrame, path: str, checkpoint: str) -> None:
     """Write the updates of a stateful stream, a folder for each micro-batch, over what has landed."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    query = updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    if query.exception():
-        raise query.exception()
+    run_batches(updates, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"), checkpoint, "update")

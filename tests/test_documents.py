@@ -12,7 +12,7 @@ from scriptorium.plans.alerts import AlertError, AlertStore
 from scriptorium.plans.boolean import Query, parse_groups, scan_queries
 from scriptorium.plans.prompt import correct_typos, parse, parse_alert_command, seed_of, subject_of
 from scriptorium.schema import PAPER, Request, Settings, conform
-from scriptorium.sources import readers, sinks
+from scriptorium.sources import ledger, readers, sinks
 from scriptorium.streaming import flows
 
 TODAY = date(2025, 1, 1)
@@ -132,7 +132,7 @@ def test_item_mapping(spark, tmp_path):
     assert sinks.ingest(out, path).count() == 1 and not (tmp_path / "sink").exists()
     assert sinks.ingest(out, path, writes_enabled=True).count() == 1
     assert sinks.ingest(out, path, writes_enabled=True).count() == 0
-    assert spark.read.json(f"{path}/items").count() == spark.read.json(f"{path}/audit").count() == 1
+    assert ledger.items(spark, path).count() == ledger.audit(spark, path).count() == 1
     assert len(sinks.hierarchy(Settings(profile="radiology", root_collection="R"))) == 21
 
 
@@ -170,15 +170,6 @@ def test_sources(spark, tmp_path):
     assert [r.title for r in readers.gold_rows(spark, str(tmp_path / "gold.jsonl"), "title string, label string").collect()] == ["G"]
 
 
-def test_paged_source(spark, tmp_path):
-    for i in range(2):
-        (tmp_path / f"p{i}.json").write_text(json.dumps({"results": [{"id": f"{i}{j}", "year": 2020 + j} for j in range(3)]}))
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(readers.PagedSource)
-    df = spark.read.format("paged").option("pages", ",".join(str(tmp_path / f"p{i}.json") for i in range(2))).option("schema", "id string, year bigint").load()
-    assert df.count() == 6 and sorted(r.id for r in df.where("year >= 2022").collect()) == ["02", "12"]
-
-
 def test_failing_source_is_told(spark):
     def broken():
         raise OSError("no route")
