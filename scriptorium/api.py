@@ -269,7 +269,7 @@ class Engine:
             refs = rows.select(F.lit("seed").alias("doc_id"), "ref_pos", F.col("ref_key").alias("ref_id"), "ref_key")
             mapped = fulltext.last_bibliography_id(fulltext.map_bibliography(bib, refs))
             signals = F.struct("experiments", "tables", "baseline_section", "dataset_section", "snippets").cast(none)
-            found = fulltext.citation_signals(fulltext.sections(docs)).join(mapped, ["doc_id", "bid"]).select(F.col("ref_id").alias("ref_key"), signals.alias("signals"))
+            found = fulltext.citation_signals(docs).join(mapped, ["doc_id", "bid"]).select(F.col("ref_id").alias("ref_key"), signals.alias("signals"))
             rows = rows.join(found, "ref_key", "left")
         scored = baselines.score_references(rows, seed.get("year"), tuple(seed.get("topics", ())))
         if verdicts is not None:

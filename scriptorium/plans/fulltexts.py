@@ -60,7 +60,7 @@ def bibliographies(spark: SparkSession, sf_dir: str) -> DataFrame:
 count(*) FILTER (WHERE flag = 'R') + count(*) FILTER (WHERE status = 'F') AS baseline_section, CASE WHEN bool_or(flag = 'R') THEN 'We beat ' || p || ' .' END AS told FROM l GROUP BY o, p""")
 def fulltext_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of each reference by kind of section and in tables, with a sentence that compares."""
-    signals = fulltext.citation_signals(fulltext.sections(fulltext.documents(_pages(spark, sf_dir))))
+    signals = fulltext.citation_signals(fulltext.documents(_pages(spark, sf_dir)))
     said = F.get(F.filter("snippets", lambda s: s.startswith("We beat ")), F.lit(0))
     return signals.select("doc_id", "bid", "experiments", "tables", "related", "baseline_section", said.alias("told"))
 

@@ -34,7 +34,7 @@ def test_sections_and_signals(spark):
     titles = [r.title for r in parts.where("doc_id = 'd'").orderBy("pos").collect()]
     assert titles == ["1 Introduction", "2 Related Work", "3 Experiments", "3 Experiments / Baselines"]
     assert {r.title for r in parts.where("doc_id = 'd' and is_chosen").collect()} == {"2 Related Work", "3 Experiments", "3 Experiments / Baselines"}
-    got = {(r.doc_id, r.bid): r for r in fulltext.citation_signals(parts).collect()}
+    got = {(r.doc_id, r.bid): r for r in fulltext.citation_signals(docs).collect()}
     third = got["d", "bib3"]
     assert (third.experiments, third.tables, third.baseline_section, third.related) == (2, 1, 2, 0)
     assert third.snippets[0].startswith("We compare with MedCLIP")
@@ -44,6 +44,16 @@ def test_sections_and_signals(spark):
     assert (got["j", "bib:b1"].experiments, got["j", "bib:b1"].tables) == (1, 1) or got["j", "bib:b1"].tables == 1
 
 
+def test_pages_are_parsed_once(spark):
+    pages = spark.createDataFrame([("d", PAGE), ("broken", "<article><body>"), ("text", "no markup"), ("empty", "")], "doc_id string, page string").repartition(2)
+    docs = fulltext.documents(pages)
+    assert sorted((r.doc_id, r.error.split(":")[0]) for r in fulltext.unreadable(docs).collect()) == [("broken", "ParseError"), ("text", "neither HTML nor XML")]
+    for found, most in ((fulltext.sections(docs), 0), (docs.select("doc_id", F.inline("document.bib")), 0), (fulltext.citation_signals(docs), 1)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython [_parsed(") == 1
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= most
+
+
 def test_reference_scores(spark):
     none = None
     rows = [
