@@ -2,20 +2,21 @@
 
 Links come from equal identifiers, from equal title keys, and from similar title keys; title links are dropped where
 publisher DOIs or arXiv ids prove different works. Candidates for similar titles share their distinguishing tokens and a
-gram block, by equi-joins; blocks are lossless for the threshold (see fuzzy_links).
+piece of text, by equi-joins; pieces are lossless for the threshold (see _piece_pairs).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import ID_FIELDS, blank, distinguishing_tokens, is_preprint_doi, title_similarity
 from scriptorium.functions.venues import GENERIC_VENUES, type_rank
 from scriptorium.operators.components import connected_components
 from scriptorium.operators.records import is_preprint_record, peer_reviewed, with_ids, with_title_key
+from scriptorium.session import settle
 
 
 def id_pairs(df: DataFrame, key: str) -> DataFrame:
@@ -67,66 +68,136 @@ def title_links(df: DataFrame, key: str) -> DataFrame:
 
 #: Longest title whose pieces are joined; longer ones, mostly texts in the wrong field, meet those of about their length.
 LONG_TITLE = 400
+#: A piece that more titles hold is common: their rarest stretch is cut instead, into pieces of at least LEAST_PIECE letters.
+COMMON, LEAST_PIECE = 50, 4
 
 
-def fuzzy_links(df: DataFrame, key: str, threshold: float = 0.96) -> DataFrame:
+def fuzzy_links(df: DataFrame, key: str, threshold: float = 0.96, side: str | None = None) -> DataFrame:
     """(src, dst, similarity) of similar title keys with equal distinguishing tokens and no conflict.
 
-    Blocking is lossless: a ratio of t or more lets at most (1 - t)(|a| + |b|) letters of both titles lie outside the
-    matching blocks, so one title has at most e = floor((1 - t) * 2 / t * |longer|) edits; of e + 1 equal pieces of
-    it at least one stands whole in the other, near its own place. Equal titles are one row before any comparison, and
-    the edit distance, computed in the JVM, goes before the ratio. Titles beyond LONG_TITLE meet by length instead.
+    side: a boolean column; only titles of different sides are compared, src being one whose side is true. Blocking is
+    lossless (_piece_pairs). Equal titles of a side are one row before any comparison, and the edit distance, computed in
+    the JVM, goes before the ratio. Titles beyond LONG_TITLE meet by length instead.
     """
-    heads = df.where(~blank(F.col("title_key"))).groupBy("title_key").agg(F.min(key).alias("node"), F.min_by("ids", key).alias("ids"))
-    heads = heads.withColumns({"tokens": distinguishing_tokens(F.col("title_key")), "size": F.length("title_key")})
+    given = df.where(~blank(F.col("title_key"))).withColumn("side", F.col(side) if side else F.lit(None).cast("boolean"))
+    heads = given.groupBy("title_key", "side").agg(F.min(key).alias("node"), F.min_by("ids", key).alias("ids"))
+    heads, _ = settle(heads.withColumns({"tokens": F.array_join(distinguishing_tokens(F.col("title_key")), " "), "size": F.length("title_key")}), "titles")
     pairs = _piece_pairs(heads.where(F.col("size") <= LONG_TITLE), threshold).unionAll(_length_pairs(heads, threshold))
-    met = pairs.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct()
-    one = heads.select(F.col("node").alias("src"), F.col("title_key").alias("new"), F.col("ids").alias("new_ids"))
-    two = heads.select(F.col("node").alias("dst"), F.col("title_key").alias("old"), F.col("ids").alias("old_ids"))
+    named = lambda n, title: heads.select(F.col("node").alias(n), F.col("title_key").alias(title), F.col("ids").alias(f"{title}_ids"), F.col("tokens").alias(f"{title}_tokens"), F.col("side").alias(f"{title}_side"))
+    if side:
+        met = pairs.select(F.when(F.col("side"), F.col("a")).otherwise(F.col("b")).alias("src"), F.when(F.col("side"), F.col("b")).otherwise(F.col("a")).alias("dst"))
+    else:
+        met = pairs.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst"))
     apart = F.floor((F.length("new") + F.length("old")) * (1 - threshold) + 1e-9)
     long = F.greatest(F.length("new"), F.length("old")) > LONG_TITLE
-    near = met.join(one, "src").join(two, "dst").where(~conflict(F.col("new_ids"), F.col("old_ids"))).where(long | (F.levenshtein("new", "old") <= apart))
+    both = met.distinct().join(named("src", "new"), "src").join(named("dst", "old"), "dst").where("new_tokens = old_tokens")
+    near = both.where(~conflict(F.col("new_ids"), F.col("old_ids"))).where(long | (F.levenshtein("new", "old") <= apart))
     scored = near.withColumn("similarity", title_similarity("new", "old"))
     return scored.where(F.col("similarity") >= threshold).select("src", "dst", "similarity")
 
 
-def _shapes(sizes: DataFrame, threshold: float) -> DataFrame:
-    """(size, sa, width, edits): for each two lengths that occur and can be similar, the pieces of the shorter one."""
-    share, reach = (1 - threshold) * 2 / threshold, 2 / threshold - 1
-    longer = F.floor(F.col("sa") * reach + 1e-9)
-    short = sizes.select(F.col("size").alias("sa")).withColumn("edits", F.least(F.col("sa") - 1, F.floor(longer * share + 1e-9)).cast("int"))
-    short = short.withColumn("width", F.greatest(F.lit(1), F.floor(F.col("sa") / (F.col("edits") + 1))).cast("int"))
-    every = short.select("sa", "edits", "width", F.explode(F.sequence(F.col("sa"), F.greatest(F.col("sa"), longer.cast("int")))).alias("size"))
-    return every.join(sizes, "size")
-
-
-def _piece_pairs(heads: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of titles of which one holds a piece of the other near its place."""
-    shapes = _shapes(heads.select("size").distinct(), threshold)
-    own = shapes.where("size = sa").drop("sa")
-    pieces = (
-        heads.join(own, "size")
-        .select("node", "tokens", F.col("size").alias("sa"), "width", F.posexplode(F.expr("transform(sequence(0, edits), i -> substring(title_key, i * width + 1, width))")).alias("no", "gram"))
-        .select(F.col("node").alias("a"), "tokens", "sa", "no", "gram")
-    )
-    places = F.expr("sequence(greatest(0, no * width - edits), greatest(0, least(size - width, no * width + edits)))")
-    grams = (
-        heads.join(shapes, "size")
-        .select("node", "title_key", "tokens", "size", "sa", "width", "edits", F.explode(F.expr("sequence(0, edits)")).alias("no"))
-        .select(F.col("node").alias("b"), "tokens", "sa", "no", F.explode(F.array_distinct(F.transform(places, lambda at: F.substring(F.col("title_key"), at + 1, F.col("width"))))).alias("gram"))
-    )
-    return pieces.join(grams, ["tokens", "sa", "no", "gram"]).where("a <> b").select("a", "b")
+def length_classes(threshold: float, longest: int = LONG_TITLE) -> list[tuple[int, int, int, int]]:
+    """(least, most, edits, width): lengths in classes, the letters outside matching blocks that a shorter title of the class
+    and its longer partner may have together, and the width of edits + 1 pieces of the shorter one."""
+    if threshold < 0.7:
+        raise ValueError("below a ratio of 0.7 titles have no pieces to join by")
+    reach, found, low = 2 / threshold - 1, [], 1
+    while low <= longest:
+        high = max(low, math.floor(low * reach + 1e-9))
+        edits = math.floor((1 - threshold) * (high + math.floor(high * reach + 1e-9)) + 1e-9)
+        while low // (edits + 1) == 0 and high > low:
+            high -= 1
+            edits = math.floor((1 - threshold) * (high + math.floor(high * reach + 1e-9)) + 1e-9)
+        if edits:
+            found.append((low, high, edits, low // (edits + 1)))
+        low = high + 1
+    return found
+
+
+def _lengths(spark: SparkSession, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """For each length, at most LONG_TITLE of them: (size, c, edits, width), its class as the shorter title, and (size, c, edits,
+    width, least_gap, most_gap), the classes of shorter partners, with how much shorter those are."""
+    reach, own, other = 2 / threshold - 1, [], []
+    classes = length_classes(threshold)
+    for c, (low, high, edits, width) in enumerate(classes):
+        for size in range(low, min(LONG_TITLE, math.floor(high * reach + 1e-9)) + 1):
+            if size <= high:
+                own.append((size, c, edits, width))
+            gaps = [size - n for n in range(low, min(high, size) + 1) if size <= n * reach + 1e-9]
+            if gaps:
+                other.append((size, c, edits, width, min(gaps), max(gaps)))
+    return spark.createDataFrame(own, "size int, c int, edits int, width int"), spark.createDataFrame(other, "size int, c int, edits int, width int, least_gap int, most_gap int")
+
+
+#: Where piece i may stand in the longer title: no more letters were added or lost before it than i, nor after it than edits - i.
+_SHIFTS = "sequence(greatest(0, {begin} + i * width + greatest(-i, least_gap - (edits - i))), least(size - width, {begin} + i * width + least(i, most_gap + edits - i)))"
+
+
+def _asked(titles: DataFrame, begin: str) -> DataFrame:
+    """A row (b, side, hash) for each text that a shorter title's piece may be in a title; begin: where the pieces start."""
+    places = _SHIFTS.format(begin=begin)
+    each = F.expr(f"transform(sequence(0, edits), i -> transform(filter({places}, at -> at >= 0 and at <= size - width), at -> xxhash64(tokens, c, {begin}, width, i, substring(title_key, at + 1, width))))")
+    return titles.select(F.col("node").alias("b"), "side", F.explode(F.array_distinct(F.flatten(each))).alias("hash"))
+
+
+def _pieces(titles: DataFrame, begin: str) -> DataFrame:
+    """A row (a, side, i, hash) for each of a title's edits + 1 pieces of `width` letters from `begin` on."""
+    each = F.expr(f"transform(sequence(0, edits), i -> xxhash64(tokens, c, {begin}, width, i, substring(title_key, {begin} + i * width + 1, width)))")
+    return titles.select(F.col("node").alias("a"), "side", F.posexplode(each).alias("i", "hash"))
+
+
+def _piece_pairs(heads: DataFrame, threshold: float, common: int = COMMON) -> DataFrame:
+    """(a, b, side) of titles of which the longer one, b, holds a piece of the shorter one where it may stand; side is a's.
+
+    A ratio of t or more lets at most d = (1 - t)(|a| + |b|) letters of both lie outside the matching blocks. Of d + 1 pieces
+    of a, then, some piece i is whole in b with just i such letters before it and at most d - i after it: if i pieces hold i
+    of them, the count of letters less that of pieces starts at 0, falls by at most one a piece, and ends below 0. So b is
+    asked for each piece in a few places only, the same for all lengths of a class (length_classes), some 60 for 100 letters.
+
+    The argument holds for any d + 1 pieces, one after another. Where titles share common pieces, as a boilerplate
+    beginning, each is cut again, into d + 1 pieces of its longest stretch without one. The whole piece of the argument may
+    be one of a's others: those are joined as they are. Or it is a common one: then b, which holds it, is asked for the pieces
+    of that stretch. Titles whose stretch is too short for that are joined by their common pieces.
+    """
+    spark = heads.sparkSession
+    as_short, as_long = (F.broadcast(x) for x in _lengths(spark, threshold))
+    slim = heads.select("node", "side", "title_key", "tokens", "size")
+    short, longer = slim.join(as_short, "size"), slim.join(as_long, "size")
+    pieces, _ = settle(_pieces(short, "0"), "pieces")
+    asked, _ = settle(_asked(longer, "0"), "asked")
+    often, _ = settle(pieces.groupBy("hash").count().where(F.col("count") > common).select("hash"), "common")
+
+    def meet(p: DataFrame, q: DataFrame) -> DataFrame:
+        fits = (F.col("a") != F.col("b")) & (F.col("side").isNull() | (F.col("side") != F.col("other")))
+        return p.join(q.withColumnRenamed("side", "other"), "hash").where(fits).select("a", "b", "side")
+
+    if often.isEmpty():
+        return meet(pieces, asked)
+    held = pieces.join(often, "hash", "left_semi")
+    at = held.groupBy("a").agg(F.array_sort(F.collect_set("i")).alias("at")).withColumnRenamed("a", "node")
+    ends = "concat(array(-1), at, array(edits + 1))"
+    gaps = F.expr(f"transform(sequence(0, size(at)), k -> struct({ends}[k + 1] - {ends}[k] - 1 as free, {ends}[k] + 1 as first))")
+    stretch = short.join(at, "node").withColumn("gap", F.array_max(gaps)).withColumn("begin", F.col("gap.first") * F.col("width"))
+    last = F.when(F.col("gap.first") + F.col("gap.free") > F.col("edits"), F.col("size")).otherwise((F.col("gap.first") + F.col("gap.free")) * F.col("width"))
+    cut, _ = settle(stretch.withColumn("width", F.floor((last - F.col("begin")) / (F.col("edits") + 1)).cast("int")).where(F.col("width") >= LEAST_PIECE).select("node", "side", "title_key", "tokens", "size", "c", "edits", "begin", "width"), "stretches")
+    again = pieces.join(cut.select(F.col("node").alias("a"), "c", "begin", F.col("width").alias("cut_width")), "a", "left")
+    plain = again.where("begin is null").drop("c", "begin", "cut_width").unionByName(again.where("begin is not null").drop("c", "begin", "cut_width").join(often, "hash", "left_anti"))
+    runs = again.where("begin is not null").join(often, "hash", "left_semi").select("hash", "c", "begin", F.col("cut_width").alias("width")).distinct()
+    known = asked.join(often, "hash", "left_semi").join(runs, "hash").select(F.col("b").alias("node"), "c", "begin", "width").distinct()
+    asks = known.join(longer.drop("width"), ["node", "c"])
+    return meet(plain, asked).unionByName(meet(_pieces(cut, "begin"), _asked(asks, "begin")))
 
 
 def _length_pairs(heads: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of titles of which one is beyond LONG_TITLE, and whose lengths can be similar."""
     ratio = threshold / (2 - threshold)  # of lengths: all letters of the shorter one match
     step = F.floor(F.log(F.col("size")) / -math.log(ratio)).cast("int")
-    some = heads.where(F.col("size") >= int(LONG_TITLE * ratio)).select("node", "tokens", "size", step.alias("step"))
-    a = some.select(F.col("node").alias("a"), "tokens", F.col("size").alias("size_a"), "step")
-    b = some.select(F.col("node").alias("b"), "tokens", F.col("size").alias("size_b"), F.explode(F.array("step", F.col("step") - 1)).alias("step"))
-    met = a.join(b, ["tokens", "step"]).where((F.col("a") != F.col("b")) & (F.greatest("size_a", "size_b") > LONG_TITLE))
-    return met.where(F.least("size_a", "size_b") >= ratio * F.greatest("size_a", "size_b")).select("a", "b")
+    some = heads.where(F.col("size") >= int(LONG_TITLE * ratio)).select("node", "tokens", "size", "side", step.alias("step"))
+    a = some.select(F.col("node").alias("a"), "tokens", F.col("size").alias("size_a"), "side", "step")
+    b = some.select(F.col("node").alias("b"), "tokens", F.col("size").alias("size_b"), F.col("side").alias("other"), F.explode(F.array("step", F.col("step") - 1)).alias("step"))
+    fits = (F.col("a") != F.col("b")) & (F.col("side").isNull() | (F.col("side") != F.col("other")))
+    met = a.join(b, ["tokens", "step"]).where(fits & (F.greatest("size_a", "size_b") > LONG_TITLE))
+    return met.where(F.least("size_a", "size_b") >= ratio * F.greatest("size_a", "size_b")).select("a", "b", "side")
 
 
 def clusters(papers: DataFrame, key: str = "paper_id", threshold: float = 0.96) -> DataFrame:
@@ -213,21 +284,28 @@ def dedupe(papers: DataFrame, key: str = "paper_id", threshold: float = 0.96, or
 def match_library(papers: DataFrame, library: DataFrame, key: str = "paper_id", threshold: float = 0.96) -> DataFrame:
     """papers with library_key and match_method: by identifiers in order of priority, then by title, then by similar title
     (J01-J03)."""
-    p = with_title_key(with_ids(papers)).withColumn("p_key", F.concat(F.lit("p:"), F.col(key).cast("string")))
-    lib = with_title_key(library).withColumn("l_key", F.concat(F.lit("l:"), "key"))
+    p, _ = settle(with_title_key(with_ids(papers)), "papers")
+    lib, _ = settle(with_title_key(library).select("key", "title_key", "ids"), "library")
     by_id = id_pairs(p, key).join(id_pairs(lib, "key").drop("priority"), ["kind", "value"]).select(key, F.col("key").alias("found"), "priority", F.col("kind").alias("method"), F.lit(1.0).alias("similarity"))
     titles = lib.select("key", "title_key", F.col("ids").alias("l_ids")).where(~blank(F.col("title_key")))
     by_title = p.join(titles, "title_key").where(~conflict(F.col("ids"), F.col("l_ids"))).select(key, F.col("key").alias("found"), F.lit(10).alias("priority"), F.lit("title").alias("method"), F.lit(1.0).alias("similarity"))
-    both = p.select(F.col("p_key").alias("node"), "title_key", "ids").unionAll(lib.select(F.col("l_key").alias("node"), "title_key", "ids"))
-    near = fuzzy_links(both, "node", threshold)
-    sides = near.where(F.col("src").startswith("p:") & F.col("dst").startswith("l:"))
-    heads = p.where(~blank(F.col("title_key"))).groupBy("title_key").agg(F.min("p_key").alias("src"))
-    by_near = (
-        sides.join(heads, "src").join(p.select(key, "title_key"), "title_key")
+    met, _ = settle(by_id.unionAll(by_title), "matched")
+    left = p.join(met.select(key), key, "left_anti").where(~blank(F.col("title_key")))
+    if not left.isEmpty():
+        met = met.unionAll(_similar(left, lib, key, threshold))
+    first = met.groupBy(key).agg(F.min_by(F.struct("found", "method"), F.struct("priority", -F.col("similarity"), "found")).alias("match"))
+    return p.join(first, key, "left").withColumns({"library_key": F.col("match.found"), "match_method": F.col("match.method")}).drop("match")
+
+
+def _similar(p: DataFrame, lib: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Matches of records by similar titles."""
+    side = lambda df, mark, own: df.select(F.concat(F.lit(mark), F.col(own).cast("string")).alias("node"), "title_key", "ids", F.lit(mark == "p:").alias("mine"))
+    near = fuzzy_links(side(p, "p:", key).unionAll(side(lib, "l:", "key")), "node", threshold, "mine")
+    heads = p.groupBy("title_key").agg(F.min(F.concat(F.lit("p:"), F.col(key).cast("string"))).alias("src"))
+    return (
+        near.join(heads, "src").join(p.select(key, "title_key"), "title_key")
         .select(key, F.substring("dst", 3, 1 << 30).alias("found"), F.lit(20).alias("priority"), F.format_string("fuzzy_title(%.3f)", F.col("similarity")).alias("method"), "similarity")
     )
-    first = by_id.unionAll(by_title).unionAll(by_near).groupBy(key).agg(F.min_by(F.struct("found", "method"), F.struct("priority", -F.col("similarity"), "found")).alias("match"))
-    return p.join(first, key, "left").withColumns({"library_key": F.col("match.found"), "match_method": F.col("match.method")}).drop("match", "p_key")
 
 
 def route(matched: DataFrame, library: DataFrame) -> DataFrame:

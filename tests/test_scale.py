@@ -22,6 +22,49 @@ def test_one_long_title_among_others(spark):
     assert got == {(2, 1), (4, 3)} and time.time() - begin < 120
 
 
+def test_pieces_of_every_length():
+    """Each class has room for its pieces, and a title asks in few places."""
+    for threshold in (0.7, 0.9, 0.96, 0.9999):
+        classes = dedup.length_classes(threshold)
+        assert all(width >= 1 and (edits + 1) * width <= low for low, _, edits, width in classes)
+        assert all(edits + 1e-6 >= (1 - threshold) * 2 * high - 1 for _, high, edits, _ in classes)
+
+
+def test_rows_of_similar_titles(spark):
+    """Below 150 rows a title, whose pieces many share or not; a boilerplate beginning gives candidates in proportion."""
+    letters = F.translate(F.concat(F.md5(F.col("id").cast("string")), F.md5((F.col("id") + 7).cast("string"))), "0123456789", "ghijklmnop")
+    made = {}
+    for n in (1_000, 4_000):
+        titles = spark.range(n).select(F.col("id").alias("node"), F.concat(F.lit("proceedings of the yearly meeting"), letters).alias("title_key"))
+        heads = titles.withColumns({"side": F.lit(None).cast("boolean"), "tokens": F.lit(""), "size": F.length("title_key")})
+        _, as_long = dedup._lengths(spark, 0.96)
+        assert dedup._asked(heads.join(as_long, "size"), "0").count() < 150 * n
+        made[n] = dedup._piece_pairs(heads, 0.96).count()
+    assert made[4_000] <= 6 * made[1_000] + 1_000
+
+
+def test_common_pieces_lose_nothing(spark, monkeypatch):
+    from random import Random
+
+    from scriptorium.functions.text import title_ratio
+
+    monkeypatch.setattr(dedup, "COMMON", 3)
+    monkeypatch.setattr(dedup._piece_pairs, "__defaults__", (3,))
+    rnd = Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(4, 9)))
+    titles = {f"{begin} {' '.join(word() for _ in range(9))}" for begin in ("annual report of the society", "minutes of the board of the town") for _ in range(40)}
+    for t in list(titles):
+        for _ in range(2):
+            for _ in range(rnd.randint(1, 3)):
+                at = rnd.randrange(len(t))
+                t = " ".join((t[:at] + rnd.choice(["", "x", t[at]]) + t[at + 1 :]).split())
+            titles.add(t)
+    rows = [(i, t, {}) for i, t in enumerate(sorted(titles))]
+    got = {(r.src, r.dst) for r in dedup.fuzzy_links(records(spark, rows), "paper_id").collect()}
+    want = {(a, b) for a, ta, _ in rows for b, tb, _ in rows if a > b and title_ratio(ta, tb) >= 0.96}
+    assert got == want and len(want) > 60
+
+
 def test_one_title_of_many_dois(spark):
     """Thousands of records of one title and different DOIs give a star, and those without a DOI join them all."""
     n = 50_000
