@@ -36,14 +36,16 @@ def _dimension(title: O.Hits, abstract: O.Hits) -> float:
 
 
 def _measure(ontology: O.Ontology, title: str, abstract: str) -> tuple:
+    """One pass over the text tells which terms may match; only their patterns are run."""
     text = f"{title} {abstract}"
+    some = O.index_of(ontology).candidates(text)
     scores, titles, patterns = {}, {}, {}
     for name, found in ontology.dimensions:
         if name.startswith("topic:"):
-            found = O.in_context(found, text)
-        t, a = O.hits(found, title), O.hits(found, abstract)
+            found = O.in_context(found, text, some)
+        t, a = O.hits(found, title, some), O.hits(found, abstract, some)
         scores[name], titles[name], patterns[name] = _dimension(t, a), t.weight, sorted({*t.patterns, *a.patterns})
-    tags = [name for name, found in ontology.tags if (h := O.hits(found, text)).strong or h.weight >= 1.0]
+    tags = [name for name, found in ontology.tags if (h := O.hits(found, text, some)).strong or h.weight >= 1.0]
     return scores, titles, patterns, tags, bool(re.search(O.CT_CONTEXT, text, re.IGNORECASE))
 
 
@@ -53,7 +55,9 @@ def measured(title: Column, abstract: Column, ontology: O.Ontology | None = None
 
     @F.pandas_udf(_MEASURED)
     def run(t: pd.Series, a: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_measure(known, x or "", y or "") for x, y in zip(t, a, strict=True)], columns=[f.name for f in _MEASURED.fields])
+        texts = list(zip(t.fillna(""), a.fillna(""), strict=True))
+        once = {pair: _measure(known, *pair) for pair in dict.fromkeys(texts)}
+        return pd.DataFrame([once[pair] for pair in texts], columns=[f.name for f in _MEASURED.fields])
 
     return run(title, abstract)
 
