@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import redact
+from scriptorium.operators.ranks import places
 from scriptorium.operators.topk import best_per_group
 
 #: Hours that answers of a kind stay fresh.
@@ -61,8 +62,10 @@ def backoff_seconds(tries: Column) -> Column:
 
 
 def schedule(requests: DataFrame, start: datetime, order: str, host: str = "host") -> DataFrame:
-    """requests with at, the earliest time each may go out (T08): a host's requests follow each other by its interval."""
+    """requests with at, the earliest time each may go out (T08): a host's requests follow each other by its interval.
+
+    Places come from ranks that are counted over ranges, so a host with most requests is as many tasks as any others.
+    """
     seconds = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in HOST_SECONDS.items() for x in pair]), F.col(host)), F.lit(OTHER_SECONDS))
-    place = F.row_number().over(Window.partitionBy(host).orderBy(order)) - 1
-    at = F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (seconds * place).cast("decimal(18,6)"))
-    return requests.withColumn("at", at)
+    at = F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (seconds * F.col("_place")).cast("decimal(18,6)"))
+    return places(requests, host, order, "_place").withColumn("at", at).drop("_place")

@@ -110,3 +110,23 @@ def test_deep_tree(spark):
     rows = [(f"k{i}", f"n{i}", f"k{i - 1}" if i else None, False) for i in range(60)] + [("loop", "x", "loop", False)]
     got = graph.with_paths(spark.createDataFrame(rows, "key string, name string, parentCollection string, deleted boolean"))
     assert got.count() == 60 and got.agg(F.max("level")).first()[0] == 59
+
+
+def test_places_of_one_key(spark):
+    """A key with nearly all rows is spread over all tasks, and every place is that of a sort."""
+    from scriptorium.operators import ranks
+
+    n = 200_000
+    df = spark.range(n).select(F.when(F.col("id") % 1000 == 7, "small").when(F.col("id") % 1000 == 8, None).otherwise("big").alias("host"), F.xxhash64("id").alias("o"), F.lit("clash").alias("place0"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = df.repartitionByRange("host", "o").groupBy(F.spark_partition_id()).count().collect()
+        assert len(dealt) == 4 and max(r["count"] for r in dealt) < n / 2
+        got = ranks.places(df, "host", "o")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got.columns == [*df.columns, "place"]
+    by = got.groupBy("host").agg(F.count("*").alias("n"), F.min("place").alias("low"), F.max("place").alias("high"), F.count_distinct("place").alias("places")).collect()
+    assert all((r.low, r.high, r.places) == (0, r.n - 1, r.n) for r in by) and len(by) == 3
+    some = got.where("host = 'small'").orderBy("place").select("o").collect()
+    assert [r.o for r in some] == sorted(r.o for r in some)
