@@ -210,10 +210,28 @@ def clusters(papers: DataFrame, key: str = "paper_id", threshold: float = 0.96)
 
 
 _FILLED = ("doi", "arxiv_id", "pmid", "pmcid", "openalex_id", "semantic_scholar_id", "url", "publication_date", "year", "volume", "issue", "pages", "publisher", "issn", "pdf_url", "publication_type", "author_watch", "relationship")
+_LISTS = ("sources", "queries", "references", "author_ids", "extra_tags")
 _LOCATORS = ("volume", "issue", "pages", "publisher", "issn")
 _SERIES = r"(?i)^(lecture notes|communications in computer|proceedings of spie)"
 
 
+def united(df: DataFrame, key: str, cluster: str, order: str) -> DataFrame:
+    """(cluster, lists, pdf_candidates): the values of a cluster's lists and the entries of its maps, each where it stands first.
+
+    Distinct values are found first, each with its least place, by an aggregation that tasks begin on their own rows; only
+    then are those of a cluster put in order, so what one task holds has the size of the result, however many records there are.
+    """
+    place = lambda at: F.struct(F.col(order).alias("rank"), F.col(key).alias("record"), at.alias("at"))
+    row = lambda field, name, value, at: F.struct(F.lit(field).alias("field"), name.alias("name"), value.alias("value"), place(at).alias("place"))
+    listed = lambda n: F.transform(F.coalesce(F.col(n), F.array().cast("array<string>")), lambda x, i: row(n, x, F.lit(None).cast("string"), i))
+    each = [listed(n) for n in _LISTS]
+    entries = F.coalesce(F.map_entries("pdf_candidates"), F.array().cast("array<struct<key:string,value:string>>"))
+    rows = df.select(cluster, F.explode(F.concat(*each, F.transform(entries, lambda e, i: row("pdf_candidates", e["key"], e["value"], i)))).alias("r")).select(cluster, "r.*")
+    distinct = rows.groupBy(cluster, "field", "name").agg(F.min("place").alias("place"), F.min_by("value", "place").alias("value"))
+    of = lambda field: F.array_sort(F.collect_list(F.when(F.col("field") == field, F.struct("place", "name", "value"))))
+    return distinct.groupBy(cluster).agg(*[F.transform(of(n), lambda s: s["name"]).alias(n) for n in _LISTS], F.map_from_entries(F.transform(of("pdf_candidates"), lambda s: F.struct(s["name"], s["value"]))).alias("pdf_candidates"))
+
+
 def merge_clusters(df: DataFrame, key: str = "paper_id", cluster: str = "cluster", order: str = "source_rank") -> DataFrame:
     """One record for each cluster (A10).
 
@@ -221,7 +239,7 @@ def merge_clusters(df: DataFrame, key: str = "paper_id", cluster: str = "cluster
     date; a publisher's DOI goes before a preprint server's; the longest abstract and author list, the most
     citations and the strongest graph evidence are kept; lists and maps are united in order. Nothing here depends on the
     order of arrival: ties go by `order` and key. Every value is an aggregate of its own, so a large cluster needs no
-    task to hold its records, but for the united lists, whose size is that of the result.
+    task to hold its records; united lists are gathered from their distinct values (united).
     """
     rank = type_rank(F.col("venue_type"))
     named = ~F.col("venue_key").isin(*GENERIC_VENUES)
@@ -241,13 +259,6 @@ def merge_clusters(df: DataFrame, key: str = "paper_id", cluster: str = "cluster
     for n in _LOCATORS:  # never from a version below the best
         filled[n] = best(F.struct(F.col(n)), F.col("is_version"))[n]
     by_length = lambda n, size: best(F.col(n), F.struct(size, F.col("is_version")))
-    listed = lambda n: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(key), F.col(n)))), lambda s: s[n])))
-    maps = F.aggregate(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(key), F.map_entries("pdf_candidates").alias("e")))), lambda s: s["e"]),
-        F.array().cast("array<struct<key:string,value:string>>"),
-        lambda a, e: F.concat(a, F.filter(e, lambda x: ~F.exists(a, lambda y: y["key"] == x["key"]))),
-        F.map_from_entries,
-    )
     venue = best(F.struct("venue", "venue_key", "venue_type"), F.col("is_venue"))
     dated = best(F.struct("year", "publication_date"), F.when(F.col("year").isNotNull() | present("publication_date"), F.col("is_version")))
     out = df.groupBy(cluster).agg(
@@ -261,9 +272,8 @@ def merge_clusters(df: DataFrame, key: str = "paper_id", cluster: str = "cluster
         F.max("citation_count").alias("citation_count"),
         best(F.col("graph_evidence"), F.col("graph_evidence.score")).alias("graph_evidence"),
         *[c.alias(n) for n, c in filled.items()],
-        *[listed(n).alias(n) for n in ("sources", "queries", "references", "author_ids", "extra_tags")],
-        maps.alias("pdf_candidates"),
     )
+    out = out.join(united(df, key, cluster, order), cluster, "left").withColumns({n: F.coalesce(n, F.array().cast("array<string>")) for n in _LISTS} | {"pdf_candidates": F.coalesce("pdf_candidates", F.create_map().cast("map<string,string>"))})
     same = F.coalesce(F.substring("publication_date", 1, 4) == F.col("dated.year").cast("string"), F.lit(True))
     return out.withColumns(
         {

@@ -130,3 +130,16 @@ def test_places_of_one_key(spark):
     assert all((r.low, r.high, r.places) == (0, r.n - 1, r.n) for r in by) and len(by) == 3
     some = got.where("host = 'small'").orderBy("place").select("o").collect()
     assert [r.o for r in some] == sorted(r.o for r in some)
+
+
+def test_large_cluster_merges_in_the_size_of_its_result(spark):
+    """100,000 records of one work leave lists of its distinct values, and no plan gathers a list of each record."""
+    from scriptorium.schema import PAPER, conform
+
+    n = 100_000
+    rows = spark.range(n).select(F.lit("A work").alias("title"), F.array(F.concat(F.lit("r"), F.col("id") % 3), F.lit("r0")).alias("references"), F.create_map(F.concat(F.lit("k"), F.col("id") % 2), F.col("id").cast("string")).alias("pdf_candidates"), F.array(F.lit("one")).alias("sources"), F.col("id"))
+    papers = conform(rows, PAPER).withColumns({"paper_id": F.monotonically_increasing_id(), "cluster": F.lit(0), "source_rank": F.lit(1), "graph_evidence": F.lit(None).cast("struct<score:double,label:string,evidence:string>")})
+    merged = dedup.merge_clusters(papers)
+    r = merged.first()
+    assert (r.n_records, r.references, r.sources, sorted(r.pdf_candidates), r.queries) == (n, ["r0", "r1", "r2"], ["one"], ["k0", "k1"], [])
+    assert r.pdf_candidates["k0"] == "0"
