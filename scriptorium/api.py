@@ -19,7 +19,7 @@ from scriptorium.plans.prompt import parse, parse_alert_command
 from scriptorium.schema import LIBRARY, PAPER, Request, Settings, conform
 from scriptorium.session import settle
 from scriptorium.sources import sinks
-from scriptorium.sources.readers import union_sources
+from scriptorium.sources.readers import scan_sources, union_sources
 
 
 @dataclass
@@ -98,21 +98,25 @@ class Engine:
 
     def retrieve(self, request: Request) -> tuple[DataFrame, DataFrame]:
         """All sources' rows that a request's predicates leave, and the sources that failed."""
-        raw, errors = union_sources(self.spark, self.sources)
-        rows = conform(raw)
         title, text = F.col("title"), F.concat_ws(" ", "title", "abstract")
         wanted: Column | None = None
         for q in self.queries(request):
             wanted = q.matches(text) if wanted is None else wanted | q.matches(text)
-        if wanted is not None:
-            rows = rows.where(wanted)
-        if request.venues and request.intent == "venue_search":
-            rows = rows.where(F.col("venue_key").isin(*request.venues))
-        if request.author:
-            ids = [i for i in (request.author_openalex_id and f"openalex:{request.author_openalex_id}", request.author_s2_id and f"s2:{request.author_s2_id}") if i]
-            own = F.arrays_overlap("author_ids", F.array(*[F.lit(i) for i in ids])) if ids else F.lit(False)
-            rows = rows.where(own | ((F.size("authors") > 0) & byline_guard(F.col("authors"), request.author)))
-        return rows.where(~title.isNull()), errors
+
+        def narrow(raw: DataFrame) -> DataFrame:
+            rows = conform(raw)
+            if wanted is not None:
+                rows = rows.where(wanted)
+            if request.venues and request.intent == "venue_search":
+                rows = rows.where(F.col("venue_key").isin(*request.venues))
+            if request.author:
+                ids = [i for i in (request.author_openalex_id and f"openalex:{request.author_openalex_id}", request.author_s2_id and f"s2:{request.author_s2_id}") if i]
+                own = F.arrays_overlap("author_ids", F.array(*[F.lit(i) for i in ids])) if ids else F.lit(False)
+                rows = rows.where(own | ((F.size("authors") > 0) & byline_guard(F.col("authors"), request.author)))
+            return rows.where(~title.isNull())
+
+        scan = scan_sources(self.spark, self.sources, narrow)
+        return scan.rows, scan.errors
 
     def run(self, request: Request, start: str | None = None, end: str | None = None, raw: DataFrame | None = None, seen: DataFrame | None = None, verdicts: DataFrame | None = None) -> Result:
         """Scan, resolve, classify, score, decide, route and cap (entry A)."""

@@ -230,6 +230,19 @@ def failing_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(failed.select(F.lit("failed").alias("source"), F.lit(None).cast("int").alias("n_nationkey")))
 
 
+@query("""SELECT 'rows' AS kind, 'q' || c_nationkey % 4 AS source, count(*) AS n FROM customer WHERE c_nationkey % 4 <> 2 AND c_acctbal > 0 GROUP BY ALL
+UNION ALL SELECT 'counted', 'q' || c_nationkey % 4, count(*) FROM customer WHERE c_nationkey % 4 <> 2 AND c_acctbal > 0 GROUP BY ALL UNION ALL SELECT 'failed', 'q2', 1 WHERE (SELECT count(*) FROM customer WHERE c_nationkey % 4 = 2) > 0""")
+def source_failing_in_a_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four sources, of which one fails in its tasks: the others' rows, how many were counted while they were written, and what failed."""
+    c = table(spark, sf_dir, "customer")
+    own = lambda k: c.where(F.col("c_nationkey") % 4 == k).select(F.lit(f"q{k}").alias("source"), "c_custkey", "c_acctbal")
+    breaks = lambda df: df.withColumn("c_custkey", F.when(F.length("source") > 0, F.raise_error(F.lit("no answer"))).otherwise(F.col("c_custkey")))
+    scan = readers.scan_sources(spark, {f"q{k}": (lambda k=k: breaks(own(k)) if k == 2 else own(k)) for k in range(4)}, lambda df: df.where("c_acctbal > 0"))
+    rows = scan.rows.groupBy("source").agg(F.count("*").alias("n"))
+    told = [rows.select(F.lit("rows").alias("kind"), "source", "n"), scan.counts.select(F.lit("counted"), "source", "rows"), scan.errors.select(F.lit("failed"), "source", F.lit(1).cast("long"))]
+    return told[0].unionAll(told[1]).unionAll(told[2])
+
+
 @query("SELECT 'm-' || max(p_size) || '.0' AS name FROM part")
 def newest_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest stable model of a family, by its version as numbers."""

@@ -9,10 +9,13 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +23,7 @@ from scriptorium.functions.text import blank, filled, normalize_arxiv_id, strip_
 from scriptorium.functions.venues import canonical_venue
 from scriptorium.operators.classify import looks_radiological
 from scriptorium.operators.records import finalize
+from scriptorium.session import scratch_path, shared_dir, shuffle_files_dropped
 
 #: The fields of each source's responses that its mapper reads.
 OPENALEX = (
@@ -315,13 +319,62 @@ def gold_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def union_sources(spark: SparkSession, tasks: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """(rows of all sources, (source, message) of those that couldn't be planned): one failing source stops no other."""
+    """(rows of all sources, (source, message) of those that couldn't be planned): one failing source stops no other.
+
+    Nothing runs yet, so what fails while it runs isn't told here: scan_sources() does that.
+    """
     frames, failed = [], []
     for name, task in tasks.items():
         try:
             frames.append(task())
         except Exception as e:  # noqa: BLE001  told in the second frame
-            failed.append((name, str(e).splitlines()[0][:500]))
+            failed.append((name, _message(e)))
+    if not frames:
+        raise RuntimeError(f"no source could be read: {failed}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), spark.createDataFrame(failed, FAILED)
+
+
+FAILED, COUNTED = "source string, message string", "source string, rows long"
+#: Sources that are scanned at a time.
+TOGETHER = 8
+
+
+def _message(e: Exception) -> str:
+    said = [line.strip() for line in str(e).splitlines() if line.strip()]
+    return (said[0] if said else type(e).__name__)[:500]
+
+
+@dataclass
+class Scan:
+    """Rows of the sources that could be read, (source, message) of the others, and (source, rows) as they were written."""
+
+    rows: DataFrame
+    errors: DataFrame
+    counts: DataFrame
+
+
+def scan_sources(spark: SparkSession, tasks: dict[str, Callable[[], DataFrame]], narrow: Callable[[DataFrame], DataFrame] = lambda df: df) -> Scan:
+    """Scan sources, TOGETHER at a time, each written down on its own: one that fails in its tasks leaves the others' rows and a
+    row that tells it (U01, A05, H11). narrow is applied to each source before it is written, so its filters reach the scan. Rows are
+    counted while they are written.
+    """
+    shared_dir(spark)
+
+    def scan(name: str) -> tuple[DataFrame | None, str | None, int]:
+        seen = Observation()
+        try:
+            found = narrow(tasks[name]())
+            path = scratch_path(spark, "source")
+            found.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
+            return spark.read.schema(found.schema).parquet(path), None, int(seen.get["rows"])
+        except Exception as e:  # noqa: BLE001  told in the errors
+            return None, _message(e), 0
+
+    with shuffle_files_dropped(spark), ThreadPoolExecutor(max_workers=TOGETHER) as pool:
+        found = dict(zip(tasks, pool.map(inheritable_thread_target(spark)(scan), tasks), strict=True))
+    frames = [df for df, _, _ in found.values() if df is not None]
+    failed = [(name, message) for name, (_, message, _) in found.items() if message]
     if not frames:
         raise RuntimeError(f"no source could be read: {failed}")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), spark.createDataFrame(failed, "source string, message string")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return Scan(rows, spark.createDataFrame(failed, FAILED), spark.createDataFrame([(n, k) for n, (df, _, k) in found.items() if df is not None], COUNTED))

@@ -188,6 +188,27 @@ def test_failing_source_is_told(spark):
     assert rows.count() == 2 and [(r.source, r.message) for r in errors.collect()] == [("bad", "no route")]
 
 
+def test_source_that_fails_while_it_runs(spark, tmp_path):
+    """A file that breaks in a task leaves the others' rows, counted as they were written, and one row that tells it."""
+    spark.range(20).coalesce(1).write.parquet(str(tmp_path / "good"))
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "bad"))
+    for file in (tmp_path / "bad").glob("part-*"):
+        file.write_bytes(file.read_bytes()[:40])
+    for file in (tmp_path / "bad").glob(".part-*"):
+        file.unlink()
+
+    def missing():
+        raise OSError("no route")
+
+    tasks = {"good": lambda: spark.read.schema("id long").parquet(str(tmp_path / "good")), "bad": lambda: spark.read.schema("id long").parquet(str(tmp_path / "bad")), "missing": missing, "empty": lambda: spark.range(0)}
+    scan = readers.scan_sources(spark, tasks, lambda df: df.where("id >= 5"))
+    assert sorted(r.id for r in scan.rows.collect()) == list(range(5, 20))
+    assert sorted((r.source, r.rows) for r in scan.counts.collect()) == [("empty", 0), ("good", 15)]
+    assert sorted(r.source for r in scan.errors.collect()) == ["bad", "missing"]
+    with pytest.raises(RuntimeError, match="no source"):
+        readers.scan_sources(spark, {"missing": missing})
+
+
 def test_seen_and_settled(spark):
     df = spark.createDataFrame([(1, ["a", "b"], "accept", True, "candidate"), (2, ["c"], "review", False, "candidate"), (3, [], "reject", False, "candidate")], "k int, seen_keys array<string>, decision string, written boolean, route string")
     seen = spark.createDataFrame([("b",)], "seen_key string")
