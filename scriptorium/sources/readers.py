@@ -1,13 +1,13 @@
 """Sources: JSON, XML and HTML landings of seven catalogues, mapped to records; other inputs.
 
 Each source lands its responses as files; a mapper is one projection from their schema to records, so scans, filters and
-column pruning are Spark's own. No mapper calls a network.
+column pruning are Spark's own, XML included. No mapper calls a network. XML that can't be parsed gives no records, and a row
+of unreadable() that tells it.
 """
 
 from __future__ import annotations
 
 import re
-import xml.etree.ElementTree as ET
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -208,46 +208,77 @@ def _rows(df: DataFrame, column: str, parse: Callable[[str], list[dict]]) -> Dat
     return df.select(column).mapInPandas(run, _ROW)
 
 
-def _text(node) -> str:
-    return "".join(node.itertext()).strip() if node is not None else ""
-
-
-def _pubmed_date(article) -> str | None:
-    for path in ("./PubmedData/History/PubMedPubDate[@PubStatus='pubmed']", "./MedlineCitation/Article/ArticleDate", "./MedlineCitation/Article/Journal/JournalIssue/PubDate"):
-        node = article.find(path)
-        year = re.match(r"\d{4}", _text(node.find("Year")) or _text(node.find("MedlineDate"))) if node is not None else None
-        if year:
-            month, day = _text(node.find("Month")), _text(node.find("Day"))
-            number = MONTHS.index(month[:3].lower()) + 1 if month[:3].lower() in MONTHS else int(month) if month.isdigit() else 1
-            return f"{year[0]}-{number:02d}-{int(day) if day.isdigit() else 1:02d}"
-    return None
-
-
-def parse_pubmed(xml: str) -> list[dict]:
-    """Rows of a PubMed answer."""
-    try:
-        root = ET.fromstring(xml)
-    except ET.ParseError:
-        return []
-    out = []
-    for entry in root.iterfind("./PubmedArticle"):
-        article, ids = entry.find("./MedlineCitation/Article"), {i.get("IdType"): _text(i) for i in entry.iterfind("./PubmedData/ArticleIdList/ArticleId")}
-        kinds = [_text(t) for t in article.iterfind("./PublicationTypeList/PublicationType")]
-        kind = next((k for k in kinds if k in EXCLUDED_PUBMED), "Preprint" if "Preprint" in kinds else "Review" if "Review" in kinds else "Journal Article")
-        names = (" ".join(filter(None, (_text(a.find("ForeName")), _text(a.find("LastName"))))) or _text(a.find("CollectiveName")) for a in article.iterfind("./AuthorList/Author"))
-        issue = article.find("./Journal/JournalIssue")
-        of = lambda n: (_text(issue.find(n)) if issue is not None else "") or None  # noqa: B023, E731
-        out.append({
-            "title": _text(article.find("./ArticleTitle")), "abstract": " ".join(_text(t) for t in article.iterfind("./Abstract/AbstractText")), "authors": [n for n in names if n],
-            "publication_date": _pubmed_date(entry), "venue": _text(article.find("./Journal/Title")), "doi": ids.get("doi"), "pmid": _text(entry.find("./MedlineCitation/PMID")), "pmcid": ids.get("pmc"),
-            "publication_type": kind.lower(), "volume": of("Volume"), "issue": of("Issue"), "pages": _text(article.find("./Pagination/MedlinePgn")) or None, "issn": _text(article.find("./Journal/ISSN")) or None,
-        })
-    return out
+#: Elements of a PubMed answer and of an arXiv feed that are read. What can't be parsed goes to the last column.
+_PUBMED_DATE = "struct<_PubStatus:string,Year:string,Month:string,Day:string,MedlineDate:string>"
+_PUBMED = (
+    "PubmedArticle array<struct<MedlineCitation:struct<PMID:string,Article:struct<Journal:struct<ISSN:string,Title:string,JournalIssue:struct<Volume:string,Issue:string,"
+    f"PubDate:{_PUBMED_DATE}>>,ArticleTitle:string,Pagination:struct<MedlinePgn:string>,Abstract:struct<AbstractText:array<string>>,"
+    "AuthorList:struct<Author:array<struct<ForeName:string,LastName:string,CollectiveName:string>>>,PublicationTypeList:struct<PublicationType:array<string>>,"
+    f"ArticleDate:array<{_PUBMED_DATE}>>>,PubmedData:struct<History:struct<PubMedPubDate:array<{_PUBMED_DATE}>>,ArticleIdList:struct<ArticleId:array<struct<_IdType:string,_VALUE:string>>>>>>"
+)
+_ARXIV = "entry array<struct<id:string,title:string,summary:string,published:string,author:array<struct<name:string>>,doi:string,journal_ref:string>>"
+_XML = {"columnNameOfCorruptRecord": "_bad", "ignoreNamespace": "true"}
+#: A tag inside text that is read whole: with a name, and attributes that have values.
+_TAG = r"""</?[A-Za-z][\w:.-]*(\s+[\w:.-]+\s*=\s*("[^"]*"|'[^']*'))*\s*/?>"""
+
+
+def _answers(files: DataFrame, column: str, schema: str) -> DataFrame:
+    return files.select(F.from_xml(column, f"{schema}, _bad string", _XML).alias("answer"))
+
+
+def unreadable(files: DataFrame, column: str = "value") -> DataFrame:
+    """(answer, error): a row for each XML answer that can't be parsed, which gives no records."""
+    parsed = files.select(F.col(column).alias("answer"), F.from_xml(column, "_any string, _bad string", _XML).alias("x"))
+    return parsed.where(F.col("x._bad").isNotNull()).select("answer", F.when(F.trim("answer") == "", "empty").otherwise("no well-formed XML").alias("error"))
+
+
+def _bare(c: Column) -> Column:
+    """Text of an element that may hold others."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), _TAG, ""))
+
+
+def _pubmed_date(d: Column) -> Column:
+    """YYYY-MM-DD of a date that begins with a year, months by name or number; null for any other."""
+    given = F.trim(F.coalesce(F.when(~blank(d["Year"]), d["Year"]), d["MedlineDate"], F.lit("")))
+    year = F.regexp_extract(given, r"^\d{4}", 0)
+    month, day = F.trim(F.coalesce(d["Month"], F.lit(""))), F.trim(F.coalesce(d["Day"], F.lit("")))
+    named = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(month, 1, 3)))
+    number = F.when(named > 0, named.cast("int")).otherwise(F.coalesce(F.when(month.rlike(r"^\d+$"), month.try_cast("int")), F.lit(1)))
+    of_day = F.coalesce(F.when(day.rlike(r"^\d+$"), day.try_cast("int")), F.lit(1))
+    return F.when(year != "", F.format_string("%s-%02d-%02d", year, number, of_day))
+
+
+def _pubmed_rows(files: DataFrame, column: str) -> DataFrame:
+    """Rows of PubMed answers."""
+    e = _answers(files, column, _PUBMED).select(F.explode("answer.PubmedArticle").alias("e")).select("e.*")
+    a, issue = F.col("MedlineCitation.Article"), F.col("MedlineCitation.Article.Journal.JournalIssue")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    ids = F.coalesce(F.col("PubmedData.ArticleIdList.ArticleId"), none("struct<_IdType:string,_VALUE:string>"))
+    own_id = lambda kind: F.trim(F.try_element_at(F.filter(ids, lambda i: i["_IdType"] == kind), F.lit(-1))["_VALUE"])
+    kinds = F.transform(F.coalesce(a["PublicationTypeList"]["PublicationType"], none("string")), _bare)
+    left_out = F.get(F.filter(kinds, lambda k: k.isin(*EXCLUDED_PUBMED)), F.lit(0))
+    kind = F.coalesce(left_out, F.when(F.array_contains(kinds, "Preprint"), "Preprint").when(F.array_contains(kinds, "Review"), "Review").otherwise("Journal Article"))
+    name = lambda x: F.trim(F.concat_ws(" ", *[F.when(~blank(x[n]), F.trim(x[n])) for n in ("ForeName", "LastName")]))
+    people = F.transform(F.coalesce(a["AuthorList"]["Author"], none("struct<ForeName:string,LastName:string,CollectiveName:string>")), lambda x: F.coalesce(F.when(name(x) != "", name(x)), _bare(x["CollectiveName"])))
+    history = F.filter(F.coalesce(F.col("PubmedData.History.PubMedPubDate"), none(_PUBMED_DATE)), lambda d: d["_PubStatus"] == "pubmed")
+    dated = F.coalesce(_pubmed_date(F.get(history, F.lit(0))), _pubmed_date(F.get(a["ArticleDate"], F.lit(0))), _pubmed_date(issue["PubDate"]))
+    texts = F.coalesce(a["Abstract"]["AbstractText"], none("string"))
+    return _as_rows(e, {
+        "title": _bare(a["ArticleTitle"]), "abstract": F.array_join(F.transform(texts, _bare), " "), "authors": F.filter(people, lambda n: n != ""), "publication_date": dated, "venue": _bare(a["Journal"]["Title"]),
+        "doi": own_id("doi"), "pmid": F.trim("MedlineCitation.PMID"), "pmcid": own_id("pmc"), "publication_type": F.lower(kind),
+        "volume": filled(issue["Volume"]), "issue": filled(issue["Issue"]), "pages": filled(a["Pagination"]["MedlinePgn"]), "issn": filled(a["Journal"]["ISSN"]),
+    })
+
+
+def _as_rows(df: DataFrame, known: dict[str, Column]) -> DataFrame:
+    """The columns of _ROW, those that a source doesn't tell null."""
+    kinds = [f.split(" ") for f in _ROW.split(", ")]
+    return df.select(*[known.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in kinds])
 
 
 def pubmed(files: DataFrame, column: str = "value") -> DataFrame:
     """Records of PubMed XML answers, one in each row of `column`."""
-    rows = _rows(files, column, parse_pubmed)
+    rows = _pubmed_rows(files, column)
     venue = canonical_venue(F.col("venue"), F.lit("journal"))
     preprint = (F.col("publication_type") == "preprint") | (venue["type"] == "preprint")
     pdf = F.concat(F.lit("https://europepmc.org/articles/"), "pmcid", F.lit("?pdf=render"))
@@ -255,24 +286,20 @@ def pubmed(files: DataFrame, column: str = "value") -> DataFrame:
     return finalize(rows.withColumns({"venue_key": venue["key"], "venue_type": F.when(preprint, "preprint").otherwise("journal"), "source": F.lit("pubmed"), "pdf_candidates": _pdfs(pmc=pdf), "url": page}))
 
 
-def parse_arxiv(xml: str) -> list[dict]:
-    """Rows of an arXiv feed."""
-    try:
-        root = ET.fromstring(xml)
-    except ET.ParseError:
-        return []
-    atom, own = "{http://www.w3.org/2005/Atom}", "{http://arxiv.org/schemas/atom}"
-    say = lambda e, n: " ".join((e.findtext(n) or "").split())
-    return [
-        {"title": say(e, f"{atom}title"), "abstract": say(e, f"{atom}summary"), "authors": [say(a, f"{atom}name") for a in e.iterfind(f"{atom}author")], "publication_date": say(e, f"{atom}published")[:10] or None,
-         "arxiv_id": say(e, f"{atom}id"), "doi": say(e, f"{own}doi") or None, "journal_ref": say(e, f"{own}journal_ref") or None}
-        for e in root.iterfind(f"{atom}entry")
-    ]
+def _arxiv_rows(files: DataFrame, column: str) -> DataFrame:
+    """Rows of arXiv feeds."""
+    e = _answers(files, column, _ARXIV).select(F.explode("answer.entry").alias("e")).select("e.*")
+    say = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    people = F.transform(F.coalesce("author", F.array().cast("array<struct<name:string>>")), lambda x: say(x["name"]))
+    return _as_rows(e, {
+        "title": say(F.col("title")), "abstract": say(F.col("summary")), "authors": people, "publication_date": filled(F.substring(say(F.col("published")), 1, 10)), "arxiv_id": say(F.col("id")),
+        "doi": filled(say(F.col("doi"))), "journal_ref": filled(say(F.col("journal_ref"))),
+    })
 
 
 def arxiv(files: DataFrame, column: str = "value") -> DataFrame:
     """Records of arXiv feeds (S15): a claimed journal counts only with a DOI."""
-    rows = _rows(files, column, parse_arxiv).withColumn("arxiv_id", normalize_arxiv_id(F.col("arxiv_id"))).where("arxiv_id is not null")
+    rows = _arxiv_rows(files, column).withColumn("arxiv_id", normalize_arxiv_id(F.col("arxiv_id"))).where("arxiv_id is not null")
     claimed = canonical_venue(F.col("journal_ref"))
     real = ~blank(F.col("journal_ref")) & ~blank(F.col("doi")) & (claimed["key"] != "unknown")
     pick = lambda a, b: F.when(real, a).otherwise(F.lit(b))

@@ -169,6 +169,11 @@ def test_sources(spark, tmp_path):
     <AuthorList><Author><ForeName>A</ForeName><LastName>B</LastName></Author></AuthorList><PublicationTypeList><PublicationType>Editorial</PublicationType></PublicationTypeList></Article></MedlineCitation></PubmedArticle></Set>"""
     r = readers.pubmed(spark.createDataFrame([(xml,)], "value string")).first()
     assert (r.pmid, r.venue_key, r.publication_date, r.publication_type, r.url) == ("12345678", "radiology", "2024-03-01", "editorial", "https://pubmed.ncbi.nlm.nih.gov/12345678/")
+    assert [(x.answer, x.error) for x in readers.unreadable(spark.createDataFrame([(xml,), (feed,), ("<broken",), ("",), (None,), ("<Set/>",)], "value string")).collect()] == [("<broken", "no well-formed XML"), ("", "empty")]
+    assert "MapInPandas" not in readers.pubmed(spark.createDataFrame([(xml,)], "value string"))._jdf.queryExecution().toString()
+    rich = xml.replace("<ArticleTitle>P</ArticleTitle>", "<ArticleTitle>On <i>in vivo</i> H<sub>2</sub>O &amp; p &lt; 0.05, q &gt; 3</ArticleTitle><Abstract><AbstractText Label='A'>One <b>bold</b>.</AbstractText><AbstractText>Two.</AbstractText></Abstract><ArticleDate><Year>2023</Year><Month>11</Month></ArticleDate>").replace("</MedlineCitation>", '</MedlineCitation><PubmedData><History><PubMedPubDate PubStatus="entrez"><Year>2000</Year></PubMedPubDate></History></PubmedData>')
+    r = readers._pubmed_rows(spark.createDataFrame([(rich,)], "value string"), "value").first()
+    assert (r.title, r.abstract, r.publication_date) == ("On in vivo H2O & p < 0.05, q > 3", "One bold. Two.", "2023-11-01")
     html = '<div class="paper"><p class="title">Mammography models</p><span class="authors">A B,&nbsp;C D</span><a href="https://proceedings.mlr.press/v227/x.html">abs</a><a href="https://x/x.pdf">pdf</a></div>'
     r = readers.pmlr(spark.createDataFrame([(html,)], "value string"), 227, "midl", 2023).first()
     assert (r.title, r.authors, r.venue_key, r.pdf_candidates) == ("Mammography models", ["A B", "C D"], "midl", {"proceedings": "https://x/x.pdf"})
