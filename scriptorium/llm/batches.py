@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_ROWS_CONF, str(ROWS))
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: a worker that waits for its next task would hold it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches' rows in order, in pieces of at most `most` bytes of text (one row at least)."""
     for batch in batches:
@@ -36,4 +45,4 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = PIECE_BYTES
             stop = max(begin + 1, int(np.searchsorted(ends, reached, side="right")))
             yield batch.slice(begin, stop - begin)
             begin = stop
-    pa.default_memory_pool().release_unused()
+    give_back()

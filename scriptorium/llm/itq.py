@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.batches import give_back
 from scriptorium.llm.sampling import bounded_sample
 from scriptorium.llm.simhash import Forest
 from scriptorium.operators.components import connected_components
@@ -203,6 +204,8 @@ def _groups(batches, keys: list[str]):
             last = key
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = []
+    give_back()
 
 
 def _candidates(part: dict, plan: Plan):

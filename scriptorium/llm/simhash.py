@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.batches import pieces, small_batches
+from scriptorium.llm.batches import give_back, pieces, small_batches
 from scriptorium.operators.components import connected_components
 from scriptorium.session import settle
 
@@ -270,6 +270,8 @@ def grouped_links(dealt: DataFrame, extra: list[str], block: int, link) -> DataF
             held = [[c[cut:] for c in columns]]
         if held:
             yield flush([np.concatenate(c) for c in zip(*held, strict=True)])
+        held = []
+        give_back()
 
     return grouped.mapInArrow(run, "src long, dst long").distinct()
 
