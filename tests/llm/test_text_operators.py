@@ -372,7 +372,30 @@ def test_kneser_ney_is_brute_force():
 
 def test_rarest_ngrams_go_first(spark):
     counts = spark.createDataFrame([("x", i, 1 + i % 9) for i in range(90)], "lang string, gram long, n long")
-    assert perplexity._least_count(counts, 90) == 1 and perplexity._least_count(counts, 80) == 2 and perplexity._least_count(counts, 25) == 8
+    least = lambda most: perplexity.shards(counts, most).first()["least"]
+    assert (least(90), least(80), least(25), least(1)) == (1, 2, 8, 16)
+
+
+def test_languages_of_any_number(spark):
+    """Another language leaves others' verdicts alone, in one shard or in many."""
+    rnd = Random(12)
+
+    def prose(lang):
+        words = [f"{lang}{''.join(rnd.choice('abcdefgh') for _ in range(rnd.randint(2, 6)))}" for _ in range(60)]
+        return [" ".join(rnd.choice(words) for _ in range(70)) for _ in range(4)]
+
+    langs = [chr(97 + i // 10) + chr(97 + i % 10) for i in range(70)]
+    texts = [(lang, t) for lang in langs for t in prose(lang)] + [("aa", "%| " * 300), (None, "no name"), ("zz", ""), (None, None)]
+    df = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate(texts)], "doc_id long, lang string, text string")
+    told = lambda rows: {r.doc_id: (r.kept, r.base_failed, r.log_perplexity) for r in rows.collect()}
+    whole = told(perplexity.quality(df))
+    assert len(whole) == len(texts)
+    fewer = told(perplexity.quality(df.where("lang in ('aa', 'ab', 'gj')")))
+    assert fewer == {i: whole[i] for i in fewer} and len(fewer) == 13
+    counts = perplexity.count_ngrams(df)
+    most = counts.groupBy("lang").count().agg(F.max("count")).first()[0]
+    assert perplexity.shards(counts, most).select("shard").distinct().count() > 10
+    assert told(perplexity.quality(df, most_grams=most)) == whole
 
 
 def test_quality_rejects_foreign_text_and_word_salad(spark):
