@@ -24,14 +24,14 @@ def _ids(**values: Column) -> Column:
     return F.map_from_entries(F.array_compact(F.array(*entries)))
 
 
-# documents as records: the first line's first 60 characters are the title; equal titles meet, sources play publishers
-_TITLE_SQL = "trim(regexp_replace(regexp_replace(lower(left(split_part(text, chr(10), 1), 60)), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g'))"
-_TITLES_SQL = f"t AS (SELECT doc_id, source, {_TITLE_SQL} AS k FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND lang = 'en')"
+# documents as records: the first line is the title; equal titles meet, sources play publishers
+_TITLE_SQL = "trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9_ ]', ' ', 'g'), ' +', ' ', 'g'))"
+_TITLES_SQL = f"t AS (SELECT doc_id, source, {_TITLE_SQL} AS k FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)"
 
 
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null and lang = 'en'")
-    head = F.lower(F.left(F.substring_index("text", "\n", 1), F.lit(60)))
+    d = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null")
+    head = F.lower(F.substring_index("text", "\n", 1))
     return d.select("doc_id", "source", F.trim(F.regexp_replace(F.regexp_replace(head, "[^a-z0-9_ ]", " "), " +", " ")).alias("title_key"))
 
 
@@ -323,11 +323,11 @@ def promising_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", enrich.promising(o).alias("promising"))
 
 
-@query("""SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN 'd' || c_custkey END, 'p' || c_custkey) AS one FROM customer WHERE c_custkey % 7 = 0""")
+@query("""SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN 'd' || c_custkey END, 'p' || c_custkey) AS one FROM customer""")
 def records_with_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record's identifiers as a map, and a row for each in order of priority."""
     k = F.col("c_custkey")
-    c = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0")
+    c = table(spark, sf_dir, "customer")
     df = c.select(k, F.when(k % 3 != 0, _text("D", k)).otherwise("").alias("doi"), _text("p", k).alias("pmid"), *[F.lit(None).cast("string").alias(n) for n in ("arxiv_id", "openalex_id", "semantic_scholar_id")])
     pairs = dedup.id_pairs(records.with_ids(df), "c_custkey")
     return pairs.groupBy("c_custkey").agg(F.min_by("value", "priority").alias("one"))
