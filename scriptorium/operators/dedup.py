@@ -200,15 +200,37 @@ def _length_pairs(heads: DataFrame, threshold: float) -> DataFrame:
     return met.where(F.least("size_a", "size_b") >= ratio * F.greatest("size_a", "size_b")).select("a", "b", "side")
 
 
+def all_links(slim: DataFrame, key: str, threshold: float = 0.96) -> DataFrame:
+    """(src, dst) of every kind among records (key, ids, title_key)."""
+    return id_links(slim, key).unionAll(title_links(slim, key)).unionAll(fuzzy_links(slim, key, threshold).select("src", "dst"))
+
+
 def clusters(papers: DataFrame, key: str = "paper_id", threshold: float = 0.96) -> DataFrame:
     """papers with cluster, the smallest key reachable by identifier, title and similar-title links."""
-    df = with_title_key(with_ids(papers))
-    slim = df.select(key, "ids", "title_key")
-    links = id_links(slim, key).unionAll(title_links(slim, key)).unionAll(fuzzy_links(slim, key, threshold).select("src", "dst"))
-    found = connected_components(links)
+    df, _ = settle(with_title_key(with_ids(papers)), "records")
+    found = connected_components(all_links(df.select(key, "ids", "title_key"), key, threshold))
     return df.join(found.withColumnRenamed("node", key), key, "left").withColumn("cluster", F.coalesce("component", key)).drop("component")
 
 
+def anchors(df: DataFrame, key: str, threshold: float = 0.96) -> DataFrame:
+    """(key, hash, kind, meets): what a record can be linked by, and the kind of anchor that it meets: equal identifiers and
+    titles meet each other, pieces of titles those asked for, long titles those of about their length."""
+    ids = id_pairs(df, key).select(key, F.xxhash64(F.lit("id"), "kind", "value").alias("hash"), F.lit("same").alias("kind"), F.lit("same").alias("meets"))
+    titled = df.where(~blank(F.col("title_key")))
+    same = titled.select(key, F.xxhash64(F.lit("title"), "title_key").alias("hash"), F.lit("same").alias("kind"), F.lit("same").alias("meets"))
+    heads = titled.select(F.col(key).alias("node"), "title_key", F.array_join(distinguishing_tokens(F.col("title_key")), " ").alias("tokens"), F.length("title_key").alias("size"), F.lit(None).cast("boolean").alias("side"))
+    as_short, as_long = (F.broadcast(x) for x in _lengths(df.sparkSession, threshold))
+    cut = heads.where(F.col("size") <= LONG_TITLE)
+    pieces = _pieces(cut.join(as_short, "size"), "0").select(F.col("a").alias(key), "hash", F.lit("piece").alias("kind"), F.lit("asked").alias("meets"))
+    asked = _asked(cut.join(as_long, "size"), "0").select(F.col("b").alias(key), "hash", F.lit("asked").alias("kind"), F.lit("piece").alias("meets"))
+    ratio = threshold / (2 - threshold)
+    step = F.floor(F.log(F.col("size")) / -math.log(ratio)).cast("int")
+    near = F.explode(F.array(step - 1, step, step + 1)).alias("step")
+    long = heads.where(F.col("size") >= int(LONG_TITLE * ratio))
+    by_length = lambda steps, kind, meets: long.select(F.col("node").alias(key), "tokens", steps).select(key, F.xxhash64(F.lit("long"), "tokens", "step").alias("hash"), F.lit(kind).alias("kind"), F.lit(meets).alias("meets"))
+    return ids.unionAll(same).unionAll(pieces).unionAll(asked).unionAll(by_length(step.alias("step"), "long", "about")).unionAll(by_length(near, "about", "long"))
+
+
 _FILLED = ("doi", "arxiv_id", "pmid", "pmcid", "openalex_id", "semantic_scholar_id", "url", "publication_date", "year", "volume", "issue", "pages", "publisher", "issn", "pdf_url", "publication_type", "author_watch", "relationship")
 _LISTS = ("sources", "queries", "references", "author_ids", "extra_tags")
 _LOCATORS = ("volume", "issue", "pages", "publisher", "issn")

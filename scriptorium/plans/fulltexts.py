@@ -124,6 +124,21 @@ def fuzzy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.clusters(papers).select("paper_id", "cluster")
 
 
+@query("""SELECT p_partkey AS paper_id, CASE WHEN p_partkey % 2 = 1 AND (p_partkey // 2) % 5 <> 0 AND p_partkey - 1 IN (SELECT p_partkey FROM part) THEN p_partkey - 1 ELSE p_partkey END AS cluster FROM part""")
+def clusters_in_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the same work by similar titles, taken in by a forest in two runs: even ones first, then those that join them."""
+    from scriptorium.operators.forest import Forest
+    from scriptorium.schema import PAPER, conform
+    from scriptorium.session import scratch_path
+
+    t = _tales(spark, sf_dir)
+    papers = conform(t.select(F.col("title_key").alias("title"), F.try_element_at("ids", F.lit("doi")).alias("doi"), F.col("paper_id").cast("string").alias("issue")), PAPER).withColumn("paper_id", F.col("issue").cast("long"))
+    forest = Forest(spark, scratch_path(spark, "forest"))
+    for run in range(2):
+        forest.add(papers.where(F.col("paper_id") % 2 == run), run)
+    return forest.clusters()
+
+
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN round(2 * 20.0 / 41, 4) WHEN 2 THEN round(2 * 19.0 / 40, 4) ELSE 0.0 END::DOUBLE AS similarity FROM part""")
 def title_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of title keys: equal ones, one with a letter more, one with another letter, and one too short to compare."""

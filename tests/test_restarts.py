@@ -153,6 +153,38 @@ def test_seen_table_is_not_shuffled(spark, tmp_path):
     assert SeenTable(spark, str(tmp_path / "seen"), buckets=4).before(spark, 0).count() == 1001
 
 
+def test_forest_in_deltas_is_one_run_on_the_whole(spark, tmp_path):
+    """Four deltas, one of them run twice, give the clusters of all records at once, and write members of touched trees only."""
+    from random import Random
+
+    from scriptorium.operators import dedup
+    from scriptorium.operators.forest import Forest
+    from scriptorium.schema import PAPER, conform
+
+    rnd = Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 8)))
+    titles = [" ".join(word() for _ in range(7)) for _ in range(25)]
+    rows = []
+    for i in range(120):
+        title = rnd.choice(titles)
+        if rnd.random() < 0.3:
+            at = rnd.randrange(len(title))
+            title = title[:at] + rnd.choice("abcx") + title[at + 1 :]
+        rows.append((i, title, f"10.5555/{rnd.randint(0, 40)}" if rnd.random() < 0.4 else None, f"{rnd.randint(1, 60)}" if rnd.random() < 0.2 else None))
+    rows += [(200, "long " * 90 + "tail", None, None), (201, "long " * 90 + "tails", None, None), (202, None, None, None)]
+    df = spark.createDataFrame(rows, "paper_id long, title string, doi string, pmid string")
+    papers = conform(df.select("title", "doi", "pmid", F.col("paper_id").cast("string").alias("issue")), PAPER).withColumn("paper_id", F.col("issue").cast("long"))
+    want = {r.paper_id: r.cluster for r in dedup.clusters(papers).select("paper_id", "cluster").collect()}
+    assert 10 < len(set(want.values())) < 100
+    forest = Forest(spark, str(tmp_path / "forest"), buckets=2)
+    for run, (low, high) in enumerate([(0, 40), (40, 41), (41, 110), (110, 300)]):
+        for _ in range(2 if run == 2 else 1):
+            forest.add(papers.where(f"paper_id >= {low} and paper_id < {high}"), run)
+    assert {r.paper_id: r.cluster for r in forest.clusters().collect()} == want
+    assert forest.trees.numbered(spark, 9).where("batch = 1").count() <= 1 + max(list(want.values()).count(c) for c in set(want.values()))
+    assert Forest(spark, str(tmp_path / "forest"), buckets=2).clusters().count() == len(rows)
+
+
 def test_replayed_batch_keeps_its_rows(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "seen_key string, ts timestamp"
