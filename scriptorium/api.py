@@ -208,13 +208,12 @@ class Engine:
 
     def add(self, **ids: str) -> Result:
         """Records with an identifier, which a user wants whatever their score."""
-        raw, _ = union_sources(self.spark, self.sources)
-        rows = finalize(raw)
         fits = F.lit(False)
         for name, value in ids.items():
             fits = fits | (F.lower(F.col(name)) == value.lower())
-        result = self.run(Request(intent="add_doi", strict_request_match=False), raw=rows.where(fits))
-        result.rows = decide.manual_add(result.rows)
+        scan = scan_sources(self.spark, self.sources, lambda raw: finalize(conform(raw)).where(fits))
+        result = self.run(Request(intent="add_doi", strict_request_match=False), raw=scan.rows)
+        result.rows, result.errors = decide.manual_add(result.rows), scan.errors
         return result
 
     def expand(self, request: Request, kinds: tuple[str, ...] = ("reference", "citing", "similar")) -> Result:

@@ -82,6 +82,8 @@ def fuzzy_links(df: DataFrame, key: str, threshold: float = 0.96, side: str | No
     given = df.where(~blank(F.col("title_key"))).withColumn("side", F.col(side) if side else F.lit(None).cast("boolean"))
     heads = given.groupBy("title_key", "side").agg(F.min(key).alias("node"), F.min_by("ids", key).alias("ids"))
     heads, _ = settle(heads.withColumns({"tokens": F.array_join(distinguishing_tokens(F.col("title_key")), " "), "size": F.length("title_key")}), "titles")
+    if len(heads.select("node").limit(2).collect()) < 2:
+        return df.sparkSession.createDataFrame([], f"src {heads.schema['node'].dataType.simpleString()}, dst {heads.schema['node'].dataType.simpleString()}, similarity double")
     pairs = _piece_pairs(heads.where(F.col("size") <= LONG_TITLE), threshold).unionAll(_length_pairs(heads, threshold))
     named = lambda n, title: heads.select(F.col("node").alias(n), F.col("title_key").alias(title), F.col("ids").alias(f"{title}_ids"), F.col("tokens").alias(f"{title}_tokens"), F.col("side").alias(f"{title}_side"))
     if side:
@@ -323,7 +325,7 @@ def match_library(papers: DataFrame, library: DataFrame, key: str = "paper_id",
     by_title = p.join(titles, "title_key").where(~conflict(F.col("ids"), F.col("l_ids"))).select(key, F.col("key").alias("found"), F.lit(10).alias("priority"), F.lit("title").alias("method"), F.lit(1.0).alias("similarity"))
     met, _ = settle(by_id.unionAll(by_title), "matched")
     left = p.join(met.select(key), key, "left_anti").where(~blank(F.col("title_key")))
-    if not left.isEmpty():
+    if not left.isEmpty() and not lib.isEmpty():
         met = met.unionAll(_similar(left, lib, key, threshold))
     first = met.groupBy(key).agg(F.min_by(F.struct("found", "method"), F.struct("priority", -F.col("similarity"), "found")).alias("match"))
     return p.join(first, key, "left").withColumns({"library_key": F.col("match.found"), "match_method": F.col("match.method")}).drop("match")

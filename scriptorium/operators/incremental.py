@@ -74,10 +74,15 @@ def advances(writing: bool, succeeded: bool, start: date, last: date | None) ->
     return writing and succeeded and (last is None or start <= last)
 
 
-def snapshot(base: DataFrame, changes: DataFrame, deleted: DataFrame, key: str = "key", version: str = "version") -> DataFrame:
-    """A table with changes applied: the latest version of each key, without deleted ones."""
-    latest = best_per_group(base.unionByName(changes, allowMissingColumns=True), key, F.desc(version)).drop("place")
-    return latest.join(deleted.select(key).distinct(), key, "left_anti")
+def snapshot(base: DataFrame, changes: DataFrame, deleted: DataFrame, key: str = "key", version: str = "version", trashed: str = "deleted", owner: str | None = None) -> DataFrame:
+    """A table with changes applied: the latest version of each key, without deleted ones and those whose latest version is
+    trashed, where there is such a column (S19). owner: whose changes these are; of a base with an `owner` column, rows of
+    others go. streaming/library.py keeps the same as state.
+    """
+    own = base.where(F.col("owner") == owner) if owner is not None and "owner" in base.columns else base
+    latest = best_per_group(own.unionByName(changes, allowMissingColumns=True), key, F.desc(version)).drop("place")
+    live = latest.where(~F.coalesce(trashed, F.lit(False))) if trashed in latest.columns else latest
+    return live.join(deleted.select(key).distinct(), key, "left_anti")
 
 
 def is_due(status: Column, next_at: Column, now: Column) -> Column:

@@ -221,6 +221,14 @@ def test_seen_and_settled(spark):
     assert sorted(r.seen_key for r in incremental.settled(df).collect()) == ["a", "b"]
 
 
+def test_snapshot_of_changes(spark):
+    base = spark.createDataFrame([("a", 1, "o"), ("b", 1, "o"), ("c", 1, "x"), ("d", 1, "o")], "key string, version int, owner string")
+    changes = spark.createDataFrame([("a", 2, "o", True), ("e", 2, "o", False), ("b", 3, "o", None)], "key string, version int, owner string, deleted boolean")
+    gone = spark.createDataFrame([("d",)], "key string")
+    assert sorted((r.key, r.version) for r in incremental.snapshot(base, changes, gone, owner="o").collect()) == [("b", 3), ("e", 2)]
+    assert sorted(r.key for r in incremental.snapshot(base, changes, gone).collect()) == ["b", "c", "e"]
+
+
 def test_streams(spark, tmp_path):
     rows = [(i, 1, datetime(2024, 1, 1) + timedelta(minutes=i), "click", 1.0, f"k{i % 4}") for i in range(20)]
     schema = "event_id long, user_id long, ts timestamp, event_type string, value double, seen_key string"
