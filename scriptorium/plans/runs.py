@@ -107,15 +107,15 @@ def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("o_orderkey >= 1000 and o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority")
 
 
-@query("""WITH p AS (SELECT *, o_custkey % 3 AS q, o_orderkey // 500 AS page FROM orders WHERE o_orderstatus = 'F')
-SELECT 'q' || q AS _query, o_orderkey FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY page, o_orderkey) <= 120""")
+@query("""WITH p AS (SELECT *, o_custkey % 3 AS q, o_orderkey // 2000 AS page FROM orders WHERE o_orderstatus = 'F')
+SELECT 'q' || q AS _query, o_orderkey FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY page, o_orderkey) <= 400""")
 def paged_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 120 rows of each query that pass a filter, in the order of its pages."""
+    """The first 400 rows of each query that pass a filter, in the order of its pages."""
     folder = scratch_path(spark, "landed")
-    _landed(spark, _pages(spark, sf_dir, F.concat(F.lit("q"), F.col("o_custkey") % 3), F.floor(F.col("o_orderkey") / 500).cast("string")), folder)
+    _landed(spark, _pages(spark, sf_dir, F.concat(F.lit("q"), F.col("o_custkey") % 3), F.floor(F.col("o_orderkey") / 2000).cast("string")), folder)
     register(spark)
     rows = spark.read.format("paged").option("schema", f"{ORDERS}, {_PAGED}").option("folder", folder).load()
-    return first_kept(rows.where("o_orderstatus = 'F'"), 120).select("_query", "o_orderkey")
+    return first_kept(rows.where("o_orderstatus = 'F'"), 400).select("_query", "o_orderkey")
 
 
 @query("""SELECT 'row' AS kind, o_orderkey AS k FROM orders UNION ALL SELECT 'error', n FROM (SELECT unnest([0, 1, 2]) AS n) WHERE (SELECT count(*) FROM orders) > 0""")
