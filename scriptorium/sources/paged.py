@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
+from scriptorium.session import settle
 from scriptorium.sources.ledger import file_system
 from scriptorium.streaming.flows import run_batches
 
@@ -155,8 +156,10 @@ def first_kept(df: DataFrame, limit: int, query: str = "_query", page: str = "_p
     """The first `limit` rows of each query in the order of its pages, of rows that have passed every filter.
 
     Pages are counted, a running sum over a query's pages tells what each may still give, and pages beyond the limit leave
-    by the join; only the page that the limit falls in is ranked inside. No task gets more than a page's rows together.
+    by the join; only the page that the limit falls in is ranked inside. No task gets more than a page's rows together. The rows
+    are written down first, so that pages are read once.
     """
+    df, _ = settle(df, "kept-rows")
     counts = df.groupBy(query, page).agg(F.count("*").alias("kept"))
     before = F.coalesce(F.sum("kept").over(Window.partitionBy(query).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     allowed = counts.withColumn("before", before).where(F.col("before") < limit).select(query, page, (F.lit(limit) - F.col("before")).alias("allowed"), "kept")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import blank, is_preprint_doi, safe_filename
 from scriptorium.functions.venues import conference_name, venue_tag
 from scriptorium.schema import Settings
+from scriptorium.session import settle
 from scriptorium.sources import ledger
 
 #: Particles that belong to a surname, kinds of PDFs in order of preference and their titles.
@@ -166,6 +167,7 @@ def ingest(df: DataFrame, path: str, key: str = "paper_id", writes_enabled: bool
     if not writes_enabled:
         return planned
     spark = df.sparkSession
+    planned, _ = settle(planned, "planned")
     new = planned.dropDuplicates(["key"]).join(ledger.audit(spark, path).select("key"), "key", "left_anti")
     run = ledger.append(new, path, gate, argument)
     return ledger.published(spark, path, run).where("not refused").select(*planned.columns)
