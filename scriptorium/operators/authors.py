@@ -21,6 +21,14 @@ def name_keys_match(a: Column, b: Column, strict: bool = False) -> Column:
     return F.coalesce((a != "") & (b != "") & (F.element_at(x, -1) == F.element_at(y, -1)) & given, F.lit(False))
 
 
+def full_name(a: Column) -> Column:
+    """What is equal of two normalized names just when name_keys_match() holds strictly: the given name, without hyphens and of
+    two letters or more, and the surname; null of a name without both."""
+    parts = F.split(a, " ")
+    given = F.replace(F.get(parts, F.lit(0)), F.lit("-"), F.lit(""))
+    return F.when((F.size(parts) > 1) & (F.length(given) > 1), F.concat_ws(" ", given, F.element_at(parts, -1)))
+
+
 def name_matches(a: Column, b: Column, strict: bool = False, unicode: bool = True) -> Column:
     """name_keys_match() of raw names."""
     return name_keys_match(normalize_author_name(a, unicode), normalize_author_name(b, unicode), strict)
@@ -36,18 +44,18 @@ def watch_authors(papers: DataFrame, watched: DataFrame, key: str = "paper_id")
 
     watched: (position, name, pinned array<string> of source:id). A pinned id decides; a paper with another id of a
     source where the author is pinned is someone else's; else the full name must match. Matches are equi-joins on
-    pinned ids and on surnames, so a paper only meets authors it shares one with.
+    pinned ids and on the given name and surname that must be equal (full_name), so a paper meets no others who only share
+    a surname. Names are normalized once each, before they are joined.
     """
-    surname = lambda c: F.element_at(F.split(normalize_author_name(c), " "), -1)
-    w = watched.withColumns({"w_sources": F.transform("pinned", lambda p: F.substring_index(p, ":", 1)), "w_surname": surname(F.col("name"))})
-    of = lambda ids: F.transform(ids, lambda p: F.substring_index(p, ":", 1))
+    of = lambda ids: F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda p: F.substring_index(p, ":", 1))
+    w = watched.withColumns({"w_sources": of(F.col("pinned")), "w_name": full_name(normalize_author_name(F.col("name")))})
     by_id = papers.select(key, F.explode("author_ids").alias("pin")).join(w.select("position", "name", F.explode("pinned").alias("pin")), "pin").select(key, "position", "name")
-    named = papers.select(key, "author_ids", F.explode("authors").alias("author")).withColumn("w_surname", surname(F.col("author")))
-    by_name = (
-        named.join(w, "w_surname")
-        .where(~F.arrays_overlap("w_sources", of(F.col("author_ids"))) & name_matches(F.col("name"), F.col("author"), strict=True, unicode=True))
-        .select(key, "position", "name")
-    )
+    # names without a pinned id need no look at the paper's: the first of them is enough
+    free = w.where(F.size("w_sources") == 0).groupBy("w_name").agg(F.min("position").alias("position"), F.min_by("name", "position").alias("name"))
+    others = w.where(F.size("w_sources") > 0).select("w_name", "position", "name", "w_sources")
+    listed = free.select("w_name", "position", "name", F.array().cast("array<string>").alias("w_sources")).unionByName(others).where("w_name is not null")
+    named = papers.select(key, of(F.col("author_ids")).alias("p_sources"), F.explode("authors").alias("author")).select(key, "p_sources", full_name(normalize_author_name(F.col("author"))).alias("w_name"))
+    by_name = named.where("w_name is not null").join(listed, "w_name").where(~F.arrays_overlap("w_sources", "p_sources")).select(key, "position", "name")
     first = by_id.unionAll(by_name).groupBy(key).agg(F.min_by("name", "position").alias("found_author"))
     return papers.join(first, key, "left").withColumn("author_watch", F.coalesce("author_watch", "found_author")).drop("found_author")
 

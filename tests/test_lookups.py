@@ -1,6 +1,7 @@
 """Look-ups, configuration and the remaining operators."""
 
 import json
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -52,6 +53,16 @@ def test_watched_authors(spark):
     assert {r.paper_id: r.author_watch for r in authors.watch_authors(papers, watched).collect()} == {"p1": "Jane Doe", "p2": None, "p3": "Jane Doe", "p4": None}
 
 
+def test_watched_authors_of_one_surname(spark):
+    """Thousands who share a surname meet none but those of their whole name; papers and authors without ids are matched by name."""
+    letters = F.translate(F.lpad(F.col("id").cast("string"), 5, "0"), "0123456789", "abcdefghij")
+    papers = spark.range(4000).select(F.col("id").alias("paper_id"), F.lit(None).cast("array<string>").alias("author_ids"), F.array(F.concat(F.lit("D. Loom"), letters), F.concat(F.lit("Zo-"), letters, F.lit(" Mid Wéaver"))).alias("authors"), F.lit(None).cast("string").alias("author_watch"))
+    watched = spark.range(0, 8000, 2).select(F.col("id").cast("int").alias("position"), F.concat(F.lit("Zo"), letters, F.lit(" Weaver")).alias("name"), F.lit(None).cast("array<string>").alias("pinned"))
+    begin = time.time()
+    got = {r.paper_id for r in authors.watch_authors(papers, watched).where("author_watch is not null").collect()}
+    assert got == set(range(0, 4000, 2)) and time.time() - begin < 60
+
+
 def test_paths(spark):
     nodes = spark.createDataFrame([("r", "Root", None, False), ("a", "A", "r", True), ("b", "B / C", "a", False), ("c", "C", "r", False)], "key string, name string, parentCollection string, deleted boolean")
     got = {r.key: (r.path, r.gone) for r in graph.with_paths(nodes).collect()}
