@@ -102,12 +102,13 @@ def id_cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     word = F.translate(k.cast("string"), "0123456789", "abcdefghij")
     title = _text("work of ", word, word, word, " and ", word)
-    papers = conform(p.select(title.alias("title"), F.when(k % 3 < 2, _text("10.5555/", k)).alias("doi"), F.when(k % 3 == 1, _text("77", F.lpad(k.cast("string"), 6, "0"))).alias("pmid"), k.cast("string").alias("issue")), PAPER)
+    pmid = (100_000_000 + k).cast("string")  # nine digits, which no two keys share
+    papers = conform(p.select(title.alias("title"), F.when(k % 3 < 2, _text("10.5555/", k)).alias("doi"), F.when(k % 3 == 1, pmid).alias("pmid"), k.cast("string").alias("issue")), PAPER)
     papers = papers.withColumn("paper_id", F.col("issue").cast("long"))
     row = lambda mark, fits, name, ids: p.where(fits).select(_text(mark, k).alias("key"), name.alias("title"), ids.alias("ids"), F.lit("journalArticle").alias("item_type"), F.lit(None).cast("int").alias("year"))
     library = (
-        row("d", k % 3 == 0, F.lit("other name"), _ids(doi=_text("10.5555/", k), pmid=_text("66", F.lpad(k.cast("string"), 6, "0"))))
-        .unionAll(row("m", k % 3 == 1, _text("renamed ", word, word), _ids(pmid=_text("77", F.lpad(k.cast("string"), 6, "0")))))
+        row("d", k % 3 == 0, F.lit("other name"), _ids(doi=_text("10.5555/", k), pmid=pmid))
+        .unionAll(row("m", k % 3 == 1, _text("renamed ", word, word), _ids(pmid=pmid)))
         .unionAll(row("t", k % 6 == 2, title, F.create_map().cast("map<string,string>")))
     )
     return dedup.match_library(papers, library, threshold=0.9999).select("paper_id", "library_key", "match_method")

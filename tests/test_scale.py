@@ -143,3 +143,13 @@ def test_large_cluster_merges_in_the_size_of_its_result(spark):
     r = merged.first()
     assert (r.n_records, r.references, r.sources, sorted(r.pdf_candidates), r.queries) == (n, ["r0", "r1", "r2"], ["one"], ["k0", "k1"], [])
     assert r.pdf_candidates["k0"] == "0"
+
+
+def test_library_matches_of_large_keys(spark, tmp_path):
+    """Identifiers made of keys beyond a million stay apart."""
+    from scriptorium import catalogue
+
+    spark.createDataFrame([(k,) for k in (2, 8, 100_000, 100_001, 1_000_000, 1_000_002, 1_000_006, 7_000_003, 12_345_678)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.paper_id: (r.library_key, r.match_method) for r in catalogue.queries()["id_cascade_match"](spark, str(tmp_path)).collect()}
+    told = lambda k: (f"d{k}", "doi") if k % 3 == 0 else (f"m{k}", "pmid") if k % 3 == 1 else (f"t{k}", "title") if k % 6 == 2 else (None, None)
+    assert got == {k: told(k) for k in got} and len(got) == 9
