@@ -5,9 +5,10 @@ accents, letters of other scripts by their place in them, and kinds of others. S
 task sums its own in sorted arrays, the rest is one aggregation of (lang, n-gram). From the counts the driver builds
 interpolated modified Kneser-Ney probabilities (three discounts an order, continuation counts below the highest) and
 keeps them in arrays sorted by 64-bit hash; scoring finds each distinct n-gram of a batch there by binary search. A model
-depends on its own language alone: it holds MOST_GRAMS n-grams at most, and of more the rarest by count are left to the lower
-orders, equal counts alike (`most_grams` raises the bound; an alphabet of 64 has 16.8 million). Languages, however many, are
-scored in shards whose models hold twice MOST_GRAMS together at most; all but the rarest corpora have a single one.
+depends on its own language alone and holds all its n-grams. A language of more than MOST_GRAMS n-grams has a table of all
+n-grams of the alphabet instead (DenseKneserNey, 134 MB at any size), filled a slice of at most MOST_GRAMS at a time.
+Languages, however many, are scored in shards whose models hold twice MOST_GRAMS together at most, or one such table; all but
+the rarest corpora have a single one.
 
 A text's log perplexity is its mean negative log probability a symbol, to GRAIN. In each language, texts outside a band
 around the median are rejected: its lower and upper edge are as many times as WIDTHS says as far from the median as the
@@ -179,9 +180,7 @@ class KneserNey:
         keys, values, shares = [], [], []
         for order in range(ORDER, 0, -1):
             some = [int((count == k).sum()) for k in (1, 2, 3, 4)]
-            y = some[0] / max(1, some[0] + 2 * some[1])
-            discount = [min(k, max(0.0, k - (k + 1) * y * some[k] / some[k - 1])) if some[k - 1] else 0.0 for k in (1, 2, 3)]
-            less = np.choose(np.minimum(count, 3) - 1, discount)
+            less = np.choose(np.minimum(count, 3) - 1, self._discounts(some))
             context = gram >> SYMBOL_BITS
             into = np.bincount(context, weights=count, minlength=1)
             lost = np.bincount(context, weights=less, minlength=1)
@@ -197,6 +196,12 @@ class KneserNey:
         place = np.argsort(key)
         self.key, self.value = key[place], flat[place].astype(np.float64)
 
+    @staticmethod
+    def _discounts(some: list[int]) -> list[float]:
+        """Discounts of counts 1, 2 and more, from how many n-grams have counts 1 to 4."""
+        y = some[0] / max(1, some[0] + 2 * some[1])
+        return [min(k, max(0.0, k - (k + 1) * y * some[k] / some[k - 1])) if some[k - 1] else 0.0 for k in (1, 2, 3)]
+
     def _find(self, key: np.ndarray, missing: float) -> np.ndarray:
         if not len(self.key):
             return np.full(len(key), missing)
@@ -218,30 +223,88 @@ class KneserNey:
         return -np.log(self.probability(distinct))[place]
 
 
+class DenseKneserNey(KneserNey):
+    """The same model as a table of the costs of all n-grams of the highest order.
+
+    cost: counts of those n-grams, which costs replace block by block.
+    """
+
+    def __init__(self, cost: np.ndarray):
+        many, step = len(cost), SYMBOLS ** (ORDER - 1)
+        follows = [np.zeros(SYMBOLS**k, np.int64) for k in range(ORDER)]
+        some = np.zeros(5, np.int64)
+        for at in range(0, many, step):  # a block has one first symbol
+            block = cost[at : at + step]
+            some += np.bincount(np.minimum(block, 5).astype(np.int64), minlength=6)[:5]
+            follows[ORDER - 1] += block > 0
+        for order in range(ORDER - 1, 1, -1):
+            follows[order - 1] = (follows[order].reshape(SYMBOLS, -1) > 0).sum(0)
+        lower = np.full(1, 1.0 / SYMBOLS)
+        for order in range(1, ORDER):
+            count = follows[order]
+            lower = self._mixed(count, self._discounts([int((count == k).sum()) for k in (1, 2, 3, 4)]), lower)
+        discounts = self._discounts([int(n) for n in some[1:]])
+        for at in range(0, many, step):
+            cost[at : at + step] = -np.log(self._mixed(cost[at : at + step].astype(np.int64), discounts, lower))
+        self.cost = cost
+
+    @staticmethod
+    def _mixed(count: np.ndarray, discount: list[float], lower: np.ndarray) -> np.ndarray:
+        """Probabilities of the n-grams of an order, or of all that have one first symbol, with those of the order below."""
+        less = np.concatenate([[0.0], discount])[np.minimum(count, 3)]
+        context = np.arange(len(count)) >> SYMBOL_BITS
+        into, lost = np.bincount(context, weights=count), np.bincount(context, weights=less)
+        total = np.maximum(into, 1)
+        share = np.where(into > 0, lost / total, 1.0)
+        return (count - less) / total[context] + share[context] * np.resize(lower, len(count))
+
+    def probability(self, gram: np.ndarray) -> np.ndarray:
+        return np.exp(-self.cost[gram])
+
+    def costs(self, gram: np.ndarray) -> np.ndarray:
+        return self.cost[gram]
+
+
 def shards(counts: DataFrame, most_grams: int = MOST_GRAMS) -> DataFrame:
-    """(lang, least, shard) of counts (lang, gram, n): the least count that a language's model keeps, and where it is scored.
+    """(lang, least, shard) of counts (lang, gram, n): the least count that a language's sorted model could hold within
+    most_grams, 1 where it holds all, and where it is scored. Languages with more have a table, in a shard of their own.
 
-    Counts are compared by powers of two, so that equal ones are kept or left alike. A row for each language is all that is
-    ordered as a whole.
+    Counts are compared by powers of two, so that equal ones go alike. A row for each language is all that is ordered as a
+    whole.
     """
     steps = counts.groupBy("lang", F.floor(F.log2("n")).cast("int").alias("step")).agg(F.count("*").alias("grams"))
     above = F.sum("grams").over(Window.partitionBy("lang").orderBy(F.desc("step")))
     fits = F.col("above") <= most_grams
     own = steps.withColumn("above", above).groupBy("lang").agg(
-        F.coalesce(F.min(F.when(fits, F.col("step"))), F.max("step") + 1).alias("step"), F.coalesce(F.max(F.when(fits, F.col("above"))), F.lit(0)).alias("kept")
+        F.coalesce(F.min(F.when(fits, F.col("step"))), F.max("step") + 1).alias("step"), F.max("above").alias("grams")
     )
-    before = F.coalesce(F.sum("kept").over(Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return own.select("lang", F.expr("shiftleft(1L, step)").alias("least"), F.floor(before / most_grams).cast("int").alias("shard"))
+    own = own.select("lang", F.when(F.col("grams") <= most_grams, 0).otherwise(F.col("step")).alias("step"), "grams", (F.col("grams") > most_grams).alias("large"))
+    earlier = Window.partitionBy("large").orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)
+    small = F.floor(F.coalesce(F.sum("grams").over(earlier), F.lit(0)) / most_grams)
+    large = -1 - F.coalesce(F.count("*").over(earlier), F.lit(0))
+    return own.select("lang", F.expr("shiftleft(1L, step)").alias("least"), F.when(F.col("large"), large).otherwise(small).cast("int").alias("shard"))
+
+
+def _table(counts: DataFrame) -> DenseKneserNey:
+    """The model of one language's counts (gram, n), which reach the driver in slices of MOST_GRAMS at most."""
+    cost = np.zeros(SYMBOLS**ORDER)
+    for at in range(0, len(cost), MOST_GRAMS):
+        part = counts.where((F.col("gram") >= at) & (F.col("gram") < at + MOST_GRAMS)).toArrow()
+        cost[part.column("gram").to_numpy()] = part.column("n").to_numpy()
+    return DenseKneserNey(cost)
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", most_grams: int = MOST_GRAMS) -> Iterator[dict[str, KneserNey]]:
     """Models by language, a shard at a time; 2 * most_grams counts reach the driver at once, at most."""
     counts, _ = settle(count_ngrams(df, text, lang), "ngrams")
     dealt, _ = settle(shards(counts, most_grams), "languages")
-    held = counts.join(dealt, "lang")
+    held = counts.join(F.broadcast(dealt), "lang")
     for shard in [r["shard"] for r in dealt.select("shard").distinct().orderBy("shard").collect()] or [0]:
         names = [r["lang"] for r in dealt.where(F.col("shard") == shard).select("lang").collect()]
-        part = held.where((F.col("shard") == shard) & (F.col("n") >= F.col("least"))).select("lang", "gram", "n").toArrow()
+        if shard < 0:
+            yield {names[0]: _table(counts.where(F.col("lang") == names[0]).select("gram", "n"))}
+            continue
+        part = held.where(F.col("shard") == shard).select("lang", "gram", "n").toArrow()
         number, of = part.column("lang").combine_chunks().dictionary_encode(), {}
         code = number.indices.to_numpy() if part.num_rows else np.zeros(0, np.int64)
         gram, n = part.column("gram").to_numpy(), part.column("n").to_numpy()

@@ -398,6 +398,23 @@ def test_languages_of_any_number(spark):
     assert told(perplexity.quality(df, most_grams=most)) == whole
 
 
+def test_languages_beyond_the_bound_lose_no_ngrams(spark):
+    """A language of more n-grams than a sorted model holds is scored by all of them, as without a bound."""
+    rnd = Random(21)
+    found, _ = perplexity.symbols(["".join(rnd.choice("abcdeghi .,A3%\u043b") for _ in range(rnd.randint(0, 400))) for _ in range(200)])
+    gram, n = np.unique(perplexity.windows(found), return_counts=True)
+    counts = np.zeros(perplexity.SYMBOLS**perplexity.ORDER)
+    counts[gram] = n
+    asked = np.concatenate([gram, np.random.default_rng(3).integers(0, len(counts), 5000)])
+    assert np.allclose(perplexity.DenseKneserNey(counts).costs(asked), perplexity.KneserNey(gram, n).costs(asked), rtol=1e-12)
+    texts = [(lang, " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 7))) for _ in range(60))) for lang in ("xx", "yy", None) for _ in range(5)]
+    df = spark.createDataFrame([(i, lang, t) for i, (lang, t) in enumerate([*texts, ("zz", "few n-grams here"), ("zz", "")])], "doc_id long, lang string, text string")
+    told = lambda rows: {r.doc_id: (r.kept, r.log_perplexity) for r in rows.collect()}
+    assert told(perplexity.quality(df, most_grams=500)) == (whole := told(perplexity.quality(df))) and len(whole) == 17
+    tight = spark.createDataFrame([(lang, int(g), int(1 + g % 3)) for lang in ("a", "b") for g in range(30)] + [("c", 1, 1)], "lang string, gram long, n long")
+    assert sorted(r.shard for r in perplexity.shards(tight, 20).collect()) == [-2, -1, 0]
+
+
 def test_quality_rejects_foreign_text_and_word_salad(spark):
     """Texts in other scripts, and words of letters at random, rise above the band of their language; order of rows is nothing."""
     rnd = Random(10)
