@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import rebuild_abstract
+from scriptorium.functions.text import inverted_text, rebuild_abstract
 from scriptorium.operators import incremental
 from scriptorium.plans.registry import query
 from scriptorium.session import table
@@ -89,9 +89,6 @@ _WORDS_SQL = "string_split(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ',
 @query(f"SELECT doc_id, sha256(array_to_string({_WORDS_SQL}, ' ')) AS digest FROM documents")
 def rebuild_inverted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts through an inverted index of word positions and back, every document whole; null texts have no digest."""
-    d = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    # texts move once, so that a row's words are indexed where they are
-    words = d.where("text IS NOT NULL").repartition("row").select("row", "doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", "[ \\t\\n\\r\\f\\x0B]+", " ")), " ")).alias("at", "word"))
-    index = words.groupBy("row", "doc_id", "word").agg(F.collect_list("at").alias("places")).groupBy("row", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("inverted"))
-    rebuilt = index.select("doc_id", F.sha2(rebuild_abstract(F.col("inverted")), 256).alias("digest"))
-    return rebuilt.unionByName(d.where("text IS NULL").select("doc_id", F.lit(None).cast("string").alias("digest")))
+    words = F.split(F.trim(F.regexp_replace("text", "[ \\t\\n\\r\\f\\x0B]+", " ")), " ")
+    index = table(spark, sf_dir, "documents").select("doc_id", "text", inverted_text(words).alias("inverted"))
+    return index.select("doc_id", F.when(F.col("text").isNotNull(), F.sha2(rebuild_abstract(F.col("inverted")), 256)).alias("digest"))

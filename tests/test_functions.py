@@ -1,5 +1,6 @@
 """Scalar functions on literal cases."""
 
+import hashlib
 from datetime import date
 
 import pytest
@@ -104,3 +105,21 @@ def test_text_helpers(spark):
     assert values(spark, [("http://x/?api_key=s3cret&q=1",)], "x string", text.redact(F.col("x"))) == [("http://x/?api_key=***&q=1",)]
     assert values(spark, [("one two three four",)], "x string", text.clip(F.col("x"), 10)) == [("one two…",)]
     assert values(spark, [("Jane van Smith", 2023, "the robust radiology thing")], "a string, y int, t string", text.seed_tag(F.col("a"), F.col("y"), F.col("t"))) == [("smith2023-robust",)]
+
+
+def test_inverted_texts(spark):
+    """Words and their positions, without leaving the row; and the words back."""
+    df = spark.createDataFrame([(["b", "a", "b", "é"],), (["x"],), ([],), (None,)], "words array<string>").select(text.inverted_text(F.col("words")).alias("i"))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r.i for r in df.collect()] == [{"b": [0, 2], "a": [1], "é": [3]}, {"x": [0]}, {}, None]
+    assert [r[0] for r in df.select(text.rebuild_abstract(F.col("i"))).collect()] == ["b a b é", "x", "", ""]
+
+
+def test_rebuilt_texts_move_nothing(spark, tmp_path):
+    """The query's plan has no exchange, so nothing is shuffled or spilled at any size."""
+    from scriptorium import catalogue
+
+    spark.createDataFrame([(1, "a b  a"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalogue.queries()["rebuild_inverted_text"](spark, str(tmp_path))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.digest and r.digest[:8] for r in df.collect()} == {1: hashlib.sha256(b"a b a").hexdigest()[:8], 2: None, 3: hashlib.sha256(b"").hexdigest()[:8]}
