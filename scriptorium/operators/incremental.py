@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.dates import next_run
 from scriptorium.functions.text import seen_keys
+from scriptorium.operators.ranks import numbered
 from scriptorium.operators.topk import best_per_group
 
 
@@ -90,9 +91,18 @@ def is_due(status: Column, next_at: Column, now: Column) -> Column:
     return (status == "active") & (next_at.isNull() | (next_at <= now))
 
 
+def _alert_keys() -> list[Column]:
+    return [F.when(F.col("status") == "active", 0).otherwise(1).asc(), F.col("next_run_at").asc_nulls_first(), F.col("name").asc()]
+
+
 def alert_order(df: DataFrame) -> DataFrame:
     """Active ones first, then by next run and name."""
-    return df.orderBy(F.when(F.col("status") == "active", 0).otherwise(1), F.col("next_run_at").asc_nulls_first(), "name")
+    return df.orderBy(*_alert_keys())
+
+
+def alert_places(df: DataFrame) -> DataFrame:
+    """df with place, from 1, in the order of alert_order(), which no task holds whole."""
+    return numbered(df, *_alert_keys()).withColumn("place", F.col("place") + 1)
 
 
 def after_run(alerts: DataFrame, outcomes: DataFrame, now: datetime, scheduled: bool, key: str = "id") -> DataFrame:

@@ -210,11 +210,7 @@ def alerts_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alerts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved searches in the order in which they are listed: active ones first, then by next run and name."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "active").otherwise("paused").alias("status"), F.col("o_orderdate").alias("next_run_at"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("name"))
-    from pyspark.sql import Window
-
-    ordered = Window.orderBy(F.when(F.col("status") == "active", 0).otherwise(1), F.col("next_run_at").asc_nulls_first(), "name")
-    listed = incremental.alert_order(o)
-    return listed.withColumn("place", F.row_number().over(ordered).cast("long")).select("o_orderkey", "place")
+    return incremental.alert_places(o).select("o_orderkey", "place")
 
 
 @query("SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'one' ELSE 'two' END AS source, n_nationkey FROM nation UNION ALL SELECT 'failed', NULL")

@@ -153,3 +153,14 @@ def test_library_matches_of_large_keys(spark, tmp_path):
     got = {r.paper_id: (r.library_key, r.match_method) for r in catalogue.queries()["id_cascade_match"](spark, str(tmp_path)).collect()}
     told = lambda k: (f"d{k}", "doi") if k % 3 == 0 else (f"m{k}", "pmid") if k % 3 == 1 else (f"t{k}", "title") if k % 6 == 2 else (None, None)
     assert got == {k: told(k) for k in got} and len(got) == 9
+
+
+def test_saved_searches_numbered_by_ranges(spark):
+    """Their order is found by ranges: no task sorts all of them, and ties of the first keys go by the last."""
+    from scriptorium.operators import incremental
+
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "active").otherwise("paused").alias("status"), F.when(F.col("id") % 5 > 0, F.timestamp_seconds(F.col("id") % 7)).alias("next_run_at"), F.lpad(F.col("id").cast("string"), 5, "0").alias("name"))
+    placed = incremental.alert_places(df)
+    rows = placed.collect()
+    key = lambda r: (r.status != "active", r.next_run_at is not None, r.next_run_at.timestamp() if r.next_run_at else 0, r.name)
+    assert [r.name for r in sorted(rows, key=lambda r: r.place)] == [r.name for r in sorted(rows, key=key)] and sorted(r.place for r in rows) == list(range(1, 5001))
