@@ -70,6 +70,10 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(line,) for line in told if line.split(":")[0] in names], "line string")
 
 
+#: Keys whose orders stand on a page: pages have a bounded size, and their number grows with the input.
+PAGE_KEYS = 50_000
+
+
 def _pages(spark: SparkSession, sf_dir: str, query, page) -> str:
     """Orders landed as pages of JSON, `query`/`page` in a folder."""
     o = table(spark, sf_dir, "orders")
@@ -101,7 +105,7 @@ _PAGED = "_query string, _page string, _place int, _error string"
 def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed pages of a source by a reader of its own, which tests bounds and equalities while it reads."""
     folder = scratch_path(spark, "landed")
-    _landed(spark, _pages(spark, sf_dir, F.lit("q"), F.pmod(F.xxhash64("o_orderkey"), F.lit(16))), folder)
+    _landed(spark, _pages(spark, sf_dir, F.lit("q"), F.floor(F.col("o_orderkey") / PAGE_KEYS).cast("string")), folder)
     register(spark)
     found = spark.read.format("paged").option("schema", ORDERS).option("folder", folder).load()
     return found.where("o_orderkey >= 1000 and o_orderstatus = 'F'").select("o_orderkey", "o_orderpriority")
@@ -112,7 +116,7 @@ SELECT 'q' || q AS _query, o_orderkey FROM p QUALIFY row_number() OVER (PARTITIO
 def paged_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 400 rows of each query that pass a filter, in the order of its pages."""
     folder = scratch_path(spark, "landed")
-    _landed(spark, _pages(spark, sf_dir, F.concat(F.lit("q"), F.col("o_custkey") % 3), F.floor(F.col("o_orderkey") / 2000).cast("string")), folder)
+    _landed(spark, _pages(spark, sf_dir, F.concat(F.lit("q"), F.col("o_custkey") % 3), F.floor(F.col("o_orderkey") / PAGE_KEYS).cast("string")), folder)
     register(spark)
     rows = spark.read.format("paged").option("schema", f"{ORDERS}, {_PAGED}").option("folder", folder).load()
     return first_kept(rows.where("o_orderstatus = 'F'"), 400).select("_query", "o_orderkey")

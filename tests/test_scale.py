@@ -164,3 +164,22 @@ def test_saved_searches_numbered_by_ranges(spark):
     rows = placed.collect()
     key = lambda r: (r.status != "active", r.next_run_at is not None, r.next_run_at.timestamp() if r.next_run_at else 0, r.name)
     assert [r.name for r in sorted(rows, key=lambda r: r.place)] == [r.name for r in sorted(rows, key=key)] and sorted(r.place for r in rows) == list(range(1, 5001))
+
+
+@pytest.mark.parametrize("name, queries", [("paged_scan", 1), ("paged_limit", 3)])
+def test_landed_pages_are_bounded(spark, tmp_path, monkeypatch, name, queries):
+    """A page holds the orders of so many keys and no more, and there are no more pages than that takes."""
+    from scriptorium import catalogue
+    from scriptorium.plans import runs
+    from scriptorium.sources.paged import landed
+
+    made, path = [], runs.scratch_path
+    monkeypatch.setattr(runs, "scratch_path", lambda *given: made.append(path(*given)) or made[-1])
+    keys = spark.range(0, 300_000, 30).select(F.col("id").alias("o_orderkey"), (F.col("id") / 30).cast("long").alias("o_custkey"), F.lit("F").alias("o_orderstatus"), F.lit("p").alias("o_orderpriority"))
+    keys.write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalogue.queries()[name](spark, str(tmp_path)).collect()
+    assert len(got) == (10_000 - 34 if name == "paged_scan" else 1200)
+    pages = [p for folder in made for paths in landed(folder).values() for p in paths if p.endswith(".json")]
+    assert len(pages) == queries * 6
+    spans = spark.read.json(pages).select(F.array_max("results.o_orderkey") - F.array_min("results.o_orderkey")).collect()
+    assert max(r[0] for r in spans) < 50_000
