@@ -47,6 +47,19 @@ def test_published_version_and_guard(spark):
     assert [r.published_id for r in enrich.published_version(pre, hits).collect()] == ["h2"]
 
 
+def test_published_versions_compared_in_the_jvm_first(spark):
+    """Only titles that few letters part are compared by their ratio, and equal ones are found without tokens."""
+    title = "a robust method for the weaving of things part 2"
+    pre = spark.createDataFrame([("p", title, 2023), ("q", "", 2023)], "paper_id string, title_key string, year int")
+    hits = [("p", 0, "h0", "other things that are as long as the title is", "journal", 2024), ("p", 1, "h1", title.replace("2", "3"), "journal", 2024), ("p", 2, "h2", title.replace("things", "thing"), "journal", 2024), ("q", 0, "h3", "", "journal", 2024)]
+    hits = spark.createDataFrame(hits, "paper_id string, place int, hit_id string, hit_key string, hit_type string, hit_year int")
+    found = enrich.published_version(pre, hits)
+    assert [(r.paper_id, r.published_id) for r in found.collect()] == [("p", "h2")]
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    compared = next(i for i, line in enumerate(lines) if "ArrowEvalPython" in line)
+    assert any("levenshtein" in line for line in lines[compared:])
+
+
 def test_watched_authors(spark):
     papers = spark.createDataFrame([("p1", ["s2:9"], ["J. Doe"], None), ("p2", ["s2:8"], ["Jane Doe"], None), ("p3", [], ["Jane Doe"], None), ("p4", [], ["J. Doe"], None)], "paper_id string, author_ids array<string>, authors array<string>, author_watch string")
     watched = spark.createDataFrame([(0, "Jane Doe", ["s2:9"])], "position int, name string, pinned array<string>")
