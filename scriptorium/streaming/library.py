@@ -44,40 +44,58 @@ class LibraryShard(StatefulProcessor):
             self.items.updateValue((r.key,), (int(r.version), r.item))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        """Each item that a micro-batch names is read from the state once and written once, whatever its changes."""
         cache, shard = key
         changes = pd.concat(rows).sort_values("seq", kind="stable")
         told: dict[str, tuple] = {}
-        mine, stale = (self.owner.get()[0] if self.owner.exists() else None), None
-        for r in changes.itertuples(index=False):
+        began = mine = self.owner.get()[0] if self.owner.exists() else None
+        held: dict[str, tuple | None] = {}  # the items named so far, as they now stand
+        stored: dict[str, tuple | None] = {}  # the same as the state has them
+        emptied, stale = False, None
+
+        def known(name: str) -> tuple | None:
+            if name not in held:
+                held[name] = stored[name] = None if emptied else self.items.getValue((name,))
+            return held[name]
+
+        for r in changes[["seq", "op", "owner", "key", "version", "deleted", "item"]].itertuples(index=False):
             seq = int(r.seq)
             if r.op == "failed":
                 stale = (seq, True)
                 continue
             if r.op == "owner":
                 if r.owner != mine:
-                    for (name,) in list(self.items.keys()):
+                    names = [] if emptied else [name for (name,) in self.items.keys() if name not in held]
+                    for name in (*names, *(n for n, v in held.items() if v is not None)):
                         told[name] = (seq, None)
-                    self.items.clear()
+                    held, stored, emptied = {}, {}, True
                     mine = r.owner
-                    self.owner.update((mine,))
                 stale = (seq, False)
                 continue
             if mine is None:
                 mine = r.owner
-                self.owner.update((mine,))
             if r.owner != mine or pd.isna(r.key):
                 continue
             stale = (seq, False)
-            known = self.items.getValue((r.key,))[0] if self.items.containsKey((r.key,)) else None
-            if known is not None and int(r.version) < known:
+            before = known(r.key)
+            if before is not None and int(r.version) < before[0]:
                 continue
             if r.op == "delete" or r.deleted is True:
-                if known is not None:
-                    self.items.removeKey((r.key,))
+                if before is not None:
+                    held[r.key] = None
                     told[r.key] = (seq, None)
             else:
-                self.items.updateValue((r.key,), (int(r.version), r.item))
+                held[r.key] = (int(r.version), r.item)
                 told[r.key] = (seq, r.item)
+        if emptied:
+            self.items.clear()
+        if mine != began:
+            self.owner.update((mine,))
+        for name, value in held.items():
+            if value is not None and value != stored[name]:
+                self.items.updateValue((name,), value)
+            elif value is None and stored[name] is not None:
+                self.items.removeKey((name,))
         rows_out = [(cache, shard, name, seq, item, None) for name, (seq, item) in told.items()]
         if stale:
             rows_out.append((cache, shard, None, stale[0], None, stale[1]))
