@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scriptorium.functions import ontology as O
 from scriptorium.functions.text import blank
@@ -53,11 +54,13 @@ def measured(title: Column, abstract: Column, ontology: O.Ontology | None = None
     """struct<score, title, patterns, tags, ct_context> of a record: scores, title weights and matched terms by dimension."""
     known = ontology or O.radiology()
 
-    @F.pandas_udf(_MEASURED)
-    def run(t: pd.Series, a: pd.Series) -> pd.DataFrame:
-        texts = list(zip(t.fillna(""), a.fillna(""), strict=True))
-        once = {pair: _measure(known, *pair) for pair in dict.fromkeys(texts)}
-        return pd.DataFrame([once[pair] for pair in texts], columns=[f.name for f in _MEASURED.fields])
+    @F.arrow_udf(_MEASURED)
+    def run(t: pa.Array, a: pa.Array) -> pa.Array:
+        texts = list(zip(*(c.fill_null("").to_pylist() for c in (t, a)), strict=True))
+        once = {pair: i for i, pair in enumerate(dict.fromkeys(texts))}
+        listed = ([list(x.items()) if isinstance(x, dict) else x for x in _measure(known, *pair)] for pair in once)
+        found = pa.array([dict(zip(_MEASURED.names, row, strict=True)) for row in listed], pa.struct(to_arrow_schema(_MEASURED)))
+        return found.take(pa.array([once[pair] for pair in texts], pa.int32()))  # texts that are the same are measured and written out once
 
     return run(title, abstract)
 

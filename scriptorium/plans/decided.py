@@ -10,7 +10,7 @@ from scriptorium.operators import baselines, classify, decide, report, topk
 from scriptorium.operators.records import peer_reviewed
 from scriptorium.plans.registry import query
 from scriptorium.schema import PAPER, Request, Settings, conform
-from scriptorium.session import table
+from scriptorium.session import spread, table
 
 _LISTS = "array<string>"
 
@@ -46,7 +46,7 @@ _CASES = (
 def classified_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modalities, topics and taxonomy tags of records, and why a record is out before any score."""
     cases = spark.createDataFrame([(i, t, a, k) for i, (t, a, k, *_) in enumerate(_CASES)], "i int, title string, abstract string, publication_type string")
-    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(_CASES)).cast("int").alias("i")).join(F.broadcast(cases), "i")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", (F.col("p_partkey") % len(_CASES)).cast("int").alias("i")).join(F.broadcast(cases), "i")
     df = classify.classify(p)
     return df.select("p_partkey", _joined("modalities"), F.array_join(F.array_sort("topics"), ";").alias("topics"), _joined("subtopics"), classify.hard_filter(df).alias("why"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators.records import finalize, is_preprint_record, library_records
 from scriptorium.plans.registry import query
-from scriptorium.session import scratch_path, table
+from scriptorium.session import scratch_path, spread, table
 from scriptorium.sources import landing as zone
 from scriptorium.sources import lookups, readers
 
@@ -24,7 +24,7 @@ def _text(*parts: Column | str) -> Column:
 def _answers(df: DataFrame, schema: str, **fields: Column) -> DataFrame:
     """Rows read from JSON, as a source lands them."""
     said = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
-    return df.select(F.from_json(said, schema).alias("r")).select("r.*")
+    return spread(df).select(F.from_json(said, schema).alias("r")).select("r.*")
 
 
 def _by(k: Column, *values) -> Column:
@@ -106,7 +106,7 @@ def pubmed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "</AbstractText></Abstract><AuthorList><Author><ForeName>B.</ForeName><LastName>", F.col("p_brand"), "</LastName></Author><Author><CollectiveName>The Group</CollectiveName></Author></AuthorList><PublicationTypeList><PublicationType>Journal Article</PublicationType><PublicationType>", kind,
         '</PublicationType></PublicationTypeList></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="doi">10.8888/P', k, "</ArticleId></ArticleIdList></PubmedData></PubmedArticle></PubmedArticleSet>",
     )
-    found = readers.pubmed(table(spark, sf_dir, "part").select(xml.alias("value")))
+    found = readers.pubmed(spread(table(spark, sf_dir, "part")).select(xml.alias("value")))
     return found.select("title", "pmid", "doi", "publication_date", "publication_type", "abstract", _joined("authors"))
 
 

@@ -11,7 +11,7 @@ from scriptorium.api import Engine
 from scriptorium.operators import report
 from scriptorium.plans.registry import query
 from scriptorium.schema import PAPER, Settings, conform
-from scriptorium.session import hadoop, scratch_path, table
+from scriptorium.session import hadoop, scratch_path, spread, table
 from scriptorium.sources.paged import ERRORS, first_kept, register, split_batches
 
 TODAY = date(2020, 5, 1)
@@ -25,7 +25,7 @@ def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as records of a source: every other one is about looms and carpets, every fifth in a journal."""
     k = F.col("p_partkey")
     word = F.translate(F.md5(k.cast("string")), "0123456789", "ghijklmnop")
-    rows = table(spark, sf_dir, "part").select(
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey")).select(
         F.when(k % 2 == 0, _text("looms ", word, " carpets")).otherwise(_text("wool ", word, " yarn")).alias("title"), F.lit("Said of it.").alias("abstract"), _text("10.5555/", k).alias("doi"), F.lit("2020-05-01").alias("publication_date"),
         F.when(k % 5 == 0, "tmi").otherwise("arxiv").alias("venue_key"), F.when(k % 5 == 0, "journal").otherwise("preprint").alias("venue_type"), F.lit("V").alias("venue"), F.array(F.lit("A B")).alias("authors"), F.lit("one").alias("source"),
     )
