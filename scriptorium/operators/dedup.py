@@ -263,7 +263,8 @@ def merge_clusters(df: DataFrame, key: str = "paper_id", cluster: str = "cluster
     date; a publisher's DOI goes before a preprint server's; the longest abstract and author list, the most
     citations and the strongest graph evidence are kept; lists and maps are united in order. Nothing here depends on the
     order of arrival: ties go by `order` and key. Every value is an aggregate of its own, so a large cluster needs no
-    task to hold its records; united lists are gathered from their distinct values (united).
+    task to hold its records; united lists are gathered from their distinct values (united). What goes by the
+    same order shares an aggregate. Aggregates nobody asks for are left out, so settle() the columns wanted, with the count of rows.
     """
     rank = type_rank(F.col("venue_type"))
     named = ~F.col("venue_key").isin(*GENERIC_VENUES)
@@ -277,22 +278,24 @@ def merge_clusters(df: DataFrame, key: str = "paper_id", cluster: str = "cluster
     )
     best = lambda value, by: F.max_by(value, by)
     present = lambda n: ~blank(F.col(n).cast("string"))
-    filled = {n: best(F.when(present(n), F.col(n)), F.when(present(n), F.col("is_version"))) for n in _FILLED}
-    publisher = present("doi") & ~is_preprint_doi(F.col("doi"))
-    filled["doi"] = F.coalesce(best(F.col("doi"), F.when(publisher, F.col("is_version"))), filled["doi"])
-    for n in _LOCATORS:  # never from a version below the best
-        filled[n] = best(F.struct(F.col(n)), F.col("is_version"))[n]
-    by_length = lambda n, size: best(F.col(n), F.struct(size, F.col("is_version")))
+    filled = {n: best(F.when(present(n), F.col(n)), F.when(present(n), F.col("is_version"))) for n in _FILLED if n not in ("doi", *_LOCATORS)}
+    publisher = F.coalesce(~is_preprint_doi(F.col("doi")), F.lit(False))
+    filled["doi"] = best(F.col("doi"), F.when(present("doi"), F.struct(publisher, F.col("is_version"))))
+    no_abstract = F.coalesce(F.length("abstract") == 0, F.lit(True))
+    # locators never come from a version below the best; where no abstract has text, it is missing or empty as the best version's
+    version = best(F.struct(*_LOCATORS, F.when(no_abstract, F.col("abstract")).alias("abstract")), F.col("is_version"))
+    by_length = lambda n, size, some: best(F.col(n), F.when(some, F.struct(size, F.col("is_version"))))
     venue = best(F.struct("venue", "venue_key", "venue_type"), F.col("is_venue"))
     dated = best(F.struct("year", "publication_date"), F.when(F.col("year").isNotNull() | present("publication_date"), F.col("is_version")))
     out = df.groupBy(cluster).agg(
         F.min(key).alias(key),
         F.count("*").alias("n_records"),
         best(F.col("title"), F.col("is_version")).alias("title"),
+        version.alias("best_version"),
         venue.alias("v"),
         dated.alias("dated"),
-        by_length("abstract", F.length(F.coalesce("abstract", F.lit("")))).alias("abstract"),
-        by_length("authors", F.size("authors")).alias("authors"),
+        by_length("abstract", F.length("abstract"), ~no_abstract).alias("abstract"),
+        by_length("authors", F.size("authors"), F.col("authors").isNotNull()).alias("authors"),
         F.max("citation_count").alias("citation_count"),
         best(F.col("graph_evidence"), F.col("graph_evidence.score")).alias("graph_evidence"),
         *[c.alias(n) for n, c in filled.items()],
@@ -300,14 +303,16 @@ def merge_clusters(df: DataFrame, key: str = "paper_id", cluster: str = "cluster
     out = out.join(united(df, key, cluster, order), cluster, "left").withColumns({n: F.coalesce(n, F.array().cast("array<string>")) for n in _LISTS} | {"pdf_candidates": F.coalesce("pdf_candidates", F.create_map().cast("map<string,string>"))})
     same = F.coalesce(F.substring("publication_date", 1, 4) == F.col("dated.year").cast("string"), F.lit(True))
     return out.withColumns(
-        {
+        {n: F.col(f"best_version.{n}") for n in _LOCATORS}
+        | {
+            "abstract": F.coalesce("abstract", "best_version.abstract"),
             "venue": F.col("v.venue"),
             "venue_key": F.col("v.venue_key"),
             "venue_type": F.col("v.venue_type"),
             "publication_date": F.coalesce("dated.publication_date", F.when(same, F.col("publication_date"))),
             "year": F.coalesce("dated.year", "year"),
         }
-    ).drop("v", "dated")
+    ).drop("v", "dated", "best_version")
 
 
 def dedupe(papers: DataFrame, key: str = "paper_id", threshold: float = 0.96, order: str = "source_rank") -> DataFrame:

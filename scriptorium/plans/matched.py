@@ -10,7 +10,7 @@ from scriptorium.functions.venues import canonical_venue, conference_name, venue
 from scriptorium.operators import authors, dedup, enrich, fulltext, graph, records
 from scriptorium.plans.registry import query
 from scriptorium.schema import PAPER, conform
-from scriptorium.session import table
+from scriptorium.session import settle, table, tasks_of
 
 _LISTS = "array<string>"
 
@@ -82,7 +82,9 @@ CASE WHEN bool_or(status = 'F') THEN 'journal' ELSE 'preprint' END AS venue_type
 FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, max(l_quantity) AS quantity, min(l_linestatus) AS status, min(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
 def merge_best_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as versions of one work: the best venue type gives the title, a publisher's DOI goes first."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.max("l_quantity").alias("quantity"), F.min("l_linestatus").alias("status"), F.min("l_returnflag").alias("flag"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_linestatus", "l_returnflag")
+    n = lines.count()
+    li = lines.repartition(tasks_of(spark, n), "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.max("l_quantity").alias("quantity"), F.min("l_linestatus").alias("status"), F.min("l_returnflag").alias("flag"))
     final = F.col("status") == "F"
     rows = li.select(
         _text("t", F.col("l_linenumber"), ".", F.col("part")).alias("title"), F.when(final, "journal").otherwise("preprint").alias("venue_type"), F.when(final, "radiology").otherwise("arxiv").alias("venue_key"), F.lit("v").alias("venue"),
@@ -91,7 +93,8 @@ def merge_best_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.regexp_extract("title", r"^t(\d+)", 1).cast("int")
     df = conform(rows, PAPER).withColumns({"cluster": F.col("issue").cast("long"), "source_rank": line, "paper_id": F.regexp_extract("title", r"\.(\d+)$", 1).cast("long")})
     merged = dedup.merge_clusters(df, "paper_id", "cluster", "source_rank")
-    return merged.select(F.col("cluster").alias("paper_id"), "n_records", "title", "citation_count", "venue_type", "doi", F.array_join(F.array_sort("sources"), ";").alias("sources"))
+    found = merged.select(F.col("cluster").alias("paper_id"), "n_records", "title", "citation_count", "venue_type", "doi", F.array_join(F.array_sort("sources"), ";").alias("sources"))
+    return settle(found, "merged", rows=n)[0]
 
 
 @query("""SELECT p_partkey AS paper_id, CASE WHEN p_partkey % 3 = 0 THEN 'd' || p_partkey WHEN p_partkey % 3 = 1 THEN 'm' || p_partkey WHEN p_partkey % 6 = 2 THEN 't' || p_partkey END AS library_key,

@@ -6,7 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +38,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
 
 
+#: Rows that an exchange deals to a task, where a step is told how many there are.
+ROWS_A_TASK = 500_000
+
+
+def tasks_of(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many rows: as many as there are cores at least, and so many that none gets more than its share."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share; on a local master that sets none, one of our own."""
     context = spark.sparkContext
@@ -87,11 +96,32 @@ def shuffle_files_dropped(spark: SparkSession):
         spark.conf.set(_CLEAN, before)
 
 
-def settle(df: DataFrame, label: str = "step", compression: str = "zstd") -> tuple[DataFrame, str]:
-    """Write a frame to the shared folder and read it back: lineage is cut, and lost executors cost nothing."""
+@contextmanager
+def _held(spark: SparkSession, settings: dict[str, str]):
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def dealt_by_rows(spark: SparkSession, rows: int):
+    """Within: an action's exchanges have tasks in proportion to rows, so what one of them holds doesn't grow with the table.
+
+    Nothing is brought together again by bytes: rows of many equal or missing values are small when compressed, not when sorted.
+    """
+    return _held(spark, {"spark.sql.shuffle.partitions": str(tasks_of(spark, rows)), "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+
+
+def settle(df: DataFrame, label: str = "step", compression: str = "zstd", rows: int | None = None) -> tuple[DataFrame, str]:
+    """Write a frame to the shared folder and read it back: lineage is cut, and lost executors cost nothing. rows: how many
+    its steps handle; tasks are then dealt by them (dealt_by_rows)."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    with shuffle_files_dropped(spark):
+    with shuffle_files_dropped(spark), dealt_by_rows(spark, rows) if rows else nullcontext():
         df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
