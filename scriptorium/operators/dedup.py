@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import ID_FIELDS, blank, distinguishing_tokens, is_preprint_doi, title_similarity
+from scriptorium.functions.text import ID_FIELDS, blank, distinguishing_tokens, is_preprint_doi, title_likeness
 from scriptorium.functions.venues import GENERIC_VENUES, type_rank
 from scriptorium.operators.components import connected_components
 from scriptorium.operators.records import is_preprint_record, peer_reviewed, with_ids, with_title_key
@@ -94,7 +95,7 @@ def fuzzy_links(df: DataFrame, key: str, threshold: float = 0.96, side: str | No
     long = F.greatest(F.length("new"), F.length("old")) > LONG_TITLE
     both = met.distinct().join(named("src", "new"), "src").join(named("dst", "old"), "dst").where("new_tokens = old_tokens")
     near = both.where(~conflict(F.col("new_ids"), F.col("old_ids"))).where(long | (F.levenshtein("new", "old") <= apart))
-    scored = near.withColumn("similarity", title_similarity("new", "old"))
+    scored = near.withColumn("similarity", title_likeness(F.col("new"), F.col("old")))
     return scored.where(F.col("similarity") >= threshold).select("src", "dst", "similarity")
 
 
@@ -128,7 +129,8 @@ def _lengths(spark: SparkSession, threshold: float) -> tuple[DataFrame, DataFram
             gaps = [size - n for n in range(low, min(high, size) + 1) if size <= n * reach + 1e-9]
             if gaps:
                 other.append((size, c, edits, width, min(gaps), max(gaps)))
-    return spark.createDataFrame(own, "size int, c int, edits int, width int"), spark.createDataFrame(other, "size int, c int, edits int, width int, least_gap int, most_gap int")
+    made = lambda rows, *names: spark.createDataFrame(pa.table([pa.array(c, pa.int32()) for c in zip(*rows, strict=True)], names=names))  # noqa: E731  Arrow goes to the JVM without Python workers
+    return made(own, "size", "c", "edits", "width"), made(other, "size", "c", "edits", "width", "least_gap", "most_gap")
 
 
 #: Where piece i may stand in the longer title: no more letters were added or lost before it than i, nor after it than edits - i.

@@ -9,7 +9,7 @@ from scriptorium.functions.text import html_text, seed_tag, title_similarity
 from scriptorium.operators import dedup, fulltext
 from scriptorium.plans.prompt import TRIGGERS, typo_candidates
 from scriptorium.plans.registry import query
-from scriptorium.session import table
+from scriptorium.session import spread, table
 
 
 def _text(*parts: Column | str) -> Column:
@@ -105,7 +105,7 @@ def _tales(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.translate(F.md5((F.floor(k / 2)).cast("string")), "0123456789", "ghijklmnop")
     title = F.concat(F.lit("tale of "), body, F.when(k % 2 == 1, " x").otherwise(""))
     ids = F.when(F.floor(k / 2) % 5 == 0, F.create_map(F.lit("doi"), _text("10.5555/", k))).otherwise(F.create_map().cast("map<string,string>"))
-    return table(spark, sf_dir, "part").select(k.alias("paper_id"), title.alias("title_key"), ids.alias("ids"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select(k.alias("paper_id"), title.alias("title_key"), ids.alias("ids"))
 
 
 @query("""SELECT b.p_partkey AS src, a.p_partkey AS dst, round(80.0 / 82.0, 4)::DOUBLE AS similarity FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey % 2 = 0 AND (a.p_partkey // 2) % 5 <> 0""")
