@@ -41,21 +41,34 @@ class Forest:
         spark, key = self.spark, self.key
         new, _ = settle(with_title_key(with_ids(papers)).select(F.col(key).cast("long").alias(key), "ids", "title_key"), "new-records")
         own, _ = settle(anchors(new, key, self.threshold), "new-anchors")
-        wanted = own.select(F.xxhash64("hash", "meets").alias("anchor")).distinct()
+        if self.records.before(spark, run).isEmpty():  # nothing to look up: the trees are those of the new records
+            found, _ = settle(connected_components(all_links(new, key, self.threshold)), "trees-that-meet")
+            changed = self._named(new, found)
+        else:
+            changed = self._met(new, own, run)
+        changed, _ = settle(changed, "changed-roots")
+        self.records.write(new, run)
+        self.anchors.write(own.select(F.xxhash64("hash", "kind").alias("anchor"), key), run)
+        self.trees.write(changed, run)
+        self.roots.write(changed, run)
+
+    def _named(self, new: DataFrame, found: DataFrame) -> DataFrame:
+        """(key, root) of new records: the component that was found, or themselves."""
+        return new.select(self.key).join(found.withColumnRenamed("node", self.key), self.key, "left").select(self.key, F.coalesce("component", self.key).alias("root"))
+
+    def _met(self, new: DataFrame, own: DataFrame, run: int) -> DataFrame:
+        """(key, root) of new records and of earlier ones whose trees get another root."""
+        spark, key = self.spark, self.key
+        wanted = own.select(F.xxhash64("hash", "meets").alias("anchor"))
         touched = self.anchors.before(spark, run).join(wanted, "anchor", "left_semi").select(key).distinct()
         old, _ = settle(self.records.before(spark, run).join(touched, key, "left_semi"), "touched-records")
         rooted, _ = settle(self._roots(run).join(old.select(key), key, "left_semi"), "touched-roots")
         links = all_links(new.unionByName(old), key, self.threshold)
         graph = links.unionAll(rooted.select(F.col(key).alias("src"), F.col("root").alias("dst")))
         found, _ = settle(connected_components(graph), "trees-that-meet")
-        named = new.select(key).join(found.withColumnRenamed("node", key), key, "left").select(key, F.coalesce("component", key).alias("root"))
         moved = rooted.select("root").distinct().join(found, F.col("root") == F.col("node")).where("root <> component").select("root", F.col("component").alias("to"))
         members = self.trees.before(spark, run).join(moved, "root").select(key, F.col("to").alias("root")).distinct()
-        changed, _ = settle(named.unionAll(members), "changed-roots")
-        self.records.write(new, run)
-        self.anchors.write(own.select(F.xxhash64("hash", "kind").alias("anchor"), key), run)
-        self.trees.write(changed, run)
-        self.roots.write(changed, run)
+        return self._named(new, found).unionAll(members)
 
     def _roots(self, run: int) -> DataFrame:
         """(key, root) before a run: the last word on each record."""
