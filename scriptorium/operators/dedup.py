@@ -119,7 +119,8 @@ def length_classes(threshold: float, longest: int = LONG_TITLE) -> list[tuple[in
 
 def _lengths(spark: SparkSession, threshold: float) -> tuple[DataFrame, DataFrame]:
     """For each length, at most LONG_TITLE of them: (size, c, edits, width), its class as the shorter title, and (size, c, edits,
-    width, least_gap, most_gap), the classes of shorter partners, with how much shorter those are."""
+    width, least_gap, most_gap), the classes of shorter partners, with how much shorter those are. Both are empty where the
+    threshold lets no letter of such titles differ."""
     reach, own, other = 2 / threshold - 1, [], []
     classes = length_classes(threshold)
     for c, (low, high, edits, width) in enumerate(classes):
@@ -129,7 +130,7 @@ def _lengths(spark: SparkSession, threshold: float) -> tuple[DataFrame, DataFram
             gaps = [size - n for n in range(low, min(high, size) + 1) if size <= n * reach + 1e-9]
             if gaps:
                 other.append((size, c, edits, width, min(gaps), max(gaps)))
-    made = lambda rows, *names: spark.createDataFrame(pa.table([pa.array(c, pa.int32()) for c in zip(*rows, strict=True)], names=names))  # noqa: E731  Arrow goes to the JVM without Python workers
+    made = lambda rows, *names: spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], pa.int32()) for i, n in enumerate(names)}))  # noqa: E731  Arrow goes to the JVM without Python workers
     return made(own, "size", "c", "edits", "width"), made(other, "size", "c", "edits", "width", "least_gap", "most_gap")
 
 

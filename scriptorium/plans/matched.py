@@ -58,11 +58,13 @@ def title_links_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as records: every third shares a DOI with its nation's like, every fourth a PMID with its segment's."""
+    """Customers as records: every third shares a DOI with its nation's like, every fourth a PMID with its segment's; titles
+    spell the keys, so all are different."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     doi = F.when(k % 3 == 0, _text("10.5555/n", F.col("c_nationkey"), ".", F.floor(F.col("c_acctbal") / 500)))
-    pmid = F.when(k % 4 == 0, _text("9", F.lpad((F.floor(F.col("c_acctbal") / 100) + 100).cast("string"), 5, "0")))
-    return conform(c.select(k, F.col("c_name").alias("title"), doi.alias("doi"), pmid.alias("pmid")), PAPER).withColumn("paper_id", F.regexp_extract("title", r"#(\d+)", 1).cast("long"))
+    pmid = F.when(k % 4 == 0, _text("9", F.floor(F.col("c_acctbal") / 100) + 100))
+    title = _text("customer", F.translate(k.cast("string"), "-0123456789", "kabcdefghij"))
+    return conform(c.select(title.alias("title"), doi.alias("doi"), pmid.alias("pmid"), k.cast("string").alias("issue")), PAPER).withColumn("paper_id", F.col("issue").cast("long"))
 
 
 _CUSTOMERS_SQL = """b AS (SELECT c_custkey AS id, 'd' || c_nationkey || '.' || floor(c_acctbal / 500)::BIGINT AS k FROM customer WHERE c_custkey % 3 = 0
@@ -73,8 +75,7 @@ UNION ALL SELECT c_custkey, 'p' || floor(c_acctbal / 100)::BIGINT FROM customer
 SELECT c_custkey AS paper_id, coalesce(component, c_custkey) AS cluster FROM customer LEFT JOIN m ON node = c_custkey""")
 def dedup_exact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of records that share a DOI or a PMID, through any number of others; titles are all different."""
-    c = _customers(spark, sf_dir).withColumn("title", F.translate("title", "0123456789#", "abcdefghijk"))
-    return dedup.clusters(c, threshold=0.9999).select("paper_id", "cluster")
+    return dedup.clusters(_customers(spark, sf_dir), threshold=0.9999).select("paper_id", "cluster")
 
 
 @query("""SELECT l_orderkey AS paper_id, count(*) AS n_records, arg_max('t' || l_linenumber || '.' || part, (CASE WHEN status = 'F' THEN 3 ELSE 1 END) * 100 - l_linenumber) AS title, max(quantity)::INT AS citation_count,
