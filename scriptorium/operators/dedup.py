@@ -78,9 +78,11 @@ def fuzzy_links(df: DataFrame, key: str, threshold: float = 0.96, side: str | No
 
     side: a boolean column; only titles of different sides are compared, src being one whose side is true. Blocking is
     lossless (_piece_pairs). Equal titles of a side are one row before any comparison, and the edit distance, computed in
-    the JVM, goes before the ratio. Titles beyond LONG_TITLE meet by length instead.
+    the JVM, goes before the ratio. Titles beyond LONG_TITLE meet by length instead. Titles so short that no letter of them
+    may differ are left out first (least_length).
     """
     given = df.where(~blank(F.col("title_key"))).withColumn("side", F.col(side) if side else F.lit(None).cast("boolean"))
+    given = given.where(F.length("title_key") >= least_length(threshold))
     heads = given.groupBy("title_key", "side").agg(F.min(key).alias("node"), F.min_by("ids", key).alias("ids"))
     heads, _ = settle(heads.withColumns({"tokens": F.array_join(distinguishing_tokens(F.col("title_key")), " "), "size": F.length("title_key")}), "titles")
     if len(heads.select("node").limit(2).collect()) < 2:
@@ -117,6 +119,11 @@ def length_classes(threshold: float, longest: int = LONG_TITLE) -> list[tuple[in
     return found
 
 
+def least_length(threshold: float) -> int:
+    """The length of the shortest title that can be similar to another: it is of a class, or about as long as those beyond LONG_TITLE."""
+    return min([low for low, *_ in length_classes(threshold)] + [int(LONG_TITLE * threshold / (2 - threshold))])
+
+
 def _lengths(spark: SparkSession, threshold: float) -> tuple[DataFrame, DataFrame]:
     """For each length, at most LONG_TITLE of them: (size, c, edits, width), its class as the shorter title, and (size, c, edits,
     width, least_gap, most_gap), the classes of shorter partners, with how much shorter those are. Both are empty where the

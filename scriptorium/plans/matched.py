@@ -104,7 +104,7 @@ def id_cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records matched with a library by identifiers in order of priority, then by title."""
     p = table(spark, sf_dir, "part").select("p_partkey")
     k = F.col("p_partkey")
-    word = F.translate(k.cast("string"), "0123456789", "abcdefghij")
+    word = F.translate(k.cast("string"), "-0123456789", "kabcdefghij")
     title = _text("work of ", word, word, word, " and ", word)
     pmid = (100_000_000 + k).cast("string")  # nine digits, which no two keys share
     papers = conform(p.select(title.alias("title"), F.when(k % 3 < 2, _text("10.5555/", k)).alias("doi"), F.when(k % 3 == 1, pmid).alias("pmid"), k.cast("string").alias("issue")), PAPER)
